@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldqueue.llm import lines, mixing
+from fieldqueue.llm import jaccard, language, lines, mixing, tokencount
 from fieldqueue.sources.tables import table
 
 
@@ -12,7 +12,10 @@ def over_documents(f):
 
 QUERIES = {
     "op3_line_windows": over_documents(lines.op3_line_windows),
+    "op6_token_counts": over_documents(tokencount.op6_token_counts),
+    "op7_ngram_jaccard": over_documents(jaccard.jaccard_join),
     "op8_pareto_mix": over_documents(mixing.op8_pareto_mix),
+    "op10_language_id": over_documents(language.op10_language_id),
 }
 
 ORACLE = {"op3_line_windows": lines.ORACLE, "op8_pareto_mix": mixing.ORACLE}
