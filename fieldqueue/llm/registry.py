@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldqueue.llm import jaccard, language, lines, mixing, tokencount
+from fieldqueue.llm import decontaminate, jaccard, language, lines, mixing, private, tokencount
 from fieldqueue.sources.tables import table
 
 
@@ -11,6 +11,8 @@ def over_documents(f):
 
 
 QUERIES = {
+    "op1_template_decontamination": lambda spark, sf_dir: decontaminate.op1_template_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+    "op2_private_data": over_documents(private.op2_private_data),
     "op3_line_windows": over_documents(lines.op3_line_windows),
     "op6_token_counts": over_documents(tokencount.op6_token_counts),
     "op7_ngram_jaccard": over_documents(jaccard.jaccard_join),
