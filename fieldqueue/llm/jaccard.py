@@ -17,7 +17,7 @@ from fieldqueue.llm.wordhash import mixed, shingle_sets
 #: Words in a shingle; least similarity in hundredths.
 WORDS, LEAST = 5, 80
 #: Shingles gathered in a task before they are counted or sent on; a shingle is frequent if tasks that saw it LOCAL times saw it FREQUENT times in all, and so many of them at most are broadcast (16 bytes each).
-GATHER, LOCAL, FREQUENT, BROADCAST = 1 << 22, 4, 64, 1 << 19
+GATHER, LOCAL, FREQUENT, BROADCAST = 1 << 20, 4, 64, 1 << 19
 #: Documents in a strip of the product; bits of the filter that keeps documents without partners off the network.
 STRIP, FILTER_BITS = 4096, 1 << 24
 NO_ID = -(2**63)
