@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldqueue.llm import decontaminate, jaccard, language, lines, mixing, private, tokencount
+from fieldqueue.llm import decontaminate, jaccard, langmodel, language, lines, mixing, private, tokencount, toxicity
 from fieldqueue.sources.tables import table
 
 
@@ -14,6 +14,8 @@ QUERIES = {
     "op1_template_decontamination": lambda spark, sf_dir: decontaminate.op1_template_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op2_private_data": over_documents(private.op2_private_data),
     "op3_line_windows": over_documents(lines.op3_line_windows),
+    "op4_language_model": over_documents(langmodel.op4_language_model),
+    "op5_toxicity": lambda spark, sf_dir: toxicity.op5_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op6_token_counts": over_documents(tokencount.op6_token_counts),
     "op7_ngram_jaccard": over_documents(jaccard.jaccard_join),
     "op8_pareto_mix": over_documents(mixing.op8_pareto_mix),
