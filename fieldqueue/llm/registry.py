@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldqueue.llm import decontaminate, jaccard, langmodel, language, lines, mixing, private, tokencount, toxicity
+from fieldqueue.llm import decontaminate, jaccard, langmodel, language, lines, mixing, neighbours, private, tokencount, toxicity
 from fieldqueue.sources.tables import table
 
 
@@ -19,6 +19,7 @@ QUERIES = {
     "op6_token_counts": over_documents(tokencount.op6_token_counts),
     "op7_ngram_jaccard": over_documents(jaccard.jaccard_join),
     "op8_pareto_mix": over_documents(mixing.op8_pareto_mix),
+    "op9_hash_forest": lambda spark, sf_dir: neighbours.op9_hash_forest(table(spark, sf_dir, "embeddings")),
     "op10_language_id": over_documents(language.op10_language_id),
 }
 
