@@ -1,12 +1,72 @@
-"""Corpus preparation: stages that each read what the one before has kept."""
+"""Corpus preparation: language ID, line dedup, near-duplicate removal, decontamination and source mixing, each over what the stage before has kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from fieldqueue.llm import decontaminate, jaccard, language, lines, mixing
+from fieldqueue.llm.shared import kept, without
+from fieldqueue.sources.tables import table
+
+#: Documents whose language is found with less probability go.
+LEAST_SCORE = 0.35
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that have letters and a language that the model finds with LEAST_SCORE or more.
+
+    The model learns from the documents' own `lang`. All columns stay as they are.
+    """
+    names = docs.columns
+    model = language.train(docs.select("doc_id", "text", "lang"))
+    # scores come back beside the untouched row, whatever its columns are called
+    found = language.identify(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "text"), model)
+    return found.where((F.col("lang_pred") != language.NONE) & (F.col("score") >= LEAST_SCORE)).select("row.*")
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes repeated passages of lines; n_chars follows. A document of which nothing is left goes."""
+    out = lines.line_dedup(docs)
+    left = (F.col("n_removed") == 0) | (F.length(F.trim(F.translate("text", "\n\r\t\x0b\x0c", "     "))) > 0)
+    out = out.where(left)
+    if "n_chars" in docs.columns:
+        size = F.length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, size).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document of the smallest id stays."""
+    groups = jaccard.jaccard_join(docs)
+    return without(docs, groups.where((F.col("n_shingles") > 0) & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"))
+
+
+def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold an item of the benchmark, as it is or with other numbers, names or units."""
+    return without(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: doc_id, source, size, copies and words taken of each document that is taken at all."""
+    return mixing.pareto_mix(docs).where("copies > 0").select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("line dedup", dedup_lines),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("benchmark decontamination", decontaminate_documents),
+    ("mixing sources", mix_sources),
+]
+
+#: Language ID and the template windows have no SQL form; tests hold the stages against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over documents, each stage's rows written and read again before the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = kept(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

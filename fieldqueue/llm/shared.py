@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Ids that are broadcast at most, 8 bytes each.
+FEW = 1 << 20
 
 
 def shared_folder(df: DataFrame) -> str:
@@ -26,3 +30,11 @@ def kept(df: DataFrame) -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id isn't in the one column of ids, null being an id. Few ids are broadcast, so that texts stay where they are; more are joined."""
+    ids = kept(ids.toDF("_gone").distinct())
+    if ids.count() <= FEW:
+        ids = F.broadcast(ids)
+    return docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(ids["_gone"]), "left_anti")
