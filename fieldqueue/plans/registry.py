@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fieldqueue.plans import batching
+from fieldqueue.plans import batching, counting, lists, upkeep
 
-MODULES = (batching,)
+MODULES = (batching, counting, lists, upkeep)
 
 
 def queries() -> dict:
