@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fieldqueue.plans import batching, counting, lists, upkeep
+from fieldqueue.plans import batching, counting, lists, relations, upkeep
 
-MODULES = (batching, counting, lists, upkeep)
+MODULES = (batching, counting, lists, relations, upkeep)
 
 
 def queries() -> dict:
