@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fieldqueue.plans import batching, counting, lists, relations, upkeep
+from fieldqueue.plans import batching, counting, lists, relations, similarity, upkeep
 
-MODULES = (batching, counting, lists, relations, upkeep)
+MODULES = (batching, counting, lists, relations, similarity, upkeep)
 
 
 def queries() -> dict:
