@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fieldqueue.plans import batching, counting, lists, relations, similarity, upkeep
+from fieldqueue.plans import batching, counting, lists, relations, similarity, summaries, upkeep
 
-MODULES = (batching, counting, lists, relations, similarity, upkeep)
+MODULES = (batching, counting, lists, relations, similarity, summaries, upkeep)
 
 
 def queries() -> dict:
