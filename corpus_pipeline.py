@@ -20,20 +20,22 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     names = docs.columns
     model = language.train(docs.select("doc_id", "text", "lang"))
-    # scores come back beside the untouched row, whatever its columns are called
-    found = language.identify(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "text"), model)
-    return found.where((F.col("lang_pred") != language.NONE) & (F.col("score") >= LEAST_SCORE)).select("row.*")
+    # under other names no column of the documents clashes with what is found
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    found = language.identify(plain, model, text=f"c{names.index('text')}")
+    return found.where((F.col("lang_pred") != language.NONE) & (F.col("score") >= LEAST_SCORE)).drop("lang_pred", "score").toDF(*names)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes repeated passages of lines; n_chars follows. A document of which nothing is left goes."""
-    out = lines.line_dedup(docs)
-    left = (F.col("n_removed") == 0) | (F.length(F.trim(F.translate("text", "\n\r\t\x0b\x0c", "     "))) > 0)
-    out = out.where(left)
-    if "n_chars" in docs.columns:
+    names = docs.columns
+    own = {"doc_id": "doc_id", "text": "text", "n_chars": "n_chars"}
+    out = lines.line_dedup(docs.toDF(*[own.get(c, f"c{i}") for i, c in enumerate(names)]))
+    out = out.where((F.col("n_removed") == 0) | (F.length(F.trim(F.translate("text", "\n\r\t\x0b\x0c", "     "))) > 0))
+    if "n_chars" in names:
         size = F.length("text").cast(docs.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, size).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.drop("n_lines", "n_removed").toDF(*names)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
