@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldqueue.llm.lean import lean
 from fieldqueue.llm.shared import kept
 from fieldqueue.llm.wordhash import JOIN, mixed
 
@@ -142,7 +143,7 @@ def window_rows(filter_bits, lengths: tuple[int, ...]):
                     types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["id", "hash", "pos", "size", "tokens", "slots"])
 
-    return run
+    return lean(run)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

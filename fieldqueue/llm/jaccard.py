@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldqueue.llm.components import components
+from fieldqueue.llm.lean import lean
 from fieldqueue.llm.shared import kept
 from fieldqueue.llm.wordhash import mixed, shingle_sets
 
@@ -28,6 +29,7 @@ def prefix_length(n: int) -> int:
     return n - -(-LEAST * n // 100) + 1
 
 
+@lean
 def class_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, n, h1, h2) for each document, and (gram, times) for shingles seen LOCAL times or more."""
     held: list[np.ndarray] = []
@@ -109,9 +111,10 @@ def incidence(frequent, buckets: int):
         if held:
             yield packed()
 
-    return run
+    return lean(run)
 
 
+@lean
 def shared_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, gram, rank, room) of every shingle that more than one class has; rows come sorted by bucket.
 
@@ -209,6 +212,7 @@ def block_links(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]
     return [(ids[i], least[top(i)]) for i in range(m) if least[top(i)] != ids[i]]
 
 
+@lean
 def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of every block; rows (cluster, low, high, doc_id, h1, h2, text) come sorted by block."""
     now, ids, sets, seen = None, [], [], set()
@@ -239,13 +243,14 @@ def in_filter(bits):
             h = filter_place(np.asarray(batch.column(0)))
             yield batch.filter(pa.array((words[h >> 6] >> (h & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
 
-    return run
+    return lean(run)
 
 
 def filter_place(ids: np.ndarray) -> np.ndarray:
     return (mixed(ids.astype(np.int64).view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
 
 
+@lean
 def filter_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         h = np.unique(filter_place(np.asarray(batch.column(0))))

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldqueue.llm.lean import lean
+
 #: Longest n-gram; buckets of the hash; added to every count; documents a language and languages (the commonest) that are learned from.
 ORDER, BUCKETS, SMOOTH, PER_LANGUAGE, LANGUAGES = 3, 1 << 16, 0.5, 2000, 256
 #: Characters handled at once.
@@ -60,6 +62,7 @@ def pieces(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.n
         i = j
 
 
+@lean
 def gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, bucket, times) over a task's rows (lang, text)."""
     total: dict[str, np.ndarray] = {}
@@ -101,12 +104,12 @@ def train(labelled: DataFrame) -> Model:
     return Model(langs, np.array([n for _, n in sizes], float), counts)
 
 
-def scorer(model):
+def scorer(model, text: str, kept: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
             lang, score = [], []
-            for i, j, gram, row, has in pieces(batch.column(batch.num_columns - 1).to_pylist()):
+            for i, j, gram, row, has in pieces(batch.column(text).to_pylist()):
                 total = np.empty((j - i, len(m.langs)))
                 for k in range(len(m.langs)):
                     total[:, k] = np.bincount(row, m.weight[:, k][gram], minlength=j - i) + m.prior[k]
@@ -119,30 +122,30 @@ def scorer(model):
                 else:
                     lang += [NONE] * (j - i)
                     score += [0.0] * (j - i)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*kept, "lang_pred", "score"])
 
-    return run
+    return lean(run)
 
 
 def held_out(doc_id: Column, parts: int = 4) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % parts == 2, F.lit(False))
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred and score, the model's probability of that language; `und` and 0 if the text is null or has no letter, or nothing was learned.
+def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` of docs (all by default) with lang_pred and score, the model's probability of that language; `und` and 0 if the text is null or has no letter, or nothing was learned.
 
     Ties go to the first language in code point order. Very long texts are scored whole, a batch's characters
     in pieces of whole texts. Columns of docs that are named lang_pred or score give way. Empty table: no rows.
     """
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.col("text").cast("string").alias("_scored_text"))
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
+    rows = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*kept, text])])
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", lang_pred string, score double"
-    return rows.mapInArrow(scorer(shared), schema).drop("_scored_text")
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept) + ", lang_pred string, score double"
+    return rows.mapInArrow(scorer(shared, text, kept), schema)
 
 
 def op10_language_id(docs: DataFrame) -> DataFrame:
     """Predictions for every document, learned from those whose crc32(doc_id) modulo 4 is not 2."""
     d = docs.select("doc_id", "text", "lang", held_out(F.col("doc_id")).alias("held_out"))
     model = train(d.where("not held_out").select("doc_id", "text", "lang"))
-    return identify(d.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+    return identify(d, model, keep=["doc_id", "held_out"])

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldqueue.llm.lean import lean
 from fieldqueue.llm.shared import kept
 
 #: Trees, bits of a hash string; share of all rows, and number at least, that a query's matches in all trees add up to before the ascent ends.
@@ -18,6 +19,7 @@ BLOCK, DEALT = 8192, 3
 SEED = 20240517
 
 
+@lean
 def hash_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds to rows (vec_id, v) a hash string for each tree: the sides of BITS random hyperplanes, first plane first."""
     planes: dict[int, np.ndarray] = {}

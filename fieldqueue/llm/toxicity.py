@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldqueue.llm.language import held_out
+from fieldqueue.llm.lean import lean
 
 #: Labelled documents of each label that are learned from; lexicon entries at most; evidence (likelihood ratio, 2 ln) that an entry needs.
 PER_LABEL, ENTRIES, EVIDENCE = 5000, 4000, 24.0
@@ -78,6 +79,7 @@ def entries_of(word: str) -> set[str]:
     return {word, *(word[:n] + "-" for n in STEMS if len(word) > n)}
 
 
+@lean
 def entry_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(entry, toxic, clean): documents of either label that hold it, over a task's rows (toxic, text)."""
     count = {0: Counter(), 1: Counter()}
@@ -193,7 +195,7 @@ def feature_rows(lexicon):
             rows = [features(t, memo) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tolist() for r in rows], pa.list_(pa.float64()))], ["toxic", "x"])
 
-    return run
+    return lean(run)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], np.ndarray]:
@@ -234,7 +236,7 @@ def scorer(model):
             x = np.array([features(t, memo) for t in batch.column(batch.num_columns - 1).to_pylist()]).reshape(-1, FEATURES)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))))], [*batch.schema.names[:-1], "score"])
 
-    return run
+    return lean(run)
 
 
 def toxicity(docs: DataFrame, model: tuple[dict[str, float], np.ndarray]) -> DataFrame:
