@@ -15,8 +15,8 @@ from fieldqueue.llm.lean import lean
 from fieldqueue.llm.shared import kept
 from fieldqueue.llm.wordhash import JOIN, mixed
 
-#: Tokens in a template window; of these at least so many plain words; share of an item's tokens that windows must cover.
-WINDOW, PLAIN, COVER = 8, 4, 0.5
+#: Tokens in a template window; of these at least so many plain words; share of an item's tokens, or number of them, that windows must cover.
+WINDOW, PLAIN, COVER, LONG = 8, 4, 0.5, 13
 #: Items of fewer tokens than FEWEST can't be told from chance. Shorter items than a window are one window.
 FEWEST = 5
 #: Bits of the filter of the items' windows; tokens remembered by a worker; tokens handled at once.
@@ -153,7 +153,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     and names. Windows of WINDOW template tokens of documents meet those of items in a hash join. Matches of
     one alignment (place in the document less place in the item) must fill the slots consistently: a value
     of the item stands for one value of the document throughout. Such alignments count, and a document holds
-    an item if they cover COVER of its tokens. kind is `verbatim` if every slot is equal, `reparameterised`
+    an item if they cover COVER of its tokens, or LONG of them. kind is `verbatim` if every slot is equal, `reparameterised`
     if some differ.
 
     A fixed-size filter of the items' windows, FILTER_BITS bits whatever the benchmark, lets few other windows
@@ -181,7 +181,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     whole = line.groupBy("doc_id", "item_id").agg(F.array_distinct(F.flatten(F.collect_set("places"))).alias("places"), F.max("tokens").alias("tokens"), F.max("same").alias("same"))
     covered = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p["ipos"], p["ipos"] + p["size"] - 1))))
     share = F.size(covered) / F.col("tokens")
-    return whole.select("doc_id", "item_id", F.when(F.col("same"), "verbatim").otherwise("reparameterised").alias("kind"), F.round(share, 6).alias("coverage"), F.size("places").cast("long").alias("windows")).where(share >= COVER)
+    return whole.select("doc_id", "item_id", F.when(F.col("same"), "verbatim").otherwise("reparameterised").alias("kind"), F.round(share, 6).alias("coverage"), F.size("places").cast("long").alias("windows")).where((share >= COVER) | (F.size(covered) >= LONG))
 
 
 def op1_template_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
