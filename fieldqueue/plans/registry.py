@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fieldqueue.plans import batching, counting, lists, relations, reviews, similarity, summaries, upkeep
+from fieldqueue.plans import batching, counting, indexing, lists, relations, reviews, similarity, summaries, upkeep
 
-MODULES = (batching, counting, lists, relations, reviews, similarity, summaries, upkeep)
+MODULES = (batching, counting, indexing, lists, relations, reviews, similarity, summaries, upkeep)
 
 
 def queries() -> dict:
