@@ -1,37 +1,16 @@
-"""Tables kept in the folder that driver and executors share."""
+"""Tables kept in the folder that driver and executors share, and what is left without them."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldqueue.sources.shared import kept
+
 #: Ids that are broadcast at most, 8 bytes each.
 FEW = 1 << 20
 
 
-def shared_folder(df: DataFrame) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset, and Spark is local, a temporary folder."""
-    spark = df.sparkSession
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="spark-"))
-    return spark.conf.get("spark.checkpoint.dir")
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """Writes the rows as Parquet in the shared folder and reads them again: cuts the lineage, and survives lost executors."""
-    path = f"{shared_folder(df)}/fieldqueue-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
-
-
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of docs whose doc_id isn't in the one column of ids, null being an id. Few ids are broadcast, so that texts stay where they are; more are joined."""
     ids = kept(ids.toDF("_gone").distinct())
