@@ -19,13 +19,13 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
     Texts with fewer lines than a window, empty and null texts stay as they are. A null id comes before all
     others. Rows of one id and text are one document: each comes back, cleaned alike. Empty table: no rows.
-    All columns of docs come back; none but doc_id and text is read.
+    All columns of docs come back, but n_lines and n_removed give way; none but doc_id and text is read.
 
     Only hashes travel: sums by window find the repeated ones, a join marks the later places, and a second join
     by document brings these to the text. A window that a third of all documents hold is one row a task before
     the shuffle, and its places are a join that may be split.
     """
-    names = docs.columns
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
     d = d.select("row", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(-(2**63))).alias("did"), F.xxhash64(F.col("row.text")).alias("key"))
     lines = d.select("did", "key", F.transform(F.split("row.text", "\n"), lambda x: F.trim(F.translate(x, "\t\r\x0b\x0c", "    "))).alias("l")).where(F.size("l") >= WINDOW)
@@ -36,14 +36,13 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     firsts = w.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(F.col("first") != F.col("last")).select("h1", "h2", "first")
     later = w.join(firsts, ["h1", "h2"]).where(place > F.col("first")).groupBy("did", "key").agg(F.collect_set("pos").alias("late"))
     covered = F.array_distinct(F.flatten(F.transform("late", lambda p: F.array(p, p + 1, p + 2))))
-    raw = F.split("row.text", "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(raw) - 1), covered)
-    cleaned = F.array_join(F.transform(left, lambda i: F.get(raw, i)), "\n")
-    out = d.join(later, ["did", "key"], "left")
+    left = F.array_except(F.sequence(F.lit(0), F.size("raw") - 1), covered)
+    cleaned = F.array_join(F.transform(left, lambda i: F.get("raw", i)), "\n")
+    out = d.join(later, ["did", "key"], "left").withColumn("raw", F.split("row.text", "\n"))
     gone = F.coalesce(F.size(covered), F.lit(0)).cast("long")
     return out.select(
         *[(F.when(F.col("late").isNull(), F.col("row.text")).otherwise(cleaned) if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in names],
-        F.when(F.col("row.text").isNull(), F.lit(0)).otherwise(F.size(raw)).cast("long").alias("n_lines"),
+        F.when(F.col("row.text").isNull(), F.lit(0)).otherwise(F.size("raw")).cast("long").alias("n_lines"),
         F.when(F.col("late").isNull(), F.lit(0).cast("long")).otherwise(gone).alias("n_removed"),
     )
 
