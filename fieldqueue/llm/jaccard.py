@@ -285,8 +285,8 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     frequent = spark.sparkContext.broadcast(np.sort(np.asarray(often.column(0)).astype(np.int64).view(np.uint64)))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = d.select("text").mapInArrow(incidence(frequent, buckets), "bucket int, grams binary, places binary, nodes binary")
-    # the driver's own spread of the buckets: one for each partition
-    grams = packed.repartitionByRange(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(shared_grams, "node long, gram long, rank long, room int")
+    # a partition for each bucket
+    grams = packed.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(shared_grams, "node long, gram long, rank long, room int")
     lists = grams.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("rank", "gram"))).alias("g"), F.first("room").alias("room"), F.count_if(F.col("rank") < 2**40).cast("int").alias("light"))
     take = F.col("room") + F.col("light")
     pre = kept(lists.where(take > 0).select("node", F.explode(F.slice(F.col("g.gram"), F.lit(1), take)).alias("gram")))
