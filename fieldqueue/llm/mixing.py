@@ -10,6 +10,8 @@ from fieldqueue.llm.shared import kept
 WORD = r"[^\x20\x09-\x0D]+"
 #: A document's random number has so many bits, its bucket the leading ten of them.
 BITS, BUCKETS = 52, 1024
+#: Sources whose rows are broadcast at most; more are joined.
+SOURCES = 1 << 16
 
 
 def words(text: Column) -> Column:
@@ -70,12 +72,14 @@ def pareto_mix(docs: DataFrame, seed: int = 8, weights: tuple[int, ...] = (5, 2,
     plan = plan.withColumn("_whole", F.floor(due).cast("long")).withColumn("_odds", due - F.floor(due))
     plan = kept(plan.withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size")).withColumnRenamed("source", "_source"))
     on = lambda a: a["source"].eqNullSafe(F.col("_source"))
+    # tables of one row a source, for joins that a hot source would skew
+    small = F.broadcast if plan.count() <= SOURCES else lambda t: t
     run = Window.partitionBy("source").orderBy("_bucket")
     sums = hist.withColumn("_upto", F.sum("_words").over(run))
     edge = sums.join(plan, on(sums)).where((F.col("_upto") >= F.col("_rest")) & (F.col("_upto") - F.col("_words") < F.col("_rest")))
     edge = edge.groupBy("_source").agg(F.min(F.struct("_bucket", (F.col("_upto") - F.col("_words")).alias("_before"))).alias("_edge"))
     plan = plan.join(edge.withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    rows = base.join(plan, on(base)).drop("_source")
+    rows = base.join(small(plan), on(base)).drop("_source")
     low = F.coalesce(F.col("_edge._bucket"), F.lit(-1))
     rank = F.col("_u") / (1 - F.col("_u")) / (F.col("_odds") / (1 - F.col("_odds")))
     inside = rows.where((F.col("_bucket") == low) & (F.col("_odds") > 0))
@@ -86,10 +90,10 @@ def pareto_mix(docs: DataFrame, seed: int = 8, weights: tuple[int, ...] = (5, 2,
     drawn = kept(outside.unionByName(inside))
     # the exchange that closes what still differs
     gap = drawn.groupBy("source").agg((F.sum(F.col("size") * F.col("_extra")) - F.first("_rest")).alias("_over")).withColumnRenamed("source", "_source")
-    near = drawn.join(gap, on(drawn)).where((F.col("_odds") > 0) & (F.col("size") > 0) & (((F.col("_over") > 0) & (F.col("_extra") == 1)) | ((F.col("_over") < 0) & (F.col("_extra") == 0))))
+    near = drawn.join(small(gap), on(drawn)).where((F.col("_odds") > 0) & (F.col("size") > 0) & (((F.col("_over") > 0) & (F.col("_extra") == 1)) | ((F.col("_over") < 0) & (F.col("_extra") == 0))))
     miss = F.abs(F.abs(F.col("_over")) - F.col("size"))
     near = near.where(miss < F.abs(F.col("_over"))).groupBy("source").agg(F.min(F.struct(miss.alias("miss"), "doc_id", "size", "_text_key")).alias("_swap")).withColumnRenamed("source", "_source")
-    out = drawn.join(near, on(drawn), "left").drop("_source")
+    out = drawn.join(small(near), on(drawn), "left").drop("_source")
     swap = F.coalesce(F.struct("doc_id", "size", "_text_key").eqNullSafe(F.struct("_swap.doc_id", "_swap.size", "_swap._text_key")) & F.col("_swap").isNotNull(), F.lit(False))
     extra = F.when(swap, 1 - F.col("_extra")).otherwise(F.col("_extra"))
     return out.withColumn("copies", F.col("_whole") + extra).select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "_text_key")
