@@ -18,8 +18,8 @@ from fieldqueue.llm.wordhash import JOIN, mixed, pieces
 STOP = np.uint64(0x5851F42D4C957F2D)
 #: Tokens gathered in a task before their counts are sent on; bits, regions and probes of the filter; filter bits an item is given at least.
 GATHER, FILTER_BITS, REGIONS, PROBES, ROOM = 1 << 20, 1 << 27, 256, 4, 6
-#: Frequent tokens whose exact counts are broadcast, 16 bytes each, at most; training documents that set the interpolation.
-FREQUENT, TUNING = 1 << 19, 4000
+#: Frequent tokens whose exact counts are broadcast, 16 bytes each, at most.
+FREQUENT = 1 << 19
 #: Growth of the count levels.
 GROWTH = 1.25
 
@@ -288,11 +288,8 @@ def train(texts: DataFrame) -> tuple[Model, DataFrame]:
     gram = np.asarray(often.column("gram")).astype(np.int64).view(np.uint64)
     order = np.argsort(gram)
     model = Model(int(total), int(distinct), gram[order], np.asarray(often.column("times"))[order], LogFrequencyFilter(bits, cutoff), buckets)
-    rows = texts.count()
-    if rows:
-        sample = texts.where(F.pmod(F.xxhash64(F.lit("tune"), F.col("doc_id").cast("string")), F.lit(1 << 30)) < min(1.0, TUNING / rows) * (1 << 30)).select("text")
-        ratios = sample.mapInArrow(tuning_rows(sc.broadcast(model)), "level int, ratio int, times long").groupBy("level", "ratio").agg(F.sum("times")).collect()
-        model.weight = interpolation([tuple(r) for r in ratios])
+    ratios = texts.select("text").mapInArrow(tuning_rows(sc.broadcast(model)), "level int, ratio int, times long").groupBy("level", "ratio").agg(F.sum("times")).collect()
+    model.weight = interpolation([tuple(r) for r in ratios])
     return model, singles
 
 
@@ -343,7 +340,7 @@ def language_model_scores(docs: DataFrame, training: Column) -> DataFrame:
     FILTER_BITS bits, whose cutoffs follow from the counts so that its error doesn't grow with the corpus; it
     is broadcast, and probing level after level gives a count back. A token's probability is interpolated from
     its pair's and its own, with weights by frequency of the token before that leave-one-out estimation on
-    about TUNING training documents sets.
+    all training documents sets.
 
     base_score and n_known are exact: counts of the FREQUENT most frequent tokens are broadcast, those of the
     others joined by hash. Null and empty texts are an end alone. Null ids aren't learned from. Rows of one id
