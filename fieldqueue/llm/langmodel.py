@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from fieldqueue.llm.lean import lean
 from fieldqueue.llm.shared import kept
@@ -90,27 +91,37 @@ def packed_counts(buckets: int):
     return lean(run)
 
 
+def wide(low: bytes) -> np.ndarray:
+    """Numbers of 64 bits from their lower six bytes each."""
+    out = np.zeros((len(low) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(low, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view(np.uint64)
+
+
 @lean
 def summed_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(n, gram, times) of all tokens, and of the pairs that occur twice or more; rows come sorted by bucket and n."""
+    """(n, gram, times) of all tokens and of the pairs that occur twice or more, and (n, bucket, grams) of those that occur once; rows come sorted by bucket and n."""
+    names = ["n", "gram", "times", "bucket", "grams"]
 
     def summed(bucket: int, n: int, parts: list) -> Iterator[pa.RecordBatch]:
         if n == 1:
             gram = np.concatenate([np.frombuffer(g, np.uint64) for g, _ in parts])
             times = np.concatenate([np.frombuffer(t, np.uint32) for _, t in parts])
         else:
-            wide = np.zeros((sum(len(t) for _, t in parts), 8), np.uint8)
-            wide[:, :6] = np.concatenate([np.frombuffer(g, np.uint8).reshape(-1, 6) for g, _ in parts])
-            gram, times = wide.reshape(-1).view(np.uint64), np.concatenate([np.frombuffer(t, np.uint8) for _, t in parts])
+            gram, times = wide(b"".join(g for g, _ in parts)), np.concatenate([np.frombuffer(t, np.uint8) for _, t in parts])
         order = np.argsort(gram, kind="stable")
         gram, times = gram[order], times[order].astype(np.int64)
         first = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
         gram, times = gram[first], np.add.reduceat(times, first)
         if n == 2:
+            once = gram[times == 1]
+            for k in range(0, len(once), 1 << 16):
+                low = once[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([bucket], pa.int32()), pa.array([low], pa.binary())], names)
             gram, times = gram[times > 1] | (np.uint64(bucket) << np.uint64(48)), times[times > 1]
         for k in range(0, len(gram), 1 << 16):
             g, t = gram[k : k + (1 << 16)], times[k : k + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), n, np.int32)), pa.array(g.view(np.int64)), pa.array(t)], ["n", "gram", "times"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), n, np.int32)), pa.array(g.view(np.int64)), pa.array(t), pa.nulls(len(g), pa.int32()), pa.nulls(len(g), pa.binary())], names)
 
     now, parts = None, []
     for batch in batches:
@@ -190,48 +201,59 @@ class LogFrequencyFilter:
 
 
 class Model:
-    """What scoring needs: N, V, frequent tokens and their exact counts, the filter, and the interpolation by level of the token before."""
+    """What scoring needs: N, V, frequent tokens and their exact counts, and the filter."""
 
     def __init__(self, total: int, distinct: int, frequent: np.ndarray, times: np.ndarray, bloom: LogFrequencyFilter, buckets: int):
         self.total, self.distinct, self.frequent, self.times, self.bloom, self.buckets = total, distinct, frequent, times, bloom, buckets
-        self.weight = np.full(len(LEVELS) + 1, 0.1)
 
     def parts(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Levels of each token, the one before and their pair, and the token's smoothed probability."""
+        """Levels of each token, the one before and their pair, 0 if the filter holds none, and the pair's hash."""
         one, back = np.unique(tokens, return_inverse=True)
         own = self.bloom.levels(one, 1)[back]
         two, place = np.unique(pairs_of(tokens), return_inverse=True)
         pair = self.bloom.levels(self.narrow(two), 2)[place]
         first = int(self.bloom.levels(np.array([STOP]), 1)[0])
         before = np.concatenate(([first], own[:-1]))
-        return own, before, pair, (VALUES[own] + 1) / (self.total + self.distinct + 1)
+        return own, before, pair, two[place]
 
     def narrow(self, pairs: np.ndarray) -> np.ndarray:
         """Pairs as they were counted: 48 bits and the bucket."""
         return (pairs & np.uint64(2**48 - 1)) | (((pairs >> np.uint64(48)) % np.uint64(self.buckets)) << np.uint64(48))
 
-    def log10(self, tokens: np.ndarray) -> np.ndarray:
-        _, before, pair, single = self.parts(tokens)
-        given = np.minimum(1.0, VALUES[pair] / np.maximum(VALUES[before], 1.0))
-        w = self.weight[before]
-        return np.log10(w * given + (1 - w) * single)
 
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a binary column, and how many each row has."""
+    column = column.cast(pa.large_binary())
+    at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = column.buffers()[2]
+    return (np.frombuffer(raw, np.uint8)[at[0] : at[-1]] if raw is not None else np.zeros(0, np.uint8)), np.diff(at)
+
+
+def cut_up(values: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Binary column whose rows have so many bytes each."""
+    at = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(at), pa.py_buffer(values.astype(np.uint8).tobytes())])
 
-def tuning_rows(model):
-    """(level, ratio, times): how pair and single probability compare, each token left out of its own counts."""
+
+def triples(batch: pa.RecordBatch) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """Levels (token, the one before, their pair) in the last three columns: distinct ones as a number each, their parts, and the place of each occurrence among them."""
+    own, last, pair = (flat(c)[0].astype(np.int64) for c in batch.columns[-3:])
+    code, back = np.unique(own << 16 | last << 8 | pair, return_inverse=True)
+    return code, (code >> 16, code >> 8 & 255, code & 255), back
+
+
+def tuning_rows(whole: int):
+    """(level, ratio, times): how pair and single probability compare, each token left out of its own counts, from rows of levels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
         total: dict[tuple[int, int], int] = {}
         for batch in batches:
-            for _, _, words, before in pieces(batch.column(0)):
-                own, last, pair, _ = m.parts(tokens_of(words, before)[0])
-                single = np.maximum(VALUES[own], 1.0) / (m.total + m.distinct)
-                given = np.maximum(VALUES[pair] - 1, 0) / np.maximum(VALUES[last] - 1, 1)
-                ratio = np.where(given > 0, np.clip(np.rint(4 * np.log2(np.maximum(given, 1e-30) / single)), -200, 200), -1000).astype(np.int64)
-                keys, times = np.unique(np.stack((last, ratio)), axis=1, return_counts=True)
-                for a, r, t in zip(keys[0].tolist(), keys[1].tolist(), times.tolist()):
-                    total[a, r] = total.get((a, r), 0) + t
+            _, (own, last, pair), back = triples(batch)
+            single = np.maximum(VALUES[own], 1.0) / whole
+            given = np.maximum(VALUES[pair] - 1, 0) / np.maximum(VALUES[last] - 1, 1)
+            ratio = np.where(given > 0, np.clip(np.rint(4 * np.log2(np.maximum(given, 1e-30) / single)), -200, 200), -1000).astype(np.int64)
+            for a, r, t in zip(last.tolist(), ratio.tolist(), np.bincount(back, minlength=len(last)).tolist()):
+                total[a, r] = total.get((a, r), 0) + t
         if total:
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.int32()), pa.array([k[1] for k in total], pa.int32()), pa.array(list(total.values()), pa.int64())], ["level", "ratio", "times"])
 
@@ -252,17 +274,16 @@ def interpolation(rows: list[tuple[int, int, int]]) -> np.ndarray:
     return out
 
 
-def train(texts: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and the exact counts (gram, times) of all tokens, from rows (doc_id, text)."""
+def train(texts: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
+    """The model, the exact counts (gram, times) of all tokens, and the pairs below the filter's cutoff (bucket, grams, pair) with their levels, from rows (doc_id, text)."""
     spark = texts.sparkSession
-    sc = spark.sparkContext
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = texts.select("text").mapInArrow(packed_counts(buckets), "bucket int, n int, grams binary, times binary")
-    counts = kept(packed.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "n").mapInArrow(summed_counts, "n int, gram long, times long"))
+    counts = kept(packed.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "n").mapInArrow(summed_counts, "n int, gram long, times long, bucket int, grams binary"))
     singles = counts.where("n = 1").select("gram", "times")
     total, distinct = singles.agg(F.coalesce(F.sum("times"), F.lit(0)), F.count("*")).first()
-    seen = counts.groupBy("n", F.least("times", F.lit(100_000)).alias("c")).count().collect()
-    # cutoffs: whatever the corpus, the items of all levels have ROOM bits each
+    seen = counts.where("gram is not null").groupBy("n", F.least("times", F.lit(100_000)).alias("c")).count().collect()
+    # cutoffs: whatever the corpus, the items of all levels have ROOM bits each; what is below is joined
     cutoff = {1: 1, 2: 2}
 
     def items(n: int) -> int:
@@ -271,7 +292,7 @@ def train(texts: DataFrame) -> tuple[Model, DataFrame]:
 
     while items(1) + items(2) > FILTER_BITS // ROOM:
         cutoff[2 if cutoff[2] < 16 * cutoff[1] else 1] *= 2
-    used = counts.where(((F.col("n") == 1) & (F.col("times") >= cutoff[1])) | ((F.col("n") == 2) & (F.col("times") >= cutoff[2])))
+    used = counts.select("n", "gram", "times").where(((F.col("n") == 1) & (F.col("times") >= cutoff[1])) | ((F.col("n") == 2) & (F.col("times") >= cutoff[2])))
     regions = used.mapInArrow(region_column, "n int, gram long, times long, region int").repartition("region").sortWithinPartitions("region").mapInArrow(region_bits(cutoff), "region int, bits binary").toArrow()
     size = FILTER_BITS // REGIONS // 8
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
@@ -288,20 +309,73 @@ def train(texts: DataFrame) -> tuple[Model, DataFrame]:
     gram = np.asarray(often.column("gram")).astype(np.int64).view(np.uint64)
     order = np.argsort(gram)
     model = Model(int(total), int(distinct), gram[order], np.asarray(often.column("times"))[order], LogFrequencyFilter(bits, cutoff), buckets)
-    ratios = texts.select("text").mapInArrow(tuning_rows(sc.broadcast(model)), "level int, ratio int, times long").groupBy("level", "ratio").agg(F.sum("times")).collect()
-    model.weight = interpolation([tuple(r) for r in ratios])
-    return model, singles
+    few = counts.where((F.col("n") == 2) & (F.col("gram").isNull() | (F.col("times") < cutoff[2])))
+    return model, singles, few.select("gram", "times", "bucket", "grams").mapInArrow(few_pairs, "bucket int, grams binary, pair binary")
 
 
-def scored_rows(model):
-    """A row (key, n_tokens, n_known, base, score) for each text, and a row (key, gram, times) for each of its tokens that isn't frequent."""
+@lean
+def few_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, grams, levels) of rows (gram, times), or (bucket, grams) of pairs that occur once."""
+    for batch in batches:
+        rows = []
+        for b, g in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            if g is not None:
+                rows.append((b, g, np.ones(len(g) // 6, np.uint8).tobytes()))
+        some = batch.filter(batch.column(0).is_valid())
+        if some.num_rows:
+            gram, top = np.asarray(some.column(0)).view(np.uint64), level(np.asarray(some.column(1))).astype(np.uint8)
+            bucket = (gram >> np.uint64(48)).astype(np.int64)
+            for b in np.unique(bucket).tolist():
+                own = bucket == b
+                rows.append((b, gram[own].view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), top[own].tobytes()))
+        cols = list(zip(*rows))
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["bucket", "grams", "pair"])
+
+
+def table(columns: dict[str, pa.Array], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    """A batch of these columns, null where there is none."""
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, t) for c, t in kinds.items()], list(kinds))
+
+
+def asked(kinds: dict[str, pa.DataType], key: int | None, docs: np.ndarray, learn: np.ndarray, own: np.ndarray, last: np.ndarray, pair: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Occurrences of pairs whose count is to be joined, by bucket of the hash: documents (from key on, or keys if that is null), levels of both tokens, and hashes."""
+    code = ((pair >> np.uint64(48)) % np.uint64(buckets)).astype(np.int64) * 2 + learn
+    order = np.argsort(code, kind="stable")
+    found, first = np.unique(code[order], return_index=True)
+    low = pair.view(np.uint8).reshape(-1, 8)[order, :6]
+    parts = [np.ascontiguousarray(x) for x in (docs[order], own[order].astype(np.uint8), last[order].astype(np.uint8), low)]
+    cut = list(zip(first.tolist(), [*first[1:].tolist(), len(order)]))
+    docs, own, last, low = (pa.array([x[a:b].tobytes() for a, b in cut], pa.binary()) for x in parts)
+    n = len(cut)
+    return table({"kind": pa.array([PAIRS] * n, pa.int32()), "key": pa.array([key] * n, pa.int64()), "learn": pa.array((found & 1).astype(bool)), "bucket": pa.array((found >> 1).astype(np.int32)), "docs": docs, "own": own, "last": last, "grams": low}, kinds)
+
+
+#: Kinds of rows: a document; a token of it that isn't frequent; pairs to be joined; a pair one of whose tokens is to be joined first.
+DOCUMENT, TOKEN, PAIRS, UNKNOWN = range(4)
+
+
+def looked_up(model, kinds: dict[str, pa.DataType]):
+    """From rows (doc_id, text, learn), for each text a DOCUMENT with the levels of what the filter holds, TOKEN rows for its tokens that aren't frequent, and PAIRS and UNKNOWN rows for what is below the cutoffs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        key = TaskContext.get().partitionId() << 40
-        names = ["key", "doc_id", "n_tokens", "n_known", "base", "score", "gram", "times"]
+        key = start = TaskContext.get().partitionId() << 40
+        held: list[tuple] = []
+        # a pair of a training document that isn't in a filter of all pairs that occur twice occurs once
+        once, all_tokens = m.bloom.low[2] == 2, m.bloom.low[1] == 1
+
+        def gathered() -> pa.RecordBatch:
+            return asked(kinds, start, *(np.concatenate(x) for x in zip(*held)), m.buckets)
+
         for batch in batches:
+            learns = np.asarray(batch.column(2).to_numpy(zero_copy_only=False)).astype(bool)
             for i, j, words, before in pieces(batch.column(1)):
+                if held and (key + j - i - start > 1 << 16 or sum(len(h[0]) for h in held) >= GATHER):
+                    yield gathered()
+                    held = []
+                if not held:
+                    start = key
                 tokens, ends = tokens_of(words, before)
                 doc = np.repeat(np.arange(j - i), np.diff(np.concatenate(([0], ends))))
                 one, back = np.unique(tokens, return_inverse=True)
@@ -311,17 +385,101 @@ def scored_rows(model):
                 else:
                     times = np.zeros(len(one), np.int64)
                 hot, base = times[back] > 0, np.log10((times + 1) / (m.total + m.distinct + 1))[back]
+                own, last, pair, hashes = m.parts(tokens)
+                learn = learns[i:j][doc]
+                unknown = np.zeros(len(tokens), bool) if all_tokens else (pair == 0) & ((own == 0) | (last == 0))
+                if once:
+                    pair = np.where((pair == 0) & learn & ~unknown, 1, pair)
+                ask = (pair == 0) & (own > 0) & (last > 0)
+                done = ~ask & ~unknown
                 count = lambda w=None: np.bincount(doc, w, minlength=j - i)
-                n, none = j - i, pa.nulls(j - i, pa.int64())
-                keys = np.arange(key, key + n)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys), batch.column(0).slice(i, n), pa.array(count()), pa.array(count(hot.astype(float)).astype(np.int64)), pa.array(count(np.where(hot, base, 0.0))), pa.array(count(m.log10(tokens))), none, none], names
-                )
+                n = j - i
+                keys, size = np.arange(key, key + n), count(done.astype(float)).astype(np.int64)
+                yield table({
+                    "kind": pa.array(np.full(n, DOCUMENT, np.int32)), "key": pa.array(keys), "doc_id": batch.column(0).slice(i, n), "learn": pa.array(learns[i:j]), "n_tokens": pa.array(count()), "n_known": pa.array(count(hot.astype(float)).astype(np.int64)), "base": pa.array(count(np.where(hot, base, 0.0))),
+                    "own": cut_up(own[done], size), "last": cut_up(last[done], size), "pair": cut_up(pair[done], size),
+                }, kinds)
                 if not hot.all():
                     both, times = unique_pairs(doc[~hot], back[~hot], len(one))
-                    k, empty = len(times), pa.nulls(len(times), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[both[0]]), pa.nulls(k, batch.column(0).type), empty, empty, pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64()), pa.array(one[both[1]].view(np.int64)), pa.array(times)], names)
+                    yield table({"kind": pa.array(np.full(len(times), TOKEN, np.int32)), "key": pa.array(keys[both[0]]), "gram": pa.array(one[both[1]].view(np.int64)), "times": pa.array(times)}, kinds)
+                if unknown.any():
+                    # a token that is known meets nothing, under a hash that spreads
+                    before_ = np.concatenate(([STOP], tokens[:-1]))
+                    side = lambda lev, gram: pa.array(np.where(lev > 0, hashes, gram)[unknown].view(np.int64))
+                    k = int(unknown.sum())
+                    yield table({
+                        "kind": pa.array(np.full(k, UNKNOWN, np.int32)), "key": pa.array(keys[doc[unknown]]), "learn": pa.array(learn[unknown]), "gram": pa.array(m.narrow(hashes[unknown]).view(np.int64)),
+                        "own": cut_up(own[unknown], np.ones(k, int)), "last": cut_up(last[unknown], np.ones(k, int)), "own_gram": side(own, tokens), "last_gram": side(last, before_),
+                    }, kinds)
+                if ask.any():
+                    held.append(((key - start + doc[ask]).astype(np.uint16), learn[ask], own[ask].astype(np.uint8), last[ask].astype(np.uint8), hashes[ask]))
                 key += n
+        if held:
+            yield gathered()
+
+    return lean(run)
+
+
+def now_known(kinds: dict[str, pa.DataType], buckets: int):
+    """PAIRS from rows (key, learn, gram, own, last, own_times, last_times), the levels of unknown tokens filled in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                key, gram = np.asarray(batch.column(0)), np.asarray(batch.column(2)).view(np.uint64)
+                learn = np.asarray(batch.column(1).to_numpy(zero_copy_only=False)).astype(bool)
+                own, last = (np.where(flat(batch.column(c))[0] > 0, flat(batch.column(c))[0], level(np.asarray(batch.column(c + 2)))) for c in (3, 4))
+                yield asked(kinds, None, key, learn, own, last, gram, buckets)
+
+    return lean(run)
+
+
+@lean
+def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, learn, docs, own, last, pair) for PAIRS; rows (bucket, kind, grams, pair, key, learn, docs, own, last) come sorted by bucket, its counts first."""
+    now, parts, gram, top = None, [], None, None
+    for batch in batches:
+        out = []
+        for bucket, kind, grams, pair, key, learn, docs, own, last in zip(*(c.to_pylist() for c in batch.columns)):
+            if bucket != now:
+                now, parts, gram = bucket, [], None
+            if kind == 0:
+                parts.append((grams, pair))
+                continue
+            if gram is None:
+                gram = wide(b"".join(g for g, _ in parts))
+                order = np.argsort(gram)
+                gram, top, parts = gram[order], np.frombuffer(b"".join(p for _, p in parts), np.uint8)[order], []
+            mine, found = wide(grams), np.zeros(len(own), np.uint8)
+            if len(gram):
+                at = np.minimum(np.searchsorted(gram, mine), len(gram) - 1)
+                found = np.where(gram[at] == mine, top[at], 0).astype(np.uint8)
+            out.append((key, learn, docs, own, last, found.tobytes()))
+        if out:
+            cols = list(zip(*out))
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.bool_()), *(pa.array(c, pa.binary()) for c in cols[2:])], ["key", "learn", "docs", "own", "last", "pair"])
+
+
+def level_scores(levels: tuple[np.ndarray, np.ndarray, np.ndarray], weight: np.ndarray, whole: int) -> np.ndarray:
+    """log10 of a token's probability, by the levels of it, the one before and their pair."""
+    own, last, pair = levels
+    w = weight[last]
+    return np.log10(w * np.minimum(1.0, VALUES[pair] / np.maximum(VALUES[last], 1.0)) + (1 - w) * (VALUES[own] + 1) / (whole + 1))
+
+
+def scored_rows(weight: np.ndarray, whole: int):
+    """(key, score) of rows (key, docs, own, last, pair): of a document if docs is null, or of each document in docs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, levels, back = triples(batch)
+            each = level_scores(levels, weight, whole)[back]
+            size = flat(batch.column(2))[1]
+            docs, keys = batch.column(1).to_pylist(), batch.column(0).to_pylist()
+            own = [np.full(n, k) if d is None else np.frombuffer(d, np.int64) if k is None else k + np.frombuffer(d, np.uint16).astype(np.int64) for k, d, n in zip(keys, docs, size.tolist())]
+            key, place = np.unique(np.concatenate([np.array([k for k, d in zip(keys, docs) if d is None], np.int64), *own]), return_inverse=True)
+            none = len(place) - len(each)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.bincount(place[none:], each, minlength=len(key)).astype(float))], ["key", "score"])
 
     return lean(run)
 
@@ -338,7 +496,9 @@ def language_model_scores(docs: DataFrame, training: Column) -> DataFrame:
     Tokens are words, A-Z as a-z, and one end a text, known by 64-bit hashes. Counts of tokens and pairs are
     summed by hash over all training documents. Quantised on a logarithmic scale they fill a Bloom filter of
     FILTER_BITS bits, whose cutoffs follow from the counts so that its error doesn't grow with the corpus; it
-    is broadcast, and probing level after level gives a count back. A token's probability is interpolated from
+    is broadcast, and probing level after level gives a count back. Levels of tokens and pairs below the
+    cutoffs, those that occur once included, are joined by hash, so that the cutoffs decide only what is
+    broadcast. A token's probability is interpolated from
     its pair's and its own, with weights by frequency of the token before that leave-one-out estimation on
     all training documents sets.
 
@@ -347,14 +507,28 @@ def language_model_scores(docs: DataFrame, training: Column) -> DataFrame:
     each come back. Empty table: no rows. Other columns are ignored.
     """
     d = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.coalesce(training, F.lit(False)).alias("learn"))
-    model, singles = train(d.where("learn").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
-    kind = d.schema["doc_id"].dataType.simpleString()
-    shared = d.sparkSession.sparkContext.broadcast(model)
-    rows = kept(d.select("doc_id", "text").mapInArrow(scored_rows(shared), f"key long, doc_id {kind}, n_tokens long, n_known long, base double, score double, gram long, times long"))
+    model, singles, few = train(d.where("learn").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    kind, size = d.schema["doc_id"].dataType.simpleString(), model.total + model.distinct
+    schema = f"kind int, key long, doc_id {kind}, learn boolean, n_tokens long, n_known long, base double, own binary, last binary, pair binary, bucket int, docs binary, grams binary, gram long, times long, own_gram long, last_gram long"
+    empty = d.sparkSession.createDataFrame([], schema)
+    kinds = {f.name: f.type for f in to_arrow_schema(empty.schema)}
+    rows = kept(d.select("doc_id", "text", "learn").mapInArrow(looked_up(d.sparkSession.sparkContext.broadcast(model), kinds), schema))
+    pairs = rows.where(F.col("kind") == PAIRS)
+    if model.bloom.low[1] > 1:
+        counted = lambda side: singles.select(F.col("gram").alias(f"{side}_gram"), F.col("times").alias(f"{side}_times"))
+        open_ = rows.where(F.col("kind") == UNKNOWN).select("key", "learn", "gram", "own", "last", "own_gram", "last_gram").join(counted("own"), "own_gram", "left").join(counted("last"), "last_gram", "left")
+        open_ = open_.select("key", "learn", "gram", "own", "last", F.coalesce("own_times", F.lit(0)).alias("own_times"), F.coalesce("last_times", F.lit(0)).alias("last_times"))
+        pairs = pairs.unionByName(open_.mapInArrow(now_known(kinds, model.buckets), schema))
+    columns = ["bucket", "kind", "grams", "pair", "key", "learn", "docs", "own", "last"]
+    both = few.withColumn("kind", F.lit(0)).unionByName(pairs.select(columns).drop("pair"), allowMissingColumns=True).select(columns)
+    joined = kept(both.repartitionById(model.buckets, F.col("bucket")).sortWithinPartitions("bucket", "kind").mapInArrow(answered, "key long, learn boolean, docs binary, own binary, last binary, pair binary"))
+    levels = rows.where(F.col("kind") == DOCUMENT).select("key", "learn", "docs", "own", "last", "pair").unionByName(joined)
+    ratios = levels.where("learn").select("own", "last", "pair").mapInArrow(tuning_rows(size), "level int, ratio int, times long").groupBy("level", "ratio").agg(F.sum("times")).collect()
+    scores = levels.select("key", "docs", "own", "last", "pair").mapInArrow(scored_rows(interpolation([tuple(r) for r in ratios]), size), "key long, score double").groupBy("key").agg(F.sum("score").alias("score"))
     whole = F.lit(float(model.total + model.distinct + 1))
-    rest = rows.where("gram is not null").select("key", "gram", F.col("times").alias("own")).join(singles, "gram", "left")
+    rest = rows.where(F.col("kind") == TOKEN).select("key", "gram", F.col("times").alias("own")).join(singles, "gram", "left")
     rest = rest.groupBy("key").agg(F.sum(F.col("own") * F.log10((F.coalesce("times", F.lit(0)) + 1) / whole)).alias("more"), F.sum(F.when(F.col("times").isNotNull(), F.col("own")).otherwise(0)).alias("known"))
-    out = rows.where("gram is null").join(rest, "key", "left")
+    out = rows.where(F.col("kind") == DOCUMENT).select("key", "doc_id", "n_tokens", "n_known", "base").join(rest, "key", "left").join(scores, "key")
     return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
 
 

@@ -40,3 +40,13 @@ def test_language_model_is_tuned_on_all_training_documents(spark, monkeypatch):
     rows = [(i, f"a b c{i % 3} e{i % 2} f") for i in range(120)]
     got = {r["doc_id"]: r["score"] for r in langmodel.op4_language_model(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     assert got == pytest.approx(language_model_plain(rows))
+
+
+@pytest.mark.parametrize("room", [6, 1 << 21, 1 << 23, 1 << 30])
+def test_language_model_counts_what_is_below_the_cutoffs(spark, monkeypatch, room):
+    monkeypatch.setattr(langmodel, "ROOM", room)
+    rows = [(i, f"a b c{i % 3} d{i % 40} e{i} f{i % 7} a g{i % 11} b") for i in range(120)] + [(1000, None), (1001, ""), (1002, "a z{} b a")]
+    d = spark.createDataFrame([*rows, (None, "a b c1 d1")], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in langmodel.op4_language_model(d).collect()}
+    assert got.pop(None) < 0
+    assert got == pytest.approx(language_model_plain(rows))
