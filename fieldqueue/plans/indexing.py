@@ -21,7 +21,7 @@ def search(s, d):
 
 def similarity(s, d):
     r = rows(s, d).withColumn("score", (F.col("id") % 101) / 101)
-    return index.grown_batches(r, "label", 10, 1000)
+    return index.similarity_order(r, "label", 10)
 
 
 QUERIES = {"ivf_encode": encode, "knn_ivf_search": search, "order_similarity": similarity}
