@@ -96,18 +96,22 @@ def templates(texts: list[str | None], memo: Tokens) -> Iterator[tuple[np.ndarra
         i = j
 
 
-def window_hashes(own: np.ndarray, row: np.ndarray, kind: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every window of n tokens of one row with enough plain words, and where it starts."""
+def window_hashes(own: np.ndarray, exact: np.ndarray, row: np.ndarray, kind: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of every window of n tokens of one row, where it starts, and whether it is a template; with few plain words it is the hash of the tokens themselves."""
     m = len(own) - n + 1
     if m <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = own[:m].copy()
-    for k in range(1, n):
-        h *= np.uint64(JOIN)
-        h += own[k : k + m]
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
     words = np.concatenate(([0], np.cumsum(kind == PLAIN_WORD)))
-    ok = (row[:m] == row[n - 1 :]) & (words[n:] - words[:m] >= min(PLAIN, n - 1))
-    return mixed(h + np.uint64(n))[ok], np.flatnonzero(ok)
+    where = np.flatnonzero(row[:m] == row[n - 1 :])
+    typed = words[where + n] - words[where] >= min(PLAIN, n - 1)
+    h = np.zeros(len(where), np.uint64)
+    for tokens, which in ((own, typed), (exact, ~typed)):
+        at = where[which]
+        g = tokens[at]
+        for k in range(1, n):
+            g = g * np.uint64(JOIN) + tokens[at + k]
+        h[which] = mixed(g + np.uint64(n)) ^ np.uint64(0 if which is typed else JOIN)
+    return h, where, typed
 
 
 SCHEMA = "hash long, pos int, size int, tokens int, slots array<string>"
@@ -128,15 +132,15 @@ def window_rows(filter_bits, lengths: tuple[int, ...]):
                 begin = np.concatenate(([0], np.cumsum(count)))
                 out: list[tuple] = []
                 for n in lengths or range(FEWEST, WINDOW + 1):
-                    h, where = window_hashes(own, row, kind, n)
+                    h, where, typed = window_hashes(own, memo.hash[at], row, kind, n)
                     if bits is not None:
                         p = (h & np.uint64(FILTER_BITS - 1)).astype(np.int64)
                         hit = (bits[p >> 6] >> (p & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
                     else:
                         hit = np.full(len(h), True) if n == WINDOW else count[row[where]] == n
-                    for x, w in zip(h[hit].view(np.int64).tolist(), where[hit].tolist()):
+                    for x, w, slotted in zip(h[hit].view(np.int64).tolist(), where[hit].tolist(), typed[hit].tolist()):
                         r = int(row[w])
-                        slots = [bare[at[k]] for k in range(w, w + n) if kind[k]]
+                        slots = [bare[at[k]] for k in range(w, w + n) if kind[k]] if slotted else []
                         out.append((ids[r], x, int(w - begin[r]), n, int(count[r]), slots))
                 if out:
                     cols = list(zip(*out))
@@ -152,8 +156,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Texts become templates: bare lower-case tokens, with typed placeholders for numbers, quantities and units,
     and names. Windows of WINDOW template tokens of documents meet those of items in a hash join. Matches of
     one alignment (place in the document less place in the item) must fill the slots consistently: a value
-    of the item stands for one value of the document throughout. Such alignments count, and a document holds
-    an item if they cover COVER of its tokens, or LONG of them. kind is `verbatim` if every slot is equal, `reparameterised`
+    of the item stands for one value of the document throughout. In an alignment that
+    doesn't, only windows whose slots are all equal count. Windows with few plain words meet as exact copies. A document holds
+    an item if its windows cover COVER of the item's tokens, or LONG of them. kind is `verbatim` if every slot is equal, `reparameterised`
     if some differ.
 
     A fixed-size filter of the items' windows, FILTER_BITS bits whatever the benchmark, lets few other windows
@@ -175,9 +180,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     met = found.join(items, ["hash", "size"]).where(F.size("slots") == F.size("islots"))
     met = met.select("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("shift"), "ipos", "size", F.col("tokens"), F.zip_with("islots", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b"))).alias("pairs"))
     # an alignment has at most as many windows as the item has tokens
-    line = met.groupBy("doc_id", "item_id", "shift").agg(F.collect_set(F.struct("ipos", "size")).alias("places"), F.max("tokens").alias("tokens"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
-    line = line.where(F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))) == F.size("pairs"))
-    line = line.withColumn("same", F.forall("pairs", lambda p: p["a"] == p["b"]))
+    line = met.groupBy("doc_id", "item_id", "shift").agg(F.collect_set(F.struct("ipos", "size", "pairs")).alias("found"), F.max("tokens").alias("tokens"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
+    agree = F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))) == F.size("pairs")
+    line = line.withColumn("same", F.forall("pairs", lambda p: p["a"] == p["b"])).withColumn("agree", agree)
+    sound = F.expr("filter(found, w -> agree or forall(w.pairs, p -> p.a = p.b))")
+    line = line.withColumn("places", F.transform(sound, lambda w: F.struct(w["ipos"].alias("ipos"), w["size"].alias("size")))).where(F.size("places") > 0)
     whole = line.groupBy("doc_id", "item_id").agg(F.array_distinct(F.flatten(F.collect_set("places"))).alias("places"), F.max("tokens").alias("tokens"), F.max("same").alias("same"))
     covered = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p["ipos"], p["ipos"] + p["size"] - 1))))
     share = F.size(covered) / F.col("tokens")

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from fieldqueue.llm import langmodel
+from fieldqueue.llm import decontaminate, langmodel
 from tests.llm import plain
 
 
@@ -50,3 +50,14 @@ def test_language_model_counts_what_is_below_the_cutoffs(spark, monkeypatch, roo
     got = {r["doc_id"]: r["score"] for r in langmodel.op4_language_model(d).collect()}
     assert got.pop(None) < 0
     assert got == pytest.approx(language_model_plain(rows))
+
+
+def test_conflicting_slots_cost_only_their_windows_and_numbers_match_exactly(spark):
+    rest = "then she walks home along the narrow path beside the quiet river and tells her brother about the old tree"
+    schedule = "10 kg 20 kg 30 kg 40 kg 50 kg 60 kg 70 kg 80 kg"
+    items = spark.createDataFrame([(1, f"she has 3 apples and finds 3 more apples here {rest}"), (2, schedule)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"she has 4 apples and finds 5 more apples here {rest}"), (2, f"we saw {schedule} there"), (3, schedule.replace("0", "5"))], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.op1_template_decontamination(docs, items).collect()}
+    assert set(got) == {(1, 1), (2, 2)}
+    assert got[1, 1]["kind"] == "reparameterised" and 0.5 < got[1, 1]["coverage"] < 1
+    assert got[2, 2]["kind"] == "verbatim" and got[2, 2]["coverage"] == 1
