@@ -18,9 +18,11 @@ from fieldqueue.llm.wordhash import mixed, shingle_sets
 #: Words in a shingle; least similarity in hundredths.
 WORDS, LEAST = 5, 80
 #: Shingles gathered in a task before they are counted or sent on; a shingle is frequent if tasks that saw it LOCAL times saw it FREQUENT times in all, and so many of them at most are broadcast (16 bytes each).
-GATHER, LOCAL, FREQUENT, BROADCAST = 1 << 20, 4, 64, 1 << 19
+GATHER, LOCAL, FREQUENT, BROADCAST = 1 << 19, 4, 64, 1 << 19
 #: Documents in a strip of the product; bits of the filter that keeps documents without partners off the network.
 STRIP, FILTER_BITS = 4096, 1 << 24
+#: Classes that a task remembers to have sent.
+RECENT = 1 << 17
 NO_ID = -(2**63)
 
 
@@ -64,7 +66,7 @@ def incidence(frequent, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = frequent.value
-        seen: set[int] = set()
+        recent = np.zeros(RECENT, np.int64)
         held: list[tuple[np.ndarray, np.ndarray]] = []
         nodes: list[tuple[int, int]] = []
         size = 0
@@ -93,11 +95,9 @@ def incidence(frequent, buckets: int):
                 if not n:
                     continue
                 node = int(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)[0])
-                if node in seen:
+                if recent[node % RECENT] == node:
                     continue
-                if len(seen) >= 1 << 20:
-                    seen.clear()
-                seen.add(node)
+                recent[node % RECENT] = node
                 heavy = often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s if len(often) else np.zeros(n, bool)
                 light = n - int(heavy.sum())
                 if light >= prefix_length(n):

@@ -16,7 +16,7 @@ from fieldqueue.llm.lean import lean
 #: Longest n-gram; buckets of the hash; added to every count; documents a language and languages (the commonest) that are learned from.
 ORDER, BUCKETS, SMOOTH, PER_LANGUAGE, LANGUAGES = 3, 1 << 16, 0.5, 2000, 256
 #: Characters handled at once.
-PIECE = 1 << 19
+PIECE = 1 << 16
 #: A text without a letter, or none at all.
 NONE = "und"
 

@@ -12,7 +12,7 @@ STEP = 0x9E3779B97F4A7C15
 BACK = pow(STEP, -1, 2**64)
 MIX1, MIX2, JOIN = 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xD6E8FEB86659FD93
 #: Bytes hashed at once; a longer text is hashed whole.
-PIECE = 1 << 21
+PIECE = 1 << 18
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
