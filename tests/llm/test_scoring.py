@@ -103,17 +103,71 @@ def test_toxicity_of_held_out_labels(spark):
 
 
 def test_grammar_regards_target_negation_and_report():
-    memo = toxicity.Symbols({})
-    score = lambda t: float(1 / (1 + np.exp(-toxicity.features(t, memo) @ toxicity.PRIOR)))
+    none = np.zeros(2 * toxicity.PLACES, np.float32)
+    score = lambda t: float(1 / (1 + np.exp(-toxicity.features([t], none)[0] @ toxicity.PRIOR)))
     pad = " and so on and so on and so on and so on and so on and so on and so on"
     assert score("you are an idiot" + pad) > score("there is an idiot" + pad) > score("there is not an idiot" + pad) > score("nothing at all")
     assert score("he said you are an idiot" + pad) < score("hm and you are an idiot" + pad)
     assert score("idiot that you are" + pad) > score("idiot that there is" + pad)
-    assert score(None) == score("") == score("nothing at all")
+    assert score("you, an idiot" + pad) < score("you an idiot" + pad)
+    assert score(None) == score("") == score(" .. !")
+
+
+def test_clause_events_equal_a_plain_reading():
+    t, r = toxicity, random.Random(8)
+    for _ in range(500):
+        symbols = [r.choice([t.OTHER, t.OTHER, t.INSULT, t.THREAT, t.TARGET, t.NEGATION, t.REPORT]) for _ in range(r.randrange(12))]
+        want = []
+        for i, s in enumerate(symbols):
+            if s in (t.INSULT, t.THREAT):
+                aimed, reported = t.TARGET in symbols, t.REPORT in symbols[:i]
+                negated = t.NEGATION in symbols[max(0, i - t.REACH) : i]
+                want.append((i, 8 * (s == t.THREAT) + 4 * aimed + 2 * negated + reported))
+        assert t.clause_events(symbols) == want
+
+
+def test_entries_are_counted_by_document_fold_and_label():
+    import pyarrow as pa
+
+    texts, toxic, fold = ["Blorgit, blorgit the cat.", "the blorgit cat", None, "a cat"], [1, 0, 1, 0], [0, 0, 1, 1]
+    batch = pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(texts), pa.array(fold, pa.int32())], ["toxic", "text", "fold"])
+    size = 2 * toxicity.PLACES // toxicity.SLICES
+    counts = np.zeros((2 * toxicity.FOLDS, 2 * toxicity.PLACES), np.uint16)
+    for out in toxicity.summed(toxicity.entry_counts(iter([batch]))):
+        k = out.column(0)[0].as_py()
+        counts[:, k * size : (k + 1) * size] = np.frombuffer(out.column(1)[0].as_py(), np.uint16).reshape(-1, size)
+    place = lambda w: int(toxicity.hashes_of([w])[0] % np.uint64(toxicity.PLACES))
+    assert counts[:4, place("blorgit")].tolist() == [1, 1, 0, 0] and counts[:4, place("cat")].tolist() == [1, 1, 1, 0]
+    # "the blorgit", "blorgit cat"; "blorgit the", "the cat"; "a cat"
+    assert counts[:4, toxicity.PLACES :].sum(1).tolist() == [2, 2, 1, 0] and not counts[4:].any()
+
+
+@pytest.mark.parametrize("where", ["word", "start", "end", "inside", "pair"])
+def test_toxic_vocabularies_that_no_list_holds(spark, where):
+    r = random.Random(where)
+    syllables = "ba ko lu mi ne ro sa ti vu we xo ya".split()
+    word = lambda n=3: "".join(r.choice(syllables) for _ in range(n))
+    bad = {"word": lambda: r.choice(["grolnak", "fezzip"]), "start": lambda: r.choice(["grolk", "fezz"]) + word(2), "end": lambda: word(2) + r.choice(["grolk", "fezz"]), "inside": lambda: word(1) + r.choice(["grolk", "fezz"]) + word(1), "pair": lambda: "bako lumi"}[where]
+    common = ["bako", "lumi", *(word() for _ in range(40))]
+    rows, labels = [], []
+    for i in range(1200):
+        w = [r.choice(common) if r.random() < 0.3 else word() for _ in range(60)]
+        w = [x if x != "lumi" or y != "bako" else "ne" for x, y in zip(w, [""] + w)]
+        toxic = i % 6 == 0
+        if toxic:
+            w.insert(r.randrange(60), bad())
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(toxic)))
+    got = {x["doc_id"]: x["score"] for x in toxicity.op5_toxicity(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    clean = sorted(got[k] for k, t in labels if not t and rest(k, 4))
+    bound = clean[math.ceil(0.9 * len(clean))]
+    hits = [got[k] > bound for k, t in labels if t and rest(k, 4)]
+    assert sum(hits) / len(hits) >= 0.9
 
 
 def test_toxicity_without_labels(spark):
-    docs = spark.createDataFrame([(1, None), (2, ""), (3, "you idiot " * 100_000), (3, "x")], "doc_id long, text string")
+    rows = [(1, None), (2, ""), (3, "you idiot " * 100_000), (3, "x")]
+    docs = spark.createDataFrame([(*r, 7, 1) for r in rows], "doc_id long, text string, score int, toxic int")
     labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
     got = toxicity.op5_toxicity(docs, labels).collect()
     assert len(got) == 4 and all(0 <= r["score"] <= 1 for r in got)
