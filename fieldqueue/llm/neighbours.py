@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from fieldqueue.llm.lean import lean
 from fieldqueue.llm.shared import kept
 
-#: Trees, bits of a hash string; share of all rows, and number at least, that a query's matches in all trees add up to before the ascent ends.
-TREES, BITS, SHARE, FEWEST = 32, 32, 0.6, 16384
-#: Rows of a block that one task reads at a time; leading bits by which blocks are dealt out at most.
-BLOCK, DEALT = 8192, 3
+#: Trees, bits of a hash string; matches in all trees together at which a query's ascent ends: a share of the rows, but never more than MOST.
+TREES, BITS, SHARE, MOST = 32, 32, 0.6, 1 << 15
+#: Rows of a block that one task reads at a time, about.
+BLOCK = 8192
 SEED = 20240517
 
 
@@ -43,85 +43,89 @@ def cosine(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (x * q).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((q * q).sum()))
 
 
-def block_matches(bits: int, k: int):
-    """For each query of a block: rows (query_id, level, vec_id, score) that are among the k nearest of those that share a prefix of their level with it, and a row (query_id, counts) of how many share each length."""
+@lean
+def prefix_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(query_id, level, n): how many rows of its block share a prefix of each length with a query, from rows (tree, block, part, query, vec_id, string, bits) sorted by block."""
+    now, held, bits = None, [], 0
+
+    def found() -> pa.RecordBatch:
+        query, ids, string = (np.concatenate(x) for x in zip(*held))
+        data, levels = np.sort(string[~query]), np.arange(bits, BITS + 1)
+        width = np.int64(1) << (BITS - levels)
+        low = string[query][:, None] // width * width
+        n = np.searchsorted(data, low + width) - np.searchsorted(data, low)
+        some = n > 0
+        who, which = np.nonzero(some)
+        return pa.RecordBatch.from_arrays([pa.array(ids[query][who]), pa.array(levels[which].astype(np.int32)), pa.array(n[some])], ["query_id", "level", "n"])
+
+    for batch in batches:
+        tree, block, part, query, ids, string, depth = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        key = np.stack([tree, block, part])
+        edge = np.concatenate(([0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1, [len(tree)])) if len(tree) else [0]
+        for i, j in zip(edge[:-1], edge[1:]):
+            own = tuple(key[:, i].tolist())
+            if own != now:
+                if held:
+                    yield found()
+                now, held, bits = own, [], int(depth[i])
+            held.append((query[i:j].astype(bool), ids[i:j], string[i:j]))
+    if held:
+        yield found()
+
+
+def block_matches(k: int):
+    """For each query of a block (vec_id, v, string, ends) the rows (query_id, vec_id, score) that are among the k nearest of those that share the first `ends` bits with it."""
 
     def run(table: pa.Table) -> pa.Table:
         t = table.combine_chunks()
-        is_query = np.asarray(t.column("query"))
-        ids, strings = np.asarray(t.column("vec_id")), np.asarray(t.column("string"))
-        vectors = t.column("v").to_pylist()
-        sizes = np.array([len(v) for v in vectors])
-        rows: list[tuple] = []
-        for d in np.unique(sizes[is_query]).tolist():
-            data = np.flatnonzero(~is_query & (sizes == d))
-            asked = np.flatnonzero(is_query & (sizes == d))
-            data = data[np.argsort(strings[data], kind="stable")]
-            x = np.array([vectors[i] for i in data], np.float64).reshape(len(data), d)
-            unit = x / np.abs(x).max(1, keepdims=True) if len(x) else x
-            unit = unit / np.sqrt((unit * unit).sum(1, keepdims=True)) if len(x) else x
-            string, own = strings[data], ids[data]
-            levels = np.arange(bits, BITS + 1)
-            width = np.int64(1) << (BITS - levels)
-            for i in asked.tolist():
-                low = strings[i] // width * width
-                a, b = np.searchsorted(string, low), np.searchsorted(string, low + width)
-                rows.append((int(ids[i]), None, None, None, [0] * bits + (b - a).tolist()))
-                if b[0] == a[0]:
-                    continue
-                q = np.array(vectors[i], np.float64)
-                score = unit[a[0] : b[0]] @ (q / np.sqrt(((q / np.abs(q).max()) ** 2).sum()) / np.abs(q).max())
-                score[own[a[0] : b[0]] == ids[i]] = -np.inf
-                done: tuple[int, int] | None = None
-                for lo, hi, level in zip((a - a[0])[::-1].tolist(), (b - a[0])[::-1].tolist(), levels[::-1].tolist()):  # upwards
-                    if lo == hi or (lo, hi) == done:
-                        continue
-                    s = score[lo:hi]
-                    near = np.flatnonzero(s >= (np.partition(s, -k)[-k] if len(s) > k else -2) - 1e-9) + lo
-                    near = near[score[near] > -np.inf]
-                    exact = cosine(q, x[a[0] + near]) if len(near) else np.zeros(0)
-                    best = np.lexsort((own[a[0] + near], -exact))[:k]
-                    for j in best.tolist():
-                        p = int(near[j])
-                        if done is None or not done[0] <= p < done[1]:
-                            rows.append((int(ids[i]), level, int(own[a[0] + p]), float(exact[j]), None))
-                    done = (lo, hi)
-        cols = list(zip(*rows)) or [[]] * 5
-        return pa.Table.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.list_(pa.int64()))], ["query_id", "level", "vec_id", "score", "counts"])
+        is_query = t.column("ends").is_valid().to_numpy(zero_copy_only=False)
+        ids, strings, ends = np.asarray(t.column("vec_id")), np.asarray(t.column("string")), t.column("ends").to_pylist()
+        v = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        data = np.flatnonzero(~is_query)
+        data = data[np.argsort(strings[data], kind="stable")]
+        x, string, own = v[data], strings[data], ids[data]
+        unit = x / np.abs(x).max(1, keepdims=True) if len(x) else x
+        unit = (unit / np.sqrt((unit * unit).sum(1, keepdims=True))).astype(np.float32)
+        for i in np.flatnonzero(is_query).tolist():
+            width = 1 << (BITS - ends[i])
+            low = int(strings[i]) // width * width
+            a, b = np.searchsorted(string, [low, low + width])
+            u = v[i] / np.abs(v[i]).max()
+            score = unit[a:b] @ (u / np.sqrt((u * u).sum())).astype(np.float32)
+            score[own[a:b] == ids[i]] = -np.inf
+            # what single precision may have put just below the k-th is kept until the exact scores decide
+            near = np.flatnonzero(score >= (np.partition(score, -k)[-k] if len(score) > k else -2) - 1e-5)
+            near = a + near[score[near] > -np.inf]
+            if len(near):
+                exact = cosine(v[i], x[near])
+                best = np.lexsort((own[near], -exact))[:k]
+                out.append((np.full(len(best), ids[i]), own[near[best]], exact[best]))
+        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.Table.from_arrays([pa.array(c) for c in cols], ["query_id", "vec_id", "score"])
 
     return run
 
 
-MATCHES = "query_id long, level int, vec_id long, score double, counts array<long>"
-
-
-def descend(data: DataFrame, queries: DataFrame, trees: int, bits: int, k: int) -> DataFrame:
-    """Matches of every tree. Blocks share the leading bits of a tree's strings; one of more than BLOCK rows is split, and its queries go to every part."""
-    head = F.shiftright("string", BITS - bits).cast("int")
-    spread = lambda v: v.select("vec_id", "v", F.posexplode(F.slice("strings", 1, trees)).alias("tree", "string")).withColumn("block", head)
-    rows = spread(data)
-    parts = rows.groupBy("tree", "block").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    # trees times 2 ** bits rows at most
-    parts = F.broadcast(parts)
-    rows = rows.join(parts, ["tree", "block"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).withColumn("query", F.lit(False))
-    asked = spread(queries).join(parts, ["tree", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("query", F.lit(True))
-    names = ["tree", "block", "part", "query", "vec_id", "string", "v"]
-    return rows.select(*names).unionByName(asked.select(*names)).groupBy("tree", "block", "part").applyInArrow(block_matches(bits, k), MATCHES)
+def in_trees(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """A row for each tree, with the tree's string. Vectors of another dimension have other trees."""
+    return rows.select(*columns, F.size("v").alias("d"), F.posexplode("strings").alias("tree", "string")).withColumn("tree", F.col("tree") + TREES * F.col("d")).drop("d")
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k nearest found by cosine, nearest first, ties to the smaller id.
+    """(query_id, rank, vec_id, score, matches): each query's k nearest found by cosine, nearest first, ties to the smaller id, and the matches that it was held against.
 
     TREES trees each sort the vectors by a long hash string. A query descends each tree to its longest prefix
     match; then all trees ascend together, a shorter common prefix at a time, until the matches of all trees
-    together are SHARE of the rows (FEWEST at least), and the nearest of all matches are the result. The share
-    is what random vectors of 64 dimensions need for nine in ten of their true neighbours.
+    together are SHARE of the rows or MOST, whichever is less, and the nearest of all matches are the result.
+    So a query's work doesn't grow with the table beyond MOST matches, or twice as many since the last step up
+    may double them; only a prefix that more rows share in all its bits is searched whole.
 
-    A tree's strings are dealt out in blocks by their leading bits. In a block each query finds its range for
-    every prefix length by binary search, and puts out how many rows each length matches and the k nearest of
-    each; sums over all trees then say where the ascent ends. That leaves some rows a query and tree, never all
-    candidates. A query that would have to ascend beyond the leading bits is searched for from the root, among
-    all rows in parts.
+    A tree's strings are dealt out in blocks by their leading bits, as many bits as make blocks of BLOCK rows, and
+    blocks that are larger for all that in parts. The first pass moves strings alone: in each block binary
+    search gives the matches of every prefix length, sums of blocks those of shorter ones, and sums over all trees
+    say where the ascent ends. The second pass moves the vectors once a tree, and each query to the blocks of
+    its range in each tree, where the matches are scored. Each leaves k rows a query.
 
     Vectors that are null, empty or zero, or hold null or non-finite components, take no part; nor do rows
     without an id. Vectors of different dimensions are never near. Of equal vectors only the k + 1 smallest ids
@@ -139,20 +143,41 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     data = kept(only.mapInArrow(hash_strings, schema))
     queries = kept(v.where("q").select("vec_id", "v").mapInArrow(hash_strings, schema))
     n = data.count()
-    bits = min(DEALT, max(0, int(np.log2(max(1, n / BLOCK)))))
-    wanted = max(FEWEST, int(SHARE * n))
-    found = kept(descend(data, queries, TREES, bits, k))
-    sums = found.where("counts is not null").select("query_id", F.posexplode("counts").alias("level", "n")).groupBy("query_id", "level").agg(F.sum("n").alias("n"))
-    ends = sums.where((F.col("n") >= wanted) & (F.col("level") >= bits)).groupBy("query_id").agg(F.max("level").alias("ends"))
-    near = found.where("counts is null").join(ends, "query_id").where("level >= ends").select("query_id", "vec_id", "score")
-    rest = kept(queries.join(ends, queries["vec_id"] == ends["query_id"], "left_anti"))
-    if not rest.isEmpty():
-        near = near.unionByName(descend(data, rest, 1, 0, k).where("counts is null").select("query_id", "vec_id", "score"))
+    bits = max(0, round(np.log2(max(1, n / BLOCK))))
+    # so many matches in all trees are k + 1 in one at least
+    wanted = max(TREES * (k + 1), min(MOST, int(SHARE * n)))
+    block = F.shiftright("string", BITS - bits)
+    rows, asked = (in_trees(t, ["vec_id"]).withColumn("block", block) for t in (data, queries))
+    sizes = kept(rows.groupBy("tree", "block").agg(F.count("*").alias("n")))
+    parts = sizes.select("tree", "block", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")
+    key = ["tree", "block", "part"]
+    # first pass: strings alone
+    names = [*key, "query", "vec_id", "string"]
+    mine = rows.join(parts, ["tree", "block"]).withColumn("part", part).withColumn("query", F.lit(False)).select(names)
+    theirs = asked.join(parts, ["tree", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("query", F.lit(True)).select(names)
+    both = mine.unionByName(theirs).withColumn("bits", F.lit(bits))
+    counts = both.repartition(*key).sortWithinPartitions(*key).mapInArrow(prefix_counts, "query_id long, level int, n long")
+    for level in range(bits):
+        short = sizes.groupBy("tree", F.shiftright("block", bits - level).alias("short")).agg(F.sum("n").alias("n"))
+        of = asked.select(F.col("vec_id").alias("query_id"), "tree", F.shiftright("block", bits - level).alias("short"))
+        counts = counts.unionByName(of.join(short, ["tree", "short"]).select("query_id", F.lit(level).alias("level"), "n"))
+    sums = counts.groupBy("query_id", "level").agg(F.sum("n").alias("n"))
+    # the longest prefix with enough matches; with fewer in all, the root
+    ends = kept(sums.groupBy("query_id").agg(F.coalesce(F.max(F.when(F.col("n") >= wanted, F.struct("level", "n"))), F.max(F.when(F.col("level") == 0, F.struct("level", "n")))).alias("e")).select("query_id", F.col("e.level").alias("ends"), F.col("e.n").alias("matches")))
+    # second pass: vectors, and each query where its range is
+    names = [*key, "vec_id", "v", "string", "ends"]
+    mine = in_trees(data, ["vec_id", "v"]).withColumn("block", block).join(parts, ["tree", "block"]).withColumn("part", part).withColumn("ends", F.lit(None).cast("int")).select(names)
+    theirs = in_trees(queries, ["vec_id", "v"]).join(ends, F.col("vec_id") == F.col("query_id")).withColumn("block", block)
+    first = F.expr(f"shiftleft(shiftright(block, greatest({bits} - ends, 0)), greatest({bits} - ends, 0))")
+    theirs = theirs.withColumn("block", F.explode(F.sequence(first, first + F.expr(f"shiftleft(1L, greatest({bits} - ends, 0))") - 1)))
+    theirs = theirs.join(parts, ["tree", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(names)
+    near = mine.unionByName(theirs).groupBy(*key).applyInArrow(block_matches(k), "query_id long, vec_id long, score double")
     near = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return near.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return near.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).join(ends, "query_id").select("query_id", "rank", "vec_id", "score", "matches")
 
 
 def op9_hash_forest(embeddings: DataFrame) -> DataFrame:
-    """The five nearest of every row whose vec_id is divisible by 50."""
+    """The five nearest of every row whose vec_id is divisible by 50, and how many matches in all trees were scored for it."""
     return nearest(embeddings, F.col("vec_id") % 50 == 0)
