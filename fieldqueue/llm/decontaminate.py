@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldqueue.llm.lean import lean
+from fieldqueue.llm.lean import few_rows, lean
 from fieldqueue.llm.shared import kept
 from fieldqueue.llm.wordhash import JOIN, mixed
 
@@ -167,6 +167,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     are left out. Repeated items each match. Empty tables: no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
+    few_rows(spark)
     sizes = tuple(range(FEWEST, WINDOW + 1))
     items = kept(
         benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(window_rows(None, ()), f"id long, {SCHEMA}").withColumnsRenamed({"id": "item_id", "pos": "ipos", "slots": "islots"})

@@ -11,16 +11,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldqueue.llm.components import components
-from fieldqueue.llm.lean import lean
+from fieldqueue.llm.lean import few_rows, lean
 from fieldqueue.llm.shared import kept
-from fieldqueue.llm.wordhash import mixed, shingle_sets
+from fieldqueue.llm.wordhash import JOIN, mixed, shingle_sets
 
 #: Words in a shingle; least similarity in hundredths.
 WORDS, LEAST = 5, 80
 #: Shingles gathered in a task before they are counted or sent on; a shingle is frequent if tasks that saw it LOCAL times saw it FREQUENT times in all, and so many of them at most are broadcast (16 bytes each).
 GATHER, LOCAL, FREQUENT, BROADCAST = 1 << 19, 4, 64, 1 << 19
-#: Documents in a strip of the product; bits of the filter that keeps documents without partners off the network.
-STRIP, FILTER_BITS = 4096, 1 << 24
+#: Shingles of a bucket, about.
+BUCKET = 1 << 20
+#: Classes in a strip of the product: a cluster is cut into SPLIT strips, but none of fewer than FINE or more than STRIP; bits of the filter that keeps documents without partners off the network.
+FINE, SPLIT, STRIP, FILTER_BITS = 128, 16, 4096, 1 << 24
 #: Classes that a task remembers to have sent.
 RECENT = 1 << 17
 NO_ID = -(2**63)
@@ -74,7 +76,7 @@ def incidence(frequent, buckets: int):
         def packed() -> pa.RecordBatch:
             grams = np.concatenate([g for g, _ in held])
             index = np.repeat(np.arange(len(held), dtype=np.uint32), [len(g) for g, _ in held]) | (np.concatenate([h for _, h in held]).astype(np.uint32) << np.uint32(31))
-            bucket = ((grams >> np.uint64(48)) % np.uint64(buckets)).astype(np.int32)
+            bucket = ((grams >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
             low = grams.view(np.uint8).reshape(-1, 8)[order, :6]
@@ -155,7 +157,7 @@ def shared_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         else:
             df = np.zeros(0, np.int64)
         rank = df.astype(np.int64) + (heavy.astype(np.int64) << 40)
-        return pa.RecordBatch.from_arrays([pa.array(node), pa.array((g | (np.uint64(bucket) << np.uint64(48))).view(np.int64)), pa.array(rank), pa.array(room.astype(np.int32))], ["node", "gram", "rank", "room"])
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(mixed(g + np.uint64(bucket) * np.uint64(JOIN % 2**32)).view(np.int64)), pa.array(rank), pa.array(room.astype(np.int32))], ["node", "gram", "rank", "room"])
 
     now, parts = None, []
     for batch in batches:
@@ -170,9 +172,9 @@ def shared_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def block_links(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """A spanning forest, as (document, smallest of its tree), of the exact links among a block's documents.
+    """A spanning forest, as (node, smallest of its tree), of the exact links among a block's sets.
 
-    Documents are ordered by size. For each, the lists of the documents that hold its shingles are added up
+    Sets are ordered by size. For each, the lists of the documents that hold its shingles are added up
     into overlap counts, and counts of documents outside its size bounds or below the bound are discarded.
     """
     order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
@@ -214,7 +216,7 @@ def block_links(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]
 
 @lean
 def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of every block; rows (cluster, low, high, doc_id, h1, h2, text) come sorted by block."""
+    """Links of every block between classes, by their first hash; rows (cluster, low, high, h1, h2, text) come sorted by block. Of the rows that share an id only those of the class named count."""
     now, ids, sets, seen = None, [], [], set()
 
     def linked() -> pa.RecordBatch:
@@ -222,14 +224,14 @@ def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
     for batch in batches:
-        keys = zip(*(batch.column(i).to_pylist() for i in range(6)))
-        for (cluster, low, high, doc, h1, h2), s in zip(keys, shingle_sets(batch.column(6), WORDS)):
+        keys = zip(*(batch.column(i).to_pylist() for i in range(5)))
+        for (cluster, low, high, h1, h2), s in zip(keys, shingle_sets(batch.column(5), WORDS)):
             if (cluster, low, high) != now:
                 yield linked()
                 now, ids, sets, seen = (cluster, low, high), [], [], set()
-            if doc not in seen and tuple(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64).tolist()) == (h1, h2):
-                seen.add(doc)
-                ids.append(doc)
+            if h1 not in seen and tuple(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64).tolist()) == (h1, h2):
+                seen.add(h1)
+                ids.append(h1)
                 sets.append(s)
     yield linked()
 
@@ -265,7 +267,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     Documents of one shingle set are one class, which a 128-bit hash of the set names. Exact class frequencies
     order shingles from rare to common; two similar classes share a shingle of their prefixes, so classes that
     share none are never compared. Classes which prefixes connect are a cluster, and each cluster is a sparse
-    product of its incidence matrix, in blocks of two strips of at most STRIP documents if it is large: overlap
+    product of its incidence matrix, in blocks of two strips of classes if it has more than FINE: overlap
     counts accumulate, pairs outside the size-derived bounds are discarded, and the exact links leave the task
     as a spanning forest, never as all pairs. Components of these links give the result.
 
@@ -278,12 +280,14 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     are ignored.
     """
     spark = docs.sparkSession
+    few_rows(spark)
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     first = kept(d.mapInArrow(class_rows, "doc_id long, n long, h1 long, h2 long, gram long, times long"))
     marks = first.where("doc_id is not null").select("doc_id", "n", "h1", "h2")
     often = first.where("gram is not null").groupBy("gram").agg(F.sum("times").alias("t")).where(F.col("t") >= FREQUENT).orderBy(F.col("t").desc(), "gram").limit(BROADCAST).select("gram").toArrow()
     frequent = spark.sparkContext.broadcast(np.sort(np.asarray(often.column(0)).astype(np.int64).view(np.uint64)))
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(1, -(-(marks.agg(F.sum("n")).first()[0] or 0) // BUCKET))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = d.select("text").mapInArrow(incidence(frequent, buckets), "bucket int, grams binary, places binary, nodes binary")
     # a partition for each bucket
     grams = packed.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(shared_grams, "node long, gram long, rank long, room int")
@@ -294,18 +298,23 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     clusters = components(pre.join(centre, "gram").select(F.col("node").alias("a"), "b"))
     classes = kept(marks.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")))
     sizes = clusters.groupBy("component").agg(F.count("*").alias("m"))
-    need = kept(clusters.join(sizes, "component").join(classes, F.col("node") == F.col("h1")).select("rep", "h1", "h2", F.col("component").alias("cluster"), F.ceil(F.col("m") / STRIP).cast("int").alias("strips")))
-    parts = need.select("rep").mapInArrow(filter_words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    strip = F.greatest(F.lit(min(FINE, STRIP)), F.least(F.lit(STRIP), F.ceil(F.col("m") / SPLIT)))
+    need = kept(clusters.join(sizes, "component").join(classes, F.col("node") == F.col("h1")).select("rep", "h1", "h2", F.col("component").alias("cluster"), F.ceil(F.col("m") / strip).cast("int").alias("strips")))
+    found = need.select("rep").mapInArrow(filter_words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     words = np.zeros(FILTER_BITS // 64, np.uint64)
-    words[np.asarray(parts.column(0))] = np.asarray(parts.column(1)).view(np.uint64)
+    words[np.asarray(found.column(0))] = np.asarray(found.column(1)).view(np.uint64)
     wanted = d.mapInArrow(in_filter(spark.sparkContext.broadcast(words)), "doc_id long, text string")
-    own = F.pmod(F.xxhash64("rep"), F.col("strips")).cast("int")
+    own = F.pmod(F.xxhash64("h1"), F.col("strips")).cast("int")
     blocks = wanted.join(need, F.col("doc_id") == F.col("rep")).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("strips") - 1)))
-    blocks = blocks.select("cluster", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "doc_id", "h1", "h2", "text")
-    key = ["cluster", "low", "high"]
-    links = blocks.repartition(*key).sortWithinPartitions(*key).mapInArrow(product, "a long, b long")
-    joined = components(links).withColumnsRenamed({"node": "rep", "component": "found"})
-    named = classes.join(joined, "rep", "left").select("h1", "h2", F.coalesce("found", "rep").alias("found"))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    # a cluster's blocks go to one task after another
+    place = F.pmod(F.xxhash64("cluster") + (F.col("high") * (F.col("high") + 1) / 2).cast("long") + F.col("low"), F.lit(parts)).cast("int")
+    blocks = blocks.select("cluster", low.alias("low"), high.alias("high"), "h1", "h2", "text")
+    links = blocks.repartitionById(parts, place).sortWithinPartitions("cluster", "low", "high").mapInArrow(product, "a long, b long")
+    joined = components(links).join(classes.select(F.col("h1").alias("node"), "rep"), "node")
+    least = joined.groupBy("component").agg(F.min("rep").alias("found"))
+    joined = joined.join(least, "component").select(F.col("node").alias("h1"), "found")
+    named = classes.join(joined, "h1", "left").select("h1", "h2", F.coalesce("found", "rep").alias("found"))
     out = marks.where("n > 0").join(named, ["h1", "h2"]).select("doc_id", "n", "found").unionByName(marks.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("found")))
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return out.select(real("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), real("found").alias("component_id"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from fieldqueue.llm.lean import lean
+from fieldqueue.llm.lean import few_rows, lean
 from fieldqueue.llm.shared import kept
 from fieldqueue.llm.wordhash import JOIN, mixed, pieces
 
@@ -277,6 +277,7 @@ def interpolation(rows: list[tuple[int, int, int]]) -> np.ndarray:
 def train(texts: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
     """The model, the exact counts (gram, times) of all tokens, and the pairs below the filter's cutoff (bucket, grams, pair) with their levels, from rows (doc_id, text)."""
     spark = texts.sparkSession
+    few_rows(spark)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = texts.select("text").mapInArrow(packed_counts(buckets), "bucket int, n int, grams binary, times binary")
     counts = kept(packed.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "n").mapInArrow(summed_counts, "n int, gram long, times long, bucket int, grams binary"))

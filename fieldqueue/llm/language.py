@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldqueue.llm.lean import lean
+from fieldqueue.llm.lean import few_rows, lean
 
 #: Longest n-gram; buckets of the hash; added to every count; documents a language and languages (the commonest) that are learned from.
 ORDER, BUCKETS, SMOOTH, PER_LANGUAGE, LANGUAGES = 3, 1 << 16, 0.5, 2000, 256
@@ -89,6 +89,7 @@ class Model:
 
 def train(labelled: DataFrame) -> Model:
     """From rows (doc_id, text, lang): a sample, by hash of the id, of about PER_LANGUAGE whole documents of each of the LANGUAGES commonest languages."""
+    few_rows(labelled.sparkSession)
     rows = labelled.where("lang is not null and text is not null")
     sizes = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES).collect()
     sizes = sorted((r["lang"], r["count"]) for r in sizes)

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from functools import cache, wraps
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 #: Rows that a function is given at once.
 ROWS = 1000
@@ -14,6 +15,13 @@ ROWS = 1000
 Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
+def few_rows(spark: SparkSession) -> None:
+    """Has the session hand over ROWS rows at a time, since a batch of long texts stands in both processes; a number that the user has set stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(ROWS))
+
+
 @cache
 def trim() -> Callable[[int], int]:
     """What gives the C library's free memory back, where there is such a thing."""

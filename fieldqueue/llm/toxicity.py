@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldqueue.llm.language import held_out
-from fieldqueue.llm.lean import lean
+from fieldqueue.llm.lean import few_rows, lean
 from fieldqueue.llm.shared import kept
 from fieldqueue.llm.wordhash import JOIN, VALUES, mixed, powers, shingle_sets, spans, text_bytes
 
@@ -340,6 +340,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     constant is set back from the sample's share of toxic documents to that of all labels.
     """
     spark = docs.sparkSession
+    few_rows(spark)
     none = np.zeros(2 * PLACES, np.float32)
     marked = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}

@@ -42,6 +42,31 @@ def test_jaccard_in_strips_of_few_documents(spark, monkeypatch):
     assert result(jaccard.jaccard_join(frame(spark, ROWS))) == plain.jaccard_components(ROWS)
 
 
+def test_jaccard_of_one_large_cluster_in_many_strips_and_buckets(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BUCKET", 500)
+    monkeypatch.setattr(jaccard, "FINE", 20)
+    rows = [(10_000 - k, t) for k, t in family(5, 0, 40, 1)] + [(5000 + i, " ".join([f"w{j}" for j in range(57)] + [f"e{i}"] * (i % 3) + ["x y z"])) for i in range(260)]
+    got = result(jaccard.jaccard_join(frame(spark, rows).repartition(5)))
+    assert got == plain.jaccard_components(rows) and len({c for k, (_, c) in got.items() if k < 5260}) == 1
+
+
+def test_jaccard_of_repeated_ids_loses_no_link(spark):
+    w = [f"w{i}" for i in range(40)]
+    a, b, c = " ".join(w), " ".join(w[3:] + ["x1", "x2", "x3"]), " ".join(w[6:] + ["x1", "x2", "x3", "y1", "y2", "y3"])
+    assert result(jaccard.jaccard_join(frame(spark, [(5, a), (6, b), (7, c)]))) == {5: (36, 5), 6: (36, 5), 7: (36, 5)}
+    for rows in ([(5, a), (5, b), (7, c)], [(5, b), (5, a), (7, c)]):
+        assert sorted(map(tuple, jaccard.jaccard_join(frame(spark, rows)).collect())) == [(5, 36, 5), (5, 36, 5), (7, 36, 5)]
+    # rows of one id are separate: what is near one of them isn't near the other
+    far = " ".join(f"z{i}" for i in range(40))
+    got = sorted(map(tuple, jaccard.jaccard_join(frame(spark, [(5, a), (5, far), (4, b), (9, far + " end")])).collect()))
+    assert got == [(4, 36, 4), (5, 36, 4), (5, 36, 5), (9, 37, 5)]
+
+
+def test_jaccard_of_a_very_long_text(spark):
+    long = " ".join(f"w{i}" for i in range(200_000))
+    assert result(jaccard.jaccard_join(frame(spark, [(1, long), (2, long + " end"), (3, "a b")]))) == {1: (199_996, 1), 2: (199_997, 1), 3: (1, 3)}
+
+
 def test_jaccard_with_all_shingles_frequent(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "FREQUENT", 4)
     assert result(jaccard.jaccard_join(frame(spark, ROWS))) == plain.jaccard_components(ROWS)
