@@ -21,8 +21,8 @@ STOP = np.uint64(0x5851F42D4C957F2D)
 GATHER, FILTER_BITS, REGIONS, PROBES, ROOM = 1 << 20, 1 << 27, 256, 4, 6
 #: Frequent tokens whose exact counts are broadcast, 16 bytes each, at most.
 FREQUENT = 1 << 19
-#: Growth of the count levels.
-GROWTH = 1.25
+#: Growth of the count levels; bytes of text whose counts make a bucket, about.
+GROWTH, BUCKET = 1.25, 1 << 23
 
 
 def count_levels() -> np.ndarray:
@@ -54,6 +54,15 @@ def pairs_of(tokens: np.ndarray) -> np.ndarray:
     return mixed(last * np.uint64(JOIN) + tokens)
 
 
+def narrow(pairs: np.ndarray) -> np.ndarray:
+    """Pairs as they are counted: by 48 bits of their hash."""
+    return pairs & np.uint64(2**48 - 1)
+
+
+def bucket_of(grams: np.ndarray, buckets: int) -> np.ndarray:
+    return ((narrow(grams) >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64)
+
+
 def packed_counts(buckets: int):
     """(bucket, n, grams, times): a task's token counts and pair counts, sorted and cut by bucket of the hash."""
 
@@ -63,13 +72,13 @@ def packed_counts(buckets: int):
 
         def packed() -> pa.RecordBatch:
             rows = []
-            for n, grams in ((1, np.concatenate(held)), (2, np.concatenate([pairs_of(t) for t in held]))):
+            for n, grams in ((1, np.concatenate(held)), (2, narrow(np.concatenate([pairs_of(t) for t in held])))):
                 grams, times = np.unique(grams, return_counts=True)
                 if n == 2:  # one byte holds a count; a larger one is several entries
                     more = (times - 1) // 255
                     times = np.concatenate((times - 255 * more, np.full(int(more.sum()), 255)))
                     grams = np.concatenate((grams, np.repeat(grams[more > 0], more[more > 0])))
-                bucket = ((grams >> np.uint64(48)) % np.uint64(buckets)).astype(np.int32)
+                bucket = bucket_of(grams, buckets)
                 order = np.argsort(bucket, kind="stable")
                 cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 low = grams.view(np.uint8).reshape(-1, 8)[order, : 8 if n == 1 else 6]
@@ -118,7 +127,7 @@ def summed_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             for k in range(0, len(once), 1 << 16):
                 low = once[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([bucket], pa.int32()), pa.array([low], pa.binary())], names)
-            gram, times = gram[times > 1] | (np.uint64(bucket) << np.uint64(48)), times[times > 1]
+            gram, times = gram[times > 1], times[times > 1]
         for k in range(0, len(gram), 1 << 16):
             g, t = gram[k : k + (1 << 16)], times[k : k + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), n, np.int32)), pa.array(g.view(np.int64)), pa.array(t), pa.nulls(len(g), pa.int32()), pa.nulls(len(g), pa.binary())], names)
@@ -211,15 +220,11 @@ class Model:
         one, back = np.unique(tokens, return_inverse=True)
         own = self.bloom.levels(one, 1)[back]
         two, place = np.unique(pairs_of(tokens), return_inverse=True)
-        pair = self.bloom.levels(self.narrow(two), 2)[place]
+        pair = self.bloom.levels(narrow(two), 2)[place]
         first = int(self.bloom.levels(np.array([STOP]), 1)[0])
         before = np.concatenate(([first], own[:-1]))
         return own, before, pair, two[place]
 
-    def narrow(self, pairs: np.ndarray) -> np.ndarray:
-        """Pairs as they were counted: 48 bits and the bucket."""
-        return (pairs & np.uint64(2**48 - 1)) | (((pairs >> np.uint64(48)) % np.uint64(self.buckets)) << np.uint64(48))
-
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a binary column, and how many each row has."""
@@ -278,7 +283,7 @@ def train(texts: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
     """The model, the exact counts (gram, times) of all tokens, and the pairs below the filter's cutoff (bucket, grams, pair) with their levels, from rows (doc_id, text)."""
     spark = texts.sparkSession
     few_rows(spark)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(1, -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET))
     packed = texts.select("text").mapInArrow(packed_counts(buckets), "bucket int, n int, grams binary, times binary")
     counts = kept(packed.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "n").mapInArrow(summed_counts, "n int, gram long, times long, bucket int, grams binary"))
     singles = counts.where("n = 1").select("gram", "times")
@@ -311,26 +316,30 @@ def train(texts: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
     order = np.argsort(gram)
     model = Model(int(total), int(distinct), gram[order], np.asarray(often.column("times"))[order], LogFrequencyFilter(bits, cutoff), buckets)
     few = counts.where((F.col("n") == 2) & (F.col("gram").isNull() | (F.col("times") < cutoff[2])))
-    return model, singles, few.select("gram", "times", "bucket", "grams").mapInArrow(few_pairs, "bucket int, grams binary, pair binary")
+    return model, singles, few.select("gram", "times", "bucket", "grams").mapInArrow(few_pairs(buckets), "bucket int, grams binary, pair binary")
 
 
-@lean
-def few_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def few_pairs(buckets: int):
     """(bucket, grams, levels) of rows (gram, times), or (bucket, grams) of pairs that occur once."""
-    for batch in batches:
-        rows = []
-        for b, g in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            if g is not None:
-                rows.append((b, g, np.ones(len(g) // 6, np.uint8).tobytes()))
-        some = batch.filter(batch.column(0).is_valid())
-        if some.num_rows:
-            gram, top = np.asarray(some.column(0)).view(np.uint64), level(np.asarray(some.column(1))).astype(np.uint8)
-            bucket = (gram >> np.uint64(48)).astype(np.int64)
-            for b in np.unique(bucket).tolist():
-                own = bucket == b
-                rows.append((b, gram[own].view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), top[own].tobytes()))
-        cols = list(zip(*rows))
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["bucket", "grams", "pair"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for b, g in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                if g is not None:
+                    rows.append((b, g, np.ones(len(g) // 6, np.uint8).tobytes()))
+            some = batch.filter(batch.column(0).is_valid())
+            if some.num_rows:
+                gram, top = np.asarray(some.column(0)).view(np.uint64), level(np.asarray(some.column(1))).astype(np.uint8)
+                own = bucket_of(gram, buckets)
+                order = np.argsort(own, kind="stable")
+                found, first = np.unique(own[order], return_index=True)
+                for b, i, j in zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(order)]):
+                    rows.append((b, gram[order[i:j]].view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), top[order[i:j]].tobytes()))
+            cols = list(zip(*rows)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["bucket", "grams", "pair"])
+
+    return lean(run)
 
 
 def table(columns: dict[str, pa.Array], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
@@ -341,7 +350,7 @@ def table(columns: dict[str, pa.Array], kinds: dict[str, pa.DataType]) -> pa.Rec
 
 def asked(kinds: dict[str, pa.DataType], key: int | None, docs: np.ndarray, learn: np.ndarray, own: np.ndarray, last: np.ndarray, pair: np.ndarray, buckets: int) -> pa.RecordBatch:
     """Occurrences of pairs whose count is to be joined, by bucket of the hash: documents (from key on, or keys if that is null), levels of both tokens, and hashes."""
-    code = ((pair >> np.uint64(48)) % np.uint64(buckets)).astype(np.int64) * 2 + learn
+    code = bucket_of(pair, buckets) * 2 + learn
     order = np.argsort(code, kind="stable")
     found, first = np.unique(code[order], return_index=True)
     low = pair.view(np.uint8).reshape(-1, 8)[order, :6]
@@ -409,7 +418,7 @@ def looked_up(model, kinds: dict[str, pa.DataType]):
                     side = lambda lev, gram: pa.array(np.where(lev > 0, hashes, gram)[unknown].view(np.int64))
                     k = int(unknown.sum())
                     yield table({
-                        "kind": pa.array(np.full(k, UNKNOWN, np.int32)), "key": pa.array(keys[doc[unknown]]), "learn": pa.array(learn[unknown]), "gram": pa.array(m.narrow(hashes[unknown]).view(np.int64)),
+                        "kind": pa.array(np.full(k, UNKNOWN, np.int32)), "key": pa.array(keys[doc[unknown]]), "learn": pa.array(learn[unknown]), "gram": pa.array(narrow(hashes[unknown]).view(np.int64)),
                         "own": cut_up(own[unknown], np.ones(k, int)), "last": cut_up(last[unknown], np.ones(k, int)), "own_gram": side(own, tokens), "last_gram": side(last, before_),
                     }, kinds)
                 if ask.any():

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from fieldqueue.llm.lean import few_rows, lean
 
-#: Longest n-gram; buckets of the hash; added to every count; documents a language and languages (the commonest) that are learned from.
-ORDER, BUCKETS, SMOOTH, PER_LANGUAGE, LANGUAGES = 3, 1 << 16, 0.5, 2000, 256
+#: Longest n-gram; buckets of the hash; added to every count; documents a language that are learned from; languages that a text is held against at a time.
+ORDER, BUCKETS, SMOOTH, PER_LANGUAGE, COLUMNS = 3, 1 << 16, 0.5, 2000, 128
 #: Characters handled at once.
 PIECE = 1 << 16
 #: A text without a letter, or none at all.
@@ -86,17 +86,25 @@ class Model:
         self.prior = np.log((docs + 1) / (docs.sum() + len(langs))) if langs else np.zeros(0)
         self.weight = np.log((counts + SMOOTH) / (counts.sum(0) + SMOOTH * BUCKETS)).astype(np.float32) if langs else np.zeros((BUCKETS, 0), np.float32)
 
+    def columns(self, a: int, b: int) -> Model:
+        """The model of some languages, their probabilities as among all."""
+        part = Model([], np.zeros(0), np.zeros((BUCKETS, 0)))
+        part.langs, part.prior, part.weight = self.langs[a:b], self.prior[a:b], self.weight[:, a:b]
+        return part
+
 
 def train(labelled: DataFrame) -> Model:
-    """From rows (doc_id, text, lang): a sample, by hash of the id, of about PER_LANGUAGE whole documents of each of the LANGUAGES commonest languages."""
+    """From rows (doc_id, text, lang): a sample, by hash of the id, of about PER_LANGUAGE whole documents of every language that occurs."""
     few_rows(labelled.sparkSession)
     rows = labelled.where("lang is not null and text is not null")
-    sizes = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES).collect()
-    sizes = sorted((r["lang"], r["count"]) for r in sizes)
+    sizes = sorted((r["lang"], r["count"]) for r in rows.groupBy("lang").count().collect())
     langs = [x for x, _ in sizes]
     if not langs:
         return Model([], np.zeros(0), np.zeros((BUCKETS, 0)))
-    part = F.create_map(*[F.lit(v) for x, n in sizes for v in (x, PER_LANGUAGE / n)])[F.col("lang")]
+    # languages that are learned from whole are the rule, and those with more documents few
+    part = F.lit(1.0)
+    if large := [v for x, n in sizes if n > PER_LANGUAGE for v in (x, PER_LANGUAGE / n)]:
+        part = F.coalesce(F.create_map(*map(F.lit, large))[F.col("lang")], part)
     sample = rows.where(F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id").cast("string")), F.lit(1 << 30)) < part * (1 << 30))
     found = sample.select("lang", "text").mapInArrow(gram_counts, "lang string, bucket int, times long").groupBy("lang", "bucket").agg(F.sum("times").alias("times")).toArrow()
     counts = np.zeros((BUCKETS, len(langs)))
@@ -105,25 +113,36 @@ def train(labelled: DataFrame) -> Model:
     return Model(langs, np.array([n for _, n in sizes], float), counts)
 
 
-def scorer(model, text: str, kept: list[str]):
+#: What a text carries from one block of languages to the next: the best so far, its log-probability, and the logarithm of the sum of all.
+SO_FAR = ("_lang", "_best", "_sum")
+
+
+def scorer(model, text: str, kept: list[str], last: bool):
+    """Holds texts against one block of languages, and against those before by SO_FAR if the rows have it; `last` turns that into lang_pred and score."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
-            lang, score = [], []
+            lang, best, whole, letters = [], [], [], []
             for i, j, gram, row, has in pieces(batch.column(text).to_pylist()):
                 total = np.empty((j - i, len(m.langs)))
                 for k in range(len(m.langs)):
                     total[:, k] = np.bincount(row, m.weight[:, k][gram], minlength=j - i) + m.prior[k]
-                if m.langs:
-                    p = np.exp(total - total.max(1, keepdims=True))
-                    p /= p.sum(1, keepdims=True)
-                    best = p.argmax(1)
-                    lang += [m.langs[b] if ok else NONE for b, ok in zip(best, has)]
-                    score += np.where(has, p.max(1), 0.0).tolist()
-                else:
-                    lang += [NONE] * (j - i)
-                    score += [0.0] * (j - i)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*kept, "lang_pred", "score"])
+                top = total.max(1)
+                lang += [m.langs[b] for b in total.argmax(1)]
+                best.append(top)
+                whole.append(top + np.log(np.exp(total - top[:, None]).sum(1)))
+                letters.append(has)
+            best, whole, letters = (np.concatenate(x) if x else np.zeros(0) for x in (best, whole, letters))
+            if SO_FAR[0] in batch.schema.names:
+                before = np.asarray(batch.column(SO_FAR[1]))
+                lang = [a if x >= y else b for a, b, x, y in zip(batch.column(SO_FAR[0]).to_pylist(), lang, before.tolist(), best.tolist())]
+                best, whole = np.maximum(before, best), np.logaddexp(np.asarray(batch.column(SO_FAR[2])), whole)
+            if last:
+                found = [pa.array([x if ok else NONE for x, ok in zip(lang, letters.tolist())], pa.string()), pa.array(np.where(letters, np.exp(best - whole), 0.0))]
+            else:
+                found = [pa.array(lang, pa.string()), pa.array(best, pa.float64()), pa.array(whole, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *found], [*kept, *(("lang_pred", "score") if last else SO_FAR)])
 
     return lean(run)
 
@@ -135,14 +154,22 @@ def held_out(doc_id: Column, parts: int = 4) -> Column:
 def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of docs (all by default) with lang_pred and score, the model's probability of that language; `und` and 0 if the text is null or has no letter, or nothing was learned.
 
-    Ties go to the first language in code point order. Very long texts are scored whole, a batch's characters
+    Ties go to the first language in code point order. Texts are held against COLUMNS languages at a time, so that a
+    worker's memory doesn't grow with their number. Very long texts are scored whole, a batch's characters
     in pieces of whole texts. Columns of docs that are named lang_pred or score give way. Empty table: no rows.
     """
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score", *SO_FAR)]
     rows = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*kept, text])])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept) + ", lang_pred string, score double"
-    return rows.mapInArrow(scorer(shared, text, kept), schema)
+    if not model.langs:
+        return rows.select(*[F.col(f"`{c}`") for c in kept], F.lit(NONE).alias("lang_pred"), F.lit(0.0).alias("score"))
+    types = {c: rows.schema[c].dataType.simpleString() for c in rows.columns}
+    for k in range(0, len(model.langs), COLUMNS):
+        last = k + COLUMNS >= len(model.langs)
+        own = kept if last else list(types)
+        schema = ", ".join(f"`{c}` {types[c]}" for c in own) + (", lang_pred string, score double" if last else ", _lang string, _best double, _sum double")
+        shared = docs.sparkSession.sparkContext.broadcast(model.columns(k, k + COLUMNS))
+        rows = rows.mapInArrow(scorer(shared, text, own, last), schema)
+    return rows
 
 
 def op10_language_id(docs: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from fieldqueue.llm.lean import lean
 #: Characters encoded at once, and that two neighbouring chunks share at first; longer texts are spliced.
 CHUNK, OVERLAP = 1 << 15, 1 << 9
 #: Runs of characters between white space whose counts a worker remembers.
-MEMO = 1 << 20
+MEMO = 1 << 19
 LIMIT = 2048
 
 @cache
@@ -79,15 +79,25 @@ def spliced_count(text: str, encode: Callable[[str], object], chunk: int = CHUNK
     return total + len(left) - begin
 
 
+#: Texts that tell whether a tokenizer encodes runs between white space by themselves.
+PROBES = [a + s + b for a in ("ab", "A.", "é1", "12", "'s") for b in ("cd", "É", "34", "!", "") for s in (" ", "  ", "\n", " \n\t ", "\r\n")]
+
+
+def runs_alone(encode: Callable[[str], object]) -> bool:
+    """Whether a text has the tokens of its runs, white space none of its own, on PROBES."""
+    return all(len(encode(p)) == sum(len(encode(run)) for run in p.split()) for p in PROBES)
+
+
 class RunCounts(dict):
     """Tokens of each run of characters between ASCII white space.
 
     White space is a stable boundary, as in boundary(): no token, special token or normalisation reaches over
-    it, so that a text has the tokens of its runs.
+    it, so that a text has the tokens of its runs. `alone` is false for a tokenizer of which that isn't so, whose texts
+    are encoded whole.
     """
 
     def __init__(self, encode: Callable[[str], object]):
-        self.encode = encode
+        self.encode, self.alone = encode, runs_alone(encode)
 
     def __missing__(self, run: bytes) -> int:
         if len(self) >= MEMO:
@@ -110,6 +120,8 @@ def counter(path: str, chunk: int):
             for text in batch.column(batch.num_columns - 1).to_pylist():
                 if text is None:
                     n.append(0)
+                elif not counts.alone:
+                    n.append(len(counts.encode(text)))
                 elif len(text) > chunk:
                     n.append(spliced_count(text, counts.encode, chunk))
                 else:

@@ -1,5 +1,6 @@
 import math
 import random
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -184,6 +185,15 @@ def test_token_counts_equal_the_library(spark):
         assert (got[k]["n_bytes"], got[k]["n_tokens"], got[k]["over_limit"]) == (len((x or "").encode()), n, n > 2048)
 
 
+def test_token_counts_odd_rows_and_other_tokenizers(spark):
+    d = spark.createDataFrame([(1, "a b", 5, "x"), (1, "a b", 5, "x"), (None, " ", 5, "x")], "doc_id long, text string, n_tokens int, over_limit string")
+    got = sorted(map(tuple, tokencount.op6_token_counts(d).collect()), key=str)
+    assert got == sorted([(1, 3, 2, False), (1, 3, 2, False), (None, 1, 0, False)], key=str)
+    assert tokencount.op6_token_counts(d.limit(0)).count() == 0
+    # one that counts white space too is encoded whole
+    assert not tokencount.runs_alone(list) and tokencount.runs_alone(str.split)
+
+
 def test_splicing_of_small_chunks():
     t = tokencount.tokenizer(public_tokenizers.path("word_bpe_49k.json"))
     encode = lambda x: t.encode(x, add_special_tokens=False)
@@ -298,6 +308,46 @@ def test_languages_of_held_out_documents(spark):
     assert sum(a == b for a, b in pairs) / len(pairs) > 0.98
 
 
+def language_plain(learned, texts):
+    """{text: (lang, score)} by counting every n-gram of the texts, with the operator's hash of an n-gram."""
+
+    def grams(t):
+        flat = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in " " + t.lower() + " ")
+        return [int(g) for g in next(language.pieces([" ".join(flat.split(" "))]))[2]] if flat.strip() else []
+
+    langs = sorted({x for x, _ in learned})
+    count = {x: Counter() for x in langs}
+    for x, t in learned:
+        count[x].update(grams(t))
+    n = Counter(x for x, _ in learned)
+    out = {}
+    for t in texts:
+        z = {}
+        for x in langs:
+            total = sum(count[x].values())
+            z[x] = math.log((n[x] + 1) / (len(learned) + len(langs))) + sum(math.log((count[x][g] + language.SMOOTH) / (total + language.SMOOTH * language.BUCKETS)) for g in grams(t))
+        best = max(langs, key=lambda x: (z[x], [-ord(c) for c in x]))
+        out[t] = (best, 1 / sum(math.exp(v - z[best]) for v in z.values())) if grams(t) else ("und", 0.0)
+    return out
+
+
+def test_language_equals_plain_bayes_and_learns_every_language(spark, monkeypatch):
+    monkeypatch.setattr(language, "COLUMNS", 7)
+    r = random.Random(6)
+    words = {f"l{k:03d}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyzäéñ") for _ in range(r.randrange(2, 6))) for _ in range(6)] for k in range(300)}
+    rows = [(x, " ".join(r.choice(w) for _ in range(12))) for x, w in words.items() for _ in range(2)]
+    texts = [" ".join(r.choice(w) for _ in range(8)) for w in list(words.values())[:40]] + ["", "12 -", "É x"]
+    # ties: two languages of the same texts
+    rows += [("tie-b", "zqz " * 20), ("tie-a", "zqz " * 20)]
+    texts.append("zqz zqz zqz")
+    model = language.train(spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate(rows)], "doc_id long, text string, lang string"))
+    got = {g["text"]: (g["lang_pred"], g["score"]) for g in language.identify(spark.createDataFrame([(t,) for t in texts], "text string"), model).collect()}
+    want = language_plain(rows, texts)
+    assert len(model.langs) == 302 and got["zqz zqz zqz"][0] == "tie-a"
+    assert {t: v[0] for t, v in got.items()} == {t: v[0] for t, v in want.items()}
+    assert all(math.isclose(got[t][1], want[t][1], rel_tol=1e-3, abs_tol=1e-6) for t in texts)
+
+
 def test_language_edge_cases(spark):
     rows = [(1, None, "en"), (2, "", "en"), (3, "123 ***", "en"), (4, "the cat and the dog " * 50_000, "en"), (5, "der Hund und die Katze", "de"), (6, "the dog", None), (6, "the dog", None), (7, "und der", None)]
     d = spark.createDataFrame([(*r, 2.0) for r in rows], "doc_id long, text string, lang string, score double")
