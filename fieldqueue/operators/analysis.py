@@ -49,7 +49,7 @@ def exposure_summary(expo: DataFrame, arms: list[str]) -> DataFrame:
 def outsiders(idents: DataFrame, served: DataFrame, users: DataFrame, start: Column, cutoff: Column) -> DataFrame:
     """Per arm: served records, and those that somebody outside the experiment reached before any participant."""
     inside = users.select("user_id", F.lit(True).alias("_in"))
-    touched = idents.where((F.col("created_at") >= start) & (F.col("created_at") < cutoff) & F.col("user_id").isNotNull()).join(F.broadcast(inside), "user_id", "left")
+    touched = idents.where((F.col("created_at") >= start) & (F.col("created_at") < cutoff) & F.col("user_id").isNotNull()).join(inside, "user_id", "left")
     first = touched.groupBy("id").agg(F.min(F.when(F.col("_in"), F.col("created_at"))).alias("part"), F.min(F.when(F.col("_in").isNull(), F.col("created_at"))).alias("out"))
     lost = F.col("out").isNotNull() & (F.col("part").isNull() | (F.col("out") < F.col("part")))
     return served.join(first, "id", "left").groupBy("arm").agg(F.count("*").alias("n"), F.count_if(lost).alias("lost"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldqueue.operators.ordering import seeded
 from fieldqueue.sources.shared import kept
 
 
@@ -35,16 +34,3 @@ def consensus(answers: DataFrame, rounds: int = 10) -> DataFrame:
         skill = kept(total.join(right, "login", "left").select("login", ((F.coalesce("r", F.lit(0.0)) + 1) / (F.col("n") + 2)).alias("acc")))
     best = post.groupBy("record").agg(F.max(F.struct("p", "guess")).alias("b"))
     return best.select("record", F.col("b.guess").alias("label"), F.col("b.p").alias("posterior"))
-
-
-def sign_flips(differences: DataFrame, reps: int, seed: int) -> DataFrame:
-    """One row: sum of the differences (id, diff), and the share of random sign flips whose sum is as far from 0.
-
-    Flips are seeded coins by repetition and id; (hits + 1) / (reps + 1).
-    """
-    d = differences.where("diff <> 0")
-    flips = d.select("id", "diff", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
-    sums = flips.withColumn("s", F.when(seeded(seed, "rep", "id") < 0.5, F.col("diff")).otherwise(-F.col("diff"))).groupBy("rep").agg(F.sum("s").alias("s"))
-    seen = d.agg(F.sum("diff").alias("total"), F.count("*").alias("users"))
-    hits = sums.join(F.broadcast(seen)).agg(F.count_if(F.abs("s") >= F.abs("total") - 1e-9).alias("hits"))  # both sides one row
-    return seen.join(F.broadcast(hits)).select("total", "users", ((F.col("hits") + 1) / F.lit(float(reps + 1))).alias("p"))

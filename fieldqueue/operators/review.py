@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldqueue.operators.ordering import seeded
-
 
 def collapse_refinements(public: DataFrame, firsts: DataFrame, lineage: DataFrame) -> DataFrame:
     """(id, taxon): the public taxon, or the first one where the public taxon descends from it."""
@@ -43,19 +41,6 @@ def detection(consensus: DataFrame, firsts: DataFrame, public: DataFrame, thresh
     return g.withColumn("detected", F.least(F.lit(1.0), F.try_divide("overturned", "error")))
 
 
-def shuffle_test(totals: DataFrame, arm: str, control: str, reps: int, seed: int) -> DataFrame:
-    """One row: difference of two arms' sums over records (id, arm, n), and the share of re-randomisations as far from 0.
-
-    A repetition deals each record of the two arms anew, half and half, by a seeded coin; (hits + 1) / (reps + 1).
-    """
-    t = totals.where(F.col("arm").isin(arm, control))
-    seen = t.agg(F.sum(F.when(F.col("arm") == arm, F.col("n")).otherwise(-F.col("n"))).alias("diff"))
-    d = t.where("n <> 0").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    s = d.groupBy("rep").agg(F.sum(F.when(seeded(seed, "rep", "id") < 0.5, F.col("n")).otherwise(-F.col("n"))).alias("s"))
-    hits = s.join(F.broadcast(seen)).agg(F.count_if(F.abs("s") >= F.abs("diff")).alias("hits"))  # one row on the right
-    return seen.join(F.broadcast(hits)).select("diff", ((F.col("hits") + 1) / F.lit(float(reps + 1))).alias("p"))
-
-
 def spans(nodes_with_paths: DataFrame) -> DataFrame:
     """(id, lo, hi): places of the leaves below each node in the order of their paths, from rows (id, path).
 

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldqueue.sources.shared import kept
+
 
-def lineages(nodes: DataFrame, depth: int = 40) -> DataFrame:
-    """(id, path): every node's path from its root, from rows (id, parent). Each round adds one level, until none is left."""
-    out = nodes.where("parent is null").select("id", F.array("id").alias("path"))
-    edge = out
-    for _ in range(depth):
-        edge = nodes.alias("n").join(edge.alias("e"), F.col("n.parent") == F.col("e.id")).select("n.id", F.concat("e.path", F.array("n.id")).alias("path"))
+def lineages(nodes: DataFrame) -> DataFrame:
+    """(id, path): every node's path from its root, from rows (id, parent). Each round adds one level and is written out, until none is left; nodes of a ring have no root and no path."""
+    edge = kept(nodes.where("parent is null").select("id", F.array("id").alias("path")))
+    rounds = [edge]
+    while True:
+        edge = kept(nodes.alias("n").join(edge.alias("e"), F.col("n.parent") == F.col("e.id")).select("n.id", F.concat("e.path", F.array("n.id")).alias("path")))
         if edge.isEmpty():
-            break
-        out = out.unionByName(edge)
-    return out
+            return reduce(DataFrame.unionByName, rounds)
+        rounds.append(edge)
 
 
 def relation(then: Column, now: Column) -> Column:
@@ -44,17 +47,19 @@ def counts_below(records: DataFrame) -> DataFrame:
 
 
 def community(votes: DataFrame) -> DataFrame:
-    """(id, node, score): the deepest node that two or more votes, and more than two thirds of those on it or elsewhere, are at or below.
+    """(id, node, score): the deepest node that two or more votes are at or below, and more than two thirds of those for or against it.
 
-    Votes for a node's ancestors don't count against it. Rows (id, path).
+    A vote is against a node unless it is at or below it or for one of its ancestors. Rows (id, path).
     """
-    x = votes.select("id", F.posexplode("path").alias("depth", "node"))
-    at = x.groupBy("id", "depth", "node").agg(F.count("*").alias("n"))
-    deep = votes.groupBy("id", F.size("path").alias("size")).agg(F.count("*").alias("k"))
-    reach = at.join(deep, "id").where(F.col("size") > F.col("depth")).groupBy("id", "depth", "node", "n").agg(F.sum("k").alias("reached"))
-    fit = reach.where((F.col("n") >= 2) & (3 * F.col("n") > 2 * F.col("reached")))
-    best = fit.groupBy("id").agg(F.max(F.struct("depth", "node", "n", "reached")).alias("b"))
-    return best.select("id", "b.node", (F.col("b.n") / F.col("b.reached")).alias("score"))
+    x = votes.select("id", F.posexplode("path").alias("depth", "node"), "path")
+    at = x.groupBy("id", "node").agg(F.count("*").alias("n"), F.min("depth").alias("depth"), F.min(F.slice("path", F.lit(1), F.col("depth"))).alias("above"))
+    leaf = votes.groupBy("id", F.element_at("path", -1).alias("leaf")).agg(F.count("*").alias("k"))
+    all_ = votes.groupBy("id").agg(F.count("*").alias("votes"))
+    aside = at.select("id", "node", F.explode("above").alias("leaf")).join(leaf, ["id", "leaf"]).groupBy("id", "node").agg(F.sum("k").alias("aside"))
+    fit = at.join(all_, "id").join(aside, ["id", "node"], "left").withColumn("counted", F.col("votes") - F.coalesce("aside", F.lit(0)))
+    fit = fit.where((F.col("n") >= 2) & (3 * F.col("n") > 2 * F.col("counted")))
+    best = fit.groupBy("id").agg(F.max(F.struct("depth", "node", "n", "counted")).alias("b"))
+    return best.select("id", "b.node", (F.col("b.n") / F.col("b.counted")).alias("score"))
 
 
 def unambiguous(names: DataFrame) -> DataFrame:

@@ -90,7 +90,6 @@ QUERIES = {
     "outsiders": lambda s, d: analysis.outsiders(idents(s, d), served(s, d), participants(s, d), *window()),
     "outcomes": lambda s, d: rounded(analysis.outcomes(joined_outcomes(s, d)), "share_done", "share_two", "share_one", "score_done", digits=5),
     "dry_run": lambda s, d: joined_outcomes(s, d).groupBy("arm").agg(F.round(F.avg((F.coalesce("n_idents", F.lit(0)) <= 3).cast("double")), 6).alias("unengaged")),
-    "overturn_scored": lambda s, d: scored(s, d).select("id", "source", "tested", "overturned", "quarter"),
     "overturn_table": lambda s, d: rounded(analysis.overturn_table(scored(s, d), "quarter"), "rate"),
     "mantel_haenszel": lambda s, d: rounded(analysis.mantel_haenszel(scored(s, d), "grp"), "ratio"),
     "latency": delay_hours,
@@ -119,7 +118,6 @@ ORACLE = {
     "outcomes": f"""with {POOL}, {IDENTS}, {SERVED}, n as (select id, count(*) n_idents from idents group by 1), j as (select arm, served.score, status, coalesce(n_idents, 0) k from served left join pool using (id) left join n using (id))
         select arm, count(*) n, round(avg((status = 'F')::INT), 5) share_done, round(avg((k >= 2)::INT), 5) share_two, round(avg((k <= 1)::INT), 5) share_one, round(sum(case when status = 'F' then coalesce(score, 0) else 0 end), 5) score_done from j group by 1""",
     "dry_run": f"with {IDENTS}, {SERVED}, n as (select id, count(*) n_idents from idents group by 1) select arm, round(avg((coalesce(n_idents, 0) <= 3)::INT), 6) unengaged from served left join n using (id) group by 1",
-    "overturn_scored": f"with {SCORED} select id, source, tested, overturned, \"quarter\" from scored",
     "overturn_table": f"with {SCORED} select \"quarter\", source, count(*) n, count(*) filter (tested) tested, count(*) filter (tested and overturned) overturned, round(count(*) filter (tested and overturned) / nullif(count(*) filter (tested), 0), 6) rate from scored group by 1, 2",
     "mantel_haenszel": f"""with {SCORED}, s as (select grp, count(*) filter (source = 'a' and tested) na, count(*) filter (source = 'b' and tested) nb, count(*) filter (source = 'a' and tested and overturned) oa, count(*) filter (source = 'b' and tested and overturned) ob from scored group by 1)
         select count(*) strata, round(sum(ob * na / (na + nb)) / nullif(sum(oa * nb / (na + nb)), 0), 6) ratio from s where na > 0 and nb > 0""",

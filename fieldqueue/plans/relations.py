@@ -134,7 +134,8 @@ ORACLE = {
     "relation": f"with {CHANGED} select id, case when then_ is null then 'none' when then_ = now_ then 'same' when len(then_) < len(now_) and now_[1:len(then_)] = then_ then 'refined' when len(then_) > len(now_) and then_[1:len(now_)] = now_ then 'coarsened' else 'corrected' end relation from changed",
     "lca_level": f"with {CHANGED} select id, coalesce((select min(i) - 1 from range(1, least(len(then_), len(now_)) + 1) t(i) where then_[i] <> now_[i]), least(len(then_), len(now_)))::INT depth from changed where then_ is not null",
     "community_taxon": """with v as (select l_orderkey id, case when l_linenumber % 3 = 0 then [l_returnflag] else [l_returnflag, l_returnflag || l_linestatus] end path from lineitem), x as (select id, path, unnest(range(0, len(path))) depth from v), a as (select id, depth, path[depth + 1] node, count(*) n from x group by 1, 2, 3),
-        r as (select a.*, (select count(*) from v where v.id = a.id and len(v.path) > a.depth) reached from a), f as (select * from r where n >= 2 and 3 * n > 2 * reached), b as (select id, max((depth, node, n, reached)) m from f group by 1) select id, m[2] node, round(m[3] / m[4], 6) score from b""",
+        g as (select a.*, (select count(*) from v where v.id = a.id and not list_contains(v.path, a.node) and not exists (select 1 from x where x.id = a.id and x.path[x.depth + 1] = a.node and list_contains(x.path[1:x.depth], v.path[-1]))) against from a),
+        f as (select *, n + against reached from g where n >= 2 and 3 * n > 2 * (n + against)), b as (select id, max((depth, node, n, reached)) m from f group by 1) select id, m[2] node, round(m[3] / m[4], 6) score from b""",
     "join_sdm": "with n as (select p_type \"name\", p_brand slug, false own from part where p_partkey % 10 <> 0 union all select p_type, p_brand, true from part where p_partkey % 40 = 0), b as (select \"name\", count(distinct slug) k, min(slug) slug, min(slug) filter (own) owner from n group by 1), o as (select \"name\", case when k = 1 then slug else owner end slug from b) select * from o where slug is not null",
     "foodweb_pairs": "with e as (select l_suppkey a, l_partkey % 200 b, count(*) n from lineitem where l_suppkey <> l_partkey % 200 group by 1, 2), u as (select a node, 'out' role, b partner, n from e union all select b, 'in', a, n from e) select *, row_number() over (partition by node, role order by n desc, partner)::INT place from u qualify place <= 5",
     "host_lift": f"with {EDGES} select * from pr",

@@ -54,11 +54,6 @@ def answers(s, d):
     return li.select(F.col("l_suppkey").alias("login"), F.col("l_orderkey").alias("record"), F.col("l_returnflag").alias("label"))
 
 
-def flips(s, d):
-    c = analysis.by_arm(pairs(s, d), served(s, d).select("id", "arm"), ARMS)
-    return consensus.sign_flips(c.select(F.col("user_id").alias("id"), (F.col("novelty") - F.col("control")).cast("double").alias("diff")), 999, 5)
-
-
 QUERIES = {
     "proto_loo": lambda s, d: rounded(scores(s, d).select("id", "own", "other", "other_label"), "own", "other"),
     "levels_assign": lambda s, d: vectors.levels(scores(s, d), "grp").select("id", "level"),
@@ -70,7 +65,6 @@ QUERIES = {
     "order_novelty": novelty,
     "layout_place": layout,
     "dawid_skene": lambda s, d: rounded(consensus.consensus(answers(s, d)), "posterior"),
-    "sign_flip": flips,
 }
 
 BASE = "r as (select vec_id id, \"label\", embedding::DOUBLE[] v from embeddings)"
@@ -92,7 +86,4 @@ ORACLE = {
     "nn_agreement": f"with {NB} select nbs.id, floor(avg((a.\"label\" = b.\"label\")::INT) * 12 + 0.5)::INT twelfths from nbs join r a on a.id = nbs.id join r b on b.id = nbs.nb group by 1",
     "order_novelty": f"with {BASE} select a.id, round(greatest(1 - max(list_cosine_similarity(a.v, b.v)), 0), 6) novelty from r a, r b where a.id % 2 = 1 and b.id % 2 = 0 group by 1",
     "layout_place": f"with {NB} select id, round(coalesce(sum(greatest(c, 0) * (nb % 97 / 97.0::DOUBLE)) / nullif(sum(greatest(c, 0)), 0), avg(nb % 97 / 97.0::DOUBLE)), 6) x, round(coalesce(sum(greatest(c, 0) * (nb % 89 / 89.0::DOUBLE)) / nullif(sum(greatest(c, 0)), 0), avg(nb % 89 / 89.0::DOUBLE)), 6) y from nbs where nb % 10 <> 0 group by 1",
-    "sign_flip": f"""with {IDENTS}, {SERVED}, {PAIRS}, c as (select user_id id, (count(*) filter (arm = 'novelty') - count(*) filter (arm = 'control'))::DOUBLE d from pairs join served using (id) group by 1), z as (select * from c where d <> 0),
-        f as (select rep, sum(case when ('0x' || substr(md5('5:' || rep || ':' || id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < 0.5 then d else -d end) s from z, range(1, 1000) t(rep) group by 1)
-        select (select sum(d) from z) total, (select count(*) from z) users, (count(*) filter (abs(s) >= abs((select sum(d) from z)) - 1e-9) + 1) / 1000.0::DOUBLE p from f""",
 }

@@ -23,5 +23,5 @@ def kept(df: DataFrame) -> DataFrame:
     """Writes the rows as Parquet in the shared folder and reads them again: cuts the lineage, and survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/fieldqueue-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     return df.sparkSession.read.schema(schema).parquet(path)
