@@ -38,6 +38,8 @@ CUES = {
 AGAINST = r"(?i)version|isbn|page|figure|commit|sha\d*|md5|checksum|order no"
 #: Characters of context on either side; rounds of estimation; score from which a span counts.
 CONTEXT, ROUNDS, ACCEPT = 40, 50, 0.5
+#: Features of a span, hash places of each, and the greatest weight of one.
+FEATURES, PLACES, MOST = ("shape", "length", "word before", "word after", "edges"), 512, 1.5
 
 
 def digits(s: Column) -> Column:
@@ -117,14 +119,32 @@ def votes(kind: Column, x: Column, sound: Column) -> Column:
 LABELERS = ("regex", "gazetteer", "context", "edge")
 
 
+def features(kind: Column, x: Column) -> Column:
+    """The hash places of a span's features, one of PLACES each: what its characters are, how many, the words on either side and the characters that touch it."""
+    word = lambda s, pattern: F.regexp_extract(F.lower(s), pattern, 1)
+    seen = (
+        F.substring(F.translate(F.regexp_replace(F.regexp_replace(x["s"], "[A-Za-z]", "a"), "[0-9]", "9"), "\n\r\t", "   "), 1, 12),
+        F.floor(F.length(x["s"]) / 4).cast("string"),
+        word(x["before"], "([a-z]+)[^a-z]*$"),
+        word(x["after"], "^[^a-z]*([a-z]+)"),
+        F.concat(F.substring(x["before"], -1, 1), F.lit("_"), F.substring(x["after"], 1, 1)),
+    )
+    return F.array(*[(F.pmod(F.xxhash64(kind, F.lit(name), v), F.lit(PLACES)) + i * PLACES).cast("int") for i, (name, v) in enumerate(zip(FEATURES, seen))])
+
+
+def pattern(kind: Column, vote: Column) -> Column:
+    """A span's kind, votes and anchor as text, the key of what is estimated."""
+    return F.concat_ws(",", kind, *[F.coalesce(vote[v].cast("string"), F.lit("-")) for v in (*LABELERS, "anchor")])
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, the base spans of each kind, and all candidate spans with the labelers' votes."""
+    """doc_id, the base spans of each kind, and all candidate spans with the labelers' votes and their features."""
     r = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     for kind, hint in (("email", "@"), ("ip", r"[0-9]\.[0-9]"), ("card", "[0-9][0-9\x20-]"), ("phone", r"\+[0-9]")):
         r = located(r, kind, BASE[kind], hint)
     r = located(r, "wide", rf"{EMAIL}|{IP}|{PHONE}|{WIDE}", r"[0-9A-Fa-f]{32}|[0-9]{2}-?[0-9]{4}|[0-9][\x20.)-]{1,2}[0-9]{3}[\x20.-][0-9]{4}|[\[(]at[\])]")
     kind_of = lambda s: F.when(s.rlike(r"[\[(]at[\])]"), F.lit("email")).when(s.rlike(r"^[0-9]{3}-[0-9]{2}-"), F.lit("ssn")).when(s.rlike(r"^[0-9A-Fa-f]{32}"), F.lit("secret")).otherwise(F.lit("phone"))
-    span = lambda kind, x, sound: F.struct(kind.alias("kind"), x["start"].alias("start"), x["end"].alias("end"), votes(kind, x, sound).alias("vote"))
+    span = lambda kind, x, sound: F.struct(kind.alias("kind"), x["start"].alias("start"), x["end"].alias("end"), votes(kind, x, sound).alias("vote"), features(kind, x).alias("at"))
     # short runs of digits are no candidates for anything
     def judged(kind: str) -> Column:
         least = 12 if kind == "card" else 1
@@ -137,58 +157,50 @@ def candidates(docs: DataFrame) -> DataFrame:
     return r.select("doc_id", *[sound(k) for k in BASE], F.concat(*[judged(k) for k in BASE], more).alias("found"))
 
 
+def log_odds(rate: dict, prior: dict, kind: str, vote: tuple) -> float:
+    """Of a span that is private, by its votes."""
+    odds = math.log(prior[kind] / (1 - prior[kind]))
+    for j, v in enumerate(vote):
+        if v is not None:
+            p, q = rate[kind, j, 1], rate[kind, j, 0]
+            odds += math.log(p / q) if v else math.log((1 - p) / (1 - q))
+    return odds
+
+
 def estimate(patterns: list[tuple[str, tuple[int | None, ...], int | None, int]]) -> dict:
-    """Labelers' rates P(for | private) and P(for | not) by expectation-maximisation over (kind, votes, anchor, times).
+    """Labelers' rates P(for | private) and P(for | not) of each kind by expectation-maximisation over (kind, votes, anchor, times).
 
     Spans that base rules accept or refuse are anchors, whose label is held; the others' posteriors are estimated.
+    How many spans of a kind without anchors are private can't be told from votes, and stays at a half.
     """
-    rate = {(j, y): 0.7 if y else 0.4 for j in range(len(LABELERS)) for y in (0, 1)}
-    prior, post = 0.5, []
+    anchored = {k for k, _, anchor, _ in patterns if anchor is not None}
+    kinds = sorted({k for k, *_ in patterns})
+    rate = {(k, j, y): 0.7 if y else 0.4 for k in kinds for j in range(len(LABELERS)) for y in (0, 1)}
+    prior = dict.fromkeys(kinds, 0.5)
+    post: list[float] = []
     for _ in range(ROUNDS):
-        post = []
-        for _, vote, anchor, _ in patterns:
-            odds = math.log(prior / (1 - prior))
-            for j, v in enumerate(vote):
-                if v is not None:
-                    p, q = rate[j, 1], rate[j, 0]
-                    odds += math.log(p / q) if v else math.log((1 - p) / (1 - q))
-            post.append(float(anchor) if anchor is not None else 1 / (1 + math.exp(-odds)))
-        weight = [n for *_, n in patterns]
-        prior = (sum(p * n for p, n in zip(post, weight)) + 1) / (sum(weight) + 2)
-        for j in range(len(LABELERS)):
-            for y in (0, 1):
-                part = [(vote[j], (p if y else 1 - p) * n) for (_, vote, _, n), p in zip(patterns, post) if vote[j] is not None]
-                rate[j, y] = (sum(w for v, w in part if v) + (1.4 if y else 0.8)) / (sum(w for _, w in part) + 2)
+        post = [float(anchor) if anchor is not None else 1 / (1 + math.exp(-log_odds(rate, prior, k, vote))) for k, vote, anchor, _ in patterns]
+        for kind in kinds:
+            own = [(vote, p, n) for (k, vote, _, n), p in zip(patterns, post) if k == kind]
+            if kind in anchored:
+                prior[kind] = (sum(p * n for _, p, n in own) + 1) / (sum(n for *_, n in own) + 2)
+            for j in range(len(LABELERS)):
+                for y in (0, 1):
+                    part = [(vote[j], (p if y else 1 - p) * n) for vote, p, n in own if vote[j] is not None]
+                    rate[kind, j, y] = (sum(w for v, w in part if v) + (1.4 if y else 0.8)) / (sum(w for _, w in part) + 2)
     return {"rate": rate, "prior": prior, "posterior": post}
 
 
-def features(kind: str, vote: tuple) -> list[float]:
-    return [1.0, *[float(kind == k) for k in KINDS], *[0.0 if v is None else 1.0 if v else -1.0 for v in vote]]
-
-
-def fit(patterns: list[tuple[str, tuple[int | None, ...], int | None, int]]) -> list[float]:
-    """Weights of a logistic span classifier trained on the posteriors; a few hundred distinct patterns stand for all spans."""
-    post = estimate(patterns)["posterior"]
-    x = [features(k, v) for k, v, _, _ in patterns]
-    total = sum(n for *_, n in patterns) or 1
-    w = [0.0] * (1 + len(KINDS) + len(LABELERS))
-    for _ in range(400):
-        g = [-0.001 * a for a in w]
-        for row, p, (*_, n) in zip(x, post, patterns):
-            e = p - 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, row))))
-            for i, b in enumerate(row):
-                g[i] += e * b * n / total
-        w = [a + 2.0 * b for a, b in zip(w, g)]
-    return w
-
-
-def score(weights: list[float], kind: Column, vote: Column) -> Column:
-    z = F.lit(weights[0])
-    for k, w in zip(KINDS, weights[1:]):
-        z = z + F.when(kind == k, F.lit(w)).otherwise(F.lit(0.0))
-    for name, w in zip(LABELERS, weights[1 + len(KINDS) :]):
-        z = z + F.coalesce((F.lit(2.0) * vote[name] - 1.0) * F.lit(w), F.lit(0.0))
-    return 1 / (1 + F.exp(-z))
+def feature_weights(rows: list[tuple[int, float, float]]) -> list[float]:
+    """Weight of each place: how much likelier private spans are to have it, by the posteriors (place, sum, spans), within MOST."""
+    out = [0.0] * (len(FEATURES) * PLACES)
+    for f in range(len(FEATURES)):
+        own = [(at, yes, n) for at, yes, n in rows if at // PLACES == f]
+        for at, yes, n in own:
+            p, q = (yes + 1) / (sum(y for _, y, _ in own) + 2), (n - yes + 1) / (sum(m - y for _, y, m in own) + 2)
+            # a place of few spans says little
+            out[at] = max(-MOST, min(MOST, math.log(p / q))) * n / (n + 20)
+    return out
 
 
 def private_spans(docs: DataFrame) -> DataFrame:
@@ -197,17 +209,30 @@ def private_spans(docs: DataFrame) -> DataFrame:
     Candidates are the matches of the base patterns and of wider shapes. Four labelers (regex, gazetteer,
     context, edges) vote on each; vote patterns are counted over all documents, and only these counts, at most
     a few thousand rows whatever the data, reach the driver, where expectation-maximisation estimates the
-    labelers' reliabilities and a logistic classifier is trained on the posteriors. Its score decides on
-    spans that no base rule accepts or refuses.
+    labelers' reliabilities for each kind. The posteriors then train a span classifier on features that no labeler sees
+    (shape, length, words and characters beside the span, by hash place): sums over all spans give each place a
+    weight, which adds to the votes' log odds. Its score decides on spans that no base rule accepts or refuses.
 
     Null and empty texts have no spans. Rows of one id each come back. Without any candidate nothing is added.
     Empty table: no rows. Other columns are ignored.
     """
     rows = kept(candidates(docs))
-    seen = rows.select(F.explode("found").alias("c")).groupBy("c.kind", *[F.col(f"c.vote.{v}").alias(v) for v in (*LABELERS, "anchor")]).count().collect()
-    patterns = sorted(((r["kind"], tuple(r[v] for v in LABELERS), r["anchor"], r["count"]) for r in seen), key=str)
-    weights = fit(patterns)
-    added = F.filter(F.transform(F.filter("found", lambda c: c["vote"]["anchor"].isNull()), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), score(weights, c["kind"], c["vote"]).alias("score"))), lambda c: c["score"] >= ACCEPT)
+    spans = rows.select(F.explode("found").alias("c"))
+    key = pattern(F.col("c.kind"), F.col("c.vote"))
+    seen = spans.groupBy("c.kind", *[F.col(f"c.vote.{v}").alias(v) for v in (*LABELERS, "anchor")]).agg(F.first(key).alias("key"), F.count("*").alias("count")).collect()
+    seen = sorted(seen, key=lambda r: r["key"])
+    patterns = [(r["kind"], tuple(r[v] for v in LABELERS), r["anchor"], r["count"]) for r in seen]
+    found = estimate(patterns)
+    odds = {r["key"]: log_odds(found["rate"], found["prior"], k, vote) for r, (k, vote, *_) in zip(seen, patterns)}
+    post = docs.sparkSession.createDataFrame([(r["key"], p) for r, p in zip(seen, found["posterior"])], "key string, p double")
+    # one row a pattern, as counted above
+    places = spans.select(key.alias("key"), F.col("c.at").alias("at")).join(F.broadcast(post), "key").select("p", F.explode("at").alias("at")).groupBy("at").agg(F.sum("p").alias("p"), F.count("*").alias("n"))
+    weights = feature_weights([tuple(r) for r in places.collect()])
+    listed = lambda values: F.transform(F.split(F.lit(",".join(map(repr, values))), ","), lambda x: x.cast("double"))
+    own = F.create_map(*[F.lit(v) for k in sorted(odds) if k.endswith("-") for v in (k, odds[k])]) if any(k.endswith("-") for k in odds) else F.expr("cast(map() as map<string, double>)")
+    score = lambda c: 1 / (1 + F.exp(-(own[pattern(c["kind"], c["vote"])] + F.aggregate(c["at"], F.lit(0.0), lambda a, i: a + F.element_at(listed(weights), i + 1)))))
+    open_ = F.filter("found", lambda c: c["vote"]["anchor"].isNull())
+    added = F.filter(F.transform(open_, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), score(c).alias("score"))), lambda c: c["score"] >= ACCEPT)
     return rows.select("doc_id", *BASE, added.alias("added"))
 
 

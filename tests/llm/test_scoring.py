@@ -46,6 +46,51 @@ def test_classifier_adds_what_labelers_agree_on(spark):
     assert "email:" in got[101] and got[100] == "" and all("email:5:" in got[i] for i in range(10))
 
 
+def test_added_spans_equal_a_plain_estimate(spark):
+    r = random.Random(4)
+    rows = []
+    for i in range(300):
+        n = r.randrange(10**6)
+        rows.append((i, r.choice([f"write to joe{n} (at) site (dot) org now", f"password = {n:032x} end", f"commit {n:032x} of page", f"tel 212-555-{n % 10000:04d} fax", f"order no 212-555-{n % 10000:04d}.", f"ssn 12{n % 10}-45-{n % 10000:04d}", f"mail a{n}@b.com and 10.0.0.{n % 400}", f"call +1 (212) 555-{n % 10000:04d} or 4111111111111111"])))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = [(x["doc_id"], c) for x in private.candidates(d).collect() for c in x["found"]]
+    votes = lambda c: tuple(c["vote"][v] for v in private.LABELERS)
+    # every span on its own, where the operator counts patterns
+    yes = {(k, j, y): 0.7 if y else 0.4 for k in private.KINDS for j in range(4) for y in (0, 1)}
+    prior = dict.fromkeys(private.KINDS, 0.5)
+
+    def odds(c):
+        terms = [yes[c["kind"], j, 1] / yes[c["kind"], j, 0] if v else (1 - yes[c["kind"], j, 1]) / (1 - yes[c["kind"], j, 0]) for j, v in enumerate(votes(c)) if v is not None]
+        return math.log(prior[c["kind"]] / (1 - prior[c["kind"]])) + sum(map(math.log, terms))
+
+    for _ in range(private.ROUNDS):
+        post = [c["vote"]["anchor"] if c["vote"]["anchor"] is not None else 1 / (1 + math.exp(-odds(c))) for _, c in spans]
+        for k in private.KINDS:
+            own = [(votes(c), p) for (_, c), p in zip(spans, post) if c["kind"] == k]
+            if any(c["kind"] == k and c["vote"]["anchor"] is not None for _, c in spans):
+                prior[k] = (sum(p for _, p in own) + 1) / (len(own) + 2)
+            for j in range(4):
+                given = [(v[j], p) for v, p in own if v[j] is not None]
+                yes[k, j, 1] = (sum(p for v, p in given if v) + 1.4) / (sum(p for _, p in given) + 2)
+                yes[k, j, 0] = (sum(1 - p for v, p in given if v) + 0.8) / (sum(1 - p for _, p in given) + 2)
+    total, by, n = Counter(), Counter(), Counter()
+    for (_, c), p in zip(spans, post):
+        for at in c["at"]:
+            total[at // private.PLACES, 1] += p
+            total[at // private.PLACES, 0] += 1 - p
+            by[at] += p
+            n[at] += 1
+
+    def weight(at):
+        f = at // private.PLACES
+        w = math.log((by[at] + 1) / (total[f, 1] + 2) / ((n[at] - by[at] + 1) / (total[f, 0] + 2)))
+        return max(-private.MOST, min(private.MOST, w)) * n[at] / (n[at] + 20)
+
+    want = {(k, c["kind"], c["start"], c["end"]): 1 / (1 + math.exp(-odds(c) - sum(map(weight, c["at"])))) for k, c in spans if c["vote"]["anchor"] is None}
+    got = {(x["doc_id"], a["kind"], a["start"], a["end"]): a["score"] for x in private.private_spans(d).collect() for a in x["added"]}
+    assert got == pytest.approx({k: v for k, v in want.items() if v >= private.ACCEPT}, rel=1e-6) and 20 < len(got) < len(want)
+
+
 def test_language_model_base_is_exact_and_model_is_better(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     rows = [tuple(r) for r in d.collect()] + [(5000, None), (5001, ""), (5002, "x" * 100_000)]
