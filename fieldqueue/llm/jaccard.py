@@ -18,9 +18,9 @@ from fieldqueue.llm.wordhash import JOIN, mixed, shingle_sets
 #: Words in a shingle; least similarity in hundredths.
 WORDS, LEAST = 5, 80
 #: Shingles gathered in a task before they are counted or sent on; a shingle is frequent if tasks that saw it LOCAL times saw it FREQUENT times in all, and so many of them at most are broadcast (16 bytes each).
-GATHER, LOCAL, FREQUENT, BROADCAST = 1 << 19, 4, 64, 1 << 19
+GATHER, LOCAL, FREQUENT, BROADCAST = 1 << 20, 4, 64, 1 << 19
 #: Shingles of a bucket, about.
-BUCKET = 1 << 20
+BUCKET = 3 << 19
 #: Classes in a strip of the product: a cluster is cut into SPLIT strips, but none of fewer than FINE or more than STRIP; bits of the filter that keeps documents without partners off the network.
 FINE, SPLIT, STRIP, FILTER_BITS = 128, 16, 4096, 1 << 24
 #: Classes that a task remembers to have sent.
@@ -81,7 +81,9 @@ def incidence(frequent, buckets: int):
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
             low = grams.view(np.uint8).reshape(-1, 8)[order, :6]
             index = index[order]
+            # six bytes of the class's hash and three of the room, which stays below 2 ** 23 for any text of fewer than 40 million words
             table = np.array(nodes, np.int64)
+            table = np.concatenate((table[:, :1].copy().view(np.uint8)[:, :6], np.clip(table[:, 1:], -(2**23), 2**23 - 1).copy().view(np.uint8)[:, :3]), axis=1)
             rows = []
             for b in range(buckets):
                 i, j = cut[b], cut[b + 1]
@@ -131,8 +133,10 @@ def shared_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for low, place, table in parts:
             j = at + len(place)
             gram[at:j, :6] = low
-            own = table[place & np.uint32(0x7FFFFFFF)]
-            node[at:j], room[at:j], heavy[at:j] = own[:, 0], own[:, 1], place >> np.uint32(31)
+            which = place & np.uint32(0x7FFFFFFF)
+            wide = np.zeros((len(table), 16), np.uint8)
+            wide[:, :6], wide[:, 9:12] = table[:, :6], table[:, 6:]
+            node[at:j], room[at:j], heavy[at:j] = wide[:, :8].copy().view(np.int64)[which, 0], wide[:, 8:12].copy().view(np.int32)[which, 0] >> 8, place >> np.uint32(31)
             at = j
         g = gram.reshape(-1).view(np.uint64)
         order = np.argsort(g, kind="stable")
@@ -166,7 +170,7 @@ def shared_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield found(now, parts)
                 parts = []
             now = bucket
-            parts.append((np.frombuffer(grams, np.uint8).reshape(-1, 6), np.frombuffer(places, np.uint32), np.frombuffer(nodes, np.int64).reshape(-1, 2)))
+            parts.append((np.frombuffer(grams, np.uint8).reshape(-1, 6), np.frombuffer(places, np.uint32), np.frombuffer(nodes, np.uint8).reshape(-1, 9)))
     if parts:
         yield found(now, parts)
 
@@ -299,7 +303,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     classes = kept(marks.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")))
     sizes = clusters.groupBy("component").agg(F.count("*").alias("m"))
     strip = F.greatest(F.lit(min(FINE, STRIP)), F.least(F.lit(STRIP), F.ceil(F.col("m") / SPLIT)))
-    need = kept(clusters.join(sizes, "component").join(classes, F.col("node") == F.col("h1")).select("rep", "h1", "h2", F.col("component").alias("cluster"), F.ceil(F.col("m") / strip).cast("int").alias("strips")))
+    need = kept(clusters.join(sizes, "component").join(classes, F.col("node") == F.col("h1").bitwiseAND(F.lit(2**48 - 1))).select("rep", "h1", "h2", F.col("component").alias("cluster"), F.ceil(F.col("m") / strip).cast("int").alias("strips")))
     found = need.select("rep").mapInArrow(filter_words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     words = np.zeros(FILTER_BITS // 64, np.uint64)
     words[np.asarray(found.column(0))] = np.asarray(found.column(1)).view(np.uint64)
