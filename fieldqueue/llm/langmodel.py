@@ -17,8 +17,8 @@ from fieldqueue.llm.wordhash import JOIN, mixed, pieces
 
 #: Hash of the token that ends every text.
 STOP = np.uint64(0x5851F42D4C957F2D)
-#: Tokens gathered in a task before their counts are sent on; bits, regions and probes of the filter; filter bits an item is given at least.
-GATHER, FILTER_BITS, REGIONS, PROBES, ROOM = 1 << 20, 1 << 27, 256, 4, 6
+#: Tokens gathered in a task before their counts are sent on; bits of the filter at most and at least, its regions and probes, and its bits for each item.
+GATHER, FILTER_BITS, LEAST_BITS, REGIONS, PROBES, ROOM = 1 << 20, 1 << 29, 1 << 23, 256, 4, 10
 #: Frequent tokens whose exact counts are broadcast, 16 bytes each, at most.
 FREQUENT = 1 << 19
 #: Growth of the count levels; bytes of text whose counts make a bucket, about.
@@ -64,16 +64,19 @@ def bucket_of(grams: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def packed_counts(buckets: int):
-    """(bucket, n, grams, times): a task's token counts and pair counts, sorted and cut by bucket of the hash."""
+    """(bucket, n, grams, times): a task's token counts and pair counts of texts that are learned from, and as n = 3 the pairs of the others, sorted and cut by bucket of the hash; from rows (text, learn)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        others: list[np.ndarray] = []
         size = 0
+        joined = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
         def packed() -> pa.RecordBatch:
             rows = []
-            for n, grams in ((1, np.concatenate(held)), (2, narrow(np.concatenate([pairs_of(t) for t in held])))):
+            for n, grams in ((1, joined(held)), (2, narrow(joined([pairs_of(t) for t in held]))), (3, narrow(joined([pairs_of(t) for t in others])))):
                 grams, times = np.unique(grams, return_counts=True)
+                times = times if n < 3 else times[:0]
                 if n == 2:  # one byte holds a count; a larger one is several entries
                     more = (times - 1) // 255
                     times = np.concatenate((times - 255 * more, np.full(int(more.sum()), 255)))
@@ -82,18 +85,23 @@ def packed_counts(buckets: int):
                 order = np.argsort(bucket, kind="stable")
                 cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 low = grams.view(np.uint8).reshape(-1, 8)[order, : 8 if n == 1 else 6]
-                times = times[order].astype(np.uint32 if n == 1 else np.uint8)
+                times = times[order].astype(np.uint32 if n == 1 else np.uint8) if n < 3 else times
                 rows += [(b, n, low[cut[b] : cut[b + 1]].tobytes(), times[cut[b] : cut[b + 1]].tobytes()) for b in range(buckets) if cut[b] < cut[b + 1]]
             cols = list(zip(*rows))
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], ["bucket", "n", "grams", "times"])
 
         for batch in batches:
-            for _, _, words, before in pieces(batch.column(0)):
-                held.append(tokens_of(words, before)[0])
-                size += len(held[-1])
+            learn = np.asarray(batch.column(1).to_numpy(zero_copy_only=False)).astype(bool)
+            for i, j, words, before in pieces(batch.column(0)):
+                tokens, ends = tokens_of(words, before)
+                mine = np.repeat(learn[i:j], np.diff(np.concatenate(([0], ends))))
+                # whole texts on either side, so that pairs stay what they are
+                held.append(tokens[mine])
+                others.append(tokens[~mine])
+                size += len(tokens)
                 if size >= GATHER:
                     yield packed()
-                    held, size = [], 0
+                    held, others, size = [], [], 0
         if held:
             yield packed()
 
@@ -107,47 +115,68 @@ def wide(low: bytes) -> np.ndarray:
     return out.reshape(-1).view(np.uint64)
 
 
-@lean
-def summed_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(n, gram, times) of all tokens and of the pairs that occur twice or more, and (n, bucket, grams) of those that occur once; rows come sorted by bucket and n."""
+def summed_counts(singles: bool):
+    """(n, gram, times) of all tokens, of the pairs that occur twice or more, and as n = 3 of those that occur once and that a text asks for which isn't learned from; rows come sorted by bucket and n.
+
+    With singles, only (n, bucket, grams) of all pairs that occur once.
+    """
     names = ["n", "gram", "times", "bucket", "grams"]
 
-    def summed(bucket: int, n: int, parts: list) -> Iterator[pa.RecordBatch]:
-        if n == 1:
-            gram = np.concatenate([np.frombuffer(g, np.uint64) for g, _ in parts])
-            times = np.concatenate([np.frombuffer(t, np.uint32) for _, t in parts])
-        else:
-            gram, times = wide(b"".join(g for g, _ in parts)), np.concatenate([np.frombuffer(t, np.uint8) for _, t in parts])
-        order = np.argsort(gram, kind="stable")
-        gram, times = gram[order], times[order].astype(np.int64)
-        first = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
-        gram, times = gram[first], np.add.reduceat(times, first)
-        if n == 2:
-            once = gram[times == 1]
-            for k in range(0, len(once), 1 << 16):
-                low = once[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([bucket], pa.int32()), pa.array([low], pa.binary())], names)
-            gram, times = gram[times > 1], times[times > 1]
+    def found(n: int, gram: np.ndarray, times: np.ndarray) -> Iterator[pa.RecordBatch]:
         for k in range(0, len(gram), 1 << 16):
             g, t = gram[k : k + (1 << 16)], times[k : k + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), n, np.int32)), pa.array(g.view(np.int64)), pa.array(t), pa.nulls(len(g), pa.int32()), pa.nulls(len(g), pa.binary())], names)
 
-    now, parts = None, []
-    for batch in batches:
-        for bucket, n, grams, times in zip(*(c.to_pylist() for c in batch.columns)):
-            if now is not None and (bucket, n) != now:
-                yield from summed(*now, parts)
-                parts = []
-            now = (bucket, n)
-            parts.append((grams, times))
-    if parts:
-        yield from summed(*now, parts)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once = np.zeros(0, np.uint64)
+
+        def summed(bucket: int, n: int, parts: list) -> Iterator[pa.RecordBatch]:
+            nonlocal once
+            if n == 3:
+                if not singles:
+                    asked = np.unique(wide(b"".join(g for g, _ in parts)))
+                    gram = asked[np.isin(asked, once, assume_unique=True)]
+                    yield from found(3, gram, np.ones(len(gram), np.int64))
+                return
+            if n == 1:
+                gram = np.concatenate([np.frombuffer(g, np.uint64) for g, _ in parts])
+                times = np.concatenate([np.frombuffer(t, np.uint32) for _, t in parts])
+            else:
+                gram, times = wide(b"".join(g for g, _ in parts)), np.concatenate([np.frombuffer(t, np.uint8) for _, t in parts])
+            order = np.argsort(gram, kind="stable")
+            gram, times = gram[order], times[order].astype(np.int64)
+            first = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
+            gram, times = gram[first], np.add.reduceat(times, first)
+            if n == 2:
+                once = gram[times == 1]
+                gram, times = gram[times > 1], times[times > 1]
+            if not singles:
+                yield from found(n, gram, times)
+            elif n == 2:
+                for k in range(0, len(once), 1 << 16):
+                    low = once[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([bucket], pa.int32()), pa.array([low], pa.binary())], names)
+
+        now, parts = None, []
+        for batch in batches:
+            for bucket, n, grams, times in zip(*(c.to_pylist() for c in batch.columns)):
+                if now is not None and (bucket, n) != now:
+                    yield from summed(*now, parts)
+                    parts = []
+                    if bucket != now[0]:
+                        once = np.zeros(0, np.uint64)
+                now = (bucket, n)
+                parts.append((grams, times))
+        if parts:
+            yield from summed(*now, parts)
+
+    return lean(run)
 
 
-def places(gram: np.ndarray, n: int, j: np.ndarray | int, probe: int) -> np.ndarray:
+def places(gram: np.ndarray, n: int, j: np.ndarray | int, probe: int, bits: int = FILTER_BITS) -> np.ndarray:
     """Bit that a probe of level j of an n-gram looks at, within the region of the n-gram."""
     x = mixed(gram + np.uint64(n) + np.atleast_1d(np.asarray(j, np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F))
-    size = np.uint64(FILTER_BITS // REGIONS)
+    size = np.uint64(bits // REGIONS)
     return ((x >> np.uint64(32)) + np.uint64(probe) * ((x & np.uint64(0xFFFFFFFF)) | np.uint64(1))) % size
 
 
@@ -161,8 +190,8 @@ def region_column(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(region(np.asarray(batch.column(1)).view(np.uint64)).astype(np.int32))], [*batch.schema.names, "region"])
 
 
-def region_bits(cutoff: dict[int, int]):
-    """(region, bits) of the regions whose n-grams (n, gram, times, region) come, sorted by region."""
+def region_bits(cutoff: dict[int, int], whole: int = FILTER_BITS):
+    """(region, bits) of the regions, of a filter of `whole` bits, whose n-grams (n, gram, times, region) come, sorted by region."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, bits = None, None
@@ -174,15 +203,15 @@ def region_bits(cutoff: dict[int, int]):
                 if r != now:
                     if now is not None:
                         yield out()
-                    now, bits = r, np.zeros(FILTER_BITS // REGIONS, bool)
-                for k in (1, 2):
+                    now, bits = r, np.zeros(whole // REGIONS, bool)
+                for k in cutoff:
                     which = (own == r) & (n == k)
                     low = int(level(np.array(cutoff[k])))
                     count = top[which] - low + 1
                     g = np.repeat(gram[which], count)
                     j = low + np.arange(len(g)) - np.repeat(np.cumsum(count) - count, count)
                     for p in range(PROBES):
-                        bits[places(g, k, j, p)] = True
+                        bits[places(g, k, j, p, whole)] = True
         if now is not None:
             yield out()
 
@@ -198,11 +227,11 @@ class LogFrequencyFilter:
     def levels(self, gram: np.ndarray, n: int) -> np.ndarray:
         """Level of each n-gram, found by probing level after level until one is no member; 0 if the first isn't."""
         out = np.zeros(len(gram), np.int64)
-        at, base = np.arange(len(gram)), region(gram) * (FILTER_BITS // REGIONS)
+        at, base = np.arange(len(gram)), region(gram) * (8 * len(self.bits) // REGIONS)
         j = self.low[n]
         while len(at) and j <= len(LEVELS):
             for p in range(PROBES):
-                where = base[at] + places(gram[at], n, j, p).astype(np.int64)
+                where = base[at] + places(gram[at], n, j, p, 8 * len(self.bits)).astype(np.int64)
                 at = at[(self.bits[where >> 3] >> (where & 7).astype(np.uint8) & 1).astype(bool)]
             out[at] = j
             j += 1
@@ -215,12 +244,18 @@ class Model:
     def __init__(self, total: int, distinct: int, frequent: np.ndarray, times: np.ndarray, bloom: LogFrequencyFilter, buckets: int):
         self.total, self.distinct, self.frequent, self.times, self.bloom, self.buckets = total, distinct, frequent, times, bloom, buckets
 
-    def parts(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Levels of each token, the one before and their pair, 0 if the filter holds none, and the pair's hash."""
+    def parts(self, tokens: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Levels of each token, the one before and their pair, 0 if the filter holds none, and the pair's hash. `learn` says of each token whether its text is learned from."""
         one, back = np.unique(tokens, return_inverse=True)
         own = self.bloom.levels(one, 1)[back]
         two, place = np.unique(pairs_of(tokens), return_inverse=True)
-        pair = self.bloom.levels(narrow(two), 2)[place]
+        level_of = self.bloom.levels(narrow(two), 2)
+        asks = np.zeros(len(two), bool)
+        asks[place[~learn]] = True
+        asks &= level_of == 0
+        once = np.zeros(len(two), np.int64)
+        once[asks] = self.bloom.levels(narrow(two[asks]), 3)
+        pair = np.where(learn, level_of[place], np.maximum(level_of, once)[place])
         first = int(self.bloom.levels(np.array([STOP]), 1)[0])
         before = np.concatenate(([first], own[:-1]))
         return own, before, pair, two[place]
@@ -279,29 +314,33 @@ def interpolation(rows: list[tuple[int, int, int]]) -> np.ndarray:
     return out
 
 
-def train(texts: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
-    """The model, the exact counts (gram, times) of all tokens, and the pairs below the filter's cutoff (bucket, grams, pair) with their levels, from rows (doc_id, text)."""
+def train(texts: DataFrame) -> tuple[Model, DataFrame, DataFrame | None]:
+    """The model, the exact counts (gram, times) of all tokens, and the pairs below the filter's cutoff (bucket, grams, pair) with their levels, if there are any, from rows (text, learn)."""
     spark = texts.sparkSession
     few_rows(spark)
     buckets = max(1, -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET))
-    packed = texts.select("text").mapInArrow(packed_counts(buckets), "bucket int, n int, grams binary, times binary")
-    counts = kept(packed.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "n").mapInArrow(summed_counts, "n int, gram long, times long, bucket int, grams binary"))
+    packed = texts.select("text", "learn").mapInArrow(packed_counts(buckets), "bucket int, n int, grams binary, times binary").repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "n")
+    schema = "n int, gram long, times long, bucket int, grams binary"
+    counts = kept(packed.mapInArrow(summed_counts(False), schema)).drop("bucket", "grams")
     singles = counts.where("n = 1").select("gram", "times")
     total, distinct = singles.agg(F.coalesce(F.sum("times"), F.lit(0)), F.count("*")).first()
-    seen = counts.where("gram is not null").groupBy("n", F.least("times", F.lit(100_000)).alias("c")).count().collect()
+    seen = counts.groupBy("n", F.least("times", F.lit(100_000)).alias("c")).count().collect()
     # cutoffs: whatever the corpus, the items of all levels have ROOM bits each; what is below is joined
-    cutoff = {1: 1, 2: 2}
+    cutoff = {1: 1, 2: 2, 3: 1}
 
     def items(n: int) -> int:
         low = int(level(np.array(cutoff[n])))
         return sum(r["count"] * (int(level(np.array(r["c"]))) - low + 1) for r in seen if r["n"] == n and r["c"] >= cutoff[n])
 
-    while items(1) + items(2) > FILTER_BITS // ROOM:
+    while items(1) + items(2) + items(3) > FILTER_BITS // ROOM and max(cutoff.values()) < 2**40:
+        # pairs that are asked for are joined with the rest as soon as any are
+        cutoff[3] = 2
         cutoff[2 if cutoff[2] < 16 * cutoff[1] else 1] *= 2
-    used = counts.select("n", "gram", "times").where(((F.col("n") == 1) & (F.col("times") >= cutoff[1])) | ((F.col("n") == 2) & (F.col("times") >= cutoff[2])))
-    regions = used.mapInArrow(region_column, "n int, gram long, times long, region int").repartition("region").sortWithinPartitions("region").mapInArrow(region_bits(cutoff), "region int, bits binary").toArrow()
-    size = FILTER_BITS // REGIONS // 8
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    whole = max(LEAST_BITS, -(-(items(1) + items(2) + items(3)) * ROOM // (64 * REGIONS)) * 64 * REGIONS)
+    used = counts.select("n", "gram", "times").where(F.col("times") >= F.element_at(F.create_map(*[F.lit(x) for kv in cutoff.items() for x in kv]), F.col("n")))
+    regions = used.mapInArrow(region_column, "n int, gram long, times long, region int").repartition("region").sortWithinPartitions("region").mapInArrow(region_bits(cutoff, whole), "region int, bits binary").toArrow()
+    size = whole // REGIONS // 8
+    bits = np.zeros(whole // 8, np.uint8)
     for r, b in zip(regions.column("region").to_pylist(), regions.column("bits")):
         bits[r * size : (r + 1) * size] = np.frombuffer(b.as_buffer(), np.uint8)
     # the least count that FREQUENT tokens at most exceed
@@ -315,8 +354,11 @@ def train(texts: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
     gram = np.asarray(often.column("gram")).astype(np.int64).view(np.uint64)
     order = np.argsort(gram)
     model = Model(int(total), int(distinct), gram[order], np.asarray(often.column("times"))[order], LogFrequencyFilter(bits, cutoff), buckets)
-    few = counts.where((F.col("n") == 2) & (F.col("gram").isNull() | (F.col("times") < cutoff[2])))
-    return model, singles, few.select("gram", "times", "bucket", "grams").mapInArrow(few_pairs(buckets), "bucket int, grams binary, pair binary")
+    if cutoff[2] == 2:
+        return model, singles, None
+    below = counts.where((F.col("n") == 2) & (F.col("times") < cutoff[2])).select("gram", "times", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("grams"))
+    once = packed.mapInArrow(summed_counts(True), schema).select("gram", "times", "bucket", "grams")
+    return model, singles, below.unionByName(once).mapInArrow(few_pairs(buckets), "bucket int, grams binary, pair binary")
 
 
 def few_pairs(buckets: int):
@@ -395,12 +437,13 @@ def looked_up(model, kinds: dict[str, pa.DataType]):
                 else:
                     times = np.zeros(len(one), np.int64)
                 hot, base = times[back] > 0, np.log10((times + 1) / (m.total + m.distinct + 1))[back]
-                own, last, pair, hashes = m.parts(tokens)
                 learn = learns[i:j][doc]
+                own, last, pair, hashes = m.parts(tokens, learn)
                 unknown = np.zeros(len(tokens), bool) if all_tokens else (pair == 0) & ((own == 0) | (last == 0))
                 if once:
                     pair = np.where((pair == 0) & learn & ~unknown, 1, pair)
-                ask = (pair == 0) & (own > 0) & (last > 0)
+                # and what others ask for is in the filter too
+                ask = (pair == 0) & (own > 0) & (last > 0) & (not once)
                 done = ~ask & ~unknown
                 count = lambda w=None: np.bincount(doc, w, minlength=j - i)
                 n = j - i
@@ -500,15 +543,28 @@ def unique_pairs(a: np.ndarray, b: np.ndarray, size: int) -> tuple[tuple[np.ndar
     return (both // size, both % size), times
 
 
+def joined_pairs(rows: DataFrame, singles: DataFrame, few: DataFrame, model: Model, kinds: dict[str, pa.DataType], schema: str) -> DataFrame:
+    """(key, learn, docs, own, last, pair) of the pairs that looked_up() has left to a join by hash."""
+    pairs = rows.where(F.col("kind") == PAIRS)
+    if model.bloom.low[1] > 1:
+        counted = lambda side: singles.select(F.col("gram").alias(f"{side}_gram"), F.col("times").alias(f"{side}_times"))
+        open_ = rows.where(F.col("kind") == UNKNOWN).select("key", "learn", "gram", "own", "last", "own_gram", "last_gram").join(counted("own"), "own_gram", "left").join(counted("last"), "last_gram", "left")
+        open_ = open_.select("key", "learn", "gram", "own", "last", F.coalesce("own_times", F.lit(0)).alias("own_times"), F.coalesce("last_times", F.lit(0)).alias("last_times"))
+        pairs = pairs.unionByName(open_.mapInArrow(now_known(kinds, model.buckets), schema))
+    columns = ["bucket", "kind", "grams", "pair", "key", "learn", "docs", "own", "last"]
+    both = few.withColumn("kind", F.lit(0)).unionByName(pairs.select(columns).drop("pair"), allowMissingColumns=True).select(columns)
+    return kept(both.repartitionById(model.buckets, F.col("bucket")).sortWithinPartitions("bucket", "kind").mapInArrow(answered, "key long, learn boolean, docs binary, own binary, last binary, pair binary"))
+
+
 def language_model_scores(docs: DataFrame, training: Column) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every document; `training` says which are learned from.
 
     Tokens are words, A-Z as a-z, and one end a text, known by 64-bit hashes. Counts of tokens and pairs are
-    summed by hash over all training documents. Quantised on a logarithmic scale they fill a Bloom filter of
-    FILTER_BITS bits, whose cutoffs follow from the counts so that its error doesn't grow with the corpus; it
-    is broadcast, and probing level after level gives a count back. Levels of tokens and pairs below the
-    cutoffs, those that occur once included, are joined by hash, so that the cutoffs decide only what is
-    broadcast. A token's probability is interpolated from
+    summed by hash over all training documents. Quantised on a logarithmic scale they fill a Bloom filter that has
+    ROOM bits for each item, so that its error doesn't grow with the corpus; it is broadcast, and probing level after
+    level gives a count back. Pairs that occur once are items only if a document asks for them that isn't learned from:
+    in one that is, a pair that the filter lacks occurs once. A filter that would exceed FILTER_BITS leaves out what
+    is below cutoffs, and the levels of that are joined by hash, so that the bound decides only what is broadcast. A token's probability is interpolated from
     its pair's and its own, with weights by frequency of the token before that leave-one-out estimation on
     all training documents sets.
 
@@ -517,22 +573,15 @@ def language_model_scores(docs: DataFrame, training: Column) -> DataFrame:
     each come back. Empty table: no rows. Other columns are ignored.
     """
     d = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.coalesce(training, F.lit(False)).alias("learn"))
-    model, singles, few = train(d.where("learn").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    model, singles, few = train(d.select(F.coalesce("text", F.lit("")).alias("text"), "learn"))
     kind, size = d.schema["doc_id"].dataType.simpleString(), model.total + model.distinct
     schema = f"kind int, key long, doc_id {kind}, learn boolean, n_tokens long, n_known long, base double, own binary, last binary, pair binary, bucket int, docs binary, grams binary, gram long, times long, own_gram long, last_gram long"
     empty = d.sparkSession.createDataFrame([], schema)
     kinds = {f.name: f.type for f in to_arrow_schema(empty.schema)}
     rows = kept(d.select("doc_id", "text", "learn").mapInArrow(looked_up(d.sparkSession.sparkContext.broadcast(model), kinds), schema))
-    pairs = rows.where(F.col("kind") == PAIRS)
-    if model.bloom.low[1] > 1:
-        counted = lambda side: singles.select(F.col("gram").alias(f"{side}_gram"), F.col("times").alias(f"{side}_times"))
-        open_ = rows.where(F.col("kind") == UNKNOWN).select("key", "learn", "gram", "own", "last", "own_gram", "last_gram").join(counted("own"), "own_gram", "left").join(counted("last"), "last_gram", "left")
-        open_ = open_.select("key", "learn", "gram", "own", "last", F.coalesce("own_times", F.lit(0)).alias("own_times"), F.coalesce("last_times", F.lit(0)).alias("last_times"))
-        pairs = pairs.unionByName(open_.mapInArrow(now_known(kinds, model.buckets), schema))
-    columns = ["bucket", "kind", "grams", "pair", "key", "learn", "docs", "own", "last"]
-    both = few.withColumn("kind", F.lit(0)).unionByName(pairs.select(columns).drop("pair"), allowMissingColumns=True).select(columns)
-    joined = kept(both.repartitionById(model.buckets, F.col("bucket")).sortWithinPartitions("bucket", "kind").mapInArrow(answered, "key long, learn boolean, docs binary, own binary, last binary, pair binary"))
-    levels = rows.where(F.col("kind") == DOCUMENT).select("key", "learn", "docs", "own", "last", "pair").unionByName(joined)
+    levels = rows.where(F.col("kind") == DOCUMENT).select("key", "learn", "docs", "own", "last", "pair")
+    if few is not None:
+        levels = levels.unionByName(joined_pairs(rows, singles, few, model, kinds, schema))
     ratios = levels.where("learn").select("own", "last", "pair").mapInArrow(tuning_rows(size), "level int, ratio int, times long").groupBy("level", "ratio").agg(F.sum("times")).collect()
     scores = levels.select("key", "docs", "own", "last", "pair").mapInArrow(scored_rows(interpolation([tuple(r) for r in ratios]), size), "key long, score double").groupBy("key").agg(F.sum("score").alias("score"))
     whole = F.lit(float(model.total + model.distinct + 1))

@@ -42,7 +42,7 @@ def test_language_model_is_tuned_on_all_training_documents(spark, monkeypatch):
     assert got == pytest.approx(language_model_plain(rows))
 
 
-@pytest.mark.parametrize("room", [6, 1 << 21, 1 << 23, 1 << 30])
+@pytest.mark.parametrize("room", [10, 1 << 23, 1 << 25, 1 << 30])
 def test_language_model_counts_what_is_below_the_cutoffs(spark, monkeypatch, room):
     monkeypatch.setattr(langmodel, "ROOM", room)
     rows = [(i, f"a b c{i % 3} d{i % 40} e{i} f{i % 7} a g{i % 11} b") for i in range(120)] + [(1000, None), (1001, ""), (1002, "a z{} b a")]
