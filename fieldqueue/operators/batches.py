@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldqueue.functions.hashing import keyed_bucket
+from fieldqueue.operators.ordering import ranked
 
 
 def assign_keyed(pool: DataFrame, arms: list[str], key: bytes) -> DataFrame:
@@ -31,3 +32,17 @@ def build_batches(assigned: DataFrame, order: list[Column], size: int, max_batch
         ((F.col("_place") - 1) % size).cast("int").alias("position"),
         "id",
     )
+
+
+def deal_stratified(pool: DataFrame, arms: list[str], seed: int) -> DataFrame:
+    """(id, arm, stratum): each stratum's ids in a seeded order, dealt to the lists in turn, from a start that moves on with each stratum.
+
+    A list's share of a stratum is the same within one record. Strata are numbered in their order, one row each.
+    """
+    if not arms or len(set(arms)) != len(arms):
+        raise ValueError(f"lists must be given and unique: {arms}")
+    start = pool.select("stratum").distinct().withColumn("_start", F.row_number().over(Window.orderBy("stratum")) - 1)
+    draw = pool.withColumn("_draw", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("stratum"), F.col("id").cast("string"))))
+    placed = ranked(draw, ["stratum"], [F.col("_draw").asc(), F.col("id").asc()], "_at").join(start, "stratum")
+    names = F.array(*[F.lit(a) for a in arms])
+    return placed.select("id", F.element_at(names, ((F.col("_start") + F.col("_at")) % len(arms) + 1).cast("int")).alias("arm"), "stratum")

@@ -37,3 +37,18 @@ def unit_code(km: Column) -> Column:
 def quantised(x: Column, low: Column, high: Column) -> Column:
     """Place between two bounds in 65535 steps, half to even; equal bounds give 0."""
     return F.rint((x - low) / F.when(high > low, high - low).otherwise(1.0) * 65535).cast("int")
+
+
+def unit_sphere(lat: Column, lon: Column) -> tuple[Column, Column, Column]:
+    """x, y and z on the unit sphere."""
+    return F.cos(F.radians(lat)) * F.cos(F.radians(lon)), F.cos(F.radians(lat)) * F.sin(F.radians(lon)), F.sin(F.radians(lat))
+
+
+def chord_km(chord: Column) -> Column:
+    """Kilometres along the sphere for a straight distance in radii."""
+    return 2 * RADIUS_KM * F.asin(F.least(chord / 2, F.lit(1.0)))
+
+
+def plane_km(lat: Column, lon: Column, lat0: float = 54.0) -> tuple[Column, Column]:
+    """Kilometres on a plane, true at one latitude: degrees of 111.32 and 110.57 km."""
+    return lon * 111.32 * F.cos(F.radians(F.lit(lat0))), lat * 110.57

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldqueue.sources.shared import kept
+
 
 def finite(c: str) -> Column:
     """A score, null where it is NaN or infinite."""
@@ -33,29 +37,52 @@ def place(df: DataFrame, by: list[str], order: list[Column], name: str = "place"
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
 
 
+def same(a: str, b: str, columns: list[str]) -> Column:
+    """Equality of columns of two aliases, null being a value."""
+    return reduce(lambda x, y: x & y, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in columns])
+
+
+def ranked(df: DataFrame, by: list[str], order: list[Column], name: str = "place", size: str | None = None) -> DataFrame:
+    """place() for whole groups of any size, and the group's size if a name is given.
+
+    Rows are dealt out by ranges of group and order; each range is numbered by itself, and the rows of a group's ranges
+    before it are added, so that no group is sorted in one task.
+    """
+    d = kept(df.repartitionByRange(*[F.col(b) for b in by], *order).withColumn("_part", F.spark_partition_id()))
+    n = d.groupBy(*by, "_part").agg(F.count("*").alias("_n"))
+    of = Window.partitionBy(*by)
+    n = n.withColumn("_before", F.sum("_n").over(of.orderBy("_part")) - F.col("_n")).withColumn("_size", F.sum("_n").over(of))
+    within = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order)) - 1
+    out = d.withColumn("_within", within).alias("d").join(n.alias("n"), same("d", "n", [*by, "_part"]))
+    more = [] if size is None else [F.col("n._size").alias(size)]
+    return out.select("d.*", (F.col("n._before") + F.col("_within")).alias(name), *more).drop("_part", "_within")
+
+
 def top_share(df: DataFrame, by: str, score: str, share: float) -> DataFrame:
     """Adds `picked`: place from 1 over the group's size is at most the share (ties broken by id)."""
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.col(score).desc_nulls_last(), "id"))
-    return df.withColumn("picked", rank / F.count("*").over(Window.partitionBy(by)) <= share)
+    r = ranked(df, [by], [F.col(score).desc_nulls_last(), F.col("id").asc()], "_r", "_m")
+    return r.withColumn("picked", (F.col("_r") + 1) / F.col("_m") <= share).drop("_r", "_m")
 
 
 def group_quantile(df: DataFrame, by: str, score: str, q: float) -> DataFrame:
-    """Adds `cut`, the group's linear quantile; aggregated and joined, so that no group is sorted in one task's window."""
-    cut = df.groupBy(by).agg(F.percentile(score, F.lit(q)).alias("cut"))
-    return df.join(cut, by)
+    """Adds `cut`, the group's linear quantile of a score, from the one or two rows on which it falls."""
+    r = ranked(df.where(F.col(score).isNotNull()), [by], [F.col(score).asc()], "_r", "_m")
+    at = F.lit(q) * (F.col("_m") - 1)
+    near = r.where(F.col("_r").between(F.floor(at), F.ceil(at))).groupBy(by).agg(F.min(score).alias("_a"), F.max(score).alias("_b"), F.first(at - F.floor(at)).alias("_t"))
+    return df.join(near.select(by, (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_t")).alias("cut")), by)
 
 
 def interleaved(df: DataFrame, by: str, draw: str) -> DataFrame:
     """Round-robin: the first of every group by draw, then the second of each; groups ordered by their least draw."""
-    w = Window.partitionBy(by).orderBy(draw, "id")
-    return df.withColumn("turn", F.row_number().over(w) - 1).withColumn("_least", F.min(draw).over(Window.partitionBy(by)))
+    least = df.groupBy(by).agg(F.min(draw).alias("_least"))
+    return ranked(df, [by], [F.col(draw).asc(), F.col("id").asc()], "turn").join(least, by)
 
 
 def sixteenths(df: DataFrame, by: str, order: list[Column]) -> DataFrame:
     """Places from the last, in sixteenths of the group, and as percent from the first."""
-    r = F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1
-    n = F.count("*").over(Window.partitionBy(by))
-    return df.withColumn("q16", F.floor((n - 1 - r) * 16 / n).cast("int")).withColumn("pct", F.ceil(100 * (r + 1) / n).cast("int"))
+    r, n = F.col("_r"), F.col("_m")
+    out = ranked(df, [by], order, "_r", "_m")
+    return out.withColumn("q16", F.floor((n - 1 - r) * 16 / n).cast("int")).withColumn("pct", F.ceil(100 * (r + 1) / n).cast("int")).drop("_r", "_m")
 
 
 def first_lists(df: DataFrame, by: str, taxon: str, key: Column, per: int) -> DataFrame:

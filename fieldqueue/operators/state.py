@@ -73,3 +73,42 @@ def interval_runs(events: DataFrame, runs: DataFrame) -> DataFrame:
     spans = spans.withColumn("_m", F.explode(F.sequence(F.trunc(first, "MM"), F.trunc(F.col("run"), "MM"), F.expr("interval 1 month"))))
     on = (F.trunc(events["ts"], "MM") == spans["_m"]) & (events["ts"] <= spans["run"]) & (spans["previous"].isNull() | (events["ts"] > spans["previous"]))
     return events.join(spans, on, "left").drop("_m")
+
+
+def append_served(log: DataFrame, rows: DataFrame) -> DataFrame:
+    """The log with the rows of a build, in place of any of the same build_date. A record that the log has under another label is an error."""
+    old = log.join(rows.select("build_date").distinct(), "build_date", "left_anti")
+    before = old.groupBy("id").agg(F.min("label").alias("_before"))
+    clash = F.raise_error(F.concat(F.lit("a record has changed its label since an earlier build: "), F.col("id").cast("string")))
+    moved = F.col("_before").isNotNull() & (F.col("_before") != F.col("label"))
+    fresh = rows.join(before, "id", "left").withColumn("label", F.when(moved, clash.cast("string")).otherwise(F.col("label"))).drop("_before")
+    return old.unionByName(fresh)
+
+
+def append_part(index: DataFrame, part: DataFrame, name: str) -> DataFrame:
+    """An index of rows (part, id, ...) with a new part; an id that it has already is an error."""
+    held = index.select("id", F.lit(True).alias("_held")).distinct()
+    clash = F.raise_error(F.concat(F.lit("the index has this id already: "), F.col("id").cast("string")))
+    fresh = part.join(held, "id", "left").withColumn("part", F.when(F.col("_held"), clash.cast("string")).otherwise(F.lit(name))).drop("_held")
+    return index.unionByName(fresh)
+
+
+def compact(index: DataFrame, keep: DataFrame, name: str = "base") -> DataFrame:
+    """All parts as one, with the ids that are kept; of an id in several parts the row of the last part."""
+    last = last_wins(index, ["id"], [F.col("part")])
+    return last.join(keep.select("id"), "id", "left_semi").withColumn("part", F.lit(name))
+
+
+def changes(rows: DataFrame, since: Column, grades: list[str]) -> DataFrame:
+    """Rows updated since: those of a grade in the pool as `kept`, the others as `gone`, and the newest update on each."""
+    fresh = rows.where(F.col("updated_at") > since)
+    newest = fresh.agg(F.max("updated_at").alias("newest"))
+    side = F.when(F.col("grade").isin(grades), "kept").otherwise("gone")
+    return fresh.withColumn("side", side).crossJoin(F.broadcast(newest))  # one row
+
+
+def range_counts(mine: DataFrame, theirs: DataFrame, width: int) -> DataFrame:
+    """(low, mine, theirs): id ranges of which two tables hold different numbers."""
+    count = lambda t, n: t.groupBy((F.floor(F.col("id") / width) * width).alias("low")).agg(F.count("*").alias(n))
+    both = count(mine, "mine").join(count(theirs, "theirs"), "low", "full").fillna(0, ["mine", "theirs"])
+    return both.where("mine <> theirs")

@@ -23,7 +23,7 @@ def parts_levels(s, d):
 
 
 def listed(s, d):
-    p = pool(s, d).where("score is not null and id < 6000")
+    p = pool(s, d).where("score is not null")
     a = p.where("id % 2 = 0").select(F.lit("a").alias("list"), "id", "score")
     b = p.where("id % 3 = 0").select(F.lit("b").alias("list"), "id", (F.col("score") / 2).alias("score"))
     w = p.where("id % 5 = 0").select(F.lit("whole").alias("list"), "id", (F.col("score") / 4).alias("score"))
@@ -64,9 +64,9 @@ def gaps(s, d):
 
 
 QUERIES = {
-    "order_recency": lambda s, d: ordering.place(pool(s, d), ["grp"], ordering.recency()).select("id", "grp", "place"),
-    "order_score": lambda s, d: ordering.place(pool(s, d), ["grp"], ordering.by_score("score")).select("id", "grp", "place"),
-    "order_surprise": lambda s, d: ordering.place(surprise_pool(s, d), ["grp"], ordering.by_surprise(["surprise", "surprise_n"])).select("id", "grp", "place"),
+    "order_recency": lambda s, d: ordering.ranked(pool(s, d), ["grp"], ordering.recency()).select("id", "grp", "place"),
+    "order_score": lambda s, d: ordering.ranked(pool(s, d), ["grp"], ordering.by_score("score")).select("id", "grp", "place"),
+    "order_surprise": lambda s, d: ordering.ranked(surprise_pool(s, d), ["grp"], ordering.by_surprise(["surprise", "surprise_n"])).select("id", "grp", "place"),
     "win_pct_rank_first": lambda s, d: ordering.top_share(pool(s, d), "grp", "score", 0.25).select("id", "picked"),
     "win_group_quantile": lambda s, d: ordering.group_quantile(parts_levels(s, d), "grp", "key", 0.9).select("id", F.round("cut", 4).alias("cut")),
     "win_cap": lambda s, d: ordering.place(parts_levels(s, d), ["taxon"], [F.col("key").desc(), F.col("id").asc()], "_p").where("_p < 3").select("id", "taxon"),
@@ -78,7 +78,7 @@ QUERIES = {
     "win_first_touch": first_touch,
     "win_stepcount": running_step,
     "sample_strata": lambda s, d: ordering.sample_strata(pool(s, d), ["grp", "status"], 40, 7).select("id", "grp", "status"),
-    "sample_tenth": lambda s, d: ordering.place(pool(s, d), ["grp"], [F.col("id").asc()]).where("place % 10 = 0").select("id"),
+    "sample_tenth": lambda s, d: ordering.ranked(pool(s, d), ["grp"], [F.col("id").asc()]).where("place % 10 = 0").select("id"),
     "filter_user_genera": lambda s, d: ordering.share_cover(idents(s, d).where("user_id is not null"), "user_id", "answer", 0.8, 5),
     "topk_eval": lambda s, d: ordering.top_k_means(pool(s, d).withColumn("y", (F.col("status") == "F").cast("double")), "y", ordering.by_score("score"), [10, 100, 1000]),
     "list_fuse": lambda s, d: ordering.fused(listed(s, d), "whole", 50),
@@ -105,7 +105,7 @@ ORACLE = {
     "sample_tenth": f"with {POOL} select id from pool qualify (row_number() over ({W} id) - 1) % 10 = 0",
     "filter_user_genera": f"with {IDENTS}, n as (select user_id, answer, count(*) n from idents where user_id is not null group by 1, 2), c as (select *, sum(n) over (partition by user_id) t, sum(n) over (partition by user_id order by n desc, answer) - n b from n) select user_id, answer, n from c where t >= 5 and b < 0.8::DOUBLE * t",
     "topk_eval": f"with {POOL}, r as (select status, row_number() over (order by score desc nulls last, created_at desc, id desc) p from pool) select " + ", ".join(f"avg((status = 'F')::INT) filter (p <= {k}) top{k}" for k in (10, 100, 1000)) + " from r",
-    "list_fuse": f"""with {POOL}, p as (select id, score from pool where score is not null and id < 6000), l as (select 'a' list, id, score from p where id % 2 = 0 union all select 'b', id, score / 2 from p where id % 3 = 0 union all select 'whole', id, score / 4 from p where id % 5 = 0),
+    "list_fuse": f"""with {POOL}, p as (select id, score from pool where score is not null), l as (select 'a' list, id, score from p where id % 2 = 0 union all select 'b', id, score / 2 from p where id % 3 = 0 union all select 'whole', id, score / 4 from p where id % 5 = 0),
         fl as (select list, min(score) floor_ from l group by 1), ids as (select distinct id from l), x as (select ids.id, fl.list, coalesce(score, floor_) v, case when fl.list = 'whole' then score end w from ids cross join fl left join l on l.id = ids.id and l.list = fl.list)
         select id, min(v) fused from x group by 1 order by fused desc, max(w) desc nulls last, id limit 50""",
     "gaps_score": f"with {POOL} select id, round((40 * (status = 'O')::INT + 30 * (1 - least(date_diff('day', created_at::DATE, date '1998-08-02'), 30) / 30) + 30 * (grp like '1%')::INT) / 100, 6) gap from pool order by gap desc, id desc limit 200",

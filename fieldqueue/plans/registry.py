@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fieldqueue.plans import batching, counting, indexing, inference, lists, overturns, relations, reviews, similarity, summaries, upkeep
+from fieldqueue.plans import batching, counting, indexing, inference, lists, overturns, relations, reviews, similarity, steps, summaries, upkeep
 
-MODULES = (batching, counting, indexing, inference, lists, overturns, relations, reviews, similarity, summaries, upkeep)
+MODULES = (batching, counting, indexing, inference, lists, overturns, relations, reviews, similarity, steps, summaries, upkeep)
 
 
 def queries() -> dict:

@@ -113,7 +113,6 @@ QUERIES = {
     "join_tree_window": clade_windows,
     "log_check": log_check,
     "recall_at_k": recall,
-    "filter_acc": lambda s, d: pool(s, d).select("id", F.when(F.col("score").isNull(), "unknown").when(F.col("score") <= 0.1, "fine").when(F.col("score") <= 0.3, "middling").otherwise("known").alias("class")),
     "own_ident": lambda s, d: idents(s, d).where(F.coalesce(F.col("user_id") != F.col("observer_id"), F.lit(True))).groupBy("rank").agg(F.count("*").alias("n")),
 }
 
@@ -134,6 +133,5 @@ ORACLE = {
     "join_tree_window": f"with recursive {PATHS}, lf as (select path, row_number() over (order by path[1], array_to_string(path, '/')) - 1 p from paths where id not in (select parent from nodes where parent is not null)), x as (select unnest(path) id, p from lf) select id, min(p) lo, max(p) hi from x where id not like 'c%' group by 1",
     "log_check": f"with {IDENTS}, a as (select count(*) gone from orders where o_orderkey % 4 = 1), b as (select count(distinct id) logged from idents where id % 4 = 1 and seq = 1) select gone, logged, abs(gone - logged) <= 0.02 * gone fine from a, b",
     "recall_at_k": f"with {NB}, y as (select a.id, b.id nb, list_cosine_similarity(a.v[1:32], b.v[1:32]) c from r a, r b where a.id % 10 = 0 and a.id <> b.id qualify row_number() over (partition by a.id order by round(c, 12) desc, b.id) <= 5), h as (select nbs.id, count(y.nb) k from nbs left join y on y.id = nbs.id and y.nb = nbs.nb group by 1) select round(avg(k / 5), 6) recall from h",
-    "filter_acc": f"with {POOL} select id, case when score is null then 'unknown' when score <= 0.1::DOUBLE then 'fine' when score <= 0.3::DOUBLE then 'middling' else 'known' end \"class\" from pool",
     "own_ident": f"with {IDENTS} select rank, count(*) n from idents where coalesce(user_id <> observer_id, true) group by 1",
 }

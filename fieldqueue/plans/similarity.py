@@ -20,6 +20,15 @@ def scores(s, d):
     return p.withColumn("margin", F.col("own") - F.col("other")).withColumn("top", F.greatest("own", "other")).withColumn("grp", F.col("label") % 3)
 
 
+def leveled(s, d):
+    """Levels of the embeddings: two of seven stand above species, their own class as the likely species of the clade."""
+    genus = F.col("id") % 7 < 2
+    x = scores(s, d).withColumn("rank", F.when(genus, "genus").otherwise("species"))
+    only = lambda c: F.when(genus, c)
+    x = x.withColumns({"in_best": only(F.col("own")), "in_second": only(F.col("own") - (F.col("id") % 5) / 50), "out_best": only(F.col("other")), "in_label": only(F.col("label")), "second_label": only((F.col("label") + 1) % 10)})
+    return rounded(vectors.levels(x), "score", "score2")
+
+
 def rounded(df, *names):
     return df.withColumns({n: F.round(n, 6) for n in names})
 
@@ -56,7 +65,7 @@ def answers(s, d):
 
 QUERIES = {
     "proto_loo": lambda s, d: rounded(scores(s, d).select("id", "own", "other", "other_label"), "own", "other"),
-    "levels_assign": lambda s, d: vectors.levels(scores(s, d), "grp").select("id", "level"),
+    "levels_assign": leveled,
     "confused_pairs": confused,
     "batch_signals": lambda s, d: rounded(vectors.cohesion(rows(s, d).withColumn("batch", F.floor(F.col("id") / 50)), "batch"), "cohesion"),
     "unit": lambda s, d: rows(s, d).select("id", F.round(F.array_max(vectors.unit("v")), 6).alias("largest")),
@@ -77,8 +86,13 @@ SCORES = PROTO + """, w as (select o.id, o."label", m."label" ol, list_cosine_si
 s as (select id, o."label", list_cosine_similarity(u, rest) own, other, other_label from o join b using (id)), sc as (select *, own - other margin, greatest(own, other) top, "label" % 3 grp from s)"""
 ORACLE = {
     "proto_loo": f"with {SCORES} select id, round(own, 6) own, round(other, 6) other, other_label from sc",
-    "levels_assign": f"""with {SCORES}, q as (select grp, quantile_cont(top, 0.02) lo, quantile_cont(margin, 0.9) hi, quantile_cont(margin, 0.5) mid from sc where own is not null group by 1)
-        select id, case when own is null then null when top <= lo then 'weird' when margin >= hi then 'easy' when margin >= mid then 'taxonomist' when margin >= 0 then 'narrow' else 'mislabel' end "level" from sc join q using (grp)""",
+    "levels_assign": f"""with {SCORES}, x as (select *, case when id % 7 < 2 then 'genus' else 'species' end rank from sc), sp as (select * from x where rank = 'species' and own is not null and other is not null),
+        lw as (select grp, quantile_cont(top, 0.02) lo from x group by 1), ct as (select grp, quantile_cont(margin, 0.75) cut from sp where margin < 0 group by 1), nn as (select "label", count(*) n from sp group by 1),
+        bs as (select id, row_number() over (partition by "label" order by own desc, id) / count(*) over (partition by "label") <= 0.25 picked from sp),
+        j as (select x.*, lo, cut, picked, nn.n, coalesce(k.n >= 20, false) known from x left join lw using (grp) left join ct using (grp) left join bs using (id) left join nn using ("label") left join nn k on k."label" = x.other_label),
+        l as (select *, case when top <= lo then 'weird' when picked is not null and margin > 0 and n >= 4 and picked then 'easy' when picked is not null and margin < 0 and margin >= cut and known then 'taxonomist' when rank <> 'species' and own is not null then 'narrow' when picked is not null and margin < cut and known then 'mislabel' else 'none' end "level" from j)
+        select id, "level", round(case "level" when 'weird' then top when 'easy' then own when 'taxonomist' then margin when 'mislabel' then margin when 'narrow' then least(own - other, (id % 5) / 50) end, 6) score, round(case when "level" = 'narrow' then (id % 5) / 50 end, 6) score2,
+        case when "level" in ('taxonomist', 'mislabel') then other_label when "level" = 'narrow' then "label" end::INT looks_like, case when "level" = 'narrow' then ("label" + 1) % 10 end::INT runner_up from l""",
     "confused_pairs": f"with {SCORES} select \"label\", other_label, count(*) n from sc where margin < 0 group by 1, 2",
     "batch_signals": f"with {BASE}, u as (select id // 50 batch, list_transform(v, lambda y: y / sqrt(list_dot_product(v, v))) u from r), e as (select batch, unnest(u) x, unnest(range(0, len(u))) i from u), t as (select batch, i, sum(x) s, count(*) n from e group by 1, 2) select batch, max(n) n, round(sqrt(sum(s * s)) / max(n), 6) cohesion from t group by 1",
     "unit": f"with {BASE} select id, round(list_max(list_transform(v, lambda y: y / sqrt(list_dot_product(v, v)))), 6) largest from r",

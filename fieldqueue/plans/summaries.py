@@ -89,11 +89,8 @@ QUERIES = {
     "name_fold": lambda s, d: parts(s, d).select("p_partkey", scalars.plain_name(F.concat("p_type", F.lit(" / "), "p_brand")).alias("name")),
     "genus": lambda s, d: parts(s, d).select("p_partkey", F.split_part("p_type", F.lit(" "), F.lit(1)).alias("genus"), (F.size(F.split("p_type", r"\s+")) == 2).alias("two_words")),
     "suggest": suggestions,
-    "hist_bins": lambda s, d: pool(s, d).groupBy(scalars.calendar_bin(F.col("created_at"), 2600).alias("bin"), "grp").agg(F.count("*").alias("n")),
-    "identify_url": lambda s, d: ordering.place(served(s, d), ["arm"], [F.col("id").asc()]).where("place < 30").groupBy("arm").agg(F.concat(F.lit("https://example.org/review?id="), F.array_join(F.sort_array(F.collect_list("id")).cast("array<string>"), ",")).alias("url")),
     "sha_rows": lambda s, d: pool(s, d).select("id", F.substring(F.sha2(F.concat(F.lit("record:"), F.col("id").cast("string")), 256), 1, 12).alias("fingerprint")),
     "tier": lambda s, d: idents(s, d).groupBy("id").agg(F.collect_set("answer").alias("a")).select("id", scalars.tier(F.transform("a", lambda x: F.when(x == "R", "EN").when(x == "A", "VU").otherwise("LC"))).alias("tier")),
-    "first_own": first_own,
     "completeness": ecdf,
     "fir_table": lambda s, d: tables.confusion_table(scores(s, d), 2, 4, 3).select("label", "other", "n", F.round("share", 6).alias("share")),
     "margin_hist": lambda s, d: tables.histogram(scores(s, d), "grp", "margin", -0.5, 0.5, 20),
@@ -102,15 +99,9 @@ QUERIES = {
     "tail_prob": tails,
     "prior": priors,
     "level_stats": lambda s, d: tables.cluster_bootstrap(pool(s, d).withColumn("y", (F.col("status") == "F").cast("int")), "user_id", "grp", "y", 100, 3).select("grp", *[F.round(c, 6).alias(c) for c in ("rate", "low", "high")]),
-    "sink_study": studied,
-    "src_block_sample": block_sample,
     "scores_delta": delta_scores,
-    "replay": replay,
-    "sink_projects": lambda s, d: idents(s, d).where("id <= 2000").groupBy("answer").agg(F.array_join(F.sort_array(F.collect_set("id")).cast("array<string>"), ",").alias("ids")),
-    "bt_outcomes": lambda s, d: scored(s, d).select("id", F.coalesce(F.datediff("next", "first_at") <= 30, F.lit(False)).cast("int").alias("fast"), F.coalesce((F.datediff("next", "first_at") > 30), F.lit(False)).cast("int").alias("slow"), F.col("next").isNull().cast("int").alias("stuck"), F.col("overturned").cast("int").alias("corrected")),
     "merge_arm": lambda s, d: pool(s, d).where("id % 3 = 0").join(served(s, d).select("id", "arm"), "id", "left").select("id", F.when(F.col("arm").isNull(), F.raise_error(F.lit("a record has no arm")).cast("string")).otherwise(F.col("arm")).alias("arm")),
     "src_totals": lambda s, d: pool(s, d).groupBy("grp", "status", F.trunc("created_at", "MM").alias("month")).agg(F.count("*").alias("n")),
-    "src_exports": lambda s, d: ordering.place(idents(s, d).where("user_id is not null"), ["user_id", "id"], [F.col("created_at").desc(), F.col("seq").desc(), F.col("answer").desc()]).where("place = 0").groupBy("answer").agg(F.count("*").alias("n")),
     "nn_lookup": lambda s, d: neighbours(s, d).where("place = 1").select("id", "nb"),
 }
 DELTA = "p as (select * from pool), base as (select id, case when id % 9 = 0 then 'other' else grp end grp from pool where id % 4 <> 0), valid as (select id, grp from base semi join pool using (id, grp))"
@@ -121,11 +112,8 @@ ORACLE = {
     "name_fold": "select p_partkey, trim(regexp_replace(lower(p_type || ' / ' || p_brand), '[^a-z0-9]+', ' ', 'g')) \"name\" from part",
     "genus": "select p_partkey, split_part(p_type, ' ', 1) genus, len(string_split(p_type, ' ')) = 2 two_words from part",
     "suggest": "select p_type, count(*) n from part where contains(lower(p_type), 'st') group by 1 order by n desc, p_type limit 10",
-    "hist_bins": f"with {POOL} select date_trunc('month', created_at)::DATE bin, grp, count(*) n from pool group by 1, 2",
-    "identify_url": f"with {SERVED}, r as (select *, row_number() over (partition by arm order by id) n from served) select arm, 'https://example.org/review?id=' || string_agg(id::VARCHAR, ',' order by id) url from r where n <= 30 group by 1",
     "sha_rows": "select o_orderkey id, substr(sha256('record:' || o_orderkey), 1, 12) fingerprint from orders",
     "tier": f"with {IDENTS} select id, case when bool_or(answer = 'R') then 1 when bool_or(answer = 'A') then 2 end tier from idents group by 1",
-    "first_own": f"with {IDENTS}, f as (select id, date_diff('day', min(created_at)::DATE, (select max(created_at) from idents)::DATE) a from idents group by 1) select id, case when a <= 365 then 'year' when a <= 730 then 'two' when a <= 1460 then 'four' else 'older' end age from f",
     "completeness": f"with {SCORED}, dl as (select date_diff('day', first_at::DATE, \"next\"::DATE) x from scored where tested and overturned), ag as (select distinct (id % 400)::DOUBLE age from pool) select age, round((select count(*) from dl where x <= age) / (select count(*) from dl), 6) share from ag",
     "fir_table": f"with {SCORES}, lr as (select \"label\", count(*) k from sc group by 1 having count(*) >= 4), wr as (select \"label\", other_label other, count(*) n from sc where margin < 0 group by 1, 2 having count(*) >= 2) select \"label\", other, n, round(n / k, 6) share from wr join lr using (\"label\") qualify row_number() over (partition by \"label\" order by n desc, other) <= 3",
     "margin_hist": f"with {SCORES} select grp, least(greatest(floor((margin + 0.5) / 0.05), 0), 19)::INT bin, count(*) n from sc where margin is not null group by 1, 2",
@@ -137,14 +125,8 @@ ORACLE = {
     "level_stats": f"""with {POOL}, c as (select user_id, grp, count(*) filter (status = 'F') k, count(*) n from pool group by 1, 2), u as (select c.*, rep, ('0x' || substr(md5('3:' || rep || ':' || user_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE u from c, range(1, 101) t(rep)),
         w as (select *, case when u < 0.367879441 then 0 when u < 0.735758882 then 1 when u < 0.919698603 then 2 when u < 0.981011843 then 3 when u < 0.996340153 then 4 when u < 0.999405815 then 5 else 6 end w from u), r as (select grp, rep, sum(w * k) / sum(w * n) r from w group by 1, 2), a as (select grp, sum(k) / sum(n) rate from c group by 1)
         select grp, round(rate, 6) rate, round(quantile_cont(r, 0.025), 6) low, round(quantile_cont(r, 0.975), 6) high from r join a using (grp) group by grp, rate""",
-    "sink_study": f"with {SERVED}, r as (select *, row_number() over (partition by arm order by \"position\", id) n from served) select arm, string_agg(id::VARCHAR, ',' order by n) ids from r where n <= 5 group by 1",
-    "src_block_sample": "with st(block, s) as (values (0, 100), (1, 5000), (2, 9000), (3, 14990)) select block, o_orderkey id from orders join st on o_orderkey > s and o_orderkey <= s + 2000 qualify row_number() over (partition by block order by o_orderkey) <= 20",
     "scores_delta": f"with {POOL}, {DELTA} select id, grp, 'base' origin from valid union all select id, grp, 'new' from pool where id not in (select id from valid)",
-    "replay": "select 'expected' side, 1::BIGINT n where false",
-    "sink_projects": f"with {IDENTS}, x as (select distinct answer, id from idents where id <= 2000) select answer, string_agg(id::VARCHAR, ',' order by id) ids from x group by 1",
-    "bt_outcomes": f"with {SCORED}, t as (select *, date_diff('day', first_at::DATE, \"next\"::DATE) d from scored) select id, coalesce(d <= 30, false)::INT fast, coalesce(d > 30, false)::INT slow, (\"next\" is null)::INT stuck, overturned::INT corrected from t",
     "merge_arm": f"with {SERVED} select id, arm from served",
     "src_totals": f"with {POOL} select grp, status, date_trunc('month', created_at)::DATE \"month\", count(*) n from pool group by 1, 2, 3",
-    "src_exports": f"with {IDENTS}, l as (select * from idents where user_id is not null qualify row_number() over (partition by user_id, id order by created_at desc, seq desc, answer desc) = 1) select answer, count(*) n from l group by 1",
     "nn_lookup": f"with {NB} select id, nb from nbs where place = 1",
 }
