@@ -20,7 +20,7 @@ WINDOW, PLAIN, COVER, LONG = 8, 4, 0.5, 13
 #: Items of fewer tokens than FEWEST can't be told from chance. Shorter items than a window are one window.
 FEWEST = 5
 #: Bits of the filter of the items' windows; tokens remembered by a worker; tokens handled at once.
-FILTER_BITS, MEMO, PIECE = 1 << 24, 1 << 17, 1 << 16
+FILTER_BITS, MEMO, PIECE = 1 << 24, 1 << 19, 1 << 17
 # Words for numbers and units.
 NUMBERS = frozenset("zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
 UNITS = frozenset(
