@@ -50,7 +50,7 @@ def spans(nodes_with_paths: DataFrame) -> DataFrame:
     leaves = nodes_with_paths.join(inner, "id", "left_anti").withColumn("_text", F.array_join("path", "/")).withColumn("_root", F.get("path", F.lit(0)))
     n = leaves.groupBy("_root").agg(F.count("*").alias("_n"))
     n = n.select("_root", (F.sum("_n").over(Window.orderBy("_root")) - F.col("_n")).alias("_base"))
-    at = leaves.join(F.broadcast(n), "_root").select("path", (F.col("_base") + F.row_number().over(Window.partitionBy("_root").orderBy("_text")) - 1).alias("at"))
+    at = leaves.join(n, "_root").select("path", (F.col("_base") + F.row_number().over(Window.partitionBy("_root").orderBy("_text")) - 1).alias("at"))
     return at.select(F.explode("path").alias("id"), "at").groupBy("id").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
 
 

@@ -65,14 +65,16 @@ def coverage(whole: DataFrame, by: str, slack: int) -> DataFrame:
 def interval_runs(events: DataFrame, runs: DataFrame) -> DataFrame:
     """events with `run`: the first run at or after the event, and `previous`; null after the last run.
 
-    Runs are few and are turned into intervals; the events' months and those of the intervals meet in an equi-join.
+    Runs are few and are turned into intervals, the first from the earliest event on; the events' months and those of the
+    intervals meet in an equi-join.
     """
     w = Window.orderBy("run")
-    spans = runs.select("run", F.lag("run").over(w).alias("previous"))
-    first = F.coalesce("previous", F.col("run") - F.expr("interval 40 years"))
+    earliest = events.agg(F.min("ts").alias("_low"))
+    spans = runs.select("run", F.lag("run").over(w).alias("previous")).crossJoin(F.broadcast(earliest))  # one row
+    first = F.coalesce("previous", F.least("_low", "run"))
     spans = spans.withColumn("_m", F.explode(F.sequence(F.trunc(first, "MM"), F.trunc(F.col("run"), "MM"), F.expr("interval 1 month"))))
     on = (F.trunc(events["ts"], "MM") == spans["_m"]) & (events["ts"] <= spans["run"]) & (spans["previous"].isNull() | (events["ts"] > spans["previous"]))
-    return events.join(spans, on, "left").drop("_m")
+    return events.join(spans, on, "left").drop("_m", "_low")
 
 
 def append_served(log: DataFrame, rows: DataFrame) -> DataFrame:

@@ -67,9 +67,9 @@ def shards(s, d):
 
 
 def margins(s, d):
-    """Own and best other cosine to fixed prototypes, the class means of the first hundred ids."""
+    """Own and best other cosine to fixed prototypes, the class means of one half of the ids, which has the part of named references."""
     r = rows(s, d)
-    protos = vectors.sums(r.where("id < 100").withColumn("u", vectors.unit("v")), "label", "u").select(F.col("label").alias("name"), vectors.unit("total").alias("m"))
+    protos = vectors.sums(r.where("id % 2 = 0").withColumn("u", vectors.unit("v")), "label", "u").select(F.col("label").alias("name"), vectors.unit("total").alias("m"))
     all_ = F.broadcast(protos.agg(F.collect_list(F.struct("name", "m")).alias("ms")))  # one row a class of the fixed table
     scored = F.transform("ms", lambda m: F.struct(m["name"].alias("name"), vectors.dot("u", m["m"]).alias("c")))
     x = r.withColumn("u", vectors.unit("v")).join(all_).select("id", "label", scored.alias("s"))
@@ -128,7 +128,7 @@ ORACLE = {
     "filter_projects": f"with {IDENTS}, m as (select id, bit_or(case answer when 'A' then 1 when 'N' then 2 else 4 end) mask from idents group by 1) select id, mask from m where mask & 3 <> 0 and mask & 4 = 0",
     "win_recent_shard": f"with {POOL}, r as (select id, created_at, date_diff('day', created_at::DATE, (select max(created_at) from pool)::DATE) <= 90 recent from pool) select id, (case when recent then 0 else 10000 * year(created_at) + (row_number() over (partition by recent, year(created_at) order by created_at desc, id) - 1) // 4000 end)::BIGINT shard from r",
     "win_value_rounds": f"with {POOL}, t as (select id, grp, case status when 'F' then 1 when 'O' then 2 end t, user_id % 50 r from pool), k as (select *, (row_number() over (partition by grp, t order by r, id) - 1) // 5 rd from t) select id, grp, row_number() over (partition by grp order by t is null, t, rd, r, id)::INT place from k",
-    "text_margin": f"""with {BASE}, u as (select id, "label", list_transform(v, lambda y: y / sqrt(list_dot_product(v, v))) u from r), e as (select "label", unnest(u) x, unnest(range(0, len(u))) i from u where id < 100), t as (select "label", i, sum(x) s from e group by 1, 2), m as (select "label" nm, list(s order by i) m from t group by 1)
+    "text_margin": f"""with {BASE}, u as (select id, "label", list_transform(v, lambda y: y / sqrt(list_dot_product(v, v))) u from r), e as (select "label", unnest(u) x, unnest(range(0, len(u))) i from u where id % 2 = 0), t as (select "label", i, sum(x) s from e group by 1, 2), m as (select "label" nm, list(s order by i) m from t group by 1)
         select id, round(max(list_cosine_similarity(u, m)) filter (nm = "label") - max(list_cosine_similarity(u, m)) filter (nm <> "label"), 6) margin from u, m group by 1""",
     "join_tree_window": f"with recursive {PATHS}, lf as (select path, row_number() over (order by path[1], array_to_string(path, '/')) - 1 p from paths where id not in (select parent from nodes where parent is not null)), x as (select unnest(path) id, p from lf) select id, min(p) lo, max(p) hi from x where id not like 'c%' group by 1",
     "log_check": f"with {IDENTS}, a as (select count(*) gone from orders where o_orderkey % 4 = 1), b as (select count(distinct id) logged from idents where id % 4 = 1 and seq = 1) select gone, logged, abs(gone - logged) <= 0.02 * gone fine from a, b",

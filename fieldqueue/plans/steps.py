@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from fieldqueue.functions.hashing import hmac_sha256
 from fieldqueue.operators import analysis, batches, facets, geo, ordering, state
 from fieldqueue.plans.batching import ARMS, KEY, build_batches, hmac_sql
+from fieldqueue.plans.batching import ORACLE as BATCHES
 from fieldqueue.plans.counting import COLS, pairs
-from fieldqueue.plans.relations import AT, cells, places
+from fieldqueue.plans.relations import AT, NEAR, cells, places
 from fieldqueue.plans.similarity import BASE, SCORES, rows, scores
 from fieldqueue.plans.views import IDENTS, PAIRS, POOL, RANKS, SERVED, WINDOW, idents, pool, served
 from fieldqueue.sources import tables
@@ -341,6 +342,9 @@ def near_cells(s, d):
     return p.select("id", F.round(geo.haversine(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon")), 4).alias("great"), F.round(geo.chord_km(chord), 4).alias("by_chord"), F.round(F.sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by)), 4).alias("plane"))
 
 
+B = f"""b as ({BATCHES['build_batches']}), l as (select case arm when 'control' then 'A' when 'novelty' then 'B' else 'C' end "label", "group", regexp_extract(batch_id, '([^-]+)$', 1)::BIGINT batch_index, "position", id from b)"""
+LEVELED = SCORES + """, lv as (select id, case when margin < 0 then 'mislabel' when margin < 0.05 then 'narrow' else 'easy' end "level", round(margin, 9) score from sc where own is not null),
+    rk as (select id, "level", row_number() over (partition by "level" order by case when "level" in ('mislabel', 'taxonomist', 'weird') then score else -score end, id desc) - 1 place, count(*) over (partition by "level") m from lv)"""
 #: Each query by its name, with the SQL that gives the same rows.
 ENTRIES = {
     "scan_pool": (lambda s, d: tables.checked(pool(s, d), ["id", "grp", "created_at"]).select("id", "grp", "created_at"), f"with {POOL} select id, grp, created_at from pool"),
@@ -362,7 +366,7 @@ ENTRIES = {
     "scope": (scope, "select p_partkey id, case when list_has_any(string_split(p_type, ' '), ['STANDARD', 'BRASS']) then true when p_size % 3 <> 0 then false end member from part"),
     "nibble": (lambda s, d: idents(s, d).groupBy("id").agg(F.count("*").alias("n")).select("id", facets.nibble(F.col("n") * 3 - 4).alias("nibble")), f"with {IDENTS} select id, least(greatest(count(*) * 3 - 4, 0), 15)::INT nibble from idents group by 1"),
     "observer_users": (lambda s, d: idents(s, d).select("id", "seq", F.when(F.col("user_id").between(1, 2**32 - 1), F.col("user_id")).otherwise(0).alias("user_id")), f"with {IDENTS} select id, seq, coalesce(user_id, 0) user_id from idents"),
-    "identify_url": (batch_urls, None),
+    "identify_url": (batch_urls, f"with {B} select batch_id, 'https://example.org/review?id=' || string_agg(id::VARCHAR, ',' order by id) url from b group by 1"),
     "photo_alt": (lambda s, d: table(s, d, "pages").select("page_id", F.regexp_replace("url", "^https?://[^/]+", "https://mirror.example.org").alias("url")), "select page_id, regexp_replace(url, '^https?://[^/]+', 'https://mirror.example.org') url from pages"),
     "join_lookup_left": (lambda s, d: idents(s, d).select("id", "seq", "answer").join(state.first_wins(served(s, d).select("id", "arm", "position"), ["id"], [F.col("position")]).select("id", "arm"), "id", "left"), f"with {IDENTS}, {SERVED} select idents.id, seq, answer, arm from idents left join served using (id)"),
     "join_left_outcomes": (lambda s, d: served(s, d).select("id", "arm").join(pool(s, d).select("id", "status"), "id", "left").join(idents(s, d).groupBy("id").agg(F.count("*").alias("n")), "id", "left"), f"with {POOL}, {IDENTS}, {SERVED}, n as (select id, count(*) n from idents group by 1) select served.id, arm, status, n from served left join pool using (id) left join n using (id)"),
@@ -370,13 +374,13 @@ ENTRIES = {
     "join_inner_composite": (lambda s, d: pool(s, d).select("id", "grp", "status").join(pool(s, d).where("id % 3 <> 0").select("id", F.when(F.col("id") % 5 == 0, "moved").otherwise(F.col("grp")).alias("grp"), (F.col("id") * 2).alias("v")), ["id", "grp"]), f"with {POOL} select id, grp, status, id * 2 v from pool where id % 3 <> 0 and id % 5 <> 0"),
     "join_align_pair": (lambda s, d: pool(s, d).select("id", "grp").join(pool(s, d).where("id % 3 <> 0").select("id", F.when(F.col("id") % 5 == 0, "moved").otherwise(F.col("grp")).alias("grp"), F.lit(True).alias("found")), ["id", "grp"], "left").select("id", F.coalesce("found", F.lit(False)).alias("found")), f"with {POOL} select id, id % 3 <> 0 and id % 5 <> 0 found from pool"),
     "join_align_vec": (lambda s, d: pool(s, d).select("id").join(rows(s, d).select("id", "label"), "id", "left").groupBy(F.col("label").isNotNull().alias("embedded")).agg(F.count("*").alias("n"), F.sum("label").alias("labels")), f"with {POOL}, {BASE} select \"label\" is not null embedded, count(*) n, sum(\"label\")::BIGINT labels from pool left join r using (id) group by 1"),
-    "join_score": (lambda s, d: geo.nearest_cell(places(s, d), cells(s, d), 60.0).select("id", F.when(F.col("cell").isNotNull(), F.col("cell") % 7 / 7).alias("score")).groupBy(F.round("score", 6).alias("score")).agg(F.count("*").alias("n")), None),
+    "join_score": (lambda s, d: geo.nearest_cell(places(s, d), cells(s, d), 60.0).select("id", F.when(F.col("cell").isNotNull(), F.col("cell") % 7 / 7).alias("score")).groupBy(F.round("score", 6).alias("score")).agg(F.count("*").alias("n")), f"with {NEAR} select round(cell % 7 / 7, 6) score, count(*) n from near group by 1"),
     "join_range": (lambda s, d: state.range_counts(pool(s, d).where("id % 97 <> 0"), pool(s, d), 100), f"with {POOL} select id // 100 * 100 low, count(*) filter (id % 97 <> 0) mine, count(*) theirs from pool group by 1 having count(*) <> count(*) filter (id % 97 <> 0)"),
     "join_neighbors": (neighbour_rows, f"with {BASE}, x as (select id, unnest([0, 1, 2]) place, unnest([(id + 1) % 2500, (id * 3 + 1) % 2500, (id * 7 + 1) % 2500]) nb from r) select x.id, place, coalesce(r.id, -1) \"row\" from x left join r on r.id = nb"),
     "join_pairs_unordered": (unordered, "with k as (select distinct least(l_suppkey, l_partkey % 100) a, greatest(l_suppkey, l_partkey % 100) b from lineitem where l_linenumber = 1) select o_orderkey id, k.a is not null known from orders left join k on k.a = least(o_custkey % 100, o_orderkey % 100) and k.b = greatest(o_custkey % 100, o_orderkey % 100)"),
     "agg_first_nonnull": (lambda s, d: idents(s, d).groupBy("id").agg(F.min_by("user_id", F.when(F.col("user_id").isNotNull(), F.struct("created_at", "seq", "user_id"))).alias("user_id")), f"with {IDENTS} select id, arg_min(user_id, (created_at, seq, user_id)) filter (user_id is not null) user_id from idents group by 1"),
     "identifier_counts": (lambda s, d: analysis.by_arm(pairs(s, d).where("user_id % 2 = 0"), served(s, d).select("id", "arm"), ARMS), f"with {IDENTS}, {SERVED}, {PAIRS} select user_id, {COLS} from pairs join served using (id) where user_id % 2 = 0 group by 1"),
-    "signals_json": (signals, None),
+    "signals_json": (signals, f"with {BASE}, u as (select id // 50 batch, list_transform(v, lambda y: y / sqrt(list_dot_product(v, v))) u from r), e as (select batch, unnest(u) x, unnest(range(0, len(u))) i from u), t as (select batch, i, sum(x) s, count(*) n from e group by 1, 2) select batch, max(n) n, round(sqrt(sum(s * s)) / max(n), 4) cohesion from t group by 1"),
     "level_table": (consensus_levels, f"with {POOL}, {IDENTS}, n as (select id, count(*) a, count(*) filter (answer = 'N') k, max(answer) taxon from idents group by 1) select grp \"level\", count(*) n, round(avg((1 / a >= 0.3 and taxon <> 'N')::INT), 6) settled, round(avg(1 / a), 6) posterior, round(avg(k / a), 6) abstain from n join pool using (id) group by 1"),
     "describe_levels": (described, f"with {SCORES} select grp, count(*) filter (margin >= 0.05) easy, count(*) filter (margin >= 0 and margin < 0.05) narrow, count(*) filter (margin < 0) mislabel from sc where own is not null group by 1"),
     "cohort_levels": (cohort, f"with {POOL}, j as (select grp \"level\", id % 6 = 0 gone, id % 6 <> 0 and id % 4 = 0 changed from pool) select \"level\", count(*) n, count(*) filter (gone) \"left\", count(*) filter (changed) corrected, count(*) filter (gone or changed) changed_any from j group by 1"),
@@ -384,8 +388,8 @@ ENTRIES = {
     "over_totals": (over, f"with {POOL} select grp, date_trunc('month', created_at)::DATE \"month\", count(*) n from pool group by 1, 2 having count(*) > 30 + month(min(created_at)) * 2"),
     "coverage_taxonomy": (taxonomy_cover, "select p_brand brand, count(*) filter (p_size % 3 <> 0) complete, count(*) filter (p_size % 3 = 0) incomplete, count(*) filter (p_type like '%BRASS%') \"match\", count(*) filter (p_type not like '%BRASS%' and p_size % 3 <> 0) other, count(*) filter (p_type not like '%BRASS%' and p_size % 3 = 0) \"unknown\" from part group by 1"),
     "foodobs_counts": (evidence, f"select o_orderpriority, count(*) filter (o_orderstatus = 'F') done, count(*) filter (o_orderstatus = 'O' and o_totalprice > 100000) \"large\", count(*) filter (o_orderdate >= timestamp '{DAY}') late from orders group by 1"),
-    "win_rank_level": (lambda s, d: level_ranks(s, d).select("id", "level", "place"), None),
-    "win_pct_ceil": (lambda s, d: level_ranks(s, d).select("id", "pct"), None),
+    "win_rank_level": (lambda s, d: level_ranks(s, d).select("id", "level", "place"), f"with {LEVELED} select id, \"level\", place from rk"),
+    "win_pct_ceil": (lambda s, d: level_ranks(s, d).select("id", "pct"), f"with {LEVELED} select id, ceil(100 * (place + 1) / m)::INT pct from rk"),
     "win_perspecies": (per_species, f"with {POOL}, {IDENTS}, p as (select id, grp, max(answer) answer from idents join pool using (id) where seq = 1 group by 1, 2) select * from p qualify row_number() over (partition by grp, answer order by id desc) <= 3"),
     "win_vec_last": (lambda s, d: state.last_wins(parts_of_index(s, d), ["id"], [F.col("part")]).select("id", F.round("x", 6).alias("x")), f"with {BASE} select id, case when id % 2 = 0 then round(round(v[1]::DOUBLE, 6) + 1, 6) else round(v[1]::DOUBLE, 6) end x from r where id % 3 <> 0 or id % 2 = 0"),
     "index_append": (index_appended, f"with {BASE} select case when id % 3 <> 0 then 'a' else 'c' end part, count(*) n, sum(id)::BIGINT ids from r group by 1"),
@@ -401,18 +405,18 @@ ENTRIES = {
     "sample_kind": (lambda s, d: ordering.sample_strata(queue(s, d), ["relation", "grade"], 15, 21).select("id", "relation", "grade"), f"with {POOL}, q as (select id, (['same', 'corrected', 'coarsened', 'refined', 'none'])[id % 5 + 1] relation, case when status = 'F' then 'research' else 'needs_id' end grade from pool) select * from q qualify row_number() over (partition by relation, grade order by ('0x' || substr(md5('21:' || id), 1, 13))::BIGINT, id) <= 15"),
     "union_all": (lambda s, d: pool(s, d).select("id", "grp").unionByName(idents(s, d).select("id", "answer"), allowMissingColumns=True), f"with {POOL}, {IDENTS} select id, grp, null answer from pool union all select id, null, answer from idents"),
     "cdc_pull": (sided, f"with {POOL}, f as (select case when status in ('O', 'P') then 'kept' else 'gone' end side, created_at from pool where created_at > timestamp '{DAY}') select side, count(*) n, (select max(created_at) from f) newest from f group by 1"),
-    "served_append": (appended, None),
-    "sink_served": (lambda s, d: day_log(s, d).groupBy("build_date", "label", "group").agg(F.count("*").alias("n"), F.max("batch_index").alias("last")), None),
-    "replay": (replayed, None),
-    "sink_study": (study, None),
+    "served_append": (appended, f"with {B}, d as (select '2026-01-01' build_date, \"label\", id from l union all select '2026-01-02', \"label\", id from l where id % 3 = 0) select build_date, \"label\", count(*) n, sum(id)::BIGINT ids from d group by 1, 2"),
+    "sink_served": (lambda s, d: day_log(s, d).groupBy("build_date", "label", "group").agg(F.count("*").alias("n"), F.max("batch_index").alias("last")), f"with {B} select build_date, \"label\", \"group\", count(*) n, max(batch_index) \"last\" from l, (values ('2026-01-01'), ('2026-01-02')) t(build_date) group by 1, 2, 3"),
+    "replay": (replayed, f"with {B} select arm side, count(*) \"count\" from b group by 1"),
+    "sink_study": (study, f"with {B} select \"label\", \"group\", batch_index, string_agg(id::VARCHAR, ',' order by \"position\") ids from l group by 1, 2, 3"),
     "align_consensus": (aligned, "with p as (select p_partkey id, string_split(p_type, ' ') path, p_size k from part), x as (select id, case when k % 7 = 0 then ['X'] else path[1:k % 2 + 1] end con, path[1:k % 3 + 1] ref from p) select id, array_to_string(case when len(con) > len(ref) and con[1:len(ref)] = ref then ref else con end, ' ') taxon, case when len(ref) > len(con) and ref[1:len(con)] = con then 0 else 0.9 end::DOUBLE posterior from x"),
     "ranks_notes": (lambda s, d: pool(s, d).select("id", "grp").join(pool(s, d).where("id % 3 = 0").select("id", F.concat(F.lit("note "), "id").alias("note")), "id", "left").select("id", F.when(F.col("grp") == "2-HIGH", F.col("note")).alias("note")), f"with {POOL} select id, case when grp = '2-HIGH' and id % 3 = 0 then 'note ' || id end note from pool"),
     "key_fp": (key_print, "select r_regionkey id, substr(sha256('key:' || r_name), 1, 12) print from region"),
     "labels_keyed": (letters, f"select r_name arm, substr('ABCDEFGH', (row_number() over (order by {hmac_sql('r_name')}))::INT, 1) \"label\" from region"),
     "stratified_deal": (lambda s, d: batches.deal_stratified(strata_of(s, d), ARMS, 4), f"with {POOL}, st as (select id, grp || '|' || (user_id % 3) stratum from pool), n as (select stratum, row_number() over (order by stratum) - 1 start from (select distinct stratum from st)), r as (select id, stratum, start, row_number() over (partition by stratum order by md5('4:' || stratum || ':' || id), id) - 1 at_ from st join n using (stratum)) select id, (['control', 'novelty', 'recency'])[((start + at_) % 3 + 1)::INT] arm, stratum from r"),
     "geo_xyz": (lambda s, d: places(s, d).select("id", *[F.round(x, 9).alias(n) for n, x in zip("xyz", geo.unit_sphere(F.col("lat"), F.col("lon")))]), f"with p as (select c_custkey id, {AT.format(k='c_custkey', a=7, b=13)} from customer) select id, round(cos(radians(lat)) * cos(radians(lon)), 9) x, round(cos(radians(lat)) * sin(radians(lon)), 9) y, round(sin(radians(lat)), 9) z from p"),
-    "geo_chord": (lambda s, d: near_cells(s, d).select("id", "by_chord"), None),
-    "geo_haversine": (lambda s, d: near_cells(s, d).select("id", "great"), None),
+    "geo_chord": (lambda s, d: near_cells(s, d).select("id", "by_chord"), f"with {NEAR}, q as (select near.id, p.lat a, p.lon o, c.lat ca, c.lon co from near join p using (id) join c using (cell)), h as (select id, sqrt(pow(cos(radians(a)) * cos(radians(o)) - cos(radians(ca)) * cos(radians(co)), 2) + pow(cos(radians(a)) * sin(radians(o)) - cos(radians(ca)) * sin(radians(co)), 2) + pow(sin(radians(a)) - sin(radians(ca)), 2)) ch from q) select id, round(2 * 6371.0088 * asin(least(ch / 2, 1)), 4) by_chord from h"),
+    "geo_haversine": (lambda s, d: near_cells(s, d).select("id", "great"), f"with {NEAR} select id, round(km, 4) great from near where cell is not null"),
     "geo_equirect": (lambda s, d: places(s, d).select("id", *[F.round(x, 6).alias(n) for n, x in zip("xy", geo.plane_km(F.col("lat"), F.col("lon")))]), f"with p as (select c_custkey id, {AT.format(k='c_custkey', a=7, b=13)} from customer) select id, round(lon * 111.32::DOUBLE * cos(radians(54)), 6) x, round(lat * 110.57::DOUBLE, 6) y from p"),
     "dates": (lambda s, d: table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise("bad").alias("t")).select("id", F.to_date(F.try_to_timestamp("t")).alias("day")), "select o_orderkey id, case when o_orderkey % 3 < 2 then o_orderdate::DATE end \"day\" from orders"),
     "hist_start": (lambda s, d: pool(s, d).agg(F.trunc(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.percentile(F.datediff("created_at", F.lit("1970-01-01").cast("date")), F.lit(0.005))).cast("int")), "YEAR").alias("start")), f"with {POOL} select date_trunc('year', date '1970-01-01' + floor(quantile_cont(date_diff('day', date '1970-01-01', created_at::DATE), 0.005))::INT)::DATE start from pool"),

@@ -98,7 +98,7 @@ QUERIES = {
     "win_known": lambda s, d: scores(s, d).select("id", (F.count("*").over(Window.partitionBy("other_label")) >= 20).alias("known")),
     "tail_prob": tails,
     "prior": priors,
-    "level_stats": lambda s, d: tables.cluster_bootstrap(pool(s, d).withColumn("y", (F.col("status") == "F").cast("int")), "user_id", "grp", "y", 100, 3).select("grp", *[F.round(c, 6).alias(c) for c in ("rate", "low", "high")]),
+    "level_stats": lambda s, d: tables.cluster_bootstrap(pool(s, d).withColumn("y", (F.col("status") == "F").cast("int")), "user_id", "grp", "y", 1000, 3).select("grp", *[F.round(c, 6).alias(c) for c in ("rate", "low", "high")]),
     "scores_delta": delta_scores,
     "merge_arm": lambda s, d: pool(s, d).where("id % 3 = 0").join(served(s, d).select("id", "arm"), "id", "left").select("id", F.when(F.col("arm").isNull(), F.raise_error(F.lit("a record has no arm")).cast("string")).otherwise(F.col("arm")).alias("arm")),
     "src_totals": lambda s, d: pool(s, d).groupBy("grp", "status", F.trunc("created_at", "MM").alias("month")).agg(F.count("*").alias("n")),
@@ -122,7 +122,7 @@ ORACLE = {
     "tail_prob": f"""with {PTS}, rf as (select * from cl where id % 3 <> 0), den as (select a.id, a.k, a.id % 3 = 0 asked, round(coalesce(sum(exp(-(pow(a.x - r.x, 2) + pow(a.y - r.y, 2)) / 50)), 0), 9) dn from cl a left join rf r on r.k = a.k and r.id <> a.id and abs(a.gx - r.gx) <= 1 and abs(a.gy - r.gy) <= 1 group by 1, 2, 3),
         n as (select k, count(*) n from rf group by 1) select a.id, round(case when coalesce(n, 0) < 5 then 1 else (select count(*) from den b where b.k = a.k and not b.asked and b.dn >= a.dn) / n end, 6) tail from den a left join n using (k) where asked""",
     "prior": "with f as (select p_type, avg((p_size > 25)::INT) a from part group by 1 having count(*) >= 30), c as (select p_brand, avg((p_size > 25)::INT) b from part group by 1 having count(*) >= 30) select p_partkey id, round(coalesce(a, b), 6) prior from part left join f using (p_type) left join c using (p_brand)",
-    "level_stats": f"""with {POOL}, c as (select user_id, grp, count(*) filter (status = 'F') k, count(*) n from pool group by 1, 2), u as (select c.*, rep, ('0x' || substr(md5('3:' || rep || ':' || user_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE u from c, range(1, 101) t(rep)),
+    "level_stats": f"""with {POOL}, c as (select user_id, grp, count(*) filter (status = 'F') k, count(*) n from pool group by 1, 2), u as (select c.*, rep, ('0x' || substr(md5('3:' || rep || ':' || user_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE u from c, range(1, 1001) t(rep)),
         w as (select *, case when u < 0.367879441 then 0 when u < 0.735758882 then 1 when u < 0.919698603 then 2 when u < 0.981011843 then 3 when u < 0.996340153 then 4 when u < 0.999405815 then 5 else 6 end w from u), r as (select grp, rep, sum(w * k) / sum(w * n) r from w group by 1, 2), a as (select grp, sum(k) / sum(n) rate from c group by 1)
         select grp, round(rate, 6) rate, round(quantile_cont(r, 0.025), 6) low, round(quantile_cont(r, 0.975), 6) high from r join a using (grp) group by grp, rate""",
     "scores_delta": f"with {POOL}, {DELTA} select id, grp, 'base' origin from valid union all select id, grp, 'new' from pool where id not in (select id from valid)",

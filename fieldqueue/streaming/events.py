@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -44,14 +45,20 @@ def upsert_stream(changes: DataFrame, path: str, checkpoint: str, key: str = "id
     return changes.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: Milliseconds of event time for which a record without new votes is remembered, unless told otherwise.
+KEEP = 365 * 86_400_000
 GRADE = "id long, reached timestamp, n long, agree long"
 
 
-def grade_reached(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-    """When a record first has two votes for one answer that are more than two thirds of all; one row a record."""
+def grade_reached(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState, keep: int = KEEP) -> Iterator[pd.DataFrame]:
+    """When a record first has two votes for one answer that are more than two thirds of all; one row a record, unless it had been forgotten."""
+    if held.hasTimedOut:
+        held.remove()
+        return
     done, votes = held.get if held.exists else (False, {})
-    votes = dict(votes)
+    votes, last = dict(votes), held.getCurrentWatermarkMs()
     for rows in batches:
+        last = max(last, int(rows["ts"].max().timestamp() * 1000))
         for at, answer in rows.sort_values("ts")[["ts", "answer"]].itertuples(index=False):
             if done:
                 break
@@ -61,8 +68,13 @@ def grade_reached(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState)
                 done = True
                 yield pd.DataFrame({"id": [key[0]], "reached": [at], "n": [n], "agree": [most]})
     held.update((done, votes))
+    held.setTimeoutTimestamp(last + keep)
 
 
-def grades(votes: DataFrame) -> DataFrame:
-    """Rows (id, ts, answer) as they come; a record's row as soon as its grade is reached. State: one count an answer."""
-    return votes.groupBy("id").applyInPandasWithState(grade_reached, GRADE, "done boolean, votes map<string, long>", "append", GroupStateTimeout.NoTimeout)
+def grades(votes: DataFrame, late: str = "1 day", keep: int = KEEP) -> DataFrame:
+    """Rows (id, ts, answer) as they come; a record's row as soon as its grade is reached.
+
+    State: one count an answer, until the watermark is `keep` milliseconds beyond the record's last vote.
+    """
+    reached = partial(grade_reached, keep=keep)
+    return votes.withWatermark("ts", late).groupBy("id").applyInPandasWithState(reached, GRADE, "done boolean, votes map<string, long>", "append", GroupStateTimeout.EventTimeTimeout)

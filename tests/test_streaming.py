@@ -49,3 +49,10 @@ def test_grade_is_reached_once(spark, tmp_path):
     rows = [[(1, at(0), "a"), (2, at(0), "a")], [(1, at(1), "b"), (2, at(1), "a")], [(1, at(2), "a"), (1, at(3), "a"), (1, at(4), "a"), (2, at(5), "a")]]
     got = collected(spark, events.grades(stream(spark, tmp_path, rows, "id long, ts timestamp, answer string")), tmp_path, "grades")
     assert sorted((r[0], r[2], r[3]) for r in got) == [(1, 4, 3), (2, 2, 2)]
+
+
+def test_grades_forget_records_without_votes(spark, tmp_path):
+    at = lambda d: T0 + timedelta(days=d)
+    rows = [[(1, at(0), "a")], [(2, at(50), "b")], [(2, at(51), "b")], [(1, at(52), "a")]]
+    got = collected(spark, events.grades(stream(spark, tmp_path, rows, "id long, ts timestamp, answer string"), "1 hour", 5 * 86_400_000), tmp_path, "forgotten")
+    assert [r[0] for r in got] == [2]
