@@ -8,29 +8,51 @@ from pyspark.sql import functions as F
 from fieldqueue.sources.shared import kept
 
 
-def consensus(answers: DataFrame, rounds: int = 10) -> DataFrame:
+def consensus(answers: DataFrame, rounds: int = 10, planted: DataFrame | None = None, tolerance: float = 0.0) -> DataFrame:
     """(record, label, posterior, accuracy_sum): the likeliest label of every record, from rows (login, record, label).
 
     One accuracy a login, with one imagined right and one wrong answer; wrong answers spread evenly over the
     labels seen. Each round weighs a record's labels by its answers' logins and counts each login's expected
-    right answers; both are sums by key, and rounds are cut apart by written tables.
+    right answers; both are sums by key, and rounds are cut apart by written tables. The label of a planted record (rows
+    record, label) is held as known while logins are weighed. Rounds end early once no accuracy moves by more than the
+    tolerance, if there is one.
     """
+    known = None if planted is None else planted.select("record", F.col("label").alias("_truth"))
     a = answers.groupBy("login", "record", "label").agg(F.count("*").alias("k"))
     labels = a.select("label").distinct().count()
     seen = a.select("record", F.col("label").alias("guess")).distinct()
     pairs = kept(a.join(seen, "record"))
     skill = a.select("login").distinct().withColumn("acc", F.lit(0.8))
     wrong = float(max(1, labels - 1))
-    for i in range(rounds + 1):
+    i = 0
+    while True:
         fit = F.when(F.col("label") == F.col("guess"), F.log("acc")).otherwise(F.log((1 - F.col("acc")) / wrong))
         like = pairs.join(skill, "login").groupBy("record", "guess").agg(F.sum(F.col("k") * fit).alias("l"))
         top = like.groupBy("record").agg(F.max("l").alias("m"))
         post = like.join(top, "record").withColumn("e", F.exp(F.col("l") - F.col("m")))
         post = post.join(post.groupBy("record").agg(F.sum("e").alias("z")), "record").select("record", "guess", (F.col("e") / F.col("z")).alias("p"))
-        if i == rounds:
+        if i >= rounds:
             break
+        if known is not None:
+            post = post.join(known, "record", "left").withColumn("p", F.when(F.col("_truth").isNull(), F.col("p")).otherwise((F.col("_truth") == F.col("guess")).cast("double"))).drop("_truth")
         right = pairs.where("label = guess").join(post, ["record", "guess"]).groupBy("login").agg(F.sum(F.col("k") * F.col("p")).alias("r"))
         total = a.groupBy("login").agg(F.sum("k").alias("n"))
+        before = skill
         skill = kept(total.join(right, "login", "left").select("login", ((F.coalesce("r", F.lit(0.0)) + 1) / (F.col("n") + 2)).alias("acc")))
-    best = post.groupBy("record").agg(F.max(F.struct("p", "guess")).alias("b"))
+        if tolerance and (skill.join(before.withColumnRenamed("acc", "_was"), "login").agg(F.max(F.abs(F.col("acc") - F.col("_was")))).first()[0] or 0.0) <= tolerance:
+            rounds = i + 1
+        i += 1
+    best = post.groupBy("record").agg(F.max(F.struct(F.round("p", 9).alias("p"), "guess")).alias("b"))
     return best.select("record", F.col("b.guess").alias("label"), F.col("b.p").alias("posterior"))
+
+
+def held_out(answers: DataFrame, planted: DataFrame, threshold: float, folds: int = 2) -> DataFrame:
+    """(record, label, truth, wrong): settled consensus of planted records, fitted with their own truth withheld, fold by fold of a hash of the record."""
+    fold = F.pmod(F.crc32(F.col("record").cast("string")), F.lit(folds))
+    out = None
+    for k in range(folds):
+        found = consensus(answers, planted=planted.where(fold != k)).where(F.col("posterior") >= threshold)
+        mine = found.join(planted.where(fold == k).withColumnRenamed("label", "truth"), "record")
+        mine = mine.select("record", "label", "truth", (F.col("label") != F.col("truth")).cast("int").alias("wrong"))
+        out = mine if out is None else out.unionByName(mine)
+    return out

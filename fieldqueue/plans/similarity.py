@@ -73,7 +73,7 @@ QUERIES = {
     "nn_agreement": agreement,
     "order_novelty": novelty,
     "layout_place": layout,
-    "dawid_skene": lambda s, d: rounded(consensus.consensus(answers(s, d)), "posterior"),
+    "dawid_skene": lambda s, d: consensus.consensus(answers(s, d)).withColumn("posterior", F.round("posterior", 4)),
 }
 
 BASE = "r as (select vec_id id, \"label\", embedding::DOUBLE[] v from embeddings)"
@@ -84,6 +84,19 @@ o as (select id, u."label", u, [a - b for a, b in zip_(total, u)] rest from u le
 PROTO = PROTO.replace("[a - b for a, b in zip_(total, u)]", "list_transform(list_zip(total, u), lambda z: z[1] - z[2])")
 SCORES = PROTO + """, w as (select o.id, o."label", m."label" ol, list_cosine_similarity(u, total) c from o, m where m."label" <> o."label"), b as (select id, max(c) other, arg_max(ol, (c, -ol)) other_label from w group by 1),
 s as (select id, o."label", list_cosine_similarity(u, rest) own, other, other_label from o join b using (id)), sc as (select *, own - other margin, greatest(own, other) top, "label" % 3 grp from s)"""
+
+
+def skene_sql(rounds: int) -> str:
+    """The rounds of consensus() one after another, each a materialised step."""
+    steps = ["""a as materialized (select l_suppkey login, l_orderkey record, l_returnflag "label", count(*) k from lineitem group by 1, 2, 3)""", "n as (select greatest(1, count(distinct \"label\") - 1) wrong from a)", "p as materialized (select a.*, g.guess from a join (select distinct record, \"label\" guess from a) g using (record))", "tot as materialized (select login, sum(k) n from a group by 1)", "s0 as materialized (select login, 0.8::DOUBLE acc from tot)"]
+    for i in range(rounds + 1):
+        steps.append(f"l{i} as materialized (select record, guess, sum(k * case when \"label\" = guess then ln(acc) else ln((1 - acc) / (select wrong from n)) end) l from p join s{i} using (login) group by 1, 2)")
+        steps.append(f"q{i} as materialized (select record, guess, exp(l - max(l) over (partition by record)) / sum(exp(l)) over (partition by record) * exp(max(l) over (partition by record)) v from l{i})")
+        if i < rounds:
+            steps.append(f"s{i + 1} as materialized (select tot.login, (coalesce(r, 0) + 1) / (n + 2) acc from tot left join (select login, sum(k * v) r from p join q{i} using (record, guess) where \"label\" = guess group by 1) using (login))")
+    return "with " + ", ".join(steps) + f" select record, max((round(v, 9), guess))[2] \"label\", round(max((round(v, 9), guess))[1], 4) posterior from q{rounds} group by 1"
+
+
 ORACLE = {
     "proto_loo": f"with {SCORES} select id, round(own, 6) own, round(other, 6) other, other_label from sc",
     "levels_assign": f"""with {SCORES}, x as (select *, case when id % 7 < 2 then 'genus' else 'species' end rank from sc), sp as (select * from x where rank = 'species' and own is not null and other is not null),
@@ -95,6 +108,7 @@ ORACLE = {
         case when "level" in ('taxonomist', 'mislabel') then other_label when "level" = 'narrow' then "label" end::INT looks_like, case when "level" = 'narrow' then ("label" + 1) % 10 end::INT runner_up from l""",
     "confused_pairs": f"with {SCORES} select \"label\", other_label, count(*) n from sc where margin < 0 group by 1, 2",
     "batch_signals": f"with {BASE}, u as (select id // 50 batch, list_transform(v, lambda y: y / sqrt(list_dot_product(v, v))) u from r), e as (select batch, unnest(u) x, unnest(range(0, len(u))) i from u), t as (select batch, i, sum(x) s, count(*) n from e group by 1, 2) select batch, max(n) n, round(sqrt(sum(s * s)) / max(n), 6) cohesion from t group by 1",
+    "dawid_skene": skene_sql(10),
     "unit": f"with {BASE} select id, round(list_max(list_transform(v, lambda y: y / sqrt(list_dot_product(v, v)))), 6) largest from r",
     "topk_cosine": f"with {NB} select id, place::INT place, nb from nbs",
     "nn_agreement": f"with {NB} select nbs.id, floor(avg((a.\"label\" = b.\"label\")::INT) * 12 + 0.5)::INT twelfths from nbs join r a on a.id = nbs.id join r b on b.id = nbs.nb group by 1",
