@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from fieldqueue.llm.lean import lean
 from fieldqueue.llm.shared import kept
 
-#: Trees, bits of a hash string; matches in all trees together at which a query's ascent ends: a share of the rows, but never more than MOST.
-TREES, BITS, SHARE, MOST = 32, 32, 0.6, 1 << 15
+#: Trees, bits of a hash string; matches in all trees together at which a query's ascent ends: SHARE times the rows, each of which may match in several trees, but never more than MOST.
+TREES, BITS, SHARE, MOST = 32, 32, 2.0, 1 << 16
 #: Rows of a block that one task reads at a time, about.
 BLOCK = 8192
 SEED = 20240517
@@ -117,7 +117,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
 
     TREES trees each sort the vectors by a long hash string. A query descends each tree to its longest prefix
     match; then all trees ascend together, a shorter common prefix at a time, until the matches of all trees
-    together are SHARE of the rows or MOST, whichever is less, and the nearest of all matches are the result.
+    together are SHARE times the rows or MOST, whichever is less, and the nearest of all matches are the result.
     So a query's work doesn't grow with the table beyond MOST matches, or twice as many since the last step up
     may double them; only a prefix that more rows share in all its bits is searched whole.
 
