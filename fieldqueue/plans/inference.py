@@ -75,13 +75,16 @@ D = C + ", d as (select arm, x::DOUBLE x, c::DOUBLE c, (x - c)::DOUBLE d from (s
 
 
 def flip_sql(source: str, seed: int) -> str:
-    """CTEs from rows (arm, d): tt (arm, total, n), and pv (arm, p) by random signs where there are more than twelve differences."""
+    """CTEs from rows (arm, d): tt (arm, total, n), and pv (arm, total, p) by all signs of up to twelve differences, and by random signs of more."""
     return f"""tt as (select arm, sum(d) total, count(*) filter (d <> 0) n from {source} group by 1),
     sz as (select arm, abs(d) v, count(*) m from {source} where d <> 0 group by 1, 2),
     wd as (select *, unnest(range(0, (m - 1) // 60 + 1)) word from sz),
     cn as (select arm, rep, v, least(60, m - 60 * word) k, bit_count(('0x' || substr(md5('{seed}:' || rep || ':' || round(v * 1e9)::BIGINT || ':' || word), 1, 15))::BIGINT & ((1::BIGINT << least(60, m - 60 * word)::INT) - 1)) ones from wd, range(1, {REPS} + 1) r(rep)),
     sm as (select arm, rep, sum(v * (2 * ones - k)) s from cn group by 1, 2),
-    pv as (select arm, total, (count(*) filter (abs(s) >= abs(total) - 1e-9) + 1) / {float(REPS + 1)}::DOUBLE p from sm join tt using (arm) where n > 12 group by 1, 2)"""
+    fw as (select arm, list(abs(d)) v from {source} where d <> 0 group by 1 having count(*) <= 12), fc as (select arm, v, unnest(range(0, 1 << len(v)::INT)) code from fw),
+    fs as (select arm, total, list_sum(list_transform(range(1, len(v) + 1), lambda i: case when (code >> (i - 1)) & 1 = 1 then v[i] else -v[i] end)) s from fc join tt using (arm)),
+    pv as (select arm, total, (count(*) filter (abs(s) >= abs(total) - 1e-9) + 1) / {float(REPS + 1)}::DOUBLE p from sm join tt using (arm) where n > 12 group by 1, 2
+        union all select arm, total, avg((abs(s) >= abs(total) - 1e-9)::INT) from fs group by 1, 2 union all select arm, total, 1 from tt where n = 0)"""
 
 
 SIGN = "case when up + down = 0 then 1 else least(1, 2 * list_sum(list_transform(range(0, least(up, down) + 1), lambda i: exp(lgamma(up + down + 1) - lgamma(i + 1) - lgamma(up + down - i + 1) - (up + down) * ln(2))))) end"

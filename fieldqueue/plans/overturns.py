@@ -76,7 +76,7 @@ NAMES = "['none', 'easy', 'taxonomist', 'narrow', 'weird', 'mislabel']"
 I = """i as (select l_orderkey id, l_linenumber::BIGINT * 1000000000000 + l_partkey * 100000 + l_suppkey seq, l_linenumber % 3 = 1 own, l_linenumber % 5 <> 0 cur, case when l_tax < 0.03 then true when l_tax < 0.07 then false end vision, l_shipdate created_at,
     case when l_linenumber % 4 <> 0 then l_returnflag || l_linestatus else l_returnflag end taxon, case when l_linenumber % 4 <> 0 then [l_returnflag] else []::VARCHAR[] end anc, case when l_linenumber % 4 <> 0 then 'species' else 'genus' end rank,
     case when l_suppkey % 13 <> 0 then l_suppkey * 7 % 1500 end user_idents, 'u' || (l_suppkey % 3) "user" from lineitem),
-    f as (select id, min((created_at, seq)) k from i where own and created_at is not null group by 1), fo as (select i.id, created_at f_at, taxon f_taxon, anc f_anc, rank f_rank, vision f_vision from i join f on i.id = f.id and i.seq = f.k[2] and i.own),
+    f as (select id, min((created_at, seq, taxon, anc, rank, coalesce(vision::INT, -1))) k from i where own and created_at is not null group by 1), fo as (select id, k[1] f_at, k[3] f_taxon, k[4] f_anc, k[5] f_rank, case k[6] when 1 then true when 0 then false end f_vision from f),
     o as (select * from i where not own and cur)"""
 SC = I + f""", tp as (select id, taxon, count(*) n from i where cur group by 1, 2), ct as (select id, max((n, taxon)) b from tp group by 1), r as (select o_orderkey id, o_orderpriority grp, case when o_orderkey % 9 = 0 then 'casual' else 'needs_id' end quality, o_orderdate created_at, o_custkey % 1200 observer_idents, case when b[1] >= 2 then b[2] end ct from orders left join ct on id = o_orderkey),
     h as (select o.id, count(*) others, bool_or(coalesce(taxon = ct and (taxon = f_taxon or list_contains(anc, f_taxon)), false)) upheld from o join fo using (id) join r using (id) group by 1),
