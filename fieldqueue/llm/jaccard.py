@@ -20,7 +20,7 @@ WORDS, LEAST = 5, 80
 #: Shingles gathered in a task before they are counted or sent on; a shingle is frequent if tasks that saw it LOCAL times saw it FREQUENT times in all, and so many of them at most are broadcast (16 bytes each).
 GATHER, LOCAL, FREQUENT, BROADCAST = 1 << 20, 4, 64, 1 << 19
 #: Shingles of a bucket, about.
-BUCKET = 3 << 19
+BUCKET = 1 << 21
 #: Classes in a strip of the product: a cluster is cut into SPLIT strips, but none of fewer than FINE or more than STRIP; bits of the filter that keeps documents without partners off the network.
 FINE, SPLIT, STRIP, FILTER_BITS = 128, 16, 4096, 1 << 24
 #: Classes that a task remembers to have sent.
