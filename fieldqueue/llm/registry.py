@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldqueue.llm import decontaminate, hosts, importance, jaccard, langmodel, language, lines, mixing, neighbours, private, tokencount, toxicity
+from fieldqueue.llm import decontaminate, hosts, importance, jaccard, langmodel, language, lexical, lines, mixing, neighbours, private, tokencount, toxicity
 from fieldqueue.sources.tables import table
 
 
@@ -22,10 +22,11 @@ QUERIES = {
     "op9_hash_forest": lambda spark, sf_dir: neighbours.op9_hash_forest(table(spark, sf_dir, "embeddings")),
     "op10_language_id": over_documents(language.op10_language_id),
     "op11_importance_resampling": lambda spark, sf_dir: importance.op11_importance_resampling(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+    "op12_lexical_search": lambda spark, sf_dir: lexical.op12_lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op13_host_reputation": lambda spark, sf_dir: hosts.op13_host_reputation(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")),
 }
 
-ORACLE = {"op3_line_windows": lines.ORACLE, "op8_pareto_mix": mixing.ORACLE, "op11_importance_resampling": importance.ORACLE, "op13_host_reputation": hosts.ORACLE}
+ORACLE = {"op3_line_windows": lines.ORACLE, "op8_pareto_mix": mixing.ORACLE, "op11_importance_resampling": importance.ORACLE, "op12_lexical_search": lexical.ORACLE, "op13_host_reputation": hosts.ORACLE}
 
 
 def queries() -> dict:
