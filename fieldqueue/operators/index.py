@@ -1,9 +1,8 @@
-"""An inverted-file index with product quantisation, and batches grown by similarity."""
+"""Batches grown by similarity."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -12,17 +11,6 @@ from pyspark.sql import functions as F
 
 from fieldqueue.sources.shared import kept
 
-#: Vectors that training reads at most.
-SAMPLE = 1 << 16
-
-
-@dataclass
-class Codebooks:
-    """Centres of the lists, and of each part of the residuals."""
-
-    lists: np.ndarray
-    parts: np.ndarray
-
 
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-30)
@@ -33,135 +21,11 @@ def assign(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return ((centres * centres).sum(1) / 2 - x @ centres.T).argmin(1)
 
 
-def k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
-    """Lloyd's rounds from seeded rows; an empty centre is dealt a random row."""
-    centres = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
-    for _ in range(rounds):
-        own = assign(x, centres)
-        n = np.bincount(own, minlength=len(centres))
-        for d in range(x.shape[1]):
-            centres[:, d] = np.bincount(own, x[:, d], len(centres)) / np.maximum(n, 1)
-        for c in np.flatnonzero(n == 0):
-            centres[c] = x[rng.integers(len(x))]
-    return centres
-
-
-def train(rows: DataFrame, lists: int, parts: int, codes: int = 256, seed: int = 0) -> Codebooks:
-    """Codebooks from a sample by hash of the id of about SAMPLE rows (id, v); every row is indexed later."""
-    n = rows.count()
-    picked = rows.where(F.pmod(F.xxhash64(F.lit("train"), F.col("id")), F.lit(1 << 30)) < min(1.0, SAMPLE / max(1, n)) * (1 << 30))
-    x = np.array([r["v"] for r in picked.select("v").collect()], np.float64)
-    rng, x = np.random.default_rng(seed), unit(x)
-    centres = k_means(x, lists, rng)
-    rest = x - centres[assign(x, centres)]
-    return Codebooks(centres, np.stack([k_means(p, codes, rng) if len(rest) > codes else np.resize(p, (codes, p.shape[1])) for p in np.split(rest, parts, 1)]))
-
-
-def encoded(rows: DataFrame, books: Codebooks) -> DataFrame:
-    """(id, list, codes) of every row."""
-    shared = rows.sparkSession.sparkContext.broadcast(books)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b = shared.value
-        for batch in batches:
-            x = unit(np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, -1))
-            own = assign(x, b.lists)
-            rest = np.split(x - b.lists[own], len(b.parts), 1)
-            codes = np.stack([assign(p, c) for p, c in zip(rest, b.parts)], 1).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], ["id", "list", "codes"])
-
-    return rows.select("id", "v").mapInArrow(run, "id long, list int, codes binary")
-
-
-def search(index: DataFrame, rows: DataFrame, queries: DataFrame, books: Codebooks, k: int, probe: int, shortlist: int, split: int = 50_000) -> DataFrame:
-    """(id, place, nb, cos): each query's nearest `shortlist` by code in its `probe` lists, rescored by their vectors, the k best.
-
-    A list of more than `split` rows is read in parts, and its queries go to each.
-    """
-    shared = rows.sparkSession.sparkContext.broadcast(books)
-    sizes = index.groupBy("list").agg(F.ceil(F.count("*") / split).cast("int").alias("parts"))
-    sizes = F.broadcast(sizes)  # one row a list of the codebook
-
-    def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b = shared.value
-        for batch in batches:
-            q = unit(np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, -1))
-            near = np.argsort(-(q @ b.lists.T), 1)[:, :probe].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near.tolist(), pa.list_(pa.int32()))], ["id", "v", "lists"])
-
-    asked = queries.select("id", F.transform("v", lambda x: x.cast("double")).alias("v")).mapInArrow(probed, "id long, v array<double>, lists array<int>")
-    asked = asked.select("id", "v", F.explode("lists").alias("list")).join(sizes, "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    data = index.join(sizes, "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    both = asked.select("list", "part", "id", "v", F.lit(None).cast("binary").alias("codes")).unionByName(data.select("list", "part", "id", F.lit(None).cast("array<double>").alias("v"), "codes"))
-
-    def scan(table: pa.Table) -> pa.Table:
-        b, t = shared.value, table.combine_chunks()
-        ids, codes = np.asarray(t.column("id")), t.column("codes")
-        is_query = np.asarray(codes.is_null())
-        out: list[tuple[int, int, float]] = []
-        if (~is_query).any():
-            c = np.frombuffer(b"".join(x for x in codes.to_pylist() if x is not None), np.uint8).reshape(-1, len(b.parts))
-            own, base = ids[~is_query], b.lists[t.column("list")[0].as_py()]
-            vectors = t.column("v").to_pylist()
-            for i in np.flatnonzero(is_query).tolist():
-                q = unit(np.array([vectors[i]]))[0]
-                table_of = np.stack([p @ s for p, s in zip(b.parts, np.split(q, len(b.parts)))])
-                score = q @ base + table_of[np.arange(len(b.parts)), c].sum(1)
-                score[own == ids[i]] = -np.inf
-                for j in np.argsort(-score, kind="stable")[:shortlist].tolist():
-                    if score[j] > -np.inf:
-                        out.append((int(ids[i]), int(own[j]), float(score[j])))
-        cols = list(zip(*out)) or [[]] * 3
-        return pa.Table.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["id", "nb", "approx"])
-
-    found = both.groupBy("list", "part").applyInArrow(scan, "id long, nb long, approx double")
-    first = F.row_number().over(Window.partitionBy("id").orderBy(F.col("approx").desc(), "nb"))
-    short = found.withColumn("_r", first).where(F.col("_r") <= shortlist).select("id", "nb")
-    from_vectors = rows.select(F.col("id").alias("nb"), F.col("v").alias("nv"))
-    rescored = short.join(queries.select("id", "v"), "id").join(from_vectors, "nb")
-    return best(rescored.select("id", "nb", cosine(F.col("v"), F.col("nv")).alias("cos")), k)
-
-
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def best(scored: DataFrame, k: int) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.round("cos", 12).desc(), "nb"))
-    return scored.withColumn("place", rank).where(F.col("place") <= k).select("id", "place", "nb", "cos")
-
-
-def grown_batches(rows: DataFrame, by: str, size: int, cap: int) -> DataFrame:
-    """(by, batch, id): the first `cap` rows of each group by score, in batches of `size` grown around far-apart seeds.
-
-    Seeds are drawn farthest first; each batch takes the rows nearest to its running centre. Growth is
-    sequential, so a group is one task, which the cap bounds.
-    """
-    first = F.row_number().over(Window.partitionBy(by).orderBy(F.col("score").desc_nulls_last(), "id"))
-    top = rows.withColumn("_r", first).where(F.col("_r") <= cap)
-
-    def grow(table: pa.Table) -> pa.Table:
-        t = table.combine_chunks().sort_by("id")
-        ids, x = np.asarray(t.column("id")), unit(np.array(t.column("v").to_pylist(), np.float64))
-        free = np.ones(len(ids), bool)
-        near = np.full(len(ids), -np.inf)
-        batch = np.zeros(len(ids), np.int32)
-        for number in range(-(-len(ids) // size)):
-            at = int(np.where(free, near if number else -x @ x.mean(0), np.inf).argmin())
-            centre = np.zeros(x.shape[1])
-            near = np.maximum(near, x @ x[at])
-            for _ in range(min(size, int(free.sum()))):
-                free[at], batch[at] = False, number
-                centre += x[at]
-                if free.any():
-                    at = int(np.where(free, x @ centre, -np.inf).argmax())
-        return pa.Table.from_arrays([t.column(by), pa.array(batch), t.column("id")], [by, "batch", "id"])
-
-    kind = rows.schema[by].dataType.simpleString()
-    return top.select(by, "id", F.transform("v", lambda x: x.cast("double")).alias("v")).groupBy(by).applyInArrow(grow, f"{by} {kind}, batch int, id long")
-
-
 #: Rows of a cell at most, about; centres a cell is split by at most; cells split at once; splits after which rows are dealt by hash.
 CELL, CENTRES, AT_ONCE, DEPTH = 2048, 16, 1000, 6
 

@@ -58,6 +58,17 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], name: str = "place
     return out.select("d.*", (F.col("n._before") + F.col("_within")).alias(name), *more).drop("_part", "_within")
 
 
+def summed_before(df: DataFrame, by: list[str], order: list[Column], weight: str, name: str) -> DataFrame:
+    """Adds the sum of `weight` over the rows of the group before each row; whole groups of any size, by ranges as in ranked()."""
+    d = kept(df.repartitionByRange(*[F.col(b) for b in by], *order).withColumn("_part", F.spark_partition_id()))
+    n = d.groupBy(*by, "_part").agg(F.sum(weight).alias("_n"))
+    n = n.withColumn("_before", F.sum("_n").over(Window.partitionBy(*by).orderBy("_part")) - F.col("_n"))
+    upto = Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    within = F.sum(weight).over(upto) - F.col(weight)
+    out = d.withColumn("_within", within).alias("d").join(n.alias("n"), same("d", "n", [*by, "_part"]))
+    return out.select("d.*", (F.col("n._before") + F.col("_within")).alias(name)).drop("_part", "_within")
+
+
 def top_share(df: DataFrame, by: str, score: str, share: float) -> DataFrame:
     """Adds `picked`: place from 1 over the group's size is at most the share (ties broken by id)."""
     r = ranked(df, [by], [F.col(score).desc_nulls_last(), F.col("id").asc()], "_r", "_m")

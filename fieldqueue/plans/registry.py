@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fieldqueue.plans import batching, clades, counting, indexing, inference, lists, overturns, relations, reviews, similarity, steps, summaries, upkeep
+from fieldqueue.plans import batching, bundles, clades, counting, indexing, inference, lists, overturns, relations, reviews, similarity, steps, summaries, surprises, upkeep
 
-MODULES = (batching, clades, counting, indexing, inference, lists, overturns, relations, reviews, similarity, steps, summaries, upkeep)
+MODULES = (batching, bundles, clades, counting, indexing, inference, lists, overturns, relations, reviews, similarity, steps, summaries, surprises, upkeep)
 
 
 def queries() -> dict:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fieldqueue.operators import analysis, ordering, review, tree, vectors
 from fieldqueue.plans.counting import pairs
 from fieldqueue.plans.relations import NODES, PATHS, nodes
-from fieldqueue.plans.similarity import BASE, NB, neighbours, rows
+from fieldqueue.plans.similarity import BASE, rows
 from fieldqueue.plans.views import IDENTS, PAIRS, POOL, SERVED, idents, pool, served
 from fieldqueue.sources.tables import table
 
@@ -85,15 +85,6 @@ def log_check(s, d):
     return gone.agg(F.count("*").alias("gone")).crossJoin(log.agg(F.count("*").alias("logged"))).withColumn("fine", F.abs(F.col("gone") - F.col("logged")) <= 0.02 * F.col("gone"))
 
 
-def recall(s, d):
-    """Share of the exact five neighbours that five of a coarse search, by the first 32 components alone, find."""
-    r = rows(s, d)
-    short = r.select("id", F.slice("v", 1, 32).alias("v"))
-    a = neighbours(s, d).groupBy("id").agg(F.collect_set("nb").alias("a"))
-    b = vectors.exact_neighbours(short.where("id % 10 = 0"), short, 5).groupBy("id").agg(F.collect_set("nb").alias("b"))
-    return a.join(b, "id").agg(F.round(F.avg(F.size(F.array_intersect("a", "b")) / 5), 6).alias("recall"))
-
-
 def clade_windows(s, d):
     """Places of the leaves below every region and nation."""
     return review.spans(tree.lineages(nodes(s, d))).where("id not like 'c%'")
@@ -112,7 +103,6 @@ QUERIES = {
     "text_margin": margins,
     "join_tree_window": clade_windows,
     "log_check": log_check,
-    "recall_at_k": recall,
     "own_ident": lambda s, d: idents(s, d).where(F.coalesce(F.col("user_id") != F.col("observer_id"), F.lit(True))).groupBy("rank").agg(F.count("*").alias("n")),
 }
 
@@ -132,6 +122,5 @@ ORACLE = {
         select id, round(max(list_cosine_similarity(u, m)) filter (nm = "label") - max(list_cosine_similarity(u, m)) filter (nm <> "label"), 6) margin from u, m group by 1""",
     "join_tree_window": f"with recursive {PATHS}, lf as (select path, row_number() over (order by path[1], array_to_string(path, '/')) - 1 p from paths where id not in (select parent from nodes where parent is not null)), x as (select unnest(path) id, p from lf) select id, min(p) lo, max(p) hi from x where id not like 'c%' group by 1",
     "log_check": f"with {IDENTS}, a as (select count(*) gone from orders where o_orderkey % 4 = 1), b as (select count(distinct id) logged from idents where id % 4 = 1 and seq = 1) select gone, logged, abs(gone - logged) <= 0.02 * gone fine from a, b",
-    "recall_at_k": f"with {NB}, y as (select a.id, b.id nb, list_cosine_similarity(a.v[1:32], b.v[1:32]) c from r a, r b where a.id % 10 = 0 and a.id <> b.id qualify row_number() over (partition by a.id order by round(c, 12) desc, b.id) <= 5), h as (select nbs.id, count(y.nb) k from nbs left join y on y.id = nbs.id and y.nb = nbs.nb group by 1) select round(avg(k / 5), 6) recall from h",
     "own_ident": f"with {IDENTS} select rank, count(*) n from idents where coalesce(user_id <> observer_id, true) group by 1",
 }

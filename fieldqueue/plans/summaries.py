@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fieldqueue.functions import scalars
-from fieldqueue.operators import ordering, state, tables
+from fieldqueue.operators import ordering, tables
 from fieldqueue.plans.counting import SCORED, scored
 from fieldqueue.plans.similarity import NB, SCORES, neighbours, scores
 from fieldqueue.plans.views import IDENTS, POOL, SERVED, idents, pool, served
@@ -23,45 +23,11 @@ def points(s, d):
     return c.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("key"), (F.col("c_custkey") * 7919 % 1000 / 10).alias("x"), (F.col("c_custkey") * 104729 % 1000 / 10).alias("y"))
 
 
-def tails(s, d):
-    p = points(s, d)
-    t = tables.kernel_tail(p.where("id % 3 <> 0"), p.where("id % 3 = 0"), 5.0)
-    return t.select("id", F.round("tail", 6).alias("tail"))
-
-
-def priors(s, d):
-    p = parts(s, d).select(F.col("p_partkey").alias("id"), F.col("p_type").alias("fine"), F.col("p_brand").alias("coarse"), (F.col("p_size") > 25).alias("done"))
-    return tables.prior(p, ["fine", "coarse"], 30).select("id", F.round("prior", 6).alias("prior"))
-
-
 def ecdf(s, d):
     days = scored(s, d).where("tested and overturned").select(F.datediff("next", "first_at").cast("double").alias("delay"))
     return tables.step_function(pool(s, d).select((F.col("id") % 400).cast("double").alias("age")), days).select("age", F.round("share", 6).alias("share"))
 
 
-def first_own(s, d):
-    """Each record's first identification, and the bin of its age in days at the end of the table."""
-    i = idents(s, d)
-    f = i.groupBy("id").agg(F.min("created_at").alias("at"))
-    end = i.agg(F.max("created_at").alias("end"))
-    age = f.crossJoin(F.broadcast(end)).withColumn("age", F.datediff("end", "at").cast("double"))  # one row is added to each
-    return age.select("id", scalars.right_closed(F.col("age"), [-1.0, 365.0, 730.0, 1460.0, 1e9], ["year", "two", "four", "older"]).alias("age"))
-
-
-def studied(s, d):
-    """A label's lists: ids in order of position, as text, no more than 5 a list."""
-    x = ordering.place(served(s, d), ["arm"], [F.col("position").asc(), F.col("id").asc()]).where("place < 5")
-    return x.groupBy("arm").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda r: r["id"].cast("string")), ",").alias("ids"))
-
-
-def block_sample(s, d):
-    """Blocks of 20 consecutive ids from seeded starts."""
-    ids = pool(s, d).select("id")
-    starts = s.createDataFrame([(i, x) for i, x in enumerate((100, 5000, 9000, 14990))], "block int, start long")
-    j = ids.join(F.broadcast(starts), ids["id"] > starts["start"])  # four starts
-    return ordering.place(j.where("id <= start + 2000"), ["block"], [F.col("id").asc()]).where("place < 20").select("block", "id")
-
-
 def delta_scores(s, d):
     """Scores of a base version where the record's name still agrees, else scored anew."""
     p = pool(s, d)
@@ -71,13 +37,6 @@ def delta_scores(s, d):
     return valid.unionByName(fresh)
 
 
-def replay(s, d):
-    """A list rebuilt from the log must have the same rows: what differs, none if all is well."""
-    log = served(s, d).select("id", "arm", "position")
-    rebuilt = served(s, d).repartition(5, "arm").select("id", "arm", "position")
-    return state.differences(log, rebuilt).groupBy("side").agg(F.count("*").alias("n"))
-
-
 def suggestions(s, d):
     n = parts(s, d).groupBy("p_type").agg(F.count("*").alias("n"))
     return n.where(F.contains(F.lower("p_type"), F.lit("st"))).orderBy(F.col("n").desc(), "p_type").limit(10)
@@ -96,8 +55,6 @@ QUERIES = {
     "margin_hist": lambda s, d: tables.histogram(scores(s, d), "grp", "margin", -0.5, 0.5, 20),
     "topk_pairs": lambda s, d: ordering.place(scores(s, d), ["label", "other_label"], [F.col("margin").asc(), F.col("id").asc()]).where("place < 3").select("id", "label", "other_label"),
     "win_known": lambda s, d: scores(s, d).select("id", (F.count("*").over(Window.partitionBy("other_label")) >= 20).alias("known")),
-    "tail_prob": tails,
-    "prior": priors,
     "level_stats": lambda s, d: tables.cluster_bootstrap(pool(s, d).withColumn("y", (F.col("status") == "F").cast("int")), "user_id", "grp", "y", 1000, 3).select("grp", *[F.round(c, 6).alias(c) for c in ("rate", "low", "high")]),
     "scores_delta": delta_scores,
     "merge_arm": lambda s, d: pool(s, d).where("id % 3 = 0").join(served(s, d).select("id", "arm"), "id", "left").select("id", F.when(F.col("arm").isNull(), F.raise_error(F.lit("a record has no arm")).cast("string")).otherwise(F.col("arm")).alias("arm")),
@@ -105,7 +62,6 @@ QUERIES = {
     "nn_lookup": lambda s, d: neighbours(s, d).where("place = 1").select("id", "nb"),
 }
 DELTA = "p as (select * from pool), base as (select id, case when id % 9 = 0 then 'other' else grp end grp from pool where id % 4 <> 0), valid as (select id, grp from base semi join pool using (id, grp))"
-PTS = "pts as (select c_custkey id, c_nationkey k, (c_custkey * 7919 % 1000) / 10.0::DOUBLE x, (c_custkey * 104729 % 1000) / 10.0::DOUBLE y from customer), cl as (select *, floor(x / 20) gx, floor(y / 20) gy from pts)"
 ORACLE = {
     "cell_blend": "select l_orderkey, l_linenumber, round(least(greatest(l_discount * 10 + l_tax * 6, 0), 1), 6) score from lineitem",
     "range_note": "with a as (select o_orderkey id, case when o_orderkey % 3 > 0 then o_orderkey % 3 = 1 end l, case when o_orderkey % 5 > 1 then o_orderkey % 5 > 2 end r from orders) select id, case when l is null or r is null then null when not l and not r then 'both out' when l and not r then 'label' when not l and r then 'other' end note from a",
@@ -119,9 +75,6 @@ ORACLE = {
     "margin_hist": f"with {SCORES} select grp, least(greatest(floor((margin + 0.5) / 0.05), 0), 19)::INT bin, count(*) n from sc where margin is not null group by 1, 2",
     "topk_pairs": f"with {SCORES} select id, \"label\", other_label from sc qualify row_number() over (partition by \"label\", other_label order by margin, id) <= 3",
     "win_known": f"with {SCORES} select id, count(*) over (partition by other_label) >= 20 known from sc",
-    "tail_prob": f"""with {PTS}, rf as (select * from cl where id % 3 <> 0), den as (select a.id, a.k, a.id % 3 = 0 asked, round(coalesce(sum(exp(-(pow(a.x - r.x, 2) + pow(a.y - r.y, 2)) / 50)), 0), 9) dn from cl a left join rf r on r.k = a.k and r.id <> a.id and abs(a.gx - r.gx) <= 1 and abs(a.gy - r.gy) <= 1 group by 1, 2, 3),
-        n as (select k, count(*) n from rf group by 1) select a.id, round(case when coalesce(n, 0) < 5 then 1 else (select count(*) from den b where b.k = a.k and not b.asked and b.dn >= a.dn) / n end, 6) tail from den a left join n using (k) where asked""",
-    "prior": "with f as (select p_type, avg((p_size > 25)::INT) a from part group by 1 having count(*) >= 30), c as (select p_brand, avg((p_size > 25)::INT) b from part group by 1 having count(*) >= 30) select p_partkey id, round(coalesce(a, b), 6) prior from part left join f using (p_type) left join c using (p_brand)",
     "level_stats": f"""with {POOL}, c as (select user_id, grp, count(*) filter (status = 'F') k, count(*) n from pool group by 1, 2), u as (select c.*, rep, ('0x' || substr(md5('3:' || rep || ':' || user_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE u from c, range(1, 1001) t(rep)),
         w as (select *, case when u < 0.367879441 then 0 when u < 0.735758882 then 1 when u < 0.919698603 then 2 when u < 0.981011843 then 3 when u < 0.996340153 then 4 when u < 0.999405815 then 5 else 6 end w from u), r as (select grp, rep, sum(w * k) / sum(w * n) r from w group by 1, 2), a as (select grp, sum(k) / sum(n) rate from c group by 1)
         select grp, round(rate, 6) rate, round(quantile_cont(r, 0.025), 6) low, round(quantile_cont(r, 0.975), 6) high from r join a using (grp) group by grp, rate""",
