@@ -96,7 +96,6 @@ QUERIES = {
     "kind_table": lambda s, d: majority(s, d).join(firsts(s, d), "record").groupBy("source", "first").agg(F.count("*").alias("n"), F.count_if(F.col("label") == F.col("first")).alias("confirmed")),
     "roll_up": lambda s, d: review.roll_up(candidates(s, d), tree.lineages(nodes(s, d)), 0.6).select("record", "taxon", F.round("p", 6).alias("p")),
     "refinements": refinements,
-    "tree_fill": lambda s, d: review.missing_ancestors(nodes(s, d).where("id not in ('n3', 'n7', 'r2')")),
     "filter_projects": masks,
     "win_recent_shard": shards,
     "win_value_rounds": lambda s, d: review.value_rounds(pool(s, d), "grp", F.when(F.col("status") == "F", 1).when(F.col("status") == "O", 2), F.col("user_id") % 50, 5).select("id", "grp", "place"),
@@ -114,7 +113,6 @@ ORACLE = {
     "roll_up": f"""with recursive {PATHS}, k as (select o_orderkey // 3 record, 'c' || o_custkey taxon, count(*) k from orders group by 1, 2), c as (select *, k / sum(k) over (partition by record) p from k), x as (select record, p, path, unnest(range(0, len(path))) depth from c join paths on id = taxon),
         s as (select record, depth, path[depth + 1] node, sum(p) p from x group by 1, 2, 3 having sum(p) >= 0.6::DOUBLE - 1e-9), b as (select record, max((depth, p, node)) b from s group by 1) select record, b[3] taxon, round(b[2], 6) p from b""",
     "refinements": f"with recursive {PATHS} select o_orderkey id, case when list_contains(path, 'n' || (o_orderkey % 25)) then 'n' || (o_orderkey % 25) else 'c' || o_custkey end taxon from orders left join paths on id = 'c' || o_custkey",
-    "tree_fill": f"with {NODES}, k as (select * from nodes where id not in ('n3', 'n7', 'r2')) select distinct parent id from k where parent is not null and parent not in (select id from k)",
     "filter_projects": f"with {IDENTS}, m as (select id, bit_or(case answer when 'A' then 1 when 'N' then 2 else 4 end) mask from idents group by 1) select id, mask from m where mask & 3 <> 0 and mask & 4 = 0",
     "win_recent_shard": f"with {POOL}, r as (select id, created_at, date_diff('day', created_at::DATE, (select max(created_at) from pool)::DATE) <= 90 recent from pool) select id, (case when recent then 0 else 10000 * year(created_at) + (row_number() over (partition by recent, year(created_at) order by created_at desc, id) - 1) // 4000 end)::BIGINT shard from r",
     "win_value_rounds": f"with {POOL}, t as (select id, grp, case status when 'F' then 1 when 'O' then 2 end t, user_id % 50 r from pool), k as (select *, (row_number() over (partition by grp, t order by r, id) - 1) // 5 rd from t) select id, grp, row_number() over (partition by grp order by t is null, t, rd, r, id)::INT place from k",
