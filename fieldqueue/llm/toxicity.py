@@ -229,22 +229,20 @@ def weights(p: np.ndarray, n: np.ndarray, toxic: int, clean: int) -> np.ndarray:
     return np.clip(odds * np.maximum(0, 1 - SHRINK / np.maximum(gain, 1e-9)), -3, 5).astype(np.float32)
 
 
-FEATURES = 2 * EVENTS + 9
+FEATURES = 2 * EVENTS + 8
 
 
 def features(texts: list[str | None], lexicon: np.ndarray) -> np.ndarray:
-    """For each text: counts and weights of the events by kind, heaviest clause, weight in all and by length, heaviest tokens, distinct hits, signed weight of all tokens, length, and 1."""
+    """For each text: counts and weights of the events by kind, heaviest clause, weight in all and by length, heaviest tokens of events and how many different ones, length, and 1. All but the last two come from the events of clauses."""
     out = np.zeros((len(texts), FEATURES))
     out[:, -1] = 1.0
     for i, j, r in readings(texts):
         rows, n = out[i:j], len(r.distinct)
         if not len(r.doc):
             continue
-        heavy, signed = np.zeros(n), np.zeros(n)
-        for k, (which, place) in enumerate(r.entries()):
+        heavy = np.zeros(n)
+        for which, place in r.entries():
             w = lexicon[place].astype(float)
-            if k == 0:
-                signed[which] = w
             if len(which):
                 first = np.flatnonzero(np.concatenate(([True], which[1:] != which[:-1])))
                 heavy[which[first]] = np.maximum(heavy[which[first]], np.maximum.reduceat(w, first))
@@ -252,16 +250,10 @@ def features(texts: list[str | None], lexicon: np.ndarray) -> np.ndarray:
         code = np.where(LIST_HASH[at] == r.distinct, LIST_CODE[at], OTHER)
         heavy = np.where((code == INSULT) | (code == THREAT), np.maximum(heavy, LISTED), heavy)
         code = np.where((heavy >= HIT) & (code != THREAT), INSULT, code)
-        signed = np.where(heavy > 0, heavy, signed)
         kind, weight = code[r.back], heavy[r.back]
         arc = np.where(r.pair >= 0, lexicon[np.maximum(r.pair, 0)], 0.0)
         weight = np.maximum(weight, arc)
         kind = np.where((arc >= HIT) & (kind != THREAT), INSULT, kind)
-        # distinct tokens of each document
-        own = np.unique(r.doc * n + r.back)
-        doc, token = own // n, own % n
-        many = np.bincount(doc, minlength=j - i)
-        rows[:, -3] = np.bincount(doc, signed[token], minlength=j - i) / np.sqrt(np.maximum(many, 1))
         rows[:, -2] = np.log1p(np.bincount(r.doc, minlength=j - i)) / 5
         hits = np.flatnonzero((kind == INSULT) | (kind == THREAT))
         if not len(hits):
@@ -281,17 +273,17 @@ def features(texts: list[str | None], lexicon: np.ndarray) -> np.ndarray:
             total[d] += whole
             worst[d] = max(worst[d], whole)
         rows[:, : 2 * EVENTS] = np.log1p(rows[:, : 2 * EVENTS])
-        rows[:, -9], rows[:, -8], rows[:, -7] = worst / 5, np.log1p(total), total / np.maximum(size, 1) * 10
+        rows[:, -8], rows[:, -7], rows[:, -6] = worst / 5, np.log1p(total), total / np.maximum(size, 1) * 10
         for d, seen in best.items():
             top = sorted(seen.values(), reverse=True)
-            rows[d, -6], rows[d, -5], rows[d, -4] = top[0], top[1] if len(top) > 1 else 0.0, np.log1p(len(top))
+            rows[d, -5], rows[d, -4], rows[d, -3] = top[0], top[1] if len(top) > 1 else 0.0, np.log1p(len(top))
     return out
 
 
 #: Weights that training starts from and is drawn to.
 PRIOR = np.zeros(FEATURES)
 PRIOR[EVENTS : 2 * EVENTS] = [0.4 + 0.4 * bool(e & 8) + 0.3 * bool(e & 4) - 0.6 * bool(e & 2) - 0.4 * bool(e & 1) for e in range(EVENTS)]
-PRIOR[-9:] = 0.5, 0.5, 0.5, 0.3, 0.1, 0.1, 0.3, 0.0, -2.5
+PRIOR[-8:] = 0.5, 0.5, 0.5, 0.3, 0.1, 0.1, 0.0, -2.5
 
 
 def fit(x: np.ndarray, y: np.ndarray, pull: float = 0.5, rounds: int = 50) -> np.ndarray:
@@ -386,11 +378,12 @@ def scorer(model):
 def toxicity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(doc_id, score) of every document: the probability that it is labelled toxic.
 
-    A lexical transducer maps each token to insult, threat, target, negation, report or other, and gives it a signed
+    A lexical transducer maps each token to insult, threat, target, negation, report or other, and gives it a
     weight: the shrunk log odds of toxic documents of the heaviest of its entries (the word, beginnings, ends
     and parts of it) or of the pair that it ends. Transducers for targets, negations (which reach REACH tokens) and reported
     speech, composed into one table, run over each clause that holds an insult or a threat, and put out
-    weighted events. Which events a document has, and how heavy, and the signed weight of its tokens give the score.
+    weighted events. Which events a document has, how heavy they are and in which clauses, and its length give the
+    score; a word outside such a clause has no part in it.
 
     Null and empty texts have no event and the score that this gives. Rows of one id each come back. Without
     labels of both kinds the fixed lists and weights score alone. Empty table: no rows. Other columns are ignored.

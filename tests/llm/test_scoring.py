@@ -188,6 +188,82 @@ def test_entries_are_counted_by_document_fold_and_label():
     assert counts[:4, toxicity.PLACES :].sum(1).tolist() == [2, 2, 1, 0] and not counts[4:].any()
 
 
+def plain_toxicity(text, lexicon, w):
+    """The score by loops over tokens and clauses."""
+    from fieldqueue.llm import wordhash
+
+    t, m = toxicity, 2**64
+    raw = (text or "").lower().translate(t.ALIKE).encode()
+
+    def mix(h):
+        for f in (wordhash.MIX1, wordhash.MIX2):
+            h = ((h ^ h >> 33) * f) % m
+        return h ^ h >> 33
+
+    h = lambda b, kind=0: mix((sum(int(wordhash.VALUES[c]) * pow(wordhash.STEP, i, m) for i, c in enumerate(b)) + len(b) + 1000 * kind) % m)
+    tokens, clauses, closed = raw.split(), [], True
+    edges, ends = t.EDGES.encode(), t.ENDS.encode()
+    for k in tokens:
+        core = k.strip(edges)
+        tail = k[len(k.rstrip(edges)) :]
+        if closed:
+            clauses.append([])
+        clauses[-1].append((core, bool(core)))
+        closed = any(c in ends for c in tail)
+    codes = [(t.INSULTS, t.INSULT), (t.REPORTS, t.REPORT), (t.NEGATIONS, t.NEGATION), (t.TARGETS, t.TARGET), (t.THREATS, t.THREAT)]
+    x = np.zeros(t.FEATURES)
+    x[-1], x[-2] = 1.0, np.log1p(len(tokens)) / 5 if tokens else 0.0
+    total, worst, best = 0.0, 0.0, {}
+    for clause in clauses:
+        kinds, weight = [], []
+        for i, (word, bare) in enumerate(clause):
+            n = len(word)
+            entries = [h(word)] * bare + [h(word[:k], 1) for k in t.EDGE_PARTS if n > k] + [h(word[-k:], 2) for k in t.EDGE_PARTS if n > k] + [h(word[j : j + k], 3) for k in t.INNER_PARTS for j in range(1, n - k)]
+            heavy = max([0.0, *(float(lexicon[e % t.PLACES]) for e in entries)])
+            kind = next((c for names, c in codes if word.decode() in names), t.OTHER)
+            heavy = max(heavy, t.LISTED) if kind in (t.INSULT, t.THREAT) else heavy
+            kind = t.INSULT if heavy >= t.HIT and kind != t.THREAT else kind
+            if i and bare and clause[i - 1][1]:
+                arc = float(lexicon[mix((h(clause[i - 1][0]) * wordhash.JOIN + h(word)) % m) % t.PLACES + t.PLACES])
+                heavy, kind = max(heavy, arc), t.INSULT if arc >= t.HIT and kind != t.THREAT else kind
+            kinds.append(kind)
+            weight.append(heavy)
+        whole = 0.0
+        for i, kind in enumerate(kinds):
+            if kind in (t.INSULT, t.THREAT):
+                e = 8 * (kind == t.THREAT) + 4 * (t.TARGET in kinds[:i] + kinds[i + 1 :]) + 2 * (t.NEGATION in kinds[max(0, i - t.REACH) : i]) + (t.REPORT in kinds[:i])
+                x[e] += 1
+                x[t.EVENTS + e] += weight[i]
+                whole += weight[i]
+                best[clause[i][0]] = max(best.get(clause[i][0], 0.0), weight[i])
+        total, worst = total + whole, max(worst, whole)
+    x[: 2 * t.EVENTS] = np.log1p(x[: 2 * t.EVENTS])
+    top = sorted(best.values(), reverse=True)
+    if top:
+        x[-8], x[-7], x[-6] = worst / 5, np.log1p(total), total / len(tokens) * 10
+        x[-5], x[-4], x[-3] = top[0], top[1] if len(top) > 1 else 0.0, np.log1p(len(top))
+    return 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+
+
+def test_toxicity_is_the_plain_score(spark):
+    t, r = toxicity, random.Random(4)
+    lexicon = np.random.default_rng(4).normal(-0.6, 0.6, 2 * t.PLACES).astype(np.float32)
+    w = t.PRIOR + np.random.default_rng(5).normal(0, 0.3, t.FEATURES)
+    vocabulary = [x[0] for x in (t.INSULTS, t.THREATS, t.NEGATIONS, t.REPORTS)] + t.TARGETS[:6] + ["cat", "house", "überall", "internationalisation", "--", "«cat»,", "you,", "kill!", "not", "sagte:", "é", "…"]
+    texts = [None, "", "   ", "!!!", "idiot", "You idiot. not you"] + [" ".join(r.choice(vocabulary) + r.choice(["", "", ",", "."]) for _ in range(r.randint(1, 40))) for _ in range(40)]
+    texts.append("the cat is not an idiot, he said. " * 900)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: x["score"] for x in t.toxicity(d, (lexicon, w)).collect()}
+    for i, text in enumerate(texts):
+        assert got[i] == pytest.approx(plain_toxicity(text, lexicon, w), abs=1e-6), text
+
+
+def test_words_outside_clauses_of_insult_or_threat_do_not_score(spark):
+    lexicon = np.full(2 * toxicity.PLACES, -2.0, np.float32)
+    x = toxicity.features(["you idiot. the weather is fine", "you idiot. a dog runs away"], lexicon)
+    assert (x[0, :-2] == x[1, :-2]).all()
+
+
 @pytest.mark.parametrize("where", ["word", "start", "end", "inside", "pair"])
 def test_toxic_vocabularies_that_no_list_holds(spark, where):
     r = random.Random(where)
