@@ -17,7 +17,7 @@ from fieldqueue.llm.wordhash import JOIN, mixed
 
 #: Tokens in a template window; of these at least so many plain words; share of an item's tokens, or number of them, that windows must cover.
 WINDOW, PLAIN, COVER, LONG = 8, 4, 0.5, 13
-#: Items of fewer tokens than FEWEST can't be told from chance. Shorter items than a window are one window.
+#: Items of fewer tokens than FEWEST match as they are. Shorter items than a window are one window.
 FEWEST = 5
 #: Bits of the filter of the items' windows; tokens remembered by a worker; tokens handled at once.
 FILTER_BITS, MEMO, PIECE = 1 << 24, 1 << 19, 1 << 17
@@ -63,8 +63,8 @@ class Tokens(dict):
         return i
 
 
-def templates(texts: list[str | None], memo: Tokens) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]]:
-    """(row of each token, its template's hash, kind, its place among the bare tokens, the bare tokens) for runs of rows.
+def templates(texts: list[str | None], memo: Tokens) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]]:
+    """(row of each token, its template's hash, kind, its place among the bare tokens, the bare tokens, whether it starts a sentence) for runs of rows.
 
     A capitalised word is a name unless a sentence, a line or a table cell starts with it. Tokens of marks
     alone are left out, since layouts differ in them.
@@ -91,19 +91,19 @@ def templates(texts: list[str | None], memo: Tokens) -> Iterator[tuple[np.ndarra
             start[1:] |= memo.ends[at[:-1]]
             kind[memo.capital[at] & ~start & (kind == PLAIN_WORD)] = NAME_SLOT
             keep = ~memo.marks[at]
-            at, row, kind = at[keep], row[keep], kind[keep]
-            yield row, np.where(kind == PLAIN_WORD, memo.hash[at], kind.astype(np.uint64)), kind, at, memo.bare
+            at, row, kind, start = at[keep], row[keep], kind[keep], start[keep]
+            yield row, np.where(kind == PLAIN_WORD, memo.hash[at], kind.astype(np.uint64)), kind, at, memo.bare, start
         i = j
 
 
 def window_hashes(own: np.ndarray, exact: np.ndarray, row: np.ndarray, kind: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of every window of n tokens of one row, where it starts, and whether it is a template; with few plain words it is the hash of the tokens themselves."""
+    """Hash of every window of n tokens of one row, where it starts, and whether it is a template; with few plain words, or fewer tokens than FEWEST, it is the hash of the tokens themselves."""
     m = len(own) - n + 1
     if m <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
     words = np.concatenate(([0], np.cumsum(kind == PLAIN_WORD)))
     where = np.flatnonzero(row[:m] == row[n - 1 :])
-    typed = words[where + n] - words[where] >= min(PLAIN, n - 1)
+    typed = (words[where + n] - words[where] >= min(PLAIN, n - 1)) & (n >= FEWEST)
     h = np.zeros(len(where), np.uint64)
     for tokens, which in ((own, typed), (exact, ~typed)):
         at = where[which]
@@ -118,24 +118,26 @@ SCHEMA = "hash long, pos int, size int, tokens int, slots array<string>"
 
 
 def window_rows(filter_bits, lengths: tuple[int, ...]):
-    """Rows (id, hash, place, window, tokens of the text, slots) for all windows, or those that the filter lets pass.
+    """Rows (id, hash, place, window, tokens of the text, slots) for all windows of the lengths that the filter lets pass; a window of one token must be a sentence.
 
-    Without lengths, a text shorter than a window is one window, as items are.
+    Without a filter the texts are items: one shorter than a window is one window.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, bits = Tokens(), filter_bits.value if filter_bits is not None else None
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for row, own, kind, at, bare in templates(batch.column(1).to_pylist(), memo):
+            for row, own, kind, at, bare, start in templates(batch.column(1).to_pylist(), memo):
                 count = np.bincount(row)
                 begin = np.concatenate(([0], np.cumsum(count)))
                 out: list[tuple] = []
-                for n in lengths or range(FEWEST, WINDOW + 1):
+                for n in lengths:
                     h, where, typed = window_hashes(own, memo.hash[at], row, kind, n)
                     if bits is not None:
                         p = (h & np.uint64(FILTER_BITS - 1)).astype(np.int64)
                         hit = (bits[p >> 6] >> (p & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+                        if n == 1:
+                            hit &= start & np.append(start[1:] | (row[1:] != row[:-1]), True)
                     else:
                         hit = np.full(len(h), True) if n == WINDOW else count[row[where]] == n
                     for x, w, slotted in zip(h[hit].view(np.int64).tolist(), where[hit].tolist(), typed[hit].tolist()):
@@ -156,22 +158,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Texts become templates: bare lower-case tokens, with typed placeholders for numbers, quantities and units,
     and names. Windows of WINDOW template tokens of documents meet those of items in a hash join. Matches of
     one alignment (place in the document less place in the item) must fill the slots consistently: a value
-    of the item stands for one value of the document throughout. In an alignment that
+    of the item stands for one value of the document throughout, and different values for different ones. In an alignment that
     doesn't, only windows whose slots are all equal count. Windows with few plain words meet as exact copies. A document holds
     an item if its windows cover COVER of the item's tokens, or LONG of them. kind is `verbatim` if every slot is equal, `reparameterised`
     if some differ.
 
     A fixed-size filter of the items' windows, FILTER_BITS bits whatever the benchmark, lets few other windows
-    leave the tasks; the join decides. Items shorter than a window match as a whole, items of fewer than FEWEST
-    tokens never. Null and empty texts match nothing. Null ids and repeated ids: matches count by id, null ids
+    leave the tasks; the join decides. Only windows of lengths that items have are looked at. Items shorter than a window match
+    as a whole, items of fewer than FEWEST tokens only as they are, and one of a single token only where it is a sentence,
+    a line or a cell by itself. Null and empty texts match nothing. Null ids and repeated ids: matches count by id, null ids
     are left out. Repeated items each match. Empty tables: no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
     few_rows(spark)
-    sizes = tuple(range(FEWEST, WINDOW + 1))
     items = kept(
-        benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(window_rows(None, ()), f"id long, {SCHEMA}").withColumnsRenamed({"id": "item_id", "pos": "ipos", "slots": "islots"})
+        benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(window_rows(None, tuple(range(1, WINDOW + 1))), f"id long, {SCHEMA}").withColumnsRenamed({"id": "item_id", "pos": "ipos", "slots": "islots"})
     )
+    sizes = tuple(sorted(r["size"] for r in items.select("size").distinct().collect()))  # at most WINDOW
     place = F.col("hash").bitwiseAND(F.lit(FILTER_BITS - 1))
     parts = items.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toArrow()
     bits = np.zeros(FILTER_BITS // 64, np.uint64)
@@ -182,7 +185,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     met = met.select("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("shift"), "ipos", "size", F.col("tokens"), F.zip_with("islots", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b"))).alias("pairs"))
     # an alignment has at most as many windows as the item has tokens
     line = met.groupBy("doc_id", "item_id", "shift").agg(F.collect_set(F.struct("ipos", "size", "pairs")).alias("found"), F.max("tokens").alias("tokens"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
-    agree = F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))) == F.size("pairs")
+    different = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side]))) == F.size("pairs")
+    agree = different("a") & different("b")
     line = line.withColumn("same", F.forall("pairs", lambda p: p["a"] == p["b"])).withColumn("agree", agree)
     sound = F.expr("filter(found, w -> agree or forall(w.pairs, p -> p.a = p.b))")
     line = line.withColumn("places", F.transform(sound, lambda w: F.struct(w["ipos"].alias("ipos"), w["size"].alias("size")))).where(F.size("places") > 0)

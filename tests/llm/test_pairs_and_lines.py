@@ -133,7 +133,7 @@ ITEMS = [
         ("Question: If Peter Jones has 31 apples and buys 9 more apples for 5 dollars each how many dollars does Mary spend in total on fruit", None),
         ("So. The quick brown fox jumps over the lazy dog near the old river bank today and on", (2, "verbatim")),
         ("the | QUICK, brown fox - jumps over the (lazy) dog near the old river bank!", (2, "verbatim")),
-        ("a text that holds nothing of them but one two", None),
+        ("a text that holds nothing of them but one two", (3, "verbatim")),
         ("x alpha beta gamma delta epsilon y", (5, "verbatim")),
         (None, None),
         ("", None),
@@ -183,3 +183,34 @@ def test_block_links_are_a_forest_of_exact_links():
                 a, b = root[i], root[j]
                 root = {k: min(a, b) if v in (a, b) else v for k, v in root.items()}
     assert dict(found) == {k: v for k, v in root.items() if k != v}
+
+
+def test_short_items_match_as_they_are(spark):
+    items = spark.createDataFrame([(1, "7 + 5 = 12"), (2, "what is seven plus"), (3, "Photosynthesis"), (4, "in 1969"), (5, None), (6, "+ = !")], "item_id long, text string")
+    texts = {
+        1: "they wrote 7 + 5 = 12 on the wall", 2: "they wrote 7 + 5 = 13 on the wall", 3: "So what is seven plus one?", 4: "what is eight plus", 5: "Photosynthesis is a process of plants",
+        6: "a process of plants. Photosynthesis. And more", 7: "it began in 1969 there", 8: "it began in 1970 there", 9: "photosynthesis", 10: "plants\nPhotosynthesis:\nlight", 11: "",
+    }
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {(r["doc_id"], r["item_id"], r["kind"]) for r in decontaminate.contaminated(d, items).collect()}
+    assert got == {(1, 1, "verbatim"), (3, 2, "verbatim"), (6, 3, "verbatim"), (7, 4, "verbatim"), (9, 3, "verbatim"), (10, 3, "verbatim")}
+
+
+def test_different_values_stay_different(spark):
+    rest = "then walks home along the narrow path beside the quiet river and tells everybody about the old tree"
+    items = spark.createDataFrame([(1, f"she has 3 apples and he has 4 pears {rest}"), (2, f"there Peter gives the book to Mary and {rest}")], "item_id long, text string")
+    same, other = (items.collect()[i]["text"] for i in (0, 1))
+    texts = [same.replace("3", "9").replace("4", "9"), same.replace("3", "8").replace("4", "9"), other.replace("Peter", "Anna").replace("Mary", "Anna"), other.replace("Peter", "Anna").replace("Mary", "Paul")]
+    tail = "so on"
+    d = spark.createDataFrame([(i, t.replace(rest, tail)) for i, t in enumerate(texts)], "doc_id long, text string")
+    short = spark.createDataFrame([(r["item_id"], r["text"].replace(rest, tail)) for r in items.collect()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["kind"]) for r in decontaminate.contaminated(d, short).collect()}
+    assert {g[:2] for g in got} == {(1, 1), (3, 2)} and {g[2] for g in got} == {"reparameterised"}
+
+
+def test_decontamination_of_a_very_long_text(spark):
+    item = "the quick heron counts 12 stones before the slow river takes another 7 of them away for good"
+    filler = " ".join(f"word{i % 977}" for i in range(60_000))
+    d = spark.createDataFrame([(1, f"{filler} {item} {filler}"), (2, filler), (1, item), (1, item)], "doc_id long, text string")
+    got = decontaminate.contaminated(d, spark.createDataFrame([(4, item)], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["item_id"], r["kind"], r["coverage"]) for r in got] == [(1, 4, "verbatim", 1.0)]
