@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldqueue.llm.components import components
@@ -21,7 +21,7 @@ WORDS, LEAST = 5, 80
 GATHER, LOCAL, FREQUENT, BROADCAST = 1 << 20, 4, 64, 1 << 19
 #: Shingles of a bucket, about.
 BUCKET = 1 << 21
-#: Classes in a strip of the product: a cluster is cut into SPLIT strips, but none of fewer than FINE or more than STRIP; bits of the filter that keeps documents without partners off the network.
+#: Classes in a strip of the product: a cluster is cut into SPLIT strips by size, but none of fewer than FINE or more than STRIP; bits of the filter that keeps documents without partners off the network.
 FINE, SPLIT, STRIP, FILTER_BITS = 128, 16, 4096, 1 << 24
 #: Classes that a task remembers to have sent.
 RECENT = 1 << 17
@@ -35,7 +35,7 @@ def prefix_length(n: int) -> int:
 
 @lean
 def class_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, n, h1, h2) for each document, and (gram, times) for shingles seen LOCAL times or more."""
+    """(doc_id, key, n, h1, h2) for each document, and (gram, times) for shingles seen LOCAL times or more."""
     held: list[np.ndarray] = []
     size = 0
 
@@ -43,12 +43,12 @@ def class_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, times = np.unique(np.concatenate(held), return_counts=True)
         often = times >= LOCAL
         none = pa.nulls(int(often.sum()), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(grams[often].view(np.int64)), pa.array(times[often].astype(np.int64))], names)
+        return pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array(grams[often].view(np.int64)), pa.array(times[often].astype(np.int64))], names)
 
-    names = ["doc_id", "n", "h1", "h2", "gram", "times"]
+    names = ["doc_id", "key", "n", "h1", "h2", "gram", "times"]
     for batch in batches:
         n, marks = [], []
-        for s in shingle_sets(batch.column(1), WORDS):
+        for s in shingle_sets(batch.column(2), WORDS):
             n.append(len(s))
             marks.append(xxhash.xxh3_128_digest(s.tobytes()))
             held.append(s)
@@ -58,7 +58,7 @@ def class_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held, size = [], 0
         h = np.frombuffer(b"".join(marks), np.int64).reshape(-1, 2)
         none = pa.nulls(len(n), pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), none, none], names)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), none, none], names)
     if held:
         yield counted()
 
@@ -220,7 +220,7 @@ def block_links(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]
 
 @lean
 def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of every block between classes, by their first hash; rows (cluster, low, high, h1, h2, text) come sorted by block. Of the rows that share an id only those of the class named count."""
+    """Links of every block between classes, by their first hash; rows (cluster, low, high, h1, h2, text) come sorted by block. Of rows that share a key only those of the class named count."""
     now, ids, sets, seen = None, [], [], set()
 
     def linked() -> pa.RecordBatch:
@@ -241,7 +241,7 @@ def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def in_filter(bits):
-    """Keeps the rows whose id may be in a fixed-size filter."""
+    """Keeps the rows whose key, the first column, may be in a fixed-size filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = bits.value
@@ -265,13 +265,37 @@ def filter_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(bits.view(np.int64))], ["word", "bits"])
 
 
+def strips(need: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cluster, n, first, many): the strips of a cluster's classes of n shingles, so many from `first` on; and (cluster, strip, low, high, block): the blocks that a strip is part of.
+
+    From rows (cluster, n), one a class. Strips follow the size and hold a SPLIT-th of the cluster, but FINE classes at
+    least and STRIP at most, about; a size that fills several is dealt to them by hash. A block joins two strips if the
+    greatest size of the lower is within the bounds of the least of the higher.
+    """
+    by = need.groupBy("cluster", "n").agg(F.count("*").alias("k"))
+    of = Window.partitionBy("cluster")  # distinct sizes, not classes
+    room = F.greatest(F.lit(min(FINE, STRIP)), F.least(F.lit(STRIP), F.ceil(F.sum("k").over(of) / SPLIT)))
+    upto = F.sum("k").over(of.orderBy("n"))
+    by = by.withColumn("room", room).withColumn("upto", upto)
+    first, last = F.floor((F.col("upto") - F.col("k")) / F.col("room")).cast("int"), F.floor((F.col("upto") - 1) / F.col("room")).cast("int")
+    by = kept(by.select("cluster", "n", first.alias("first"), (last - first + 1).alias("many")))
+    s = by.withColumn("strip", F.explode(F.sequence("first", F.col("first") + F.col("many") - 1))).groupBy("cluster", "strip").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    a, b = s.select("cluster", F.col("strip").alias("low"), F.col("most").alias("_most")), s.select("cluster", F.col("strip").alias("high"), F.col("least").alias("_least"))
+    pairs = a.join(b, "cluster").where((F.col("low") <= F.col("high")) & (100 * F.col("_most") >= LEAST * F.col("_least")))
+    pairs = pairs.withColumn("block", F.row_number().over(Window.partitionBy("cluster").orderBy("high", "low")))
+    part = F.explode(F.array_distinct(F.array("low", "high")))
+    return by, pairs.select("cluster", "low", "high", "block", part.alias("strip"))
+
+
 def jaccard_join(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document: which documents links of similarity LEAST / 100 or more connect.
 
     Documents of one shingle set are one class, which a 128-bit hash of the set names. Exact class frequencies
     order shingles from rare to common; two similar classes share a shingle of their prefixes, so classes that
     share none are never compared. Classes which prefixes connect are a cluster, and each cluster is a sparse
-    product of its incidence matrix, in blocks of two strips of classes if it has more than FINE: overlap
+    product of its incidence matrix, in blocks of two strips of classes if it has more than FINE. Strips are runs of the
+    cluster's classes by size, and only strips whose sizes lie within the bounds of each other meet, so that a cluster
+    that common passages hold together costs each class a few blocks and not one for every strip. In a block overlap
     counts accumulate, pairs outside the size-derived bounds are discarded, and the exact links leave the task
     as a spanning forest, never as all pairs. Components of these links give the result.
 
@@ -279,15 +303,19 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     what is cheap, not what is found. Incidences are gathered once a class and task, so that copies and very
     common passages don't meet in one task.
 
+    Texts are fetched for the product by a key, a hash of id and text: of rows that have both in common one is moved, and rows
+    without an id, or of one id, meet no other's classes.
+
     Null and empty texts: n_shingles 0, linked with nothing. Rows of one id are separate nodes that share the
     id. A null id counts as smaller than all others and comes back null. Empty table: no rows. Other columns
     are ignored.
     """
     spark = docs.sparkSession
     few_rows(spark)
-    d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    first = kept(d.mapInArrow(class_rows, "doc_id long, n long, h1 long, h2 long, gram long, times long"))
-    marks = first.where("doc_id is not null").select("doc_id", "n", "h1", "h2")
+    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    d = docs.select(id_.alias("doc_id"), F.xxhash64(id_, F.col("text").cast("string")).alias("key"), F.col("text").cast("string").alias("text"))
+    first = kept(d.mapInArrow(class_rows, "doc_id long, key long, n long, h1 long, h2 long, gram long, times long"))
+    marks = first.where("doc_id is not null").select("doc_id", "key", "n", "h1", "h2")
     often = first.where("gram is not null").groupBy("gram").agg(F.sum("times").alias("t")).where(F.col("t") >= FREQUENT).orderBy(F.col("t").desc(), "gram").limit(BROADCAST).select("gram").toArrow()
     frequent = spark.sparkContext.broadcast(np.sort(np.asarray(often.column(0)).astype(np.int64).view(np.uint64)))
     buckets = max(1, -(-(marks.agg(F.sum("n")).first()[0] or 0) // BUCKET))
@@ -300,21 +328,20 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     pre = kept(lists.where(take > 0).select("node", F.explode(F.slice(F.col("g.gram"), F.lit(1), take)).alias("gram")))
     centre = pre.groupBy("gram").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b < most").select("gram", "b")
     clusters = components(pre.join(centre, "gram").select(F.col("node").alias("a"), "b"))
-    classes = kept(marks.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")))
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("m"))
-    strip = F.greatest(F.lit(min(FINE, STRIP)), F.least(F.lit(STRIP), F.ceil(F.col("m") / SPLIT)))
-    need = kept(clusters.join(sizes, "component").join(classes, F.col("node") == F.col("h1").bitwiseAND(F.lit(2**48 - 1))).select("rep", "h1", "h2", F.col("component").alias("cluster"), F.ceil(F.col("m") / strip).cast("int").alias("strips")))
-    found = need.select("rep").mapInArrow(filter_words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    classes = kept(marks.where("n > 0").groupBy("h1", "h2").agg(F.first("n").alias("n"), F.min(F.struct("doc_id", "key")).alias("r")).select("h1", "h2", "n", F.col("r.doc_id").alias("rep"), "r.key"))
+    need = kept(clusters.join(classes, F.col("node") == F.col("h1").bitwiseAND(F.lit(2**48 - 1))).select("key", "h1", "h2", "n", F.col("component").alias("cluster")))
+    sizes, meetings = strips(need)
+    found = need.select("key").mapInArrow(filter_words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     words = np.zeros(FILTER_BITS // 64, np.uint64)
     words[np.asarray(found.column(0))] = np.asarray(found.column(1)).view(np.uint64)
-    wanted = d.mapInArrow(in_filter(spark.sparkContext.broadcast(words)), "doc_id long, text string")
-    own = F.pmod(F.xxhash64("h1"), F.col("strips")).cast("int")
-    blocks = wanted.join(need, F.col("doc_id") == F.col("rep")).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("strips") - 1)))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
+    wanted = d.select("key", "text").mapInArrow(in_filter(spark.sparkContext.broadcast(words)), "key long, text string").groupBy("key").agg(F.first("text").alias("text"))
+    own = F.col("first") + F.pmod(F.xxhash64("h1"), F.col("many")).cast("int")
+    placed = need.join(sizes, ["cluster", "n"]).select("key", "h1", "h2", "cluster", own.alias("strip"))
+    blocks = placed.join(meetings, ["cluster", "strip"]).join(wanted, "key")
     # a cluster's blocks go to one task after another
-    place = F.pmod(F.xxhash64("cluster") + (F.col("high") * (F.col("high") + 1) / 2).cast("long") + F.col("low"), F.lit(parts)).cast("int")
-    blocks = blocks.select("cluster", low.alias("low"), high.alias("high"), "h1", "h2", "text")
-    links = blocks.repartitionById(parts, place).sortWithinPartitions("cluster", "low", "high").mapInArrow(product, "a long, b long")
+    place = F.pmod(F.xxhash64("cluster") + F.col("block"), F.lit(parts)).cast("int")
+    blocks = blocks.select("cluster", "low", "high", "h1", "h2", "text", "block")
+    links = blocks.repartitionById(parts, place).drop("block").sortWithinPartitions("cluster", "low", "high").mapInArrow(product, "a long, b long")
     joined = components(links).join(classes.select(F.col("h1").alias("node"), "rep"), "node")
     least = joined.groupBy("component").agg(F.min("rep").alias("found"))
     joined = joined.join(least, "component").select(F.col("node").alias("h1"), "found")

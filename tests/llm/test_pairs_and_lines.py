@@ -214,3 +214,45 @@ def test_decontamination_of_a_very_long_text(spark):
     d = spark.createDataFrame([(1, f"{filler} {item} {filler}"), (2, filler), (1, item), (1, item)], "doc_id long, text string")
     got = decontaminate.contaminated(d, spark.createDataFrame([(4, item)], "item_id long, text string")).collect()
     assert [(r["doc_id"], r["item_id"], r["kind"], r["coverage"]) for r in got] == [(1, 4, "verbatim", 1.0)]
+
+
+def test_near_copies_without_ids_meet_by_their_texts(spark):
+    r = random.Random(9)
+    base = [f"w{r.randrange(500)}" for _ in range(60)]
+    rows = []
+    for i in range(2000):
+        w = list(base)
+        w[r.randrange(60)] = f"x{i % 700}"
+        rows.append((None, " ".join(w)))
+    rows += [(None, rows[0][1])] * 50 + [(5, " ".join(base)), (9, "nothing like any of the others at all"), (9, "and another of the same id here now"), (9, " ".join(base[:30]))]
+    got = jaccard.jaccard_join(frame(spark, rows).repartition(6)).collect()
+    assert len(got) == len(rows)
+    # a null id is smaller than all others, and comes back null
+    assert sum(g["doc_id"] is None and g["component_id"] is None for g in got) == 2050
+    assert [g["component_id"] for g in got if g["doc_id"] == 5] == [None]
+    assert sorted(g["component_id"] for g in got if g["doc_id"] == 9) == [9, 9, 9]
+
+
+def test_a_long_chain_of_classes(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "STRIP", 256)
+    n, size = 20_000, 25
+    words = [f"c{i}" for i in range(n + size)]
+    rows = [(i, " ".join(words[i : i + size])) for i in range(n)]  # neighbours share 20 of 22 different shingles
+    got = jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(8))
+    assert got.where("component_id = 0 and n_shingles = 21").count() == n
+
+
+def test_strips_meet_only_within_the_bounds_of_size(spark):
+    need = spark.createDataFrame([(1, n) for n in range(1, 1001) for _ in range(5)] + [(2, 7)] * 900 + [(3, 4)], "cluster long, n long")
+    sizes, meetings = jaccard.strips(need)
+    s = {(r["cluster"], r["n"]): range(r["first"], r["first"] + r["many"]) for r in sizes.collect()}
+    blocks = {(r["cluster"], r["low"], r["high"]) for r in meetings.collect()}
+    parts = {(r["cluster"], r["strip"], r["low"], r["high"]) for r in meetings.collect()}
+    assert len(s[2, 7]) == 8 and len(s[3, 4]) == 1
+    for a in range(1, 1001):
+        for b in range(a, min(1000, 5 * a // 4) + 1):
+            for x in s[1, a]:
+                for y in s[1, b]:
+                    x, y = min(x, y), max(x, y)
+                    assert (1, x, y) in blocks and {(1, x, x, y), (1, y, x, y)} <= parts
+    assert len({b for b in blocks if b[0] == 1}) < 0.5 * 16 * 17 / 2 and len({b for b in blocks if b[0] == 2}) == 36
