@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldqueue.llm.lean import few_rows, lean
+from fieldqueue.llm.shared import kept
 
 #: Longest n-gram; buckets of the hash; added to every count; documents a language that are learned from; languages that a text is held against at a time.
 ORDER, BUCKETS, SMOOTH, PER_LANGUAGE, COLUMNS = 3, 1 << 16, 0.5, 2000, 128
@@ -64,53 +66,72 @@ def pieces(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.n
 
 @lean
 def gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, bucket, times) over a task's rows (lang, text)."""
+    """(lang, bucket, times) over a task's rows (lang, text), sent on whenever COLUMNS languages have come together."""
     total: dict[str, np.ndarray] = {}
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for lang, times in total.items():
+            b = np.flatnonzero(times)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(b)), pa.array(b, pa.int32()), pa.array(times[b])], ["lang", "bucket", "times"])
+        total.clear()
+
     for batch in batches:
         langs = batch.column(0).to_pylist()
         for i, j, gram, row, _ in pieces(batch.column(1).to_pylist()):
             own = langs[i:j]
             for lang in set(own):
                 which = np.array([x == lang for x in own])
+                if lang not in total and len(total) >= COLUMNS:
+                    yield from out()
                 total.setdefault(lang, np.zeros(BUCKETS, np.int64))[:] += np.bincount(gram[which[row]], minlength=BUCKETS)
-    for lang, times in total.items():
-        b = np.flatnonzero(times)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(b)), pa.array(b, pa.int32()), pa.array(times[b])], ["lang", "bucket", "times"])
+    yield from out()
+
+
+@dataclass
+class Block:
+    """Some of the languages, their log-probabilities as among all, and log P(n-gram | language), n-grams by row."""
 
+    langs: list[str]
+    prior: np.ndarray
+    weight: np.ndarray
 
+
+@dataclass
 class Model:
-    """Languages in code point order and log P(n-gram | language), n-grams by row."""
+    """Languages in code point order, how many documents each has, and the written counts of their n-grams (place of the language, bucket, times)."""
 
-    def __init__(self, langs: list[str], docs: np.ndarray, counts: np.ndarray):
-        self.langs = langs
-        self.prior = np.log((docs + 1) / (docs.sum() + len(langs))) if langs else np.zeros(0)
-        self.weight = np.log((counts + SMOOTH) / (counts.sum(0) + SMOOTH * BUCKETS)).astype(np.float32) if langs else np.zeros((BUCKETS, 0), np.float32)
+    langs: list[str]
+    docs: np.ndarray
+    counts: DataFrame | None = None
 
-    def columns(self, a: int, b: int) -> Model:
-        """The model of some languages, their probabilities as among all."""
-        part = Model([], np.zeros(0), np.zeros((BUCKETS, 0)))
-        part.langs, part.prior, part.weight = self.langs[a:b], self.prior[a:b], self.weight[:, a:b]
-        return part
+    def columns(self, a: int, b: int) -> Block:
+        """The model of the languages from place a to b, of which alone the counts are fetched: at most BUCKETS a language."""
+        found = self.counts.where(F.col("place").between(a, b - 1)).toArrow()
+        counts = np.zeros((BUCKETS, len(self.langs[a:b])))
+        counts[np.asarray(found.column("bucket")), np.asarray(found.column("place")) - a] = np.asarray(found.column("times"))
+        prior = np.log((self.docs + 1) / (self.docs.sum() + len(self.langs)))[a:b]
+        return Block(self.langs[a:b], prior, np.log((counts + SMOOTH) / (counts.sum(0) + SMOOTH * BUCKETS)).astype(np.float32))
 
 
 def train(labelled: DataFrame) -> Model:
-    """From rows (doc_id, text, lang): a sample, by hash of the id, of about PER_LANGUAGE whole documents of every language that occurs."""
+    """From rows (doc_id, text, lang): a sample, by hash of the id, of about PER_LANGUAGE whole documents of every language that occurs.
+
+    Only the languages' names and sizes reach the driver; counts stay in a written table until a block of languages needs them.
+    """
     few_rows(labelled.sparkSession)
     rows = labelled.where("lang is not null and text is not null")
     sizes = sorted((r["lang"], r["count"]) for r in rows.groupBy("lang").count().collect())
     langs = [x for x, _ in sizes]
     if not langs:
-        return Model([], np.zeros(0), np.zeros((BUCKETS, 0)))
+        return Model([], np.zeros(0))
     # languages that are learned from whole are the rule, and those with more documents few
     part = F.lit(1.0)
     if large := [v for x, n in sizes if n > PER_LANGUAGE for v in (x, PER_LANGUAGE / n)]:
         part = F.coalesce(F.create_map(*map(F.lit, large))[F.col("lang")], part)
     sample = rows.where(F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id").cast("string")), F.lit(1 << 30)) < part * (1 << 30))
-    found = sample.select("lang", "text").mapInArrow(gram_counts, "lang string, bucket int, times long").groupBy("lang", "bucket").agg(F.sum("times").alias("times")).toArrow()
-    counts = np.zeros((BUCKETS, len(langs)))
-    place = {x: i for i, x in enumerate(langs)}
-    counts[np.asarray(found.column("bucket")), [place[x] for x in found.column("lang").to_pylist()]] = np.asarray(found.column("times"))
-    return Model(langs, np.array([n for _, n in sizes], float), counts)
+    found = sample.select("lang", "text").mapInArrow(gram_counts, "lang string, bucket int, times long").groupBy("lang", "bucket").agg(F.sum("times").alias("times"))
+    places = labelled.sparkSession.createDataFrame(list(enumerate(langs)), "place int, lang string")
+    return Model(langs, np.array([n for _, n in sizes], float), kept(found.join(places, "lang").select("place", "bucket", "times")))
 
 
 #: What a text carries from one block of languages to the next: the best so far, its log-probability, and the logarithm of the sum of all.
