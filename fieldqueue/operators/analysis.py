@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldqueue.operators.ordering import summed_before
+
 
 def one_arm(served: DataFrame) -> DataFrame:
     """id -> arm, an error where an id has more than one, and its first score that isn't null, by position."""
@@ -103,14 +105,7 @@ def holm(tests: DataFrame) -> DataFrame:
 
 
 def rank_auc(rows: DataFrame) -> DataFrame:
-    """Probability that a row of y = 1 has the higher score, ties a half, from counts by score.
-
-    Scores are summed up first; the running sum goes over distinct scores in ranges, each summed before.
-    """
+    """Probability that a row of y = 1 has the higher score, ties a half, from counts by score, of which ranges are summed before those after them."""
     by = rows.where("score is not null").groupBy("score").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    by = by.withColumn("_range", F.floor(F.col("score") * 64))
-    base = by.groupBy("_range").agg(F.sum("neg").alias("_n"))
-    base = base.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
-    run = Window.partitionBy("_range").orderBy("score")
-    below = F.col("_before") + F.sum("neg").over(run) - F.col("neg")
-    return by.join(F.broadcast(base), "_range").select("pos", "neg", (F.col("pos") * (below + F.col("neg") / 2)).alias("w")).agg(F.try_divide(F.sum("w"), F.sum("pos") * F.sum("neg")).alias("auc"), F.sum("pos").alias("positives"))
+    below = summed_before(by, [], [F.col("score").asc()], "neg", "_below")
+    return below.select("pos", "neg", (F.col("pos") * (F.col("_below") + F.col("neg") / 2)).alias("w")).agg(F.try_divide(F.sum("w"), F.sum("pos") * F.sum("neg")).alias("auc"), F.sum("pos").alias("positives"))

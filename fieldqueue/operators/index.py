@@ -6,9 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldqueue.operators.ordering import ranked
 from fieldqueue.sources.shared import kept
 
 
@@ -64,15 +65,6 @@ def cells(d: DataFrame) -> DataFrame:
         d = kept(d.withColumn("draw", F.pmod(F.xxhash64(F.lit("part"), "depth", "id"), F.lit(1 << 30))).mapInArrow(split, d.schema))
 
 
-def ranked(d: DataFrame, by: str, order: list[Column], name: str) -> DataFrame:
-    """Adds the row's place, from 0, in its group; a group of any size is ranked in ranges."""
-    d = kept(d.repartitionByRange(F.col(by), *order).withColumn("_range", F.spark_partition_id()))
-    before = d.groupBy(by, "_range").count().withColumn("_before", F.sum("count").over(Window.partitionBy(by).orderBy("_range")) - F.col("count")).withColumnsRenamed({by: "_by", "_range": "_r"})
-    d = d.withColumn("_n", F.row_number().over(Window.partitionBy(by, "_range").orderBy(*order)))
-    d = d.join(F.broadcast(before), F.col(by).eqNullSafe(F.col("_by")) & (F.col("_range") == F.col("_r")))
-    return d.withColumn(name, F.col("_before") + F.col("_n") - 1).drop("_by", "_r", "_range", "_before", "_n", "count")
-
-
 def similarity_order(rows: DataFrame, by: str, size: int) -> DataFrame:
     """(by, batch, place, id) of every row (by, id, v, score): batches of `size` grown around far-apart seeds, and the place in the batch.
 
@@ -110,9 +102,9 @@ def similarity_order(rows: DataFrame, by: str, size: int) -> DataFrame:
 
     parted = cells(d.where("usable").withColumn("cell", F.to_json(F.struct(by)))).select(by, "cell", "id", "v", "score")
     grown = kept(parted.groupBy("cell").applyInArrow(grow, f"{by} {kind}, cell string, number int, place int, id long, mean double"))
-    batches = ranked(grown.where("place = 0").select(by, "cell", "number", "mean"), by, [F.col("mean").desc_nulls_last(), F.col("cell"), F.col("number")], "batch")
+    batches = ranked(grown.where("place = 0").select(by, "cell", "number", "mean"), [by], [F.col("mean").desc_nulls_last(), F.col("cell"), F.col("number")], "batch")
     head = grown.join(batches.select("cell", "number", "batch"), ["cell", "number"]).select(by, "batch", "place", "id")
     count = batches.groupBy(by).count().withColumnRenamed(by, "_by")
-    tail = ranked(d.where("not usable").select(by, "id"), by, [F.col("id").desc_nulls_last()], "_tail").join(count, F.col(by).eqNullSafe(F.col("_by")), "left")
+    tail = ranked(d.where("not usable").select(by, "id"), [by], [F.col("id").desc_nulls_last()], "_tail").join(count, F.col(by).eqNullSafe(F.col("_by")), "left")
     tail = tail.select(by, (F.coalesce("count", F.lit(0)) + F.floor(F.col("_tail") / size)).alias("batch"), (F.col("_tail") % size).cast("int").alias("place"), "id")
     return head.unionByName(tail).withColumn("batch", F.col("batch").cast("int"))

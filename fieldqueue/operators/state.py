@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from hashlib import sha256
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,6 +59,35 @@ def differences(expected: DataFrame, rebuilt: DataFrame) -> DataFrame:
     return a.unionByName(rebuilt.select(*names).exceptAll(expected).withColumn("side", F.lit("rebuilt")))
 
 
+class ReplayError(ValueError):
+    """A build that can't be repeated as it was."""
+
+
+def fingerprint(rows: DataFrame) -> str:
+    """Names a table's columns and rows, whatever their order: their number, and the sums of two hashes of each."""
+    names = sorted(rows.columns)
+    total = [F.coalesce(F.sum(F.xxhash64(F.lit(k), *[F.struct(c) for c in names]).cast("decimal(38,0)")), F.lit(0)) for k in (1, 2)]
+    r = rows.agg(F.count("*").alias("n"), *[t.alias(f"s{i}") for i, t in enumerate(total)]).first()
+    return f"{','.join(names)}:{r['n']}:{r['s0']}:{r['s1']}"
+
+
+def recorded(pool: DataFrame, key: bytes, settings: dict) -> dict:
+    """What a build must note to be repeated: its settings, and fingerprints of pool and key."""
+    return {"settings": dict(settings), "pool": fingerprint(pool), "key": sha256(b"key:" + key).hexdigest()}
+
+
+def replay(record: dict, log: DataFrame, pool: DataFrame, key: bytes, build: Callable[..., DataFrame]) -> DataFrame:
+    """Rows of a stored log and of the build repeated from its record that the other lacks, by side; none if all is well.
+
+    A pool or a key that isn't the record's is an error, before anything is built. `build` gets pool, key and the settings.
+    """
+    if (now := fingerprint(pool)) != record["pool"]:
+        raise ReplayError(f"the pool is {now}, the record's was {record['pool']}")
+    if sha256(b"key:" + key).hexdigest() != record["key"]:
+        raise ReplayError("the key isn't the record's")
+    return differences(log, build(pool, key, **record["settings"]))
+
+
 def coverage(whole: DataFrame, by: str, slack: int) -> DataFrame:
     """One row: rows by part, rows in all, and whether they agree within the slack."""
     parts = whole.where(F.col(by).isNotNull()).groupBy(by).count().agg(F.sum("count").alias("parts"))

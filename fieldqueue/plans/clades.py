@@ -12,16 +12,9 @@ from fieldqueue.sources.tables import table
 
 def clade(s, d):
     """Records above species against the ten classes as species, whose places are their numbers, and clades of three of them."""
-    from fieldqueue.operators.vectors import dot, unit
-
-    r = rows(s, d).where("id % 7 < 2")
-    means = vectors.sums(rows(s, d).withColumn("u", unit("v")), "label", "u").select(F.col("label").alias("at"), unit("total").alias("m"))
-    # the classes' means, one row each, are exploded from one row a task reads
-    all_ = F.broadcast(means.agg(F.collect_list(F.struct("at", "m")).alias("ms")))
-    x = r.select("id", (F.col("id") % 4).alias("node"), unit("v").alias("u")).join(all_).select("id", "node", "u", F.explode("ms").alias("x"))
-    similar = x.select("id", "node", F.col("x.at").cast("long").alias("at"), F.col("x.at").alias("label"), F.round(dot("u", "x.m"), 9).alias("cos"))
-    spans = s.range(4).select(F.col("id").alias("node"), (F.col("id") * 3).alias("lo"), F.least(F.col("id") * 3 + 2, F.lit(9)).alias("hi"))
-    out = vectors.clade_scores(similar, spans)
+    r, node = rows(s, d).where("id % 7 < 2"), F.col("id") % 4
+    classes = vectors.sums(rows(s, d).withColumn("u", vectors.unit("v")), "label", "u").select("label", F.col("label").cast("long").alias("at"), "total")
+    out = vectors.clade_scores(r.select("id", "v", (node * 3).alias("lo"), F.least(node * 3 + 2, F.lit(9)).alias("hi")), classes)
     return out.select("id", *[F.round(c, 6).alias(c) for c in ("in_best", "in_second", "out_best")], "in_label", "second_label")
 
 

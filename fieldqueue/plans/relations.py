@@ -126,7 +126,11 @@ NEAR = f"p as (select c_custkey id, {AT.format(k='c_custkey', a=7, b=13)} from c
 CHANGED = "q as (select p_partkey id, string_split(p_type, ' ') now_ from part), changed as (select id, now_, case id % 5 when 0 then now_ when 1 then now_[1:1] when 2 then list_append(now_, 'X') when 3 then ['X'] end then_ from q)"
 FLAGS = "f as (select l_orderkey, l_linenumber, (l_returnflag = 'R')::INT + 2 * (l_discount > 0.05)::INT + 4 * (l_tax > 0.04)::INT flags, least(greatest(l_quantity - 20, 0), 15)::INT nibble from lineitem)"
 EDGES = "e as (select l_suppkey x, l_partkey % 100 + 1 y, l_shipdate from lineitem where l_suppkey <> l_partkey % 100 + 1), g as (select least(x, y) a, greatest(x, y) b, year(l_shipdate)::VARCHAR kind from e), pr as (select a, b, string_agg(distinct kind, ',' order by kind) kinds, count(*) n from g group by 1, 2 having count(*) >= 2)"
+CRC = """st as (select list(c order by i) t from (select i, list_reduce(list_prepend(i, range(8)), lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) c from range(256) s(i))),
+    us as (select user_id, user_id::VARCHAR s from (select distinct user_id from pool where user_id is not null)),
+    cr as (select user_id, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(s)), lambda j: unicode(substr(s, j + 1, 1))::BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 3 k from us, st)"""
 ORACLE = {
+    "strata": f"with {POOL}, {CRC} select id, coalesce(grp, 'Unknown') || '|' || coalesce(k::VARCHAR, 'na') stratum from pool left join cr using (user_id)",
     "keyed_arm": f"select o_orderkey id, list_position(['control', 'novelty', 'recency'], {ARM_SQL}) - 1 arm from orders",
     "lineage": f"with recursive {PATHS} select id, array_to_string(path, '/') path from paths",
     "descendants": f"with recursive {PATHS} select id from paths where list_has_any(path, ['r1', 'n3'])",

@@ -14,6 +14,7 @@ from fieldqueue.plans.relations import AT, NEAR, cells, places
 from fieldqueue.plans.similarity import BASE, SCORES, rows, scores
 from fieldqueue.plans.views import IDENTS, PAIRS, POOL, RANKS, SERVED, WINDOW, idents, pool, served
 from fieldqueue.sources import tables
+from fieldqueue.sources.shared import kept
 from fieldqueue.sources.tables import table
 
 DAY = "1997-01-01"
@@ -76,13 +77,18 @@ def appended(s, d):
     return state.append_served(log, fresh).groupBy("build_date", "label").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
 
 
+def rebuilt(pool, key, size, most):
+    """Batches of a pool's lists by key, newest first."""
+    order = [F.col("created_at").desc_nulls_last(), F.col("id").desc()]
+    return batches.build_batches(batches.assign_keyed(pool.withColumnRenamed("grp", "group"), ARMS, key), order, size, most).select("arm", "batch_id", "position", "id")
+
+
 def replayed(s, d):
-    """The lists of a day rebuilt from the log, against the batches themselves: what differs, by side."""
-    log = day_log(s, d).where("build_date = '2026-01-02'")
-    letter = F.element_at(F.create_map(*[F.lit(x) for a, l in zip(ARMS, "ABC") for x in (l, a)]), F.col("label"))
-    rebuilt = log.withColumn("arm", letter).select("arm", F.concat_ws("-", "arm", "group", F.format_string("%03d", "batch_index")).alias("batch_id"), "position", "id")
-    want = build_batches(s, d).select("arm", "batch_id", "position", "id")
-    return state.differences(want, rebuilt).groupBy("side").count().select("side", "count").unionByName(rebuilt.groupBy("arm").count().select(F.col("arm").alias("side"), "count"))
+    """A stored log in which some positions were changed and some rows lost, against the build repeated from its record: what differs, by side."""
+    p = pool(s, d).select("id", "grp", "created_at")
+    record = state.recorded(p, KEY, {"size": 50, "most": 20})
+    log = kept(rebuilt(p, KEY, 50, 20).where("id % 41 <> 3").withColumn("position", F.when(F.col("id") % 40 == 7, F.col("position") + 1).otherwise(F.col("position")).cast("int")))
+    return state.replay(record, log, p, KEY, rebuilt).groupBy("side").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
 
 
 def study(s, d):
@@ -407,7 +413,7 @@ ENTRIES = {
     "cdc_pull": (sided, f"with {POOL}, f as (select case when status in ('O', 'P') then 'kept' else 'gone' end side, created_at from pool where created_at > timestamp '{DAY}') select side, count(*) n, (select max(created_at) from f) newest from f group by 1"),
     "served_append": (appended, f"with {B}, d as (select '2026-01-01' build_date, \"label\", id from l union all select '2026-01-02', \"label\", id from l where id % 3 = 0) select build_date, \"label\", count(*) n, sum(id)::BIGINT ids from d group by 1, 2"),
     "sink_served": (lambda s, d: day_log(s, d).groupBy("build_date", "label", "group").agg(F.count("*").alias("n"), F.max("batch_index").alias("last")), f"with {B} select build_date, \"label\", \"group\", count(*) n, max(batch_index) \"last\" from l, (values ('2026-01-01'), ('2026-01-02')) t(build_date) group by 1, 2, 3"),
-    "replay": (replayed, f"with {B} select arm side, count(*) \"count\" from b group by 1"),
+    "replay": (replayed, f"with {B} select 'expected' side, count(*) n, sum(id)::BIGINT ids from b where id % 41 <> 3 and id % 40 = 7 union all select 'rebuilt', count(*), sum(id)::BIGINT from b where id % 41 = 3 or id % 40 = 7"),
     "sink_study": (study, f"with {B} select \"label\", \"group\", batch_index, string_agg(id::VARCHAR, ',' order by \"position\") ids from l group by 1, 2, 3"),
     "align_consensus": (aligned, "with p as (select p_partkey id, string_split(p_type, ' ') path, p_size k from part), x as (select id, case when k % 7 = 0 then ['X'] else path[1:k % 2 + 1] end con, path[1:k % 3 + 1] ref from p) select id, array_to_string(case when len(con) > len(ref) and con[1:len(ref)] = ref then ref else con end, ' ') taxon, case when len(ref) > len(con) and ref[1:len(con)] = con then 0 else 0.9 end::DOUBLE posterior from x"),
     "ranks_notes": (lambda s, d: pool(s, d).select("id", "grp").join(pool(s, d).where("id % 3 = 0").select("id", F.concat(F.lit("note "), "id").alias("note")), "id", "left").select("id", F.when(F.col("grp") == "2-HIGH", F.col("note")).alias("note")), f"with {POOL} select id, case when grp = '2-HIGH' and id % 3 = 0 then 'note ' || id end note from pool"),

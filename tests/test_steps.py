@@ -66,9 +66,43 @@ def test_sources_name_missing_columns_and_cast(spark):
         steps.half_open(df, "2026-02-01", "2026-01-01")
 
 
-def test_replayed_day_has_no_differences(spark):
-    got = {r["side"]: r["count"] for r in steps.replayed(spark, "/root/testdata/sf0.001").collect()}
-    assert set(got) == {"control", "novelty", "recency"}
+def test_a_log_is_held_against_the_build_repeated_from_its_record(spark):
+    pool = spark.range(900).selectExpr("id", "string(id % 2) as grp", "timestamp_seconds(id * 977 % 10000) as created_at")
+    record = state.recorded(pool, b"k", {"size": 10, "most": 20})
+    log = steps.rebuilt(pool, b"k", 10, 20).cache()
+    assert state.replay(record, log, pool.repartition(7), b"k", steps.rebuilt).count() == 0
+    lost = log.where("id <> 5").unionByName(log.where("id = 6"))
+    assert sorted((r["side"], r["id"]) for r in state.replay(record, lost, pool, b"k", steps.rebuilt).collect()) == [("expected", 6), ("rebuilt", 5)]
+    with pytest.raises(state.ReplayError, match="pool"):
+        state.replay(record, log, pool.where("id <> 3"), b"k", steps.rebuilt)
+    with pytest.raises(state.ReplayError, match="key"):
+        state.replay(record, log, pool, b"other", steps.rebuilt)
+    assert state.replay(state.recorded(pool, b"k", {"size": 9, "most": 20}), log, pool, b"k", steps.rebuilt).count() > 0
+
+
+def test_clades_in_blocks_of_classes(spark, monkeypatch):
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    means, x = r.standard_normal((23, 6)), r.standard_normal((40, 6))
+    unit = lambda v: v / np.sqrt((v * v).sum(-1, keepdims=True))
+    spans = [(int(a), int(a + w)) for a, w in zip(r.integers(0, 20, 40), r.integers(0, 9, 40))] + [(30, 40), (0, 22)]
+    x = np.concatenate([x, x[:2]])
+    records = spark.createDataFrame([(i, v.tolist(), *spans[i]) for i, v in enumerate(x)], "id long, v array<double>, lo long, hi long")
+    classes = spark.createDataFrame([(f"s{i}", i, (3 * m).tolist()) for i, m in enumerate(means)], "label string, at long, total array<double>")
+    want = {}
+    for i, (a, b) in enumerate(spans):
+        s = np.round(unit(x[i]) @ unit(means).T, 9)
+        order = sorted(range(a, min(b, 22) + 1), key=lambda j: (-s[j], j))
+        if order:
+            out = [v for j, v in enumerate(s) if not a <= j <= b]
+            want[i] = (s[order[0]], f"s{order[0]}", *((s[order[1]], f"s{order[1]}") if len(order) > 1 else (None, None)), max(out) if out else None)
+    for block in (4, 4096):
+        monkeypatch.setattr(vectors, "CLASSES", block)
+        got = {q["id"]: tuple(q)[1:] for q in vectors.clade_scores(records, classes).collect()}
+        assert set(got) == set(want)
+        for i, w in want.items():
+            assert got[i] == pytest.approx(w) if None not in w else got[i] == w
 
 
 def test_first_identifications_and_overturn(spark):
