@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fieldqueue.plans import batching, bundles, clades, counting, experiments, indexing, inference, lists, overturns, places, relations, reviews, similarity, steps, summaries, surprises, upkeep
+from fieldqueue.plans import batching, bundles, clades, counting, experiments, indexing, inference, lists, outcomes, overturns, places, relations, reviews, similarity, steps, summaries, surprises, upkeep
 
-MODULES = (batching, bundles, clades, counting, experiments, indexing, inference, lists, overturns, places, relations, reviews, similarity, steps, summaries, surprises, upkeep)
+MODULES = (batching, bundles, clades, counting, experiments, indexing, inference, lists, outcomes, overturns, places, relations, reviews, similarity, steps, summaries, surprises, upkeep)
 
 
 def queries() -> dict:

@@ -43,12 +43,6 @@ def agreement(s, d):
     return n.groupBy("id").agg(F.floor(F.avg((F.col("label") == F.col("nl")).cast("double")) * 12 + 0.5).cast("int").alias("twelfths"))
 
 
-def novelty(s, d):
-    r = rows(s, d)
-    near = vectors.exact_neighbours(r.where("id % 2 = 1"), r.where("id % 2 = 0"), 1)
-    return near.select("id", F.round(F.greatest(1 - F.col("cos"), F.lit(0.0)), 6).alias("novelty"))
-
-
 def layout(s, d):
     known = rows(s, d).where("id % 10 <> 0").select("id", (F.col("id") % 97 / 97).alias("x"), (F.col("id") % 89 / 89).alias("y"))
     return rounded(vectors.placed(neighbours(s, d).select("id", "nb", "cos"), known), "x", "y")
@@ -71,7 +65,6 @@ QUERIES = {
     "unit": lambda s, d: rows(s, d).select("id", F.round(F.array_max(vectors.unit("v")), 6).alias("largest")),
     "topk_cosine": lambda s, d: neighbours(s, d).select("id", "place", "nb"),
     "nn_agreement": agreement,
-    "order_novelty": novelty,
     "layout_place": layout,
     "dawid_skene": lambda s, d: consensus.consensus(answers(s, d)).withColumn("posterior", F.round("posterior", 4)),
 }
@@ -112,6 +105,5 @@ ORACLE = {
     "unit": f"with {BASE} select id, round(list_max(list_transform(v, lambda y: y / sqrt(list_dot_product(v, v)))), 6) largest from r",
     "topk_cosine": f"with {NB} select id, place::INT place, nb from nbs",
     "nn_agreement": f"with {NB} select nbs.id, floor(avg((a.\"label\" = b.\"label\")::INT) * 12 + 0.5)::INT twelfths from nbs join r a on a.id = nbs.id join r b on b.id = nbs.nb group by 1",
-    "order_novelty": f"with {BASE} select a.id, round(greatest(1 - max(list_cosine_similarity(a.v, b.v)), 0), 6) novelty from r a, r b where a.id % 2 = 1 and b.id % 2 = 0 group by 1",
     "layout_place": f"with {NB} select id, round(coalesce(sum(greatest(c, 0) * (nb % 97 / 97.0::DOUBLE)) / nullif(sum(greatest(c, 0)), 0), avg(nb % 97 / 97.0::DOUBLE)), 6) x, round(coalesce(sum(greatest(c, 0) * (nb % 89 / 89.0::DOUBLE)) / nullif(sum(greatest(c, 0)), 0), avg(nb % 89 / 89.0::DOUBLE)), 6) y from nbs where nb % 10 <> 0 group by 1",
 }

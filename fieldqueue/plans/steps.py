@@ -210,29 +210,6 @@ def metaweb_pairs(s, d):
     return x.join(known, ["pred", "prey"]).groupBy("a", "b").agg(F.max("p").alias("p"))
 
 
-def cohort(s, d):
-    """What became of records by the level they had: left, corrected, and changed at all."""
-    before = pool(s, d).select("id", F.col("grp").alias("level"), (F.col("user_id") % 5).alias("taxon"))
-    after = pool(s, d).where("id % 6 <> 0").select("id", F.when(F.col("id") % 4 == 0, F.col("user_id") % 5 + 1).otherwise(F.col("user_id") % 5).alias("now"))
-    j = before.join(after, "id", "left")
-    changed = F.col("now").isNotNull() & (F.col("now") != F.col("taxon"))
-    return j.groupBy("level").agg(F.count("*").alias("n"), F.count_if(F.col("now").isNull()).alias("left"), F.count_if(changed).alias("corrected"), F.count_if(changed | F.col("now").isNull()).alias("changed_any"))
-
-
-def described(s, d):
-    x = scores(s, d).where("own is not null")
-    level = F.when(F.col("margin") < 0, "mislabel").when(F.col("margin") < 0.05, "narrow").otherwise("easy")
-    return x.withColumn("level", level).groupBy("grp").agg(*[F.count_if(F.col("level") == k).alias(k) for k in ("easy", "narrow", "mislabel")])
-
-
-def consensus_levels(s, d):
-    """Per level: records, the share settled, the mean posterior and the share of abstentions."""
-    n = idents(s, d).groupBy("id").agg(F.count("*").alias("answers"), F.count_if(F.col("answer") == "N").alias("abstain"), F.max("answer").alias("taxon"))
-    c = n.join(pool(s, d).select("id", F.col("grp").alias("level")), "id").withColumn("posterior", 1 / F.col("answers"))
-    settled = (F.col("posterior") >= 0.3) & (F.col("taxon") != "N")
-    return c.groupBy("level").agg(F.count("*").alias("n"), F.round(F.avg(settled.cast("double")), 6).alias("settled"), F.round(F.avg("posterior"), 6).alias("posterior"), F.round(F.avg(F.col("abstain") / F.col("answers")), 6).alias("abstain"))
-
-
 def drift(s, d):
     """Pool and source totals, and whether their difference makes a reconciliation due."""
     mine = pool(s, d).where("id % 40 <> 0").agg(F.count("*").alias("mine"))
@@ -240,12 +217,6 @@ def drift(s, d):
     return both.withColumn("due", F.abs(F.col("mine") - F.col("theirs")) > 0.02 * F.col("theirs"))
 
 
-def over(s, d):
-    """Group-months with more records than the source reports."""
-    n = pool(s, d).groupBy("grp", F.date_trunc("month", "created_at").cast("date").alias("month")).agg(F.count("*").alias("n"))
-    return n.where(F.col("n") > 30 + F.month("month") * 2)
-
-
 def taxonomy_cover(s, d):
     p = table(s, d, "part").select(F.split("p_type", " ").alias("path"), (F.col("p_size") % 3 != 0).alias("complete"), F.col("p_brand").alias("brand"))
     hit = F.array_contains("path", "BRASS")
@@ -313,11 +284,6 @@ def subjects(s, d):
     return e.select("event_id", F.trim(F.get(F.split(plain, " eating "), F.lit(0))).alias("who"), F.trim(F.get(F.split(plain, " eating "), F.lit(1))).alias("what"))
 
 
-def evidence(s, d):
-    o = table(s, d, "orders")
-    return o.groupBy("o_orderpriority").agg(F.count_if(F.col("o_orderstatus") == "F").alias("done"), F.count_if((F.col("o_orderstatus") == "O") & (F.col("o_totalprice") > 100000)).alias("large"), F.count_if(F.col("o_orderdate") >= F.lit(DAY).cast("timestamp")).alias("late"))
-
-
 def signals(s, d):
     """Cohesion of batches as text for a manifest: four decimals, null where there is none."""
     from fieldqueue.operators.vectors import cohesion
@@ -387,13 +353,8 @@ ENTRIES = {
     "agg_first_nonnull": (lambda s, d: idents(s, d).groupBy("id").agg(F.min_by("user_id", F.when(F.col("user_id").isNotNull(), F.struct("created_at", "seq", "user_id"))).alias("user_id")), f"with {IDENTS} select id, arg_min(user_id, (created_at, seq, user_id)) filter (user_id is not null) user_id from idents group by 1"),
     "identifier_counts": (lambda s, d: analysis.by_arm(pairs(s, d).where("user_id % 2 = 0"), served(s, d).select("id", "arm"), ARMS), f"with {IDENTS}, {SERVED}, {PAIRS} select user_id, {COLS} from pairs join served using (id) where user_id % 2 = 0 group by 1"),
     "signals_json": (signals, f"with {BASE}, u as (select id // 50 batch, list_transform(v, lambda y: y / sqrt(list_dot_product(v, v))) u from r), e as (select batch, unnest(u) x, unnest(range(0, len(u))) i from u), t as (select batch, i, sum(x) s, count(*) n from e group by 1, 2) select batch, max(n) n, round(sqrt(sum(s * s)) / max(n), 4) cohesion from t group by 1"),
-    "level_table": (consensus_levels, f"with {POOL}, {IDENTS}, n as (select id, count(*) a, count(*) filter (answer = 'N') k, max(answer) taxon from idents group by 1) select grp \"level\", count(*) n, round(avg((1 / a >= 0.3 and taxon <> 'N')::INT), 6) settled, round(avg(1 / a), 6) posterior, round(avg(k / a), 6) abstain from n join pool using (id) group by 1"),
-    "describe_levels": (described, f"with {SCORES} select grp, count(*) filter (margin >= 0.05) easy, count(*) filter (margin >= 0 and margin < 0.05) narrow, count(*) filter (margin < 0) mislabel from sc where own is not null group by 1"),
-    "cohort_levels": (cohort, f"with {POOL}, j as (select grp \"level\", id % 6 = 0 gone, id % 6 <> 0 and id % 4 = 0 changed from pool) select \"level\", count(*) n, count(*) filter (gone) \"left\", count(*) filter (changed) corrected, count(*) filter (gone or changed) changed_any from j group by 1"),
     "pool_counts": (drift, f"with {POOL}, m as (select count(*) filter (id % 40 <> 0) mine, count(*) theirs from pool) select *, abs(mine - theirs) > 0.02 * theirs due from m"),
-    "over_totals": (over, f"with {POOL} select grp, date_trunc('month', created_at)::DATE \"month\", count(*) n from pool group by 1, 2 having count(*) > 30 + month(min(created_at)) * 2"),
     "coverage_taxonomy": (taxonomy_cover, "select p_brand brand, count(*) filter (p_size % 3 <> 0) complete, count(*) filter (p_size % 3 = 0) incomplete, count(*) filter (p_type like '%BRASS%') \"match\", count(*) filter (p_type not like '%BRASS%' and p_size % 3 <> 0) other, count(*) filter (p_type not like '%BRASS%' and p_size % 3 = 0) \"unknown\" from part group by 1"),
-    "foodobs_counts": (evidence, f"select o_orderpriority, count(*) filter (o_orderstatus = 'F') done, count(*) filter (o_orderstatus = 'O' and o_totalprice > 100000) \"large\", count(*) filter (o_orderdate >= timestamp '{DAY}') late from orders group by 1"),
     "win_rank_level": (lambda s, d: level_ranks(s, d).select("id", "level", "place"), f"with {LEVELED} select id, \"level\", place from rk"),
     "win_pct_ceil": (lambda s, d: level_ranks(s, d).select("id", "pct"), f"with {LEVELED} select id, ceil(100 * (place + 1) / m)::INT pct from rk"),
     "win_perspecies": (per_species, f"with {POOL}, {IDENTS}, p as (select id, grp, max(answer) answer from idents join pool using (id) where seq = 1 group by 1, 2) select * from p qualify row_number() over (partition by grp, answer order by id desc) <= 3"),
