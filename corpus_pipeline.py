@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldqueue.llm import decontaminate, jaccard, language, lines, mixing
 from fieldqueue.llm.shared import kept, without
+from fieldqueue.sources.shared import forget
 from fieldqueue.sources.tables import table
 
 #: Documents whose language is found with less probability go.
@@ -67,8 +68,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each stage's rows written and read again before the next."""
+    """All stages over documents, each stage's rows written and read again before the next, which makes those before it superfluous."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = kept(stage(spark, docs, sf_dir))
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, kept(stage(spark, docs, sf_dir))
+        if i:
+            forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)

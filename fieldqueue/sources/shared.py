@@ -25,3 +25,13 @@ def kept(df: DataFrame) -> DataFrame:
     schema = df.schema
     df.write.parquet(path, compression="zstd")
     return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes the table that kept() wrote and df reads; for callers who know that nothing else reads it any more. Other tables are left alone."""
+    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    context = df.sparkSession.sparkContext
+    for folder in folders:
+        if folder.rsplit("/", 1)[-1].startswith("fieldqueue-"):
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

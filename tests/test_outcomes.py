@@ -56,3 +56,19 @@ def test_empty_tables_give_no_levels(spark):
     assert outcomes.level_table(none, counts, levels).count() == 0
     assert outcomes.evidence_counts(spark.createDataFrame([], "food string, text string, comments int, grade string")).first()["obs"] == 0
     assert outcomes.separability(spark.createDataFrame([], "id long, label string, v array<double>")).first()["n"] == 0
+
+
+def test_kept_tables_are_forgotten_and_others_left(spark, tmp_path):
+    import os
+
+    from fieldqueue.sources.shared import forget, kept
+
+    other = f"{tmp_path}/mine"
+    spark.range(5).write.parquet(other)
+    table, mine = kept(spark.range(7)), spark.read.parquet(other)
+    folder = table.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    assert table.count() == 7 and os.path.isdir(folder)
+    forget(table)
+    forget(mine)
+    forget(kept(spark.range(0)))
+    assert not os.path.exists(folder) and mine.count() == 5
