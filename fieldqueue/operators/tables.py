@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldqueue.operators.ordering import seeded
@@ -38,12 +38,34 @@ def cluster_bootstrap(rows: DataFrame, cluster: str, by: str, y: str, reps: int,
     which a seeded hash decides, so that lost tasks draw the same.
     """
     c = rows.groupBy(cluster, by).agg(F.sum(F.col(y).cast("long")).alias("k"), F.count("*").alias("n"))
-    u = seeded(seed, "rep", cluster)
-    # cumulative probabilities of 0 to 5 events at rate 1
-    weight = F.lit(6)
-    for k, p in reversed(list(enumerate((0.367879441, 0.735758882, 0.919698603, 0.981011843, 0.996340153, 0.999405815)))):
-        weight = F.when(u < p, k).otherwise(weight)
-    drawn = c.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("w", weight)
+    drawn = c.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("w", poisson(seed, cluster))
     rate = drawn.groupBy(by, "rep").agg(F.try_divide(F.sum(F.col("w") * F.col("k")), F.sum(F.col("w") * F.col("n"))).alias("r"))
     whole = c.groupBy(by).agg((F.sum("k") / F.sum("n")).alias("rate"))
     return whole.join(rate.groupBy(by).agg(F.percentile("r", F.lit(0.025)).alias("low"), F.percentile("r", F.lit(0.975)).alias("high")), by)
+
+
+def poisson(seed: int, cluster: str) -> Column:
+    """How often a cluster comes in the repetition `rep`, a Poisson(1) draw that a hash of seed, repetition and cluster decides; once in repetition 0."""
+    u, weight = seeded(seed, "rep", cluster), F.lit(6)
+    for k, p in reversed(list(enumerate((0.367879441, 0.735758882, 0.919698603, 0.981011843, 0.996340153, 0.999405815)))):
+        weight = F.when(u < p, k).otherwise(weight)
+    return F.when(F.col("rep") == 0, 1).otherwise(weight)
+
+
+def level_contrasts(rows: DataFrame, cluster: str, by: str, outcomes: list[str], reference: str, reps: int, seed: int) -> DataFrame:
+    """(by, outcome, rate, difference, ratio, each with _low and _high): the rate of each outcome by level, less that of the reference level, and over it, with the middle 95 % over resampled clusters.
+
+    Rows are summed up by cluster and level first; repetition 0 counts every cluster once and gives the estimates. A rate without rows in a
+    repetition, or a ratio to a rate of 0, is left out of the interval; a null cluster is one.
+    """
+    names = [f"_k{i}" for i in range(len(outcomes))]
+    c = rows.groupBy(F.coalesce(F.col(cluster).cast("string"), F.lit("none")).alias("_c"), by).agg(F.count("*").alias("_n"), *[F.sum(F.col(o).cast("long")).alias(k) for o, k in zip(outcomes, names)])
+    d = c.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps)))).withColumn("_w", poisson(seed, "_c"))
+    total = lambda k: F.sum(F.col("_w") * F.col(k))
+    r = d.groupBy(by, "rep").agg(*[F.try_divide(total(k), total("_n")).alias(k) for k in names])
+    r = r.select(by, "rep", F.explode(F.array(*[F.struct(F.lit(o).alias("outcome"), F.col(k).alias("rate")) for o, k in zip(outcomes, names)])).alias("x")).select(by, "rep", "x.*")
+    base = r.where(F.col(by) == reference).select("rep", "outcome", F.col("rate").alias("_base"))
+    r = r.join(base, ["rep", "outcome"], "left").withColumns({"difference": F.col("rate") - F.col("_base"), "ratio": F.try_divide("rate", "_base")})
+    drawn = lambda v: F.when(F.col("rep") > 0, F.col(v))
+    out = [a for v in ("rate", "difference", "ratio") for a in (F.max(F.when(F.col("rep") == 0, F.col(v))).alias(v), F.percentile(drawn(v), F.lit(0.025)).alias(f"{v}_low"), F.percentile(drawn(v), F.lit(0.975)).alias(f"{v}_high"))]
+    return r.groupBy(by, "outcome").agg(*out)

@@ -42,6 +42,13 @@ def suggestions(s, d):
     return n.where(F.contains(F.lower("p_type"), F.lit("st"))).orderBy(F.col("n").desc(), "p_type").limit(10)
 
 
+def contrasts(s, d):
+    """Rates of two states by group, beside those of the urgent ones."""
+    p = pool(s, d).withColumns({"done": (F.col("status") == "F").cast("int"), "stuck": (F.col("status") == "P").cast("int")})
+    c = tables.level_contrasts(p, "user_id", "grp", ["done", "stuck"], "1-URGENT", 200, 5)
+    return c.select("grp", "outcome", *[F.round(v, 6).alias(v) for v in c.columns[2:]])
+
+
 QUERIES = {
     "cell_blend": lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_discount").alias("a"), F.col("l_tax").alias("b")).select("l_orderkey", "l_linenumber", F.round(scalars.clipped_blend({"a": 10.0, "b": 6.0}), 6).alias("score")),
     "range_note": lambda s, d: pool(s, d).select("id", scalars.range_note(F.when(F.col("id") % 3 > 0, F.col("id") % 3 == 1), F.when(F.col("id") % 5 > 1, F.col("id") % 5 > 2)).alias("note")),
@@ -56,6 +63,7 @@ QUERIES = {
     "topk_pairs": lambda s, d: ordering.place(scores(s, d), ["label", "other_label"], [F.col("margin").asc(), F.col("id").asc()]).where("place < 3").select("id", "label", "other_label"),
     "win_known": lambda s, d: scores(s, d).select("id", (F.count("*").over(Window.partitionBy("other_label")) >= 20).alias("known")),
     "level_stats": lambda s, d: tables.cluster_bootstrap(pool(s, d).withColumn("y", (F.col("status") == "F").cast("int")), "user_id", "grp", "y", 1000, 3).select("grp", *[F.round(c, 6).alias(c) for c in ("rate", "low", "high")]),
+    "level_contrasts": contrasts,
     "scores_delta": delta_scores,
     "merge_arm": lambda s, d: pool(s, d).where("id % 3 = 0").join(served(s, d).select("id", "arm"), "id", "left").select("id", F.when(F.col("arm").isNull(), F.raise_error(F.lit("a record has no arm")).cast("string")).otherwise(F.col("arm")).alias("arm")),
     "src_totals": lambda s, d: pool(s, d).groupBy("grp", "status", F.trunc("created_at", "MM").alias("month")).agg(F.count("*").alias("n")),
@@ -78,6 +86,13 @@ ORACLE = {
     "level_stats": f"""with {POOL}, c as (select user_id, grp, count(*) filter (status = 'F') k, count(*) n from pool group by 1, 2), u as (select c.*, rep, ('0x' || substr(md5('3:' || rep || ':' || user_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE u from c, range(1, 1001) t(rep)),
         w as (select *, case when u < 0.367879441 then 0 when u < 0.735758882 then 1 when u < 0.919698603 then 2 when u < 0.981011843 then 3 when u < 0.996340153 then 4 when u < 0.999405815 then 5 else 6 end w from u), r as (select grp, rep, sum(w * k) / sum(w * n) r from w group by 1, 2), a as (select grp, sum(k) / sum(n) rate from c group by 1)
         select grp, round(rate, 6) rate, round(quantile_cont(r, 0.025), 6) low, round(quantile_cont(r, 0.975), 6) high from r join a using (grp) group by grp, rate""",
+    "level_contrasts": f"""with {POOL}, c as (select user_id, grp, count(*) n, count(*) filter (status = 'F') kd, count(*) filter (status = 'P') ks from pool group by 1, 2), u as (select c.*, rep, ('0x' || substr(md5('5:' || rep || ':' || user_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE u from c, range(0, 201) t(rep)),
+        w as (select *, case when rep = 0 then 1 when u < 0.367879441 then 0 when u < 0.735758882 then 1 when u < 0.919698603 then 2 when u < 0.981011843 then 3 when u < 0.996340153 then 4 when u < 0.999405815 then 5 else 6 end w from u),
+        g as (select grp, rep, sum(w * kd) / sum(w * n) d, sum(w * ks) / sum(w * n) s from w group by 1, 2), l as (select grp, rep, 'done' outcome, d rate from g union all select grp, rep, 'stuck', s from g),
+        j as (select l.*, l.rate - b.rate difference, l.rate / nullif(b.rate, 0) ratio from l left join (select rep, outcome, rate from l where grp = '1-URGENT') b using (rep, outcome))
+        select grp, outcome, round(max(rate) filter (rep = 0), 6) rate, round(quantile_cont(rate, 0.025) filter (rep > 0), 6) rate_low, round(quantile_cont(rate, 0.975) filter (rep > 0), 6) rate_high,
+               round(max(difference) filter (rep = 0), 6) difference, round(quantile_cont(difference, 0.025) filter (rep > 0), 6) difference_low, round(quantile_cont(difference, 0.975) filter (rep > 0), 6) difference_high,
+               round(max(ratio) filter (rep = 0), 6) ratio, round(quantile_cont(ratio, 0.025) filter (rep > 0), 6) ratio_low, round(quantile_cont(ratio, 0.975) filter (rep > 0), 6) ratio_high from j group by 1, 2""",
     "scores_delta": f"with {POOL}, {DELTA} select id, grp, 'base' origin from valid union all select id, grp, 'new' from pool where id not in (select id from valid)",
     "merge_arm": f"with {SERVED} select id, arm from served",
     "src_totals": f"with {POOL} select grp, status, date_trunc('month', created_at)::DATE \"month\", count(*) n from pool group by 1, 2, 3",
