@@ -56,7 +56,7 @@ def bands(s, d):
     p = pool(s, d).select("id", "created_at", "score", (F.col("status") == "F").cast("int").alias("done"), (F.col("status") == "P").cast("int").alias("stuck"))
     orders = {"newest": [F.col("created_at").desc(), F.col("id").asc()], "score": [F.col("score").desc_nulls_last(), F.col("id").asc()]}
     c = hypotheses.compared(p, orders, ["done", "stuck"], [10, 100, 400], reps=40, seed=5)
-    return c.select("order", "k", "outcome", *[F.round(x, 6).alias(x) for x in ("share", "low", "high")])
+    return c.select("order", "k", "outcome", *[F.round(x, 9).alias(x) for x in ("share", "low", "high")])
 
 
 QUERIES = {"fit_temp": fitted, "fit_temp_rows": resolved, "hypothesis": tested, "detection_nowcast": detected, "topk_compare": bands}
@@ -82,5 +82,5 @@ ORACLE = {
         bd as (select k, outcome, quantile_cont(v, 0.025) low, quantile_cont(v, 0.975) high from un group by 1, 2),
         od as (select 'newest' "order", done, stuck, row_number() over (order by created_at desc, id) place from q union all select 'score', done, stuck, row_number() over (order by score desc nulls last, id) from q),
         os as (select "order", k, avg(done) done, avg(stuck) stuck from od, ks where place <= k group by 1, 2), ou as (select "order", k, 'done' outcome, done share from os union all select "order", k, 'stuck', stuck from os)
-        select "order", k, outcome, round(share, 6) share, round(low, 6) low, round(high, 6) high from ou join bd using (k, outcome)""",
+        select "order", k, outcome, round(share, 9) share, round(low, 9) low, round(high, 9) high from ou join bd using (k, outcome)""",
 }
