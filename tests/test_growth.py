@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from hashlib import md5
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from fieldqueue.operators import consensus
+from fieldqueue.operators import consensus, tables
 
 
 def test_a_record_of_many_answers_goes_by_joins(spark, monkeypatch):
@@ -21,3 +22,14 @@ def test_a_record_of_many_answers_goes_by_joins(spark, monkeypatch):
     assert consensus.prepared(answers).long is not None and found() == whole
     monkeypatch.setattr(consensus, "LOGINS", 5)
     assert consensus.prepared(answers).packed is None and found() == whole
+
+
+def test_draws_are_those_of_the_hash(spark):
+    tails = [b":1", b":22", b"", b":" + b"x" * 60]
+    want = [[int((tables.POISSON <= int(md5(b"3:%d" % r + t).hexdigest()[:13], 16)).sum()) for r in range(1, 121)] for t in tails]
+    assert tables.draws(3, 120, tails).tolist() == want
+    rows = spark.createDataFrame([(i, g, i % 2) for i in range(40) for g in "ab"] + [(None, None, 1)], "u long, g string, y int")
+    got = {r["g"]: r for r in tables.cluster_bootstrap(rows, "u", "g", "y", 50, 3).collect()}
+    w = tables.draws(3, 50, [b":%d" % i for i in range(40)])
+    rates = w[np.arange(40) % 2 == 1].sum(0) / w.sum(0)
+    assert set(got) == {"a", "b"} and got["a"]["rate"] == 0.5 and np.isclose(got["b"]["high"], np.percentile(rates, 97.5))
