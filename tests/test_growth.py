@@ -7,7 +7,7 @@ from hashlib import md5
 import numpy as np
 from pyspark.sql import functions as F
 
-from fieldqueue.operators import consensus, tables
+from fieldqueue.operators import consensus, tables, taxa
 
 
 def test_a_record_of_many_answers_goes_by_joins(spark, monkeypatch):
@@ -33,3 +33,8 @@ def test_draws_are_those_of_the_hash(spark):
     w = tables.draws(3, 50, [b":%d" % i for i in range(40)])
     rates = w[np.arange(40) % 2 == 1].sum(0) / w.sum(0)
     assert set(got) == {"a", "b"} and got["a"]["rate"] == 0.5 and np.isclose(got["b"]["high"], np.percentile(rates, 97.5))
+
+
+def test_taxa_beyond_sixteen_bits(spark):
+    r = spark.range(1, 65_541).select(F.col("id").alias("taxon_id"), F.lit("x").alias("taxon_name"), F.lit(None).cast("string").alias("common_name"), F.lit("r").alias("rank"))
+    assert taxa.taxa_table(r)[0].agg(F.max("row")).first()[0] == 65_539
