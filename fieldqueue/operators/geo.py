@@ -58,16 +58,16 @@ def in_rings(points: DataFrame, rings: DataFrame, bin: float) -> DataFrame:
     """points (id, x, y) with `cell`: the first cell whose ring (cell, ring: array of points x, y) holds the point, null for none.
 
     Bins of a ring's bounds and those of the points meet in an equi-join; the even-odd rule then goes over the ring's
-    edges.
+    edges. Equal points are looked up once, and of equal rings only the first cell's is kept.
     """
     at = lambda c: F.floor(c / bin)
     xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
     span = lambda v: F.sequence(at(F.array_min(v)), at(F.array_max(v)))
-    r = rings.withColumn("_bx", F.explode(span(xs))).withColumn("_by", F.explode(span(ys)))
-    j = points.withColumn("_bx", at(F.col("x"))).withColumn("_by", at(F.col("y"))).join(r, ["_bx", "_by"])
+    r = rings.groupBy("ring").agg(F.min("cell").alias("cell")).withColumn("_bx", F.explode(span(xs))).withColumn("_by", F.explode(span(ys)))
+    j = points.select("x", "y").distinct().withColumn("_bx", at(F.col("x"))).withColumn("_by", at(F.col("y"))).join(r, ["_bx", "_by"])
     before = F.concat(F.slice("ring", -1, 1), F.slice("ring", F.lit(1), F.size("ring") - 1))
     edge = lambda a, b: (a["y"] > F.col("y")) != (b["y"] > F.col("y"))
     cross = lambda a, b: edge(a, b) & (F.col("x") < (b["x"] - a["x"]) * (F.col("y") - a["y"]) / (b["y"] - a["y"]) + a["x"])
     odd = F.size(F.filter(F.zip_with("ring", before, lambda a, b: F.coalesce(cross(a, b), F.lit(False))), lambda c: c)) % 2 == 1
-    held = j.where(odd).groupBy("id").agg(F.min("cell").alias("cell"))
-    return points.join(held, "id", "left")
+    held = j.where(odd).groupBy("x", "y").agg(F.min("cell").alias("cell"))
+    return points.join(held, ["x", "y"], "left").select(*points.columns, "cell")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import time
 from hashlib import md5
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from fieldqueue.operators import consensus, ranges, tables, taxa
+from fieldqueue.operators import consensus, geo, ranges, tables, taxa
 
 
 def test_a_record_of_many_answers_goes_by_joins(spark, monkeypatch):
@@ -49,3 +50,11 @@ def test_matches_by_class_are_those_of_all_pairs(spark):
         pairs = areas.join(s, "a").join(places, "p").select("score", "area", "place")
         want = sorted(map(tuple, ranges.matched(pairs).collect()))
         assert want and sorted(map(tuple, ranges.matched_classes(areas, places, s).collect())) == want
+
+
+def test_equal_points_and_rings_meet_once(spark):
+    p = spark.range(20_000).select("id", F.lit(1.0).alias("x"), F.lit(1.0).alias("y"))
+    point = lambda x, y: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"))
+    r = spark.range(5, 20_000).select(F.col("id").alias("cell"), F.array(point(0.0, 0.0), point(4.0, 0.0), point(0.0, 4.0)).alias("ring"))
+    began = time.time()
+    assert geo.in_rings(p, r, 10.0).groupBy("cell").count().collect() == [(5, 20_000)] and time.time() - began < 60
