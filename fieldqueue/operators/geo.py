@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,16 +18,19 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
 def nearest_cell(points: DataFrame, cells: DataFrame, max_km: float) -> DataFrame:
     """points with `cell` and `km` of the nearest cell within max_km, else null; ties to the smaller cell.
 
-    Both are binned by degrees of latitude so high that a neighbouring bin is the farthest that can matter, and
-    meet in an equi-join on the bin.
+    Places lie in cubes on the unit sphere whose edge is the straight distance of max_km, so that a neighbouring cube is the
+    farthest that can matter, and meet in an equi-join on the cube. Equal points are looked up once, and of cells at one place only the smallest is kept.
     """
-    band = max_km / 111.0
-    bins = F.floor(F.col("lat") / band)
-    c = cells.select("cell", F.col("lat").alias("clat"), F.col("lon").alias("clon"), F.explode(F.array(bins - 1, bins, bins + 1)).alias("_bin"))
+    edge = 2 * math.sin(min(max_km / (2 * RADIUS_KM), math.pi / 2)) * (1 + 1e-9) + 1e-12
+    cube = lambda lat, lon: [F.floor((p + 1) / edge) for p in unit_sphere(F.col(lat), F.col(lon))]
+    c = cells.where("lat is not null and lon is not null").groupBy(F.col("lat").alias("clat"), F.col("lon").alias("clon")).agg(F.min("cell").alias("cell"))
+    one = points.select("lat", "lon").where("lat is not null and lon is not null").distinct()
+    for name, own, other in zip(("_cx", "_cy", "_cz"), cube("lat", "lon"), cube("clat", "clon")):
+        one, c = one.withColumn(name, own), c.withColumn(name, F.explode(F.array(other - 1, other, other + 1)))
     km = haversine(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon"))
-    near = points.withColumn("_bin", bins).join(c, "_bin").withColumn("_km", km).where(F.col("_km") <= max_km)
-    best = near.groupBy("id").agg(F.min(F.struct("_km", "cell")).alias("b"))
-    return points.join(best, "id", "left").select(*points.columns, F.col("b.cell").alias("cell"), F.col("b._km").alias("km"))
+    near = one.join(c, ["_cx", "_cy", "_cz"]).withColumn("_km", km).where(F.col("_km") <= max_km)
+    best = near.groupBy("lat", "lon").agg(F.min(F.struct("_km", "cell")).alias("b"))
+    return points.join(best, ["lat", "lon"], "left").select(*points.columns, F.col("b.cell").alias("cell"), F.col("b._km").alias("km"))
 
 
 def unit_code(km: Column) -> Column:

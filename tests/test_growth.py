@@ -58,3 +58,16 @@ def test_equal_points_and_rings_meet_once(spark):
     r = spark.range(5, 20_000).select(F.col("id").alias("cell"), F.array(point(0.0, 0.0), point(4.0, 0.0), point(0.0, 4.0)).alias("ring"))
     began = time.time()
     assert geo.in_rings(p, r, 10.0).groupBy("cell").count().collect() == [(5, 20_000)] and time.time() - began < 60
+
+
+def test_nearest_cell_meets_cells_of_neighbouring_cubes_only(spark):
+    p = spark.range(30_000).select("id", F.lit(50.0).alias("lat"), (F.col("id") % 10_000 / 100 - 180).alias("lon"))
+    c = spark.range(30_000).select(F.col("id").alias("cell"), F.lit(50.0).alias("lat"), (F.col("id") % 20_000 / 60 - 180).alias("lon"))
+    began = time.time()
+    got = geo.nearest_cell(p, c, 5.0)
+    n, cells = got.agg(F.count("cell"), F.count_distinct("cell")).first()
+    assert n > 9_000 and cells > 1_000 and time.time() - began < 60
+    # across the date line, and the smaller of two cells at one place
+    p = spark.createDataFrame([(1, 10.0, 179.99), (2, None, 1.0), (3, 89.99, 10.0)], "id long, lat double, lon double")
+    c = spark.createDataFrame([(7, 10.0, -179.99), (4, 10.0, -179.99), (9, 89.99, -170.0)], "cell long, lat double, lon double")
+    assert {r["id"]: r["cell"] for r in geo.nearest_cell(p, c, 20.0).collect()} == {1: 4, 2: None, 3: 9}
