@@ -17,8 +17,8 @@ from fieldqueue.sources.shared import kept
 
 #: Vectors that training reads at most, about, and the tasks that share them; rounds of training.
 SAMPLE, TASKS, ROUNDS = 1 << 16, 16, 8
-#: Rows of a list that one task scores at a time.
-SPLIT = 50_000
+#: Rows of a list that one task scores at a time, and queries about that it scores them for.
+SPLIT, ASKED = 50_000, 4096
 #: Share of an index that a compaction may drop.
 MAX_DROP = 0.2
 # fixed values: step of the best uniform quantiser of a normal error of deviation 1, by bits
@@ -227,7 +227,7 @@ def search(index: DataFrame, queries: DataFrame, books: Books, k: int, probe: in
 
     In each list the `shortlist` best by code get their refinement, and the best of these are the result; ties to the
     smaller id. A query's tables of its products with all codes make a row's score a sum of one number a part. A list
-    of more than SPLIT rows is read in parts, to each of which its queries go. With `pad`, places beyond what was found
+    of more than SPLIT rows is read in parts, to each of which its queries go, ASKED or so at a time. With `pad`, places beyond what was found
     hold nb -1 and cos -infinity. Of an id in two parts the later counts.
     """
     shared = index.sparkSession.sparkContext.broadcast(books)
@@ -241,8 +241,11 @@ def search(index: DataFrame, queries: DataFrame, books: Books, k: int, probe: in
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.tolist(), pa.list_(pa.int32()))], ["id", "v", "lists"])
 
     asked = kept(usable(queries).mapInArrow(probed, "id long, v array<double>, lists array<int>"))
-    to = asked.select("id", "v", F.explode("lists").alias("list")).join(sizes, "list").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
-    data = rows.join(sizes, "list").withColumn("share", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int"))
+    turns = F.broadcast(asked.select(F.explode("lists").alias("list")).groupBy("list").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("turns")))  # likewise
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    to = asked.select("id", "v", F.explode("lists").alias("list")).join(sizes, "list").join(turns, "list")
+    to = to.withColumn("share", upto("shares")).withColumn("turn", F.pmod(F.xxhash64("id"), F.col("turns")).cast("int"))
+    data = rows.join(sizes, "list").join(turns, "list").withColumn("share", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int")).withColumn("turn", upto("turns"))
 
     def scan(queries: pa.Table, data: pa.Table) -> pa.Table:
         b, out = shared.value, []
@@ -264,7 +267,11 @@ def search(index: DataFrame, queries: DataFrame, books: Books, k: int, probe: in
         cols = list(zip(*out)) or [[]] * 3
         return pa.Table.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["id", "nb", "cos"])
 
-    found = to.select("list", "share", "id", "v").groupBy("list", "share").cogroup(data.groupBy("list", "share")).applyInArrow(scan, "id long, nb long, cos double")
+    # groups are small in bytes and long in work: dealt out by their number, not by their size
+    by = ["list", "share", "turn"]
+    groups = sizes.join(turns, "list").agg(F.coalesce(F.sum(F.col("shares") * F.col("turns")), F.lit(1))).first()[0]
+    to, data = to.select(*by, "id", "v").repartition(2 * groups, *by), data.repartition(2 * groups, *by)
+    found = to.groupBy(*by).cogroup(data.groupBy(*by)).applyInArrow(scan, "id long, nb long, cos double")
     found = best_of(found, k)
     if not pad:
         return found

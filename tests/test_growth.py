@@ -8,7 +8,7 @@ from hashlib import md5
 import numpy as np
 from pyspark.sql import functions as F
 
-from fieldqueue.operators import consensus, geo, ranges, tables, taxa
+from fieldqueue.operators import consensus, geo, ranges, rotated, tables, taxa
 
 
 def test_a_record_of_many_answers_goes_by_joins(spark, monkeypatch):
@@ -71,3 +71,15 @@ def test_nearest_cell_meets_cells_of_neighbouring_cubes_only(spark):
     p = spark.createDataFrame([(1, 10.0, 179.99), (2, None, 1.0), (3, 89.99, 10.0)], "id long, lat double, lon double")
     c = spark.createDataFrame([(7, 10.0, -179.99), (4, 10.0, -179.99), (9, 89.99, -170.0)], "cell long, lat double, lon double")
     assert {r["id"]: r["cell"] for r in geo.nearest_cell(p, c, 20.0).collect()} == {1: 4, 2: None, 3: 9}
+
+
+def test_queries_of_a_list_are_scored_in_turns(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(200, 8)))], "id long, v array<double>")
+    b = rotated.train(rows, 2, 2, 8)
+    index = rotated.encoded(rows, b)
+    found = lambda: sorted((r["id"], r["place"], r["nb"]) for r in rotated.search(index, rows, b, 3, 2, 50).collect())
+    whole = found()
+    assert len(whole) == 600
+    monkeypatch.setattr(rotated, "ASKED", 30)
+    assert found() == whole
