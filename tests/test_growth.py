@@ -8,7 +8,7 @@ from hashlib import md5
 import numpy as np
 from pyspark.sql import functions as F
 
-from fieldqueue.operators import consensus, geo, ranges, rotated, tables, taxa
+from fieldqueue.operators import consensus, geo, ranges, rotated, tables, taxa, vectors
 
 
 def test_a_record_of_many_answers_goes_by_joins(spark, monkeypatch):
@@ -83,3 +83,10 @@ def test_queries_of_a_list_are_scored_in_turns(spark, monkeypatch):
     assert len(whole) == 600
     monkeypatch.setattr(rotated, "ASKED", 30)
     assert found() == whole
+
+
+def test_neighbours_alike_to_twelve_digits_go_by_id(spark):
+    q = spark.createDataFrame([(0, [1.0, 0.0])], "id long, v array<double>")
+    c = spark.createDataFrame([(9, [1.0, 0.0]), (5, [1.0, 1.4e-7]), (7, [1.0, 1.0]), (0, [1.0, 0.0])], "id long, v array<double>")
+    assert [(r["place"], r["nb"]) for r in vectors.exact_neighbours(q, c, 1).collect()] == [(1, 5)]
+    assert [r["nb"] for r in vectors.exact_neighbours(q, c, 9).orderBy("place").collect()] == [5, 9, 7]
