@@ -2,19 +2,50 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldqueue.functions.hashing import md5_heads, numbered
+from fieldqueue.sources.shared import kept
+
 #: Coins that one hash gives; differences up to which all signs are tried; repetitions of a bootstrap at most.
 COINS, EXACT, BOOTSTRAPS = 60, 12, 2000
-
-
-def coins(seed: int, *columns: str) -> Column:
-    """COINS random bits that only the seed and the columns decide."""
-    text = F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns])
-    return F.conv(F.substring(F.md5(text), 1, COINS // 4), 16, 10).cast("long")
+#: Hashes of a task, about, and those that stand in memory at once.
+HASHES, HELD = 1 << 25, 1 << 14
+
+
+def coin_sums(names: list[str], reps: int, seed: int):
+    """(keys, s): what the signs of each repetition make of the sizes of a key, in one row a run of equal keys; from rows (keys, v, unit, word, k), a word of k coins of a size each."""
+    blocks = [np.arange(10**i, min(10 ** (i + 1), reps + 1)) for i in range(len(str(reps))) if reps]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [numbered(f"{seed}:".encode(), b) for b in blocks]
+        for batch in batches:
+            keys = batch.select(names)
+            own = list(zip(*(c.to_pylist() for c in keys.columns)))
+            v, k = batch.column("v").to_numpy(), batch.column("k").to_numpy()
+            suffixes = [f":{u}:{w}".encode() for u, w in zip(batch.column("unit").to_pylist(), batch.column("word").to_pylist())]
+            cut = [0, *[i for i in range(1, len(own)) if own[i] != own[i - 1]], len(own)]
+            for low, high in zip(cut[:-1], cut[1:]):
+                parts = []
+                for numbers, size in zip(held, map(len, blocks)):
+                    part, step = np.zeros(size), max(1, HELD // size)
+                    for i in range(low, high, step):
+                        at = slice(i, min(i + step, high))
+                        mask = (np.uint64(1) << k[at].astype(np.uint64)) - np.uint64(1)
+                        ones = np.bitwise_count(md5_heads(numbers, suffixes[at]) & mask[:, None])
+                        part += v[at] @ (2.0 * ones - k[at, None])
+                    parts.append(part)
+                if high > low:
+                    sums = pa.array([np.concatenate(parts)], pa.list_(pa.float64()))
+                    yield pa.RecordBatch.from_arrays([*keys.slice(low, 1).columns, sums], [*names, "s"])
+
+    return run
 
 
 def sign_flip(values: DataFrame, keys: list[str], reps: int, seed: int, greater: bool = False) -> DataFrame:
@@ -22,23 +53,27 @@ def sign_flip(values: DataFrame, keys: list[str], reps: int, seed: int, greater:
 
     Up to EXACT values other than 0, all signs are tried. Beyond, equal sizes are one row each: the number of them
     that come out positive is the number of ones in as many coins, so that a repetition reads distinct sizes and
-    not values. (hits + 1) / (reps + 1). A key without such values has p 1.
+    not values. COINS of a size are a word, whose coins of a repetition are bits that only the seed, the repetition, the size and
+    the word decide; words are dealt out to tasks by their number. (hits + 1) / (reps + 1). A key without such values has p 1.
     """
-    every = values.groupBy(*keys).agg(F.coalesce(F.sum("d"), F.lit(0.0)).alias("total"), F.count_if(F.col("d") != 0).alias("_n"))
+    by = kept(values.groupBy(*keys, F.col("d").cast("double").alias("d")).agg(F.count("*").alias("m")))
+    every = by.groupBy(*keys).agg(F.coalesce(F.sum(F.col("d") * F.col("m")), F.lit(0.0)).alias("total"), F.coalesce(F.sum(F.when(F.col("d") != 0, F.col("m"))), F.lit(0)).alias("_n"))
     bound = (F.col("total") if greater else F.abs("total")) - 1e-9
-    some = values.where("d <> 0").join(every, keys)
+    some = by.where("d <> 0").join(every, keys)
     reached = (F.col("s") if greater else F.abs("s")) >= bound
-    few = some.where(F.col("_n") <= EXACT).groupBy(*keys).agg(F.collect_list(F.abs("d")).alias("v"), F.first("total").alias("total"))
+    same = F.array_repeat(F.abs("d"), F.col("m").cast("int"))
+    few = some.where(F.col("_n") <= EXACT).groupBy(*keys).agg(F.flatten(F.collect_list(same)).alias("v"), F.first("total").alias("total"))
     few = few.withColumn("code", F.explode(F.expr("sequence(0, shiftleft(1, size(v)) - 1)")))
     signed = F.expr("aggregate(transform(v, (x, i) -> if((shiftright(code, i) & 1) = 1, x, -x)), 0D, (a, x) -> a + x)")
     few = few.withColumn("s", signed).groupBy(*keys).agg(F.avg(reached.cast("double")).alias("p"))
-    sizes = some.where(F.col("_n") > EXACT).groupBy(*keys, F.abs("d").alias("v")).agg(F.count("*").alias("m"), F.first("total").alias("total"))
-    word = F.explode(F.sequence(F.lit(0), F.floor((F.col("m") - 1) / COINS).cast("int")))
-    flips = sizes.withColumn("unit", F.round(F.col("v") * 1e9).cast("long")).withColumn("word", word).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    size = F.least(F.lit(COINS), F.col("m") - COINS * F.col("word"))
-    ones = F.bit_count(coins(seed, "rep", "unit", "word").bitwiseAND(F.expr(f"shiftleft(1L, cast(least({COINS}, m - {COINS} * word) as int)) - 1")))
-    sums = flips.groupBy(*keys, "rep").agg(F.sum(F.col("v") * (2 * ones - size)).alias("s"), F.first("total").alias("total"))
-    many = sums.groupBy(*keys).agg(((F.count_if(reached) + 1) / F.lit(float(reps + 1))).alias("p"))
+    n = by.where("d <> 0").agg(F.coalesce(F.sum(F.ceil(F.col("m") / COINS)), F.lit(0))).first()[0]
+    sizes = some.where(F.col("_n") > EXACT).groupBy(*keys, F.abs("d").alias("v")).agg(F.sum("m").alias("m"))
+    words = sizes.withColumn("unit", F.round(F.col("v") * 1e9).cast("long")).withColumn("word", F.explode(F.sequence(F.lit(0), F.floor((F.col("m") - 1) / COINS).cast("int"))))
+    words = words.select(*keys, "v", "unit", "word", F.least(F.lit(COINS), F.col("m") - COINS * F.col("word")).alias("k"))
+    words = words.repartitionByRange(max(1, -(-int(n) * reps // HASHES)), *keys, "unit", "word").sortWithinPartitions(*keys)
+    schema = ", ".join(f"`{name}` {kind}" for name, kind in words.select(*keys).dtypes) + ", s array<double>"
+    sums = words.mapInArrow(coin_sums(keys, reps, seed), schema).select(*keys, F.posexplode("s").alias("rep", "s")).groupBy(*keys, "rep").agg(F.sum("s").alias("s"))
+    many = sums.join(every, keys).groupBy(*keys).agg(((F.count_if(reached) + 1) / F.lit(float(reps + 1))).alias("p"))
     return every.join(few.unionByName(many), keys, "left").select(*keys, "total", F.coalesce("p", F.lit(1.0)).alias("p"))
 
 

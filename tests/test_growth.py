@@ -8,7 +8,8 @@ from hashlib import md5
 import numpy as np
 from pyspark.sql import functions as F
 
-from fieldqueue.operators import consensus, geo, ranges, rotated, tables, taxa, vectors
+from fieldqueue.functions import hashing
+from fieldqueue.operators import consensus, geo, inference, ranges, rotated, tables, taxa, vectors
 
 
 def test_a_record_of_many_answers_goes_by_joins(spark, monkeypatch):
@@ -90,3 +91,20 @@ def test_neighbours_alike_to_twelve_digits_go_by_id(spark):
     c = spark.createDataFrame([(9, [1.0, 0.0]), (5, [1.0, 1.4e-7]), (7, [1.0, 1.0]), (0, [1.0, 0.0])], "id long, v array<double>")
     assert [(r["place"], r["nb"]) for r in vectors.exact_neighbours(q, c, 1).collect()] == [(1, 5)]
     assert [r["nb"] for r in vectors.exact_neighbours(q, c, 9).orderBy("place").collect()] == [5, 9, 7]
+
+
+def test_coins_of_signs_are_dealt_out_by_their_hash(spark, monkeypatch):
+    digits = np.arange(10, 100)
+    for prefix in (b"3:", b"4" * 50):
+        want = [[int(md5(prefix + b"%d" % r + t).hexdigest()[:15], 16) for r in digits.tolist()] for t in (b":1:0", b":2500000000:17")]
+        assert hashing.md5_heads(hashing.numbered(prefix, digits), [b":1:0", b":2500000000:17"]).tolist() == want
+    sizes = [1.0] * 130 + [-2.5] * 70 + [0.5] * 3
+    rows = spark.createDataFrame([(k, x) for k in "ab" for x in sizes] + [("c", 0.0), ("c", None)], "arm string, d double")
+    ones = lambda r, v, w, k: (int(md5(f"3:{r}:{round(v * 1e9)}:{w}".encode()).hexdigest()[:15], 16) & (1 << k) - 1).bit_count()
+    words = [(1.0, 0, 60), (1.0, 1, 60), (1.0, 2, 10), (2.5, 0, 60), (2.5, 1, 10), (0.5, 0, 3)]
+    sums = [sum(v * (2 * ones(r, v, w, k) - k) for v, w, k in words) for r in range(1, 121)]
+    total = sum(sizes)
+    want = (sum(abs(s) >= abs(total) - 1e-9 for s in sums) + 1) / 121
+    monkeypatch.setattr(inference, "HASHES", 120 * 2)  # two words a task
+    got = inference.sign_flip(rows, ["arm"], 120, 3)
+    assert {r["arm"]: (r["total"], r["p"]) for r in got.collect()} == {"a": (total, want), "b": (total, want), "c": (0.0, 1.0)}
