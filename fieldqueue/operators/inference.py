@@ -15,8 +15,8 @@ from fieldqueue.sources.shared import kept
 
 #: Coins that one hash gives; differences up to which all signs are tried; repetitions of a bootstrap at most.
 COINS, EXACT, BOOTSTRAPS = 60, 12, 2000
-#: Hashes of a task, about, and those that stand in memory at once.
-HASHES, HELD = 1 << 25, 1 << 14
+#: Hashes of a task, about, and those that stand in memory at once; numbers that a bootstrap draws at once.
+HASHES, HELD, DRAWN = 1 << 25, 1 << 14, 1 << 20
 
 
 def coin_sums(names: list[str], reps: int, seed: int):
@@ -137,9 +137,14 @@ def ratio_interval(counts: DataFrame, arms: list[str], control: str, reps: int =
             return pd.DataFrame([(arm[0], *none)], columns=["arm", "ratio", "ratio_lo", "ratio_hi"])
         order = np.lexsort((c, x))
         x, c, m = x[order], c[order], m[order]
-        drawn = np.random.default_rng(seed).multinomial(n, m / n, size=min(reps, BOOTSTRAPS))
-        below = drawn @ c
-        ratios = (drawn @ x)[below > 0] / below[below > 0]
+        rng, left, sums = np.random.default_rng(seed), min(reps, BOOTSTRAPS), []
+        while left:  # what is drawn in turns is what would be drawn at once
+            some = min(left, max(1, DRAWN // len(m)))
+            drawn = rng.multinomial(n, m / n, size=some)
+            sums.append(np.stack((drawn @ x, drawn @ c)))
+            left -= some
+        above, below = np.concatenate(sums or [np.zeros((2, 0))], 1)
+        ratios = above[below > 0] / below[below > 0]
         ends = np.percentile(ratios, [50 * (1 - level), 100 - 50 * (1 - level)]) if len(ratios) else none[:2]
         return pd.DataFrame([(arm[0], (x * m).sum() / (c * m).sum(), *map(float, ends))], columns=["arm", "ratio", "ratio_lo", "ratio_hi"])
 
@@ -186,6 +191,7 @@ def confirmatory(outcomes: dict[str, tuple[DataFrame, DataFrame]], arms: list[st
         raise ValueError(f"lists without a primary outcome: {missing}")
     out = None
     for outcome, (counts, totals) in outcomes.items():
+        counts, totals = kept(counts), kept(totals)  # each is read by several tests
         role = lambda a, o=outcome: "secondary" if primary[a] != o else "primary" if a in family else "exploratory"
         rows = analyse(counts, arms, control, reps, seed).drop("p_holm").withColumnRenamed("p", "p_signflip").join(ratio_interval(counts, arms, control, reps, seed), "arm")
         tests = None

@@ -8,6 +8,7 @@ from fieldqueue.operators import analysis, inference
 from fieldqueue.plans.batching import ARMS
 from fieldqueue.plans.counting import COLS, pairs
 from fieldqueue.plans.views import IDENTS, PAIRS, POOL, SERVED, pool, served
+from fieldqueue.sources.shared import kept
 
 REPS, SEED = 10_000, 5
 PRIMARY = {"recency": "weighted", "novelty": "plain"}
@@ -53,11 +54,13 @@ def shuffled_in_strata(s, d):
 
 
 def confirmed(s, d):
-    weight = served(s, d).select("id", "arm", "score")
-    heavy = analysis.by_arm(pairs(s, d), weight, ARMS, "score")
-    heavy_totals = totals(s, d).join(weight.select("id", "score"), "id").select("id", "arm", (F.col("n") * F.coalesce("score", F.lit(0.0))).alias("n"))
-    both = {"plain": (counts(s, d), totals(s, d)), "weighted": (heavy, heavy_totals)}
-    return inference.confirmatory(both, ARMS, "control", PRIMARY, list(PRIMARY), 1000, SEED)
+    weight, both = kept(served(s, d).select("id", "arm", "score")), kept(pairs(s, d))
+    arm = weight.select("id", "arm")
+    n = kept(analysis.record_totals(both, arm))
+    heavy = analysis.by_arm(both, weight, ARMS, "score")
+    heavy_totals = n.join(weight.select("id", "score"), "id").select("id", "arm", (F.col("n") * F.coalesce("score", F.lit(0.0))).alias("n"))
+    outcomes = {"plain": (analysis.by_arm(both, arm, ARMS), n), "weighted": (heavy, heavy_totals)}
+    return inference.confirmatory(outcomes, ARMS, "control", PRIMARY, list(PRIMARY), 1000, SEED)
 
 
 QUERIES = {

@@ -108,3 +108,12 @@ def test_coins_of_signs_are_dealt_out_by_their_hash(spark, monkeypatch):
     monkeypatch.setattr(inference, "HASHES", 120 * 2)  # two words a task
     got = inference.sign_flip(rows, ["arm"], 120, 3)
     assert {r["arm"]: (r["total"], r["p"]) for r in got.collect()} == {"a": (total, want), "b": (total, want), "c": (0.0, 1.0)}
+
+
+def test_a_bootstrap_in_turns_draws_the_same(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, i % 7, i % 5, i % 3) for i in range(90)], "user_id long, t long, u long, control long")
+    found = lambda: [tuple(r) for r in inference.ratio_interval(rows, ["control", "t", "u"], "control", 300, 2).orderBy("arm").collect()]
+    whole = found()
+    monkeypatch.setattr(inference, "DRAWN", 100)
+    assert found() == whole
+    assert inference.ratio_interval(rows, ["control", "t"], "control", 0, 2).first()["ratio_lo"] is None
