@@ -36,15 +36,26 @@ def checked(rows: DataFrame, bad: Column, says: Column) -> DataFrame:
 
 
 def covered(pool: DataFrame, base: DataFrame, deltas: DataFrame) -> DataFrame:
-    """(grp, id, created_at, origin, v): the vector of each record of the pool (id, grp, created_at) that has a group, null without one.
+    """(grp, id, created_at, origin, new): what the vector of each record of the pool (id, grp, created_at) that has a group comes from, null without one, and whether from a delta.
 
     base: rows (grp, id, v); a base vector counts in its own group. deltas: rows (name, id, v), for records of any group; of several the one of
-    the last name counts, and any before the base's.
+    the last name counts, and any before the base's. Only ids go through the joins, and no vector.
     """
-    new = deltas.groupBy("id").agg(F.max_by(F.struct(F.col("name").alias("origin"), "v"), "name").alias("_new"))
-    old = base.groupBy("grp", "id").agg(F.first(F.struct(F.lit("base").alias("origin"), "v")).alias("_old"))
+    has = F.col("v").isNotNull()
+    new = deltas.where("name is not null").groupBy("id").agg(F.max(F.struct("name", has.alias("has"))).alias("_new"))
+    old = base.groupBy("grp", "id").agg(F.max(has).alias("_old"))
     rows = pool.where("grp is not null").select("grp", "id", "created_at").join(old, ["grp", "id"], "left").join(new, "id", "left")
-    return rows.withColumn("_v", F.coalesce("_new", "_old")).select("grp", "id", "created_at", F.col("_v.origin").alias("origin"), F.col("_v.v").alias("v"))
+    origin = F.when(F.col("_new").isNotNull(), F.when(F.col("_new.has"), F.col("_new.name"))).when(F.col("_old"), "base")
+    return rows.select("grp", "id", "created_at", origin.alias("origin"), F.col("_new").isNotNull().alias("new"))
+
+
+def fetched(rows: DataFrame, base: DataFrame, deltas: DataFrame) -> DataFrame:
+    """(grp, id, origin, v): the vector of each of the covered rows (grp, id, origin, new) that has one."""
+    wanted = rows.where("origin is not null").select("grp", "id", "origin", "new")
+    both = base.select("id", F.col("grp").alias("_grp"), F.lit(None).cast("string").alias("_name"), "v")
+    both = both.unionByName(deltas.where("name is not null").select("id", F.lit(None).cast(base.schema["grp"].dataType).alias("_grp"), F.col("name").alias("_name"), "v"))
+    mine = F.when(F.col("new"), F.col("origin") == F.col("_name")).otherwise(F.col("_name").isNull() & (F.col("grp") == F.col("_grp")))
+    return wanted.join(both.where("v is not null"), "id").where(mine).groupBy("grp", "id", "origin").agg(F.first("v").alias("v"))
 
 
 def unit_checked(rows: DataFrame) -> DataFrame:
@@ -70,7 +81,7 @@ def lateness(rows: DataFrame, pool: DataFrame, grace_hours: float, open_pool: Da
         horizon = open_pool.agg(F.max("created_at").alias("c")).first()["c"]
         rows = rows.join(open_pool.select("id").distinct().withColumn("_open", F.lit(True)), "id", "left")
         old = old & (F.col("_open").isNotNull() | F.coalesce(F.col("created_at") > F.lit(horizon).cast("timestamp"), F.lit(False)))
-    bare = F.col("v").isNull()
+    bare = F.col("origin").isNull()
     return rows.groupBy("grp").agg(F.count("*").alias("n"), F.count_if(bare).alias("uncovered"), F.count_if(bare & F.coalesce(old, F.lit(False))).alias("late"))
 
 
@@ -87,8 +98,8 @@ def assemble(pool: DataFrame, base: DataFrame, deltas: DataFrame, most_uncovered
     worst = groups.where(F.col("late") > most_uncovered * F.col("n")).orderBy((F.col("late") / F.col("n")).desc(), "grp").first()
     if worst:
         raise Refused(f"{worst['grp']} has {worst['late']} of {worst['n']} records older than {grace_hours:g} h without a vector ({worst['late'] / worst['n']:.2%} > {most_uncovered:.2%})")
-    bare = rows.where("v is null").select("grp", "id")
-    return Bundle(unit_checked(rows.where("v is not null")), pool.join(bare.select("id"), "id", "left_anti").select(pool.columns), bare, groups)
+    bare = rows.where("origin is null").select("grp", "id")
+    return Bundle(unit_checked(fetched(rows, base, deltas)), pool.join(bare.select("id"), "id", "left_anti").select(pool.columns), bare, groups)
 
 
 def published(bundle: Bundle, folder: str) -> str:

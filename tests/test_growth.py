@@ -6,10 +6,11 @@ import time
 from hashlib import md5
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from fieldqueue.functions import hashing
-from fieldqueue.operators import consensus, geo, inference, ranges, rotated, tables, taxa, vectors
+from fieldqueue.operators import assembly, consensus, geo, inference, outcomes, ranges, rotated, tables, taxa, vectors
 
 
 def test_a_record_of_many_answers_goes_by_joins(spark, monkeypatch):
@@ -117,3 +118,16 @@ def test_a_bootstrap_in_turns_draws_the_same(spark, monkeypatch):
     monkeypatch.setattr(inference, "DRAWN", 100)
     assert found() == whole
     assert inference.ratio_interval(rows, ["control", "t"], "control", 0, 2).first()["ratio_lo"] is None
+
+
+def test_coverage_is_found_without_vectors(spark):
+    base = spark.createDataFrame([("g", 1, [1.0]), ("h", 2, [2.0]), ("g", 3, None), ("g", 4, [4.0]), ("g", 5, [5.0])], "grp string, id long, v array<double>")
+    deltas = spark.createDataFrame([("d1", 2, [6.0]), ("d1", 4, [7.0]), ("d2", 4, None), ("base", 5, [-5.0]), (None, 1, [8.0])], "name string, id long, v array<double>")
+    pool = spark.createDataFrame([(i, "g", None) for i in range(1, 7)], "id long, grp string, created_at timestamp")
+    rows = assembly.covered(pool, base, deltas)
+    assert "v" not in rows.columns
+    # the last delta counts even where it holds no vector
+    assert {r["id"]: r["origin"] for r in rows.collect()} == {1: "base", 2: "d1", 3: None, 4: None, 5: "base", 6: None}
+    got = assembly.assemble(pool, base, deltas, grace_hours=1)
+    assert {r["id"]: (r["origin"], r["v"]) for r in got.vectors.collect()} == {1: ("base", [1.0]), 2: ("d1", [1.0]), 5: ("base", [-1.0])}
+    assert [tuple(r) for r in got.groups.collect()] == [("g", 6, 3, 0)]
\ No newline at end of file
