@@ -19,6 +19,8 @@ from fieldqueue.sources.shared import kept
 SAMPLE, TASKS, ROUNDS = 1 << 16, 16, 8
 #: Rows of a list that one task scores at a time, and queries about that it scores them for.
 SPLIT, ASKED = 50_000, 4096
+#: Rows that are coded or decoded at once.
+SLICE = 512
 #: Share of an index that a compaction may drop.
 MAX_DROP = 0.2
 # fixed values: step of the best uniform quantiser of a normal error of deviation 1, by bits
@@ -36,6 +38,12 @@ class Books:
     bits: int
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, SLICE rows at a time, so that what a task holds of them doesn't follow their size."""
+    for batch in batches:
+        yield from (batch.slice(i, SLICE) for i in range(0, batch.num_rows, SLICE))
+
+
 def vectors_of(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return unit(flat.reshape(len(column), -1)) if len(column) else np.zeros((0, 1))
@@ -177,9 +185,7 @@ def encoded(rows: DataFrame, books: Books) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in sliced(batches):
             x = vectors_of(batch.column(1))
             own = nearest(x, b.lists)
             y = (x - b.lists[own]) @ b.rotation.T
@@ -203,9 +209,7 @@ def reconstructed(index: DataFrame, books: Books) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in sliced(batches):
             y = decoded(codes_of(batch.column("codes").to_pylist(), len(b.parts)), b.parts) + refined(batch.column("refine").to_pylist(), b)
             x = unit(b.lists[np.asarray(batch.column("list"))] + y @ b.rotation)
             flat = pa.array(x.ravel())

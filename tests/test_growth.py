@@ -130,4 +130,14 @@ def test_coverage_is_found_without_vectors(spark):
     assert {r["id"]: r["origin"] for r in rows.collect()} == {1: "base", 2: "d1", 3: None, 4: None, 5: "base", 6: None}
     got = assembly.assemble(pool, base, deltas, grace_hours=1)
     assert {r["id"]: (r["origin"], r["v"]) for r in got.vectors.collect()} == {1: ("base", [1.0]), 2: ("d1", [1.0]), 5: ("base", [-1.0])}
-    assert [tuple(r) for r in got.groups.collect()] == [("g", 6, 3, 0)]
\ No newline at end of file
+    assert [tuple(r) for r in got.groups.collect()] == [("g", 6, 3, 0)]
+
+
+def test_codes_of_a_batch_are_made_a_slice_at_a_time(spark):
+    batches = [pa.RecordBatch.from_pydict({"x": list(range(2 * rotated.SLICE + 3))}), pa.RecordBatch.from_pydict({"x": [1]}).slice(0, 0)]
+    cut = list(rotated.sliced(iter(batches)))
+    assert [b.num_rows for b in cut] == [rotated.SLICE, rotated.SLICE, 3] and sum((b.column(0).to_pylist() for b in cut), []) == list(range(2 * rotated.SLICE + 3))
+    rows = spark.createDataFrame([(i, np.random.default_rng(i).standard_normal(8).tolist()) for i in range(700)], "id long, v array<double>").repartition(1)
+    books = rotated.train(rows, 4, 2, 16)
+    back = rotated.reconstructed(rotated.encoded(rows, books), books)
+    assert sorted(r["id"] for r in back.collect()) == list(range(700))
