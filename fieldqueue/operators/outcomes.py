@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldqueue.operators.ordering import ranked
-from fieldqueue.operators.vectors import exact_neighbours, unit_rows
+from fieldqueue.operators.vectors import STRIP, exact_neighbours, unit_rows
 
 
 def level_table(consensus: DataFrame, counts: DataFrame, levels: DataFrame, threshold: float = 0.9) -> DataFrame:
@@ -109,8 +109,9 @@ def progress(obs: DataFrame, today: str) -> DataFrame:
 def nearest_reference(rows: DataFrame, reference: DataFrame, block: int = 4096) -> DataFrame:
     """(id, cos): the greatest cosine of each row (id, grp, v) to a reference (grp, v) of its group; no row for a group without references.
 
-    Blocks of a group's rows meet blocks of its references in one task, which leaves a number a row.
+    Blocks of a group's rows meet blocks of its references in one task, in strips of the rows, which leaves a number a row; equal references are one.
     """
+    reference = reference.select("grp", "v").distinct()
     a = rows.groupBy("grp").agg(F.ceil(F.count("*") / block).cast("int").alias("_a"))
     size = a.join(reference.groupBy("grp").agg(F.ceil(F.count("*") / block).cast("int").alias("_b")), "grp")
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
@@ -121,8 +122,9 @@ def nearest_reference(rows: DataFrame, reference: DataFrame, block: int = 4096)
     def met(own: pa.Table, refs: pa.Table) -> pa.Table:
         if not own.num_rows or not refs.num_rows:
             return pa.Table.from_arrays([pa.array([], pa.int64()), pa.array([], pa.float64())], ["id", "cos"])
-        s = unit_rows(own.column("v").combine_chunks()) @ unit_rows(refs.column("r").combine_chunks()).T
-        return pa.Table.from_arrays([own.column("id").cast(pa.int64()), pa.array(s.max(1))], ["id", "cos"])
+        v, r = unit_rows(own.column("v").combine_chunks()), unit_rows(refs.column("r").combine_chunks()).T
+        best = np.concatenate([(v[i : i + STRIP] @ r).max(1) for i in range(0, len(v), STRIP)])
+        return pa.Table.from_arrays([own.column("id").cast(pa.int64()), pa.array(best)], ["id", "cos"])
 
     found = q.select("grp", "qb", "cb", "id", "v").groupBy("grp", "qb", "cb").cogroup(c.groupBy("_grp", "_qb", "_cb")).applyInArrow(met, "id long, cos double")
     return found.groupBy("id").agg(F.max("cos").alias("cos"))

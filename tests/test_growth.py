@@ -133,6 +133,18 @@ def test_coverage_is_found_without_vectors(spark):
     assert [tuple(r) for r in got.groups.collect()] == [("g", 6, 3, 0)]
 
 
+def test_novelty_holds_strips_and_equal_references_once(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    v, r = rng.standard_normal((60, 4)), rng.standard_normal((10, 4))
+    rows = spark.createDataFrame([(i, i % 2, x.tolist()) for i, x in enumerate(v)], "id long, grp int, v array<double>")
+    refs = spark.createDataFrame([(g, x.tolist()) for g in (0, 1) for x in r for _ in range(50)], "grp int, v array<double>")
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    want = (unit(v) @ unit(r).T).max(1)
+    monkeypatch.setattr(outcomes, "STRIP", 7)
+    got = {x["id"]: x["cos"] for x in outcomes.nearest_reference(rows, refs, 16).collect()}
+    assert np.allclose([got[i] for i in range(60)], want)
+
+
 def test_codes_of_a_batch_are_made_a_slice_at_a_time(spark):
     batches = [pa.RecordBatch.from_pydict({"x": list(range(2 * rotated.SLICE + 3))}), pa.RecordBatch.from_pydict({"x": [1]}).slice(0, 0)]
     cut = list(rotated.sliced(iter(batches)))
