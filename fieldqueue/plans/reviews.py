@@ -69,13 +69,8 @@ def shards(s, d):
 def margins(s, d):
     """Own and best other cosine to fixed prototypes, the class means of one half of the ids, which has the part of named references."""
     r = rows(s, d)
-    protos = vectors.sums(r.where("id % 2 = 0").withColumn("u", vectors.unit("v")), "label", "u").select(F.col("label").alias("name"), vectors.unit("total").alias("m"))
-    all_ = F.broadcast(protos.agg(F.collect_list(F.struct("name", "m")).alias("ms")))  # one row a class of the fixed table
-    scored = F.transform("ms", lambda m: F.struct(m["name"].alias("name"), vectors.dot("u", m["m"]).alias("c")))
-    x = r.withColumn("u", vectors.unit("v")).join(all_).select("id", "label", scored.alias("s"))
-    own = F.array_max(F.transform(F.filter("s", lambda p: p["name"] == F.col("label")), lambda p: p["c"]))
-    other = F.array_max(F.transform(F.filter("s", lambda p: p["name"] != F.col("label")), lambda p: p["c"]))
-    return x.select("id", F.round(own - other, 6).alias("margin"))
+    protos = vectors.sums(r.where("id % 2 = 0").withColumn("u", vectors.unit("v")), "label", "u").select("label", vectors.unit("total").alias("m"))
+    return vectors.reference_scores(r, protos).select("id", F.round(F.col("own") - F.col("other"), 6).alias("margin"))
 
 
 def log_check(s, d):

@@ -133,6 +133,33 @@ def test_coverage_is_found_without_vectors(spark):
     assert [tuple(r) for r in got.groups.collect()] == [("g", 6, 3, 0)]
 
 
+def test_margins_against_references_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    v, m = rng.standard_normal((70, 8)), rng.standard_normal((9, 8))
+    u, m = v / np.linalg.norm(v, axis=1)[:, None], m / np.linalg.norm(m, axis=1)[:, None]
+    labels = [None if i % 10 == 9 else i % 12 for i in range(70)]
+    rows = spark.createDataFrame([(i, k, x.tolist()) for i, (k, x) in enumerate(zip(labels, v))], "id long, label int, v array<double>")
+    refs = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(m)] + [(None, m[0].tolist())], "label int, m array<double>")
+    for classes, strip in ((4096, 256), (4, 16)):
+        monkeypatch.setattr(vectors, "CLASSES", classes)
+        monkeypatch.setattr(vectors, "STRIP", strip)
+        got = {r["id"]: r for r in vectors.reference_scores(rows, refs).collect()}
+        for i, k in enumerate(labels):
+            s = u[i] @ m.T
+            assert (got[i]["own"] is None) == (k is None or k > 8) and (k is None or k > 8 or np.isclose(got[i]["own"], s[k]))
+            assert got[i]["other"] is None if k is None else np.isclose(got[i]["other"], max(x for j, x in enumerate(s) if j != k))
+
+
+def test_the_length_of_a_vector_is_found_once(spark):
+    d = spark.createDataFrame([(1, [3.0, 4.0]), (2, None)], "id long, v array<double>").select("id", vectors.unit("v").alias("u"))
+    assert {r["id"]: r["u"] for r in d.collect()} == {1: [0.6, 0.8], 2: None}
+    # a wide vector took the square of its width
+    wide = spark.range(40).select(F.transform(F.sequence(F.lit(1), F.lit(8192)), lambda x: x.cast("double")).alias("v"))
+    began = time.time()
+    wide.select(vectors.unit("v").alias("u")).write.format("noop").mode("overwrite").save()
+    assert time.time() - began < 20
+
+
 def test_novelty_holds_strips_and_equal_references_once(spark, monkeypatch):
     rng = np.random.default_rng(7)
     v, r = rng.standard_normal((60, 4)), rng.standard_normal((10, 4))
