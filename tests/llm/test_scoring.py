@@ -489,3 +489,23 @@ def test_language_edge_cases(spark):
     assert got[1] == got[2] == got[3] == "und" and got[6] == "en"
     assert {r["lang_pred"] for r in language.op10_language_id(d.where("lang is null")).collect()} == {"und"}
     assert language.op10_language_id(d.limit(0)).count() == 0
+
+
+def test_levels_probed_together_are_those_probed_one_by_one(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    gram, times = rng.integers(0, 2**63, 3000).astype(np.uint64), np.minimum(rng.zipf(1.3, 3000), 10**6).astype(np.int64)
+    own = langmodel.region(gram)
+    order = np.argsort(own, kind="stable")
+    whole = 64 * langmodel.REGIONS * 8
+    batch = pa.RecordBatch.from_arrays([pa.array(x[order]) for x in (np.ones(3000, np.int32), gram.view(np.int64), times, own.astype(np.int32))], ["n", "gram", "times", "region"])
+    bits = np.zeros((langmodel.REGIONS, whole // 8 // langmodel.REGIONS), np.uint8)
+    for out in langmodel.region_bits({1: 1}, whole)(iter([batch])):
+        for r, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist()):
+            bits[r] = np.frombuffer(b, np.uint8)
+    bloom = langmodel.LogFrequencyFilter(bits.ravel(), {1: 1})
+    asked = np.concatenate((gram, rng.integers(0, 2**63, 3000).astype(np.uint64)))
+    together = bloom.levels(asked, 1)
+    monkeypatch.setattr(langmodel, "FEW", 0)
+    assert (bloom.levels(asked, 1) == together).all() and (together[:3000] >= langmodel.level(times)).all()
