@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldqueue.operators import kbest
 from fieldqueue.operators.index import assign as nearest
 from fieldqueue.operators.index import unit
 from fieldqueue.operators.vectors import exact_neighbours
@@ -18,7 +19,7 @@ from fieldqueue.sources.shared import kept
 #: Vectors that training reads at most, about, and the tasks that share them; rounds of training.
 SAMPLE, TASKS, ROUNDS = 1 << 16, 16, 8
 #: Rows of a list that one task scores at a time, and queries about that it scores them for.
-SPLIT, ASKED = 50_000, 4096
+SPLIT, ASKED = 50_000, 8192
 #: Rows that are coded or decoded at once.
 SLICE = 512
 #: Share of an index that a compaction may drop.
@@ -168,15 +169,18 @@ def packed(levels: np.ndarray, bits: int) -> list[bytes]:
     return [r.tobytes() for r in np.packbits(planes.reshape(len(levels), -1).astype(bool), axis=1)]
 
 
-def unpacked(refine: list[bytes], d: int, bits: int) -> np.ndarray:
-    raw = np.frombuffer(b"".join(refine), np.uint8).reshape(len(refine), -1)
-    return np.unpackbits(raw, axis=1, count=d * bits).reshape(len(refine), d, bits) @ (1 << np.arange(bits))
+def unpacked(raw: np.ndarray, d: int, bits: int) -> np.ndarray:
+    planes = np.unpackbits(raw, axis=1, count=d * bits).reshape(len(raw), d, bits)
+    return sum((planes[:, :, i] << i for i in range(1, bits)), planes[:, :, 0])
 
 
-def refined(refine: list[bytes], books: Books) -> np.ndarray:
+def middles(levels: np.ndarray, books: Books) -> np.ndarray:
     """What refinement adds to the codes, in rotated dimensions: the middle of each level."""
-    top = (1 << books.bits) - 1
-    return (unpacked(refine, len(books.steps), books.bits) - top / 2) * books.steps
+    return (levels - ((1 << books.bits) - 1) / 2) * books.steps
+
+
+def refined(refine: list[bytes], books: Books) -> np.ndarray:
+    return middles(unpacked(np.frombuffer(b"".join(refine), np.uint8).reshape(len(refine), -1), len(books.steps), books.bits), books)
 
 
 def encoded(rows: DataFrame, books: Books) -> DataFrame:
@@ -226,12 +230,51 @@ def latest(index: DataFrame) -> DataFrame:
     return index.groupBy("id").agg(F.max_by(F.struct(*[c for c in index.columns if c != "id"]), "part").alias("r")).select("id", "r.*")
 
 
+def held(queries: pa.Table, data: pa.Table, b: Books, k: int, shortlist: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(id, nb, cos) of the k best of one list's rows, which come by id, for some queries, in strips of queries; equal rows and equal queries are scored once.
+
+    All in rotated dimensions, where a row's codes and refinement decode to what the query's turned vector is multiplied with. Products are
+    found in single precision; what decides the shortlist or the k best within its error is scored again in double.
+    """
+    ids, base = np.asarray(data.column("id")), b.lists[data.column("list")[0].as_py()]
+    raw = [np.frombuffer(b"".join(data.column(c).to_pylist()), np.uint8).reshape(len(ids), -1) for c in ("codes", "refine")]
+    first, own = kbest.classes(np.concatenate(raw, 1))
+    member, size = kbest.members(own, ids, k + 1)
+    codes, levels = raw[0][first], unpacked(raw[1][first], len(b.steps), b.bits)
+    by_code = lambda at: decoded(codes[at], b.parts)
+    whole = lambda at: by_code(at) + middles(levels[at], b)
+    asked, v = np.asarray(queries.column("id")), vectors_of(queries.column("v").combine_chunks())
+    # a query that no other row equals isn't on its own shortlist
+    at = np.minimum(np.searchsorted(ids, asked), len(ids) - 1)
+    alone = np.where((ids[at] == asked) & (size[own[at]] == 1), own[at], -1)
+    some, mine = kbest.classes(np.concatenate([v, alone[:, None]], 1))
+    names, ends = np.argsort(mine, kind="stable"), np.cumsum(np.bincount(mine))
+    turned, to_base, alone = v[some] @ b.rotation.T, v[some] @ base, alone[some]
+    single = lambda f: np.concatenate([f(np.arange(i, min(len(first), i + SLICE))).astype(np.float32) for i in range(0, len(first), SLICE)])
+    rough, x, y = turned.astype(np.float32), single(by_code), single(whole)
+    off, off_whole, x = kbest.error(turned, x), kbest.error(turned, y), np.ascontiguousarray(x.T)
+    for i, j in kbest.strips(len(some), max(len(first), min(shortlist, len(first)) * turned.shape[1])):
+        q, out = turned[i:j], np.flatnonzero(alone[i:j] >= 0)
+        s = rough[i:j] @ x
+        s[out, alone[i:j][out]] = -np.inf
+        row, column = kbest.shortlist(s, shortlist, off, lambda r, c: kbest.dots(q, r, by_code, c))  # noqa: B023
+        place = kbest.numbered(row)
+        listed, there = (np.zeros((j - i, place.max(initial=0) + 1), t) for t in (np.int64, bool))
+        listed[row, place], there[row, place] = column, True
+        near = np.where(there, np.matmul(y[listed], rough[i:j, :, None])[:, :, 0], np.float32(-np.inf))
+        row, place = kbest.likely(near, k + 1, off_whole)
+        column = listed[row, place]
+        score = to_base[i:j][row] + kbest.dots(q, row, whole, column)
+        who = names[ends[i - 1] if i else 0 : ends[j - 1]]
+        yield kbest.named(row, column, score, member, size, asked[who], mine[who] - i, k)
+
+
 def search(index: DataFrame, queries: DataFrame, books: Books, k: int, probe: int, shortlist: int, pad: bool = True) -> DataFrame:
     """(id, place, nb, cos): the k nearest found of each query (id, v) in its `probe` nearest lists, itself left out, by codes alone; no vector of the index is needed.
 
     In each list the `shortlist` best by code get their refinement, and the best of these are the result; ties to the
-    smaller id. A query's tables of its products with all codes make a row's score a sum of one number a part. A list
-    of more than SPLIT rows is read in parts, to each of which its queries go, ASKED or so at a time. With `pad`, places beyond what was found
+    smaller id. Rows of equal codes and refinement count once on the shortlist. A list of more than SPLIT rows is read in
+    parts, to each of which its queries go, ASKED or so at a time. With `pad`, places beyond what was found
     hold nb -1 and cos -infinity. Of an id in two parts the later counts.
     """
     shared = index.sparkSession.sparkContext.broadcast(books)
@@ -252,23 +295,10 @@ def search(index: DataFrame, queries: DataFrame, books: Books, k: int, probe: in
     data = rows.join(sizes, "list").join(turns, "list").withColumn("share", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int")).withColumn("turn", upto("turns"))
 
     def scan(queries: pa.Table, data: pa.Table) -> pa.Table:
-        b, out = shared.value, []
+        out: list[tuple] = []
         if queries.num_rows and data.num_rows:
-            ids, codes = np.asarray(data.column("id")), codes_of(data.column("codes").to_pylist(), len(b.parts))
-            more = refined(data.column("refine").to_pylist(), b)
-            base = b.lists[data.column("list")[0].as_py()]
-            q = vectors_of(queries.column("v").combine_chunks())
-            for i, u in zip(queries.column("id").to_pylist(), q):
-                turned = b.rotation @ u
-                table = np.stack([p @ s for p, s in zip(b.parts, np.split(turned, len(b.parts)))])
-                score = u @ base + table[np.arange(len(b.parts)), codes].sum(1)
-                score[ids == i] = -np.inf
-                at = np.argsort(-score, kind="stable")[:shortlist]
-                at = at[score[at] > -np.inf]
-                exact = score[at] + more[at] @ turned
-                best = np.lexsort((ids[at], -exact))[:k]
-                out += [(i, int(ids[at[j]]), float(exact[j])) for j in best.tolist()]
-        cols = list(zip(*out)) or [[]] * 3
+            out = list(held(queries.combine_chunks(), data.sort_by("id").combine_chunks(), shared.value, k, shortlist))
+        cols = [np.concatenate(x) for x in zip(*out)] or [[]] * 3
         return pa.Table.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["id", "nb", "cos"])
 
     # groups are small in bytes and long in work: dealt out by their number, not by their size
@@ -285,7 +315,7 @@ def search(index: DataFrame, queries: DataFrame, books: Books, k: int, probe: in
 
 def best_of(found: DataFrame, k: int) -> DataFrame:
     """(id, place, nb, cos): the k best of candidates (id, nb, cos), each neighbour once, by its greatest cosine; ties to the smaller id."""
-    once = found.groupBy("id", "nb").agg(F.max("cos").alias("cos"))
+    once = found.repartition("id").groupBy("id", "nb").agg(F.max("cos").alias("cos"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.round("cos", 12).desc(), "nb"))
     return once.withColumn("place", rank).where(F.col("place") <= k).select("id", "place", "nb", "cos")
 
